@@ -441,7 +441,7 @@ def removed_spans(spans: list[bytes], text: bytes, width: int) -> list[tuple[int
 
 def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 50, anchor: int | None = None) -> DataFrame:
     """All columns of ``docs`` with ``kept`` (binary), ``n_bytes``, ``spans`` (array of start, end) added."""
-    anchor = anchor or max(1, width // 2 - 1)
+    anchor = anchor or max(1, width * 2 // 5)
     buckets = shuffle_parts(docs)
     source = docs.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     rest = [c for c in docs.columns if c not in (id_column, text_column)]
