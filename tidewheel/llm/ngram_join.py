@@ -103,6 +103,12 @@ def part_hashes(grams: np.ndarray, classes: SizeClasses) -> np.ndarray:
     return np.concatenate(out)
 
 
+def set_key(grams: np.ndarray) -> int:
+    """A 64-bit hash of a set; equal sets share it."""
+    with np.errstate(over="ignore"):
+        return int(grams.sum(dtype=np.uint64).view(np.int64))
+
+
 def set_table(docs: DataFrame, id_column: str, text_column: str, n: int) -> DataFrame:
     """``(id, n, h1, h2)``: set size and a 128-bit hash of the set, one row per row of ``docs``."""
 
@@ -112,13 +118,13 @@ def set_table(docs: DataFrame, id_column: str, text_column: str, n: int) -> Data
             with np.errstate(over="ignore"):
                 for g in gram_sets(s, n):
                     size.append(len(g))
-                    h1.append(g.sum(dtype=np.uint64))
+                    h1.append(set_key(g))
                     h2.append(np.bitwise_xor.reduce(mix64(g)) if len(g) else np.uint64(0))
             yield pa.RecordBatch.from_arrays(
                 [
                     s.rows.column(0),
                     pa.array(size, pa.int64()),
-                    pa.array(np.array(h1, np.uint64).view(np.int64)),
+                    pa.array(h1, pa.int64()),
                     pa.array(np.array(h2, np.uint64).view(np.int64)),
                 ],
                 ["id", "n", "h1", "h2"],
@@ -129,8 +135,8 @@ def set_table(docs: DataFrame, id_column: str, text_column: str, n: int) -> Data
     )
 
 
-def block_edges(docs: DataFrame, id_column: str, text_column: str, n: int, percent: int) -> DataFrame:
-    """Edges ``(a, b)`` whose components hold every link."""
+def block_edges(docs: DataFrame, text_column: str, n: int, percent: int) -> DataFrame:
+    """Edges ``(a, b)`` between set keys whose components hold every link; equal sets are one vertex."""
     buckets = shuffle_parts(docs)
 
     def pack(batches):
@@ -149,10 +155,10 @@ def block_edges(docs: DataFrame, id_column: str, text_column: str, n: int, perce
 
         schema = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary())])
         for s in slices(batches, "text"):
-            for i, g in zip(s.rows.column(0).to_pylist(), gram_sets(s, n), strict=True):
+            for g in gram_sets(s, n):
                 if len(g):
                     held.append(part_hashes(g, classes))
-                    ids.append(i)
+                    ids.append(set_key(g))
                     total += len(held[-1])
             if total >= FLUSH:
                 yield flush()
@@ -178,9 +184,7 @@ def block_edges(docs: DataFrame, id_column: str, text_column: str, n: int, perce
             yield edges()
 
     packed = (
-        docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-        .filter("id is not null")
-        .mapInArrow(pack, "bucket int, keys binary, ids binary")
+        docs.select(F.col(text_column).alias("text")).mapInArrow(pack, "bucket int, keys binary, ids binary")
     )
     return packed.repartitionById(buckets, F.col("bucket")).mapInArrow(meet, "a long, b long").distinct()
 
@@ -311,10 +315,10 @@ def jaccard_components(
     ``component_id`` is the smallest id reachable over links, a document's own id where it has none.
     """
     table = checkpointed(set_table(docs, id_column, text_column, n))
-    blocks = connected_components(checkpointed(block_edges(docs, id_column, text_column, n, percent)))
+    blocks = connected_components(checkpointed(block_edges(docs, text_column, n, percent)))
     member = checkpointed(
-        blocks.select("id", F.col("component").alias("block"))
-        .join(table.filter("n > 0"), "id")
+        blocks.select(F.col("id").alias("h1"), F.col("component").alias("block"))
+        .join(table.filter("n > 0 and id is not null"), "h1")
         .groupBy("block", "h1", "h2", "n")
         .agg(F.min("id").alias("id"))
     )
