@@ -36,7 +36,7 @@ _TABLE = byte_table(23, lower=False)
 _LOW = np.uint64(0xFFFFFFFF)
 FLUSH = 1 << 20
 #: Bytes of distinct segments that one index holds, and bytes of segments that a task gathers before sending.
-PIECE_BYTES, SEND_BYTES = 1 << 20, 8 << 20
+PIECE_BYTES, SEND_BYTES = 1 << 17, 8 << 20
 
 
 def minimizers(buf: np.ndarray, offsets: np.ndarray, width: int, anchor: int) -> tuple[np.ndarray, ...]:
@@ -220,6 +220,7 @@ class RunLengthIndex:
             symbol[~alive] = 0
             alive &= symbol > 0
             key = key << 9 | symbol
+        self.seven = key
         while True:
             order = np.argsort(key)
             changed = np.diff(key[order]) != 0
@@ -257,14 +258,21 @@ class RunLengthIndex:
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Common prefix lengths of pairs of suffixes."""
+        # seven symbols at a time while they agree and no string ends in them, then one by one
         out, alive, k = np.zeros(len(a), np.int64), np.arange(len(a)), 0
         while len(alive):
+            x = self.seven[a[alive] + k]
+            alive = alive[(x == self.seven[b[alive] + k]) & (x & 0x1FF > 0)]
+            k += 7
+            out[alive] = k
+        alive = np.arange(len(a))
+        while len(alive):
+            k = out[alive]
             ok = (a[alive] + k < self.size) & (b[alive] + k < self.size)
-            alive = alive[ok]
+            alive, k = alive[ok], k[ok]
             x = self.text[a[alive] + k]
             alive = alive[(x == self.text[b[alive] + k]) & (x > 0)]
             out[alive] += 1
-            k += 1
         return out
 
     def stream(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
@@ -290,18 +298,17 @@ def least_documents(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, owne
     """For each byte place that starts a ``width``-byte window inside a string, the smallest owner of that window."""
     index = RunLengthIndex(data, ends, owner, width)
     least = np.full(len(data), np.iinfo(np.int64).max)
-    text = index.text
+    looks = sorted({*range(0, width - 6, 7), max(0, width - 7)})
     for who, at, row, place in index.stream(data, starts, ends):
-        wide = at + width <= ends[who]
-        at, row, place = at[wide], row[wide], place[wide]
-        if len(at):
-            # the matched place is compared symbol by symbol, so a hit is exact
-            same = np.ones(len(at), bool)
-            if (ok := place + width <= len(text)).any():
-                look = np.arange(width)
-                same[ok] = (text[place[ok][:, None] + look] == data[at[ok][:, None] + look].astype(np.int64) + 1).all(axis=1)
-            same &= ok
-            least[at[same]] = index.least_owner(row[same])
+        wide = (at + width <= ends[who]) & (place + width <= index.size)
+        at, row, place, own = at[wide], row[wide], place[wide], (at + who)[wide]
+        # the matched place is compared, seven symbols at a time, so a hit is exact
+        same = np.ones(len(at), bool)
+        for k in looks:
+            same &= index.seven[place + k] == index.seven[own + k]
+        if width < 7:
+            same = index.common(place, own) >= width
+        least[at[same]] = index.least_owner(row[same])
     return least
 
 
@@ -451,8 +458,8 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     shared = shared_keys(source, width, anchor, buckets).groupBy("doc").agg(F.collect_list("key").alias("keys"))
     whole = docs.select(
         F.col(id_column).cast("long").alias("__id"),
-        F.coalesce(F.col(text_column), F.lit("")).alias("__text"),
-        F.struct(*[F.col(c) for c in rest], F.col(id_column), F.col(text_column)).alias("__row"),
+        F.col(text_column).alias("__text"),
+        F.struct(F.lit(0).alias("__none"), F.col(id_column), *[F.col(c) for c in rest]).alias("__row"),
     ).repartition(buckets, "__id")
     texts = (
         whole.join(shared.withColumnRenamed("doc", "__id").hint("shuffle_hash"), "__id")
@@ -467,13 +474,13 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
         .select("__row", F.col("__text").alias("text"), "marks", "copy")
     )
     schema = judged.select("__row").schema
-    kinds = f"__row {schema['__row'].dataType.simpleString()}, kept binary, n_bytes long, spans array<struct<start:int,end:int>>"
+    kinds = f"__row {schema['__row'].dataType.simpleString()}, text string, kept binary, n_bytes long, spans array<struct<start:int,end:int>>"
 
     def finish(batches):
         for batch in batches:
             kept, size, spans = [], [], []
             for text, mark, copy in zip(*(batch.column(i) for i in (1, 2, 3)), strict=True):
-                data = text.as_buffer().to_pybytes()
+                data = text.as_buffer().to_pybytes() if text.is_valid else b""
                 n = len(data)
                 if copy.is_valid and hashlib.sha256(data).hexdigest() in copy.as_py():
                     runs = [(0, n)]
@@ -487,9 +494,9 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
                 size.append(n)
                 spans.append([{"start": a, "end": b} for a, b in runs])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(kept, pa.binary()), pa.array(size, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))],
-                ["__row", "kept", "n_bytes", "spans"],
+                [batch.column(0), batch.column(1), pa.array(kept, pa.binary()), pa.array(size, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))],
+                ["__row", "text", "kept", "n_bytes", "spans"],
             )
 
     out = judged.mapInArrow(finish, kinds)
-    return out.select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns], "kept", "n_bytes", "spans")
+    return out.select(*[F.col("text" if c == text_column else f"__row.`{c}`").alias(c) for c in docs.columns], "kept", "n_bytes", "spans")
