@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm import bpe, ngram_join, suffix_dedup, toxicity
+from tidewheel.llm import bpe, mixing, ngram_join, suffix_dedup, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -59,3 +59,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= 0.7).cast("int").alias("predicted"),
         F.size("offending").cast("long").alias("n_offending"),
     )
+
+
+@query
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "copy", "order_key")
+
+
+ORACLES["op6_mixing"] = mixing.ORACLE

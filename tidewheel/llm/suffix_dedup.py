@@ -446,8 +446,13 @@ def removed_spans(spans: list[bytes], text: bytes, width: int) -> list[tuple[int
     return [(a, b) for a, b in out]
 
 
-def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 50, anchor: int | None = None) -> DataFrame:
-    """All columns of ``docs`` with ``kept`` (binary), ``n_bytes``, ``spans`` (array of start, end) added."""
+def remove_repeats(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 50, anchor: int | None = None, as_text: bool = False
+) -> DataFrame:
+    """All columns of ``docs`` with ``kept`` (binary), ``n_bytes``, ``spans`` (array of start, end) added.
+
+    ``as_text``: ``kept`` is a string; of a character that a cut went through the other bytes go too.
+    """
     anchor = anchor or max(1, width * 2 // 5)
     buckets = shuffle_parts(docs)
     source = docs.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
@@ -474,7 +479,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
         .select("__row", F.col("__text").alias("text"), "marks", "copy")
     )
     schema = judged.select("__row").schema
-    kinds = f"__row {schema['__row'].dataType.simpleString()}, text string, kept binary, n_bytes long, spans array<struct<start:int,end:int>>"
+    kinds = f"__row {schema['__row'].dataType.simpleString()}, text string, kept {'string' if as_text else 'binary'}, n_bytes long, spans array<struct<start:int,end:int>>"
 
     def finish(batches):
         for batch in batches:
@@ -494,7 +499,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
                 size.append(n)
                 spans.append([{"start": a, "end": b} for a, b in runs])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(kept, pa.binary()), pa.array(size, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))],
+                [batch.column(0), batch.column(1), pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary()), pa.array(size, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))],
                 ["__row", "text", "kept", "n_bytes", "spans"],
             )
 
