@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm import bpe, mixing, ngram_join, suffix_dedup, toxicity
+from tidewheel.llm import bpe, mixing, ngram_join, quality_rules, suffix_dedup, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -67,3 +67,17 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op6_mixing"] = mixing.ORACLE
+
+
+@query
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = quality_rules.learn(docs, table(spark, sf_dir, "labels"))
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return (
+        quality_rules.judge(docs, rules)
+        .select("doc_id", *[F.col(f"m.{c}").alias(c) for c in counts], "rule")
+        .withColumn("base_failed", failed)
+        .withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
+    )
