@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm import bpe, mixing, ngram_join, quality_rules, suffix_dedup, toxicity
+from tidewheel.llm import bpe, license_scan, mixing, ngram_join, quality_rules, suffix_dedup, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -81,3 +81,9 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("base_failed", failed)
         .withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
     )
+
+
+@query
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return license_scan.scan(docs).drop("text", "matches")
