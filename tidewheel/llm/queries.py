@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm import bpe, license_scan, mixing, ngram_join, quality_rules, suffix_dedup, toxicity
+from tidewheel.llm import bpe, license_scan, mixing, ngram_join, quality_rules, suffix_dedup, toxicity, url_filter
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -87,3 +87,11 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return license_scan.scan(docs).drop("text", "matches")
+
+
+@query
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), url_filter.RULES).drop("url")
+
+
+ORACLES["op8_url_filter"] = url_filter.oracle()
