@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm import bpe, license_scan, mixing, ngram_join, quality_rules, suffix_dedup, toxicity, url_filter
+from tidewheel.llm import bpe, chat_format, license_scan, mixing, ngram_join, quality_rules, suffix_dedup, toxicity, url_filter
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -95,3 +95,17 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op8_url_filter"] = url_filter.oracle()
+
+
+@query
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = chat_format.swapped_replies(table(spark, sf_dir, "conversations"))
+    out = chat_format.preference_format(pairs)
+
+    def seen(side: str):
+        return F.aggregate(f"{side}_spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]).alias(f"{side}_trainable")
+
+    return out.select(F.col("id").alias("conv_id"), "prompt_turns", "prompt", "chosen", seen("chosen"), "rejected", seen("rejected"))
+
+
+ORACLES["op3_chat_format"] = chat_format.ORACLE
