@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm import bpe, chat_format, license_scan, mixing, ngram_join, quality_rules, suffix_dedup, toxicity, url_filter
+from tidewheel.llm import bpe, chat_format, license_scan, mixing, ngram_join, quality_rules, suffix_dedup, topk_search, toxicity, url_filter
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -109,3 +109,9 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op3_chat_format"] = chat_format.ORACLE
+
+
+@query
+def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return topk_search.search(docs, docs.filter(F.col("doc_id") % 100 == 0), k=10)
