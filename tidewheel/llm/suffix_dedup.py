@@ -258,31 +258,29 @@ class RunLengthIndex:
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Common prefix lengths of pairs of suffixes."""
-        # seven symbols at a time while they agree and no string ends in them, then one by one
-        out, alive, k = np.zeros(len(a), np.int64), np.arange(len(a)), 0
-        while len(alive):
-            x = self.seven[a[alive] + k]
-            alive = alive[(x == self.seven[b[alive] + k]) & (x & 0x1FF > 0)]
-            k += 7
-            out[alive] = k
-        alive = np.arange(len(a))
+        # seven symbols at a time while they agree and no string ends in them; the last seven by their bits
+        out, alive = np.zeros(len(a), np.int64), np.arange(len(a))
         while len(alive):
             k = out[alive]
-            ok = (a[alive] + k < self.size) & (b[alive] + k < self.size)
-            alive, k = alive[ok], k[ok]
-            x = self.text[a[alive] + k]
-            alive = alive[(x == self.text[b[alive] + k]) & (x > 0)]
-            out[alive] += 1
+            x, y = self.seven[a[alive] + k], self.seven[b[alive] + k]
+            same = (x == y) & (x & 0x1FF > 0)
+            last, x, y = alive[~same], x[~same], x[~same] ^ y[~same]
+            for k in range(54, -1, -9):
+                out[last] += (y >> k == 0) & (x >> k & 0x1FF > 0)
+            alive = alive[same]
+            out[alive] += 7
         return out
 
-    def stream(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    def stream(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, ...]]:
         """Matching of the strings ``data[start:end]``, last symbol first.
 
         Yields (string numbers, place in data, row, place of the match); where the match at a place is at least as long as what
         is left of its string up to the width, ``least_owner`` of the row tells its smallest document.
+        ``rows``: where each string begins, the row of its own end if it is one of the indexed ones.
         """
         alive = np.arange(len(starts))
-        row, place = np.zeros(len(starts), np.int64), np.full(len(starts), self.stop[0])
+        row = np.zeros(len(starts), np.int64) if rows is None else rows.copy()
+        place = self.stop[row]
         at = ends.copy()
         while len(alive):
             at[alive] -= 1
@@ -299,7 +297,7 @@ def least_documents(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, owne
     index = RunLengthIndex(data, ends, owner, width)
     least = np.full(len(data), np.iinfo(np.int64).max)
     looks = sorted({*range(0, width - 6, 7), max(0, width - 7)})
-    for who, at, row, place in index.stream(data, starts, ends):
+    for who, at, row, place in index.stream(data, starts, ends, np.arange(len(ends))):
         wide = (at + width <= ends[who]) & (place + width <= index.size)
         at, row, place, own = at[wide], row[wide], place[wide], (at + who)[wide]
         # the matched place is compared, seven symbols at a time, so a hit is exact
@@ -342,11 +340,11 @@ def segments(texts: DataFrame, width: int, anchor: int, buckets: int) -> DataFra
             doc, start, count, key = minimizers(s.buf, s.offsets, width, anchor)
             key = routed(key, buckets)
             ids = s.rows.column(0).to_pylist()
-            wanted = [np.asarray(x.values if hasattr(x, "values") else x, np.int64).view(np.uint64) for x in s.rows.column(2)]
+            wanted = [x.values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) if x.is_valid else None for x in s.rows.column(2)]
             cut = np.searchsorted(doc, np.arange(s.n + 1))
             for i in range(s.n):
                 a, z = cut[i], cut[i + 1]
-                if a == z:
+                if a == z or wanted[i] is None:
                     continue
                 hit = a + np.flatnonzero(np.isin(key[a:z], wanted[i]))
                 base, whole = int(s.offsets[i]), s.text(i)
@@ -467,10 +465,11 @@ def remove_repeats(
         F.struct(F.lit(0).alias("__none"), F.col(id_column), *[F.col(c) for c in rest]).alias("__row"),
     ).repartition(buckets, "__id")
     texts = (
-        whole.join(shared.withColumnRenamed("doc", "__id").hint("shuffle_hash"), "__id")
+        # left joins and the row struct keep this side's plan equal to the one below, so texts are dealt once
+        whole.join(shared.withColumnRenamed("doc", "__id").hint("shuffle_hash"), "__id", "left")
         .join(copies.withColumnRenamed("id", "__id").hint("shuffle_hash"), "__id", "left")
         .filter("copy is null or not array_contains(copy, sha2(cast(__text as binary), 256))")
-        .select("__id", F.col("__text").alias("text"), "keys")
+        .select("__id", F.col("__text").alias("text"), "keys", "__row")
     )
     found = marks(segments(texts, width, anchor, buckets), width, buckets).groupBy("doc").agg(F.collect_list("spans").alias("marks"))
     judged = (
