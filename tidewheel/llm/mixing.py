@@ -50,11 +50,10 @@ def source_rates(docs: DataFrame, source_column: str, weights: dict | None, tota
     else:
         raw = F.coalesce(*[F.when(F.col("__source") == k, F.lit(float(v))) for k, v in weights.items()], F.lit(0.0))
     counts = counts.withColumn("w", raw)
-    whole = counts.agg(F.sum("w").alias("w_all"), F.sum("n").alias("n_all"))
-    size = F.col("n_all").cast("double") if total is None else F.lit(float(total))
-    rate = F.when(F.col("w_all") > 0, F.col("w") / F.col("w_all") * size / F.col("n")).otherwise(F.lit(0.0))
-    # one row, the sums over all sources, beside every source
-    return counts.join(F.broadcast(whole)).select("__source", rate.alias("__rate"))
+    whole = counts.agg(F.sum("w").alias("w"), F.sum("n").alias("n")).first()
+    size = float(whole["n"] or 0) if total is None else float(total)
+    rate = F.col("w") / F.lit(whole["w"]) * F.lit(size) / F.col("n") if whole["w"] else F.lit(0.0)
+    return counts.select("__source", rate.alias("__rate"))
 
 
 def mix(

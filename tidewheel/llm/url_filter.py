@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewheel.operators.components import checkpointed
+
 #: Rules up to this many become one conditional expression; beyond it they are joined by key.
 CHAIN = 64
 #: Host posteriors are broadcast only up to this many hosts.
@@ -78,8 +80,8 @@ def _suffix(host: Column) -> Column:
     return F.substring_index(host, ".", -1)
 
 
-def _strength(groups: DataFrame) -> DataFrame:
-    """One row ``k``: the prior's strength in pages, by moments of groups (good, n); 1 to 1000."""
+def _strength(groups: DataFrame) -> tuple[float, float]:
+    """The prior's strength in pages, by moments of groups (good, n), 1 to 1000; and the mean of all."""
     total = groups.agg(
         F.sum("good").alias("y"), F.sum("n").alias("n"), F.count("*").alias("g"),
         F.sum(F.col("n").cast("double") * F.col("n")).alias("nn"), F.sum(F.col("good").cast("double") * F.col("good") / F.col("n")).alias("yy"),
@@ -89,35 +91,33 @@ def _strength(groups: DataFrame) -> DataFrame:
     spread = F.col("yy") - y * m
     room = m * (1 - m) * (n - F.col("nn") / n - (F.col("g") - 1))
     rho = F.when(room > 0, (spread - m * (1 - m) * (F.col("g") - 1)) / room)
-    return total.select(
+    row = total.select(
         F.when(rho > 0, F.greatest(F.lit(1.0), F.least(F.lit(1000.0), 1 / rho - 1))).otherwise(F.lit(1000.0)).alias("k"),
         F.coalesce((y + 1) / (n + 2), F.lit(0.5)).alias("m"),
-    )
+    ).first()
+    return row["k"], row["m"]
 
 
-def host_posteriors(outcomes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Posterior tables ``(name, a, b)`` of hosts, domains and suffixes, and the one-row prior of all.
+def host_posteriors(outcomes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, tuple[float, float]]:
+    """Posterior tables ``(name, a, b)`` of hosts, domains and suffixes, and the prior (a, b) of all.
 
-    ``outcomes``: (host, good) with one row per labelled page.
+    ``outcomes``: (host, good) with one row per labelled page. Of each level only strength and mean, two
+    numbers, come to the driver.
     """
-    host = outcomes.groupBy("host").agg(F.sum(F.col("good").cast("long")).alias("good"), F.count("*").alias("n"))
+    host = checkpointed(outcomes.groupBy("host").agg(F.sum(F.col("good").cast("long")).alias("good"), F.count("*").alias("n")))
     domain = host.groupBy(_domain(F.col("host")).alias("domain")).agg(F.sum("good").alias("good"), F.sum("n").alias("n"))
     suffix = domain.groupBy(_suffix(F.col("domain")).alias("suffix")).agg(F.sum("good").alias("good"), F.sum("n").alias("n"))
 
-    def shrunk(groups: DataFrame, strength: DataFrame, name: str) -> DataFrame:
-        # the strength is one row; a prior mean ``pm`` stands beside each group
-        return groups.join(F.broadcast(strength.select("k"))).select(
-            name,
-            (F.col("k") * F.col("pm") + F.col("good")).alias("a"),
-            (F.col("k") * (1 - F.col("pm")) + F.col("n") - F.col("good")).alias("b"),
-        )
+    def shrunk(groups: DataFrame, k: float, prior, name: str) -> DataFrame:
+        return groups.select(name, (k * prior + F.col("good")).alias("a"), (k * (1 - prior) + F.col("n") - F.col("good")).alias("b"))
 
-    overall = _strength(suffix)
-    s = shrunk(suffix.join(F.broadcast(overall.select(F.col("m").alias("pm")))), overall, "suffix")
-    d = domain.withColumn("suffix", _suffix(F.col("domain"))).join(s, "suffix").withColumn("pm", F.col("a") / (F.col("a") + F.col("b"))).drop("a", "b")
-    d = shrunk(d, _strength(domain), "domain")
-    h = host.withColumn("domain", _domain(F.col("host"))).join(d, "domain").withColumn("pm", F.col("a") / (F.col("a") + F.col("b"))).drop("a", "b")
-    return shrunk(h, _strength(host), "host"), d, s, overall.select((F.col("k") * F.col("m")).alias("a"), (F.col("k") * (1 - F.col("m"))).alias("b"))
+    above = F.col("a") / (F.col("a") + F.col("b"))
+    k, m = _strength(suffix)
+    s = shrunk(suffix, k, F.lit(m), "suffix")
+    d = domain.withColumn("suffix", _suffix(F.col("domain"))).join(s, "suffix").withColumn("pm", above)
+    d = shrunk(d, _strength(domain)[0], F.col("pm"), "domain")
+    h = host.withColumn("domain", _domain(F.col("host"))).join(d, "domain").withColumn("pm", above)
+    return shrunk(h, _strength(host)[0], F.col("pm"), "host"), d, s, (k * m, k * (1 - m))
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], outcomes: DataFrame | None = None, url_column: str = "url", z: float = 1.64, threshold: float = 0.5) -> DataFrame:
@@ -136,8 +136,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], outcomes: DataFrame |
         .join(host.select("host", F.struct("a", "b").alias("h")), "host", "left")
         .join(domain.select("domain", F.struct("a", "b").alias("d")), "domain", "left")
         .join(suffix.select("suffix", F.struct("a", "b").alias("s")), "suffix", "left")
-        .join(F.broadcast(overall.select(F.struct("a", "b").alias("o"))))
-        .withColumn("x", F.coalesce("h", "d", "s", "o"))
+        .withColumn("x", F.coalesce("h", "d", "s", F.struct(F.lit(overall[0]).alias("a"), F.lit(overall[1]).alias("b"))))
     )
     total = F.col("x.a") + F.col("x.b")
     mean = F.col("x.a") / total
