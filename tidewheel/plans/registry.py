@@ -1,10 +1,525 @@
-"""The registered queries of the engine's own operators and their oracle SQL."""
+"""The registered queries of the engine's own operators and their oracle SQL.
+
+Similarity runs at 0.40 (0.35 where refinement must matter): the stand-in vectors have no pair at 0.85.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewheel.functions import mapping, scoring, text
+from tidewheel.functions.vectors import is_zero, truncate, unit
+from tidewheel.operators import canonical, clusters, identity, routing, similarity, stats, vision
+from tidewheel.operators.components import checkpointed
+from tidewheel.plans import oracles as O  # noqa: N812
+from tidewheel.sources import ingest
+from tidewheel.sources.items import STAND_IN_DUCKDB, read_table, stand_in
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+T, T_REFINED, AS_OF = 0.40, 0.35, "2024-06-01 00:00:00"
+OWNERS = """
+# paths and their owners
+src/api/ @api-team @lead
+*.py @python-team
+/en/ @english @docs
+docs @docs
+nobody
+"""
+
+
+def query(oracle: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return register
+
+
+def sim6(name: str):
+    return F.round(name, 6).alias(name)
+
+
+def _clusters(spark: SparkSession, sf_dir: str, t: float = T):
+    items, vectors = stand_in(spark, sf_dir)
+    return clusters.find_clusters(items, vectors, t)
+
+
+# ---------------------------------------------------------------- scans and mapping
+
+
+@query(f"SELECT item_id, type, number, repo, title, body_length, state, author, created_at, updated_at, closed_at, ci_status, review_count, additions, deletions, has_tests, head_ref_oid, array_to_string(closes_issues, ',') AS closes FROM ({STAND_IN_DUCKDB})")
+def scan_items(spark, sf_dir):
+    items, _ = stand_in(spark, sf_dir)
+    closes = F.when(F.col("closes_issues").isNotNull(), F.array_join(F.col("closes_issues").cast("array<string>"), ",")).alias("closes")
+    return items.select("item_id", "type", "number", "repo", "title", "body_length", "state", "author", "created_at", "updated_at", "closed_at", "ci_status", "review_count", "additions", "deletions", "has_tests", "head_ref_oid", closes)
+
+
+@query(f"WITH {O.ITEMS} SELECT item_id, len(v)::INTEGER AS dims, len(list_filter(v, lambda x: x <> 0)) = 0 AS zero FROM vec WHERE repo = 'org/r1'")
+def scan_vectors(spark, sf_dir):
+    items, vectors = stand_in(spark, sf_dir)
+    mine = items.filter("repo = 'org/r1'").select("item_id")
+    return vectors.join(mine, "item_id").select("item_id", F.size("embedding").alias("dims"), is_zero(F.col("embedding")).alias("zero"))
+
+
+@query(f"WITH {O.ITEMS} SELECT item_id, {O.BOT} AS bot, coalesce(state = 'closed' AND closed_at >= TIMESTAMP '2024-01-10' AND closed_at < TIMESTAMP '2024-01-20', false) AS incident_closed, 'https://github.com/' || repo || CASE WHEN type = 'pr' THEN '/pull/' ELSE '/issues/' END || number AS url FROM items")
+def item_flags(spark, sf_dir):
+    items, _ = stand_in(spark, sf_dir)
+    windows = mapping.compile_windows([{"start": "2024-01-10T00:00:00Z", "end": "2024-01-20T00:00:00Z", "reason": "bulk close"}])
+    return items.select(
+        "item_id",
+        mapping.is_bot(F.col("author"), F.col("author_is_bot")).alias("bot"),
+        mapping.incident_closed(F.col("state"), F.col("closed_at"), windows).alias("incident_closed"),
+        mapping.item_url(F.col("repo"), F.col("type"), F.col("number")).alias("url"),
+    )
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'merged' ELSE lower(o_orderstatus) END AS state,
+  CASE o_orderpriority WHEN '1-URGENT' THEN 'success' WHEN '2-HIGH' THEN 'failure' WHEN '3-MEDIUM' THEN 'pending' ELSE 'unknown' END AS ci,
+  CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderkey % 5 = 1 END AS bot,
+  CASE WHEN o_orderkey % 4 = 0 THEN true WHEN o_orderkey % 4 = 1 THEN NULL ELSE false END AS has_tests,
+  CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE (o_orderkey % 7)::VARCHAR END AS closes
+FROM orders""")
+def fetch_mapping(spark, sf_dir):
+    o = read_table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    rollup = F.create_map(*[F.lit(x) for x in ("1-URGENT", "SUCCESS", "2-HIGH", "ERROR", "3-MEDIUM", "EXPECTED")])[F.col("o_orderpriority")]
+    ref = F.struct((k % 7).alias("number"), F.when(k % 3 == 0, "other/repo").otherwise("org/r").alias("repo"))
+    nodes = F.when(k % 2 == 0, F.array(ref)).otherwise(F.array(ref, F.struct(F.lit(9).cast("bigint").alias("number"), F.lit("other/repo").alias("repo"))))
+    paths = F.when(k % 4 == 0, F.array(F.lit("src/a.py"), F.lit("src/A.Spec.ts"))).otherwise(F.array(F.lit("src/a.py")))
+    return o.select(
+        "o_orderkey",
+        mapping.pr_state(F.col("o_orderstatus"), F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate"))).alias("state"),
+        mapping.ci_status(F.coalesce(rollup, F.lit("NEUTRAL"))).alias("ci"),
+        mapping.account_is_bot(F.lit(None).cast("string"), F.when(k % 5 == 1, "Bot").when(k % 5 != 0, "User")).alias("bot"),
+        mapping.has_tests(paths, F.when(k % 4 == 1, 150).otherwise(2)).alias("has_tests"),
+        F.array_join(mapping.closing_numbers(nodes, F.lit("org/r")).cast("array<string>"), ",").alias("closes"),
+    )
+
+
+# ---------------------------------------------------------------- similarity
+
+
+@query(f"WITH RECURSIVE {O.ITEMS}, {O.graph(T)} SELECT src, dst, round(sim, 6) AS sim FROM edges")
+def similar_pairs(spark, sf_dir):
+    items, vectors = stand_in(spark, sf_dir)
+    bots = items.filter(mapping.is_bot(F.col("author"), F.col("author_is_bot")))
+    return similarity.similar_pairs(similarity.eligible(vectors, bots), T).select("src", "dst", sim6("sim"))
+
+
+@query(f"WITH RECURSIVE {O.ITEMS}, {O.graph(T)} SELECT item_id, min(item_id) OVER (PARTITION BY part) AS component FROM parts")
+def components(spark, sf_dir):
+    items, vectors = stand_in(spark, sf_dir)
+    bots = items.filter(mapping.is_bot(F.col("author"), F.col("author_is_bot")))
+    edges = checkpointed(similarity.similar_pairs(similarity.eligible(vectors, bots), T))
+    parts = checkpointed(clusters.item_components(edges))
+    names = parts.groupBy("cluster_key").agg(F.min("item_id").alias("component"))
+    return parts.join(names, "cluster_key").select("item_id", "component")
+
+
+@query(f"""WITH {O.ITEMS}, q AS (SELECT v FROM vec WHERE number = 7),
+d AS (SELECT vec.item_id, sqrt(list_sum(list_transform(list_zip(vec.v, q.v), lambda x: pow(x[1] - x[2], 2)))) AS distance FROM vec, q),
+top AS (SELECT * FROM d ORDER BY distance, item_id LIMIT 20)
+SELECT item_id, round(distance, 5) AS distance FROM top WHERE 1 - distance * distance / 2 >= 0.2""")
+def knn(spark, sf_dir):
+    items, vectors = stand_in(spark, sf_dir)
+    q = items.filter("number = 7").join(vectors, "item_id").select("embedding").first()[0]
+    return similarity.nearest(vectors, q, 20, 0.2).select("item_id", F.round("distance", 5).alias("distance"))
+
+
+@query(f"WITH {O.ITEMS}, q AS (SELECT v FROM vec WHERE number = 7) SELECT item_id, round(sim, 6) AS sim FROM (SELECT vec.item_id, vec.number, {O.COSINE.format(a='vec.v', b='q.v')} AS sim FROM vec, q) WHERE sim >= 0.2 AND number <> 7")
+def match_new_item(spark, sf_dir):
+    items, vectors = stand_in(spark, sf_dir)
+    row = items.filter("number = 7").join(vectors, "item_id").select("item_id", "embedding").first()
+    return similarity.one_against_all(vectors, row["embedding"], 0.2, row["item_id"]).select("item_id", sim6("sim"))
+
+
+@query(f"WITH {O.ITEMS}, s AS (SELECT a.item_id AS first, b.item_id AS second, {O.COSINE.format(a='a.v', b='b.v')} AS sim FROM vec a, vec b WHERE a.number = 3 AND b.number = 12) SELECT first, second, round(sim, 6) AS sim, CASE WHEN sim >= 0.85 THEN 'likely duplicates' WHEN sim >= 0.65 THEN 'related' ELSE 'unrelated' END AS verdict FROM s")
+def compare_pair(spark, sf_dir):
+    items, vectors = stand_in(spark, sf_dir)
+    ids = {r["number"]: r["item_id"] for r in items.filter("number in (3, 12)").select("number", "item_id").collect()}
+    return similarity.compare(vectors, ids[3], ids[12]).select("first", "second", sim6("sim"), "verdict")
+
+
+# ---------------------------------------------------------------- clusters
+
+
+@query(O.clusters(T, True) + "SELECT cluster_id, size, theme, round(avg_similarity, 6) AS avg_similarity, round(min_similarity, 6) AS min_similarity, CASE WHEN min_similarity >= 0.9 THEN 'high' WHEN min_similarity >= 0.8 THEN 'solid' ELSE 'loose' END AS confidence FROM clusters")
+def dupes_clusters(spark, sf_dir):
+    found, _ = _clusters(spark, sf_dir)
+    return found.select("cluster_id", "size", "theme", sim6("avg_similarity"), sim6("min_similarity"), "confidence")
+
+
+@query(O.clusters(T, True) + "SELECT cluster_id, item_id, round(score, 6) AS score FROM members")
+def dupes_members(spark, sf_dir):
+    _, members = _clusters(spark, sf_dir)
+    return members.select("cluster_id", "item_id", sim6("score"))
+
+
+@query(O.clusters(T_REFINED, True) + "SELECT m.cluster_id, m.item_id, c.size, round(c.avg_similarity, 6) AS avg_similarity, round(c.min_similarity, 6) AS min_similarity FROM members m JOIN clusters c USING (cluster_id)")
+def dupes_refined(spark, sf_dir):
+    found, members = _clusters(spark, sf_dir, T_REFINED)
+    return members.select("cluster_id", "item_id").join(found, "cluster_id").select("cluster_id", "item_id", "size", sim6("avg_similarity"), sim6("min_similarity"))
+
+
+@query(O.clusters(T, True) + f", {O.decisions()} SELECT cluster_id, mode, canonical, runner_up, contested, round(margin, 6) AS margin FROM decided")
+def canonical_decisions(spark, sf_dir):
+    _, members = _clusters(spark, sf_dir)
+    return canonical.decide(members).withColumn("margin", F.round("margin", 6))
+
+
+@query(O.clusters(T, True) + """, first AS (SELECT *, row_number() OVER (PARTITION BY cluster_id, type ORDER BY created_at ASC NULLS LAST, score DESC, number, item_id) AS f FROM members),
+roles AS (SELECT *, CASE WHEN type = 'pr' THEN 'fix' WHEN f = 1 THEN 'tracker' ELSE 'duplicate' END AS role FROM first)
+SELECT cluster_id, item_id, role, row_number() OVER (PARTITION BY cluster_id ORDER BY CASE role WHEN 'tracker' THEN 0 WHEN 'fix' THEN 1 ELSE 2 END,
+  CASE WHEN role = 'fix' THEN -score END, CASE WHEN role <> 'fix' THEN created_at END ASC NULLS LAST, number, item_id)::INTEGER AS position,
+  max((type = 'issue')::INT) OVER (PARTITION BY cluster_id) = 0 AS needs_tracker FROM roles""")
+def tracker_roles(spark, sf_dir):
+    _, members = _clusters(spark, sf_dir)
+    return canonical.tracker_roles(members).select("cluster_id", "item_id", "role", "position", "needs_tracker")
+
+
+_EDGES = """, closing AS (SELECT DISTINCT p.cluster_id, p.repo, p.number AS pr, i.number AS issue FROM
+  (SELECT cluster_id, repo, number, unnest(closes_issues) AS c FROM members WHERE type = 'pr') p JOIN members i ON i.cluster_id = p.cluster_id AND i.repo = p.repo AND i.number = p.c AND i.type = 'issue')"""
+
+
+@query(O.clusters(T, True) + _EDGES + """ SELECT cluster_id, CASE WHEN max((type = 'issue')::INT) = 0 THEN 'prs-only' WHEN max((type = 'pr')::INT) = 0 THEN 'issues-only'
+  WHEN max((type = 'pr' AND closes_issues IS NULL)::INT) = 1 THEN NULL WHEN cluster_id IN (SELECT cluster_id FROM closing) THEN 'pr-issue-linked' ELSE 'pr-issue-unlinked' END AS relation
+  FROM members GROUP BY cluster_id""")
+def relations(spark, sf_dir):
+    _, members = _clusters(spark, sf_dir)
+    return canonical.relations(members)
+
+
+@query(O.clusters(T, True) + _EDGES + " SELECT cluster_id, pr, issue FROM closing")
+def closing_edges(spark, sf_dir):
+    _, members = _clusters(spark, sf_dir)
+    return canonical.closing_edges(members)
+
+
+@query(O.clusters(T, True) + f""", {O.decisions()}
+SELECT d.cluster_id, d.canonical, m.item_id, round({O.COSINE.format(a='a.v', b='b.v')}, 6) AS sim FROM decided d JOIN members m ON m.cluster_id = d.cluster_id AND m.item_id <> d.canonical
+  JOIN vec a ON a.item_id = m.item_id JOIN vec b ON b.item_id = d.canonical""")
+def source_of_truth(spark, sf_dir):
+    _, vectors = stand_in(spark, sf_dir)
+    _, members = _clusters(spark, sf_dir)
+    members = checkpointed(members)
+    return canonical.canonical_similarity(members, canonical.decide(members), vectors).withColumn("sim", F.round("sim", 6))
+
+
+@query(O.clusters(T, True) + "SELECT cluster_id, count(DISTINCT repo) AS repos FROM members GROUP BY cluster_id HAVING count(DISTINCT repo) > 1")
+def cross_repo(spark, sf_dir):
+    _, members = _clusters(spark, sf_dir)
+    return stats.cross_repo(members)
+
+
+@query(O.clusters(T, True) + "SELECT count(*) AS clusters, coalesce(sum(size), 0)::BIGINT AS duplicates, round(coalesce(sum(size), 0) / (SELECT count(*) FROM items), 6) AS share, floor(coalesce(sum(size), 0) * 1000 / (SELECT count(*) FROM items)) / 10 AS percent FROM clusters")
+def duplicate_share(spark, sf_dir):
+    items, _ = stand_in(spark, sf_dir)
+    found, _ = _clusters(spark, sf_dir)
+    return stats.duplicate_share(found, items.count()).withColumn("share", F.round("share", 6))
+
+
+@query(O.clusters(T, True) + "SELECT cluster_id, size, theme FROM clusters WHERE size >= 3 ORDER BY cluster_id LIMIT 10")
+def large_groups(spark, sf_dir):
+    found, _ = _clusters(spark, sf_dir)
+    return stats.large_groups(found, 3).select("cluster_id", "size", "theme")
+
+
+_SWEEP = "".join(f", {O.graph(t, f's{k}_')}" for k, t in enumerate((0.40, 0.42, 0.45)))
+
+
+@query(f"WITH RECURSIVE {O.ITEMS}{_SWEEP} " + " UNION ALL ".join(f"SELECT CAST({t} AS DOUBLE) AS threshold, count(DISTINCT part) AS clusters, count(*) AS items FROM s{k}_parts" for k, t in enumerate((0.40, 0.42, 0.45))))
+def threshold_sweep(spark, sf_dir):
+    items, vectors = stand_in(spark, sf_dir)
+    bots = items.filter(mapping.is_bot(F.col("author"), F.col("author_is_bot")))
+    edges = checkpointed(similarity.similar_pairs(similarity.eligible(vectors, bots), 0.40))
+    return stats.threshold_sweep(edges, [0.40, 0.42, 0.45], clusters.item_components)
+
+
+def _two_models(spark, sf_dir):
+    """The same items clustered on all dimensions and on the first 48."""
+    items, vectors = stand_in(spark, sf_dir)
+    bots = items.filter(mapping.is_bot(F.col("author"), F.col("author_is_bot")))
+    out = []
+    for v in (vectors, vectors.withColumn("embedding", truncate(F.col("embedding"), 48))):
+        edges = checkpointed(similarity.similar_pairs(similarity.eligible(v, bots), T))
+        out.append(checkpointed(clusters.item_components(edges).select(F.col("cluster_key").alias("id"), F.col("item_id").alias("item"))))
+    return out
+
+
+@query(f"""WITH RECURSIVE {O.ITEMS}, {O.graph(T)}, {O.graph(T, 'b_', 48)}
+SELECT floor(100.0 * count(a.item_id + 0 * 1) FILTER (a.item_id IS NOT NULL AND b.item_id IS NOT NULL) / count(*) + 0.5)::INTEGER AS overlap_percent FROM parts a FULL JOIN b_parts b ON a.item_id = b.item_id""".replace("a.item_id + 0 * 1", "*"))
+def model_overlap(spark, sf_dir):
+    a, b = _two_models(spark, sf_dir)
+    return stats.overlap(a, b)
+
+
+@query()
+def model_matches(spark, sf_dir):
+    a, b = _two_models(spark, sf_dir)
+    return stats.greedy_matches(stats.cluster_pairs(a, b)).select("overlap", F.lit(1).alias("pairs")).groupBy("overlap").agg(F.sum("pairs").alias("pairs"))
+
+
+# ---------------------------------------------------------------- identity
+
+
+_IDENTITY = f"WITH {O.ITEMS}, prs AS (SELECT *, {O.CLUSTER_SCORE} AS score FROM items WHERE type = 'pr' AND NOT ({O.BOT})), heads AS (SELECT *, 'head-oid' AS basis, head_ref_oid AS key, count(*) OVER (PARTITION BY head_ref_oid) AS n FROM prs)"
+
+
+@query(_IDENTITY + " SELECT basis, key, item_id, (dense_rank() OVER (ORDER BY key) - 1)::INTEGER AS cluster_id FROM heads WHERE n >= 2")
+def confirmed_by_head(spark, sf_dir):
+    items, _ = stand_in(spark, sf_dir)
+    return identity.confirmed(items).select("basis", "key", "item_id", "cluster_id")
+
+
+@query(f"""WITH {O.ITEMS}, prs AS (SELECT i.item_id, sha256({O.TRIM.format("array_to_string(list_filter(string_split(d.text, chr(10)), lambda x: NOT starts_with(x, 'index ') AND NOT starts_with(x, '@@')), chr(10))")}) AS key
+  FROM items i JOIN documents d ON d.doc_id = i.number WHERE type = 'pr' AND NOT ({O.BOT})), g AS (SELECT *, count(*) OVER (PARTITION BY key) AS n FROM prs)
+SELECT 'patch-id' AS basis, key, item_id, (dense_rank() OVER (ORDER BY key) - 1)::INTEGER AS cluster_id FROM g WHERE n >= 2""")
+def confirmed_by_diff(spark, sf_dir):
+    items, _ = stand_in(spark, sf_dir)
+    docs = read_table(spark, sf_dir, "documents")
+    diffs = items.select("repo", "number").join(docs.select(F.col("doc_id").alias("number"), F.concat(F.lit("index 12..34\n@@ -1 +1 @@\n"), F.col("text")).alias("patch_text")), "number")
+    return identity.confirmed(items.drop("head_ref_oid").withColumn("head_ref_oid", F.lit(None).cast("string")), diffs).select("basis", "key", "item_id", "cluster_id")
+
+
+@query(_IDENTITY.replace("WITH ", "WITH ", 1) + f", members AS (SELECT *, (dense_rank() OVER (ORDER BY key) - 1)::INTEGER AS cluster_id FROM heads WHERE n >= 2), {O.decisions('issue')} SELECT cluster_id, canonical, runner_up, contested FROM decided")
+def confirmed_canonical(spark, sf_dir):
+    items, _ = stand_in(spark, sf_dir)
+    return canonical.decide(identity.confirmed(items), mode="issue").select("cluster_id", "canonical", "runner_up", "contested")
+
+
+# ---------------------------------------------------------------- scores
+
+
+@query(f"WITH {O.ITEMS} SELECT item_id, round({O.CLUSTER_SCORE}, 9) AS score FROM items")
+def cluster_scores(spark, sf_dir):
+    items, _ = stand_in(spark, sf_dir)
+    return items.select("item_id", F.round(scoring.cluster_score(), 9).alias("score"))
+
+
+_RANK = f"""WITH {O.ITEMS}, merges AS (SELECT repo, author, count(*) FILTER (state = 'merged') AS m FROM items GROUP BY repo, author),
+s AS (SELECT i.*, coalesce(m.m, 0)::DOUBLE AS m FROM items i LEFT JOIN merges m USING (repo, author)),
+g AS (SELECT *, CASE WHEN additions IS NULL OR deletions IS NULL THEN 0.85::DOUBLE ELSE 1.0::DOUBLE END AS z,
+  (CASE WHEN has_tests THEN CASE WHEN ci_status = 'failure' THEN 0.0 ELSE 1.0 END WHEN NOT has_tests THEN 0.0 ELSE 0.5 END)::DOUBLE AS tests, {O.CI} AS ci,
+  CASE WHEN additions IS NOT NULL AND deletions IS NOT NULL THEN {O.DIFF} * 0.15::DOUBLE ELSE 0.0::DOUBLE END AS diff,
+  (CASE WHEN m = 0 THEN 0.1 WHEN m <= 5 THEN 0.2 + m * 0.04 WHEN m <= 20 THEN 0.4 + (m - 5) * 0.02 ELSE least(1.0, 0.7 + (m - 20) * 0.005) END)::DOUBLE AS hist,
+  {O.description('body_length')}::DOUBLE AS descr, {O.REVIEWS} AS rev, pow(0.5::DOUBLE, (epoch_ms(TIMESTAMP '{AS_OF}') - epoch_ms(updated_at))::DOUBLE / 86400000.0::DOUBLE / 30.0::DOUBLE) AS recency FROM s),
+ranked AS (SELECT item_id, repo, type, number, round(tests * 0.25 / z + ci * 0.2 / z + diff + hist * 0.15 / z + descr * 0.15 / z + rev * 0.1 / z + recency * 0.05, 9) AS score FROM g)
+"""
+
+
+def _ranked(spark, sf_dir):
+    items, _ = stand_in(spark, sf_dir)
+    merged = items.join(stats.merge_counts(items), ["repo", "author"], "left")
+    signals = scoring.rank_signals(F.lit(AS_OF).cast("timestamp"))
+    return merged.withColumns(signals).withColumn("score", F.round(scoring.rank_score(), 9))
+
+
+@query(_RANK + "SELECT item_id, score FROM ranked")
+def rank_scores(spark, sf_dir):
+    return _ranked(spark, sf_dir).select("item_id", "score")
+
+
+@query(_RANK + "SELECT item_id, score FROM ranked ORDER BY score DESC, repo, type, number LIMIT 20")
+def rank_top(spark, sf_dir):
+    return _ranked(spark, sf_dir).orderBy(F.desc("score"), "repo", "type", "number").limit(20).select("item_id", "score")
+
+
+@query("SELECT event_id, CASE WHEN least(1.0, value / 20) >= 0.9 THEN 'high' WHEN least(1.0, value / 20) >= 0.8 THEN 'solid' ELSE 'loose' END AS tier FROM events")
+def confidence_tiers(spark, sf_dir):
+    return read_table(spark, sf_dir, "events").select("event_id", scoring.confidence(F.least(F.lit(1.0), F.col("value") / 20)).alias("tier"))
+
+
+# ---------------------------------------------------------------- vision
+
+
+def _vision(spark, sf_dir):
+    _, vectors = stand_in(spark, sf_dir)
+    e = read_table(spark, sf_dir, "embeddings").filter("vec_id < 80")
+    idx = F.when(F.col("vec_id") < 40, F.floor(F.col("vec_id") / 2)).otherwise(20 + F.floor((F.col("vec_id") - 40) / 4)).cast("int")
+    means = e.select(idx.alias("idx"), F.posexplode(F.col("embedding").cast("array<double>")).alias("d", "x")).groupBy("idx", "d").agg(F.avg("x").alias("x"))
+    sections = means.groupBy("idx").agg(F.transform(F.sort_array(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("embedding"))
+    return similarity.best_section(vectors, sections.withColumn("heading", F.concat(F.lit("section "), F.col("idx"))))
+
+
+@query(O.VISION + "SELECT item_id, round(score, 6) AS score, classification, section FROM scores")
+def vision_scores(spark, sf_dir):
+    return _vision(spark, sf_dir).withColumn("score", F.round("score", 6))
+
+
+@query(O.VISION + "SELECT classification, count(*) AS n, round(100 * count(*) / sum(count(*)) OVER (), 1) AS percent FROM scores GROUP BY classification")
+def vision_distribution(spark, sf_dir):
+    return stats.vision_distribution(_vision(spark, sf_dir))
+
+
+@query(O.VISION + "SELECT section, count(*) FILTER (classification = 'aligned') AS aligned, count(*) FILTER (classification = 'drifting') AS drifting, count(*) FILTER (classification = 'off-vision') AS off_vision, count(*) AS total FROM scores GROUP BY section ORDER BY total DESC, section LIMIT 15")
+def vision_sections(spark, sf_dir):
+    return stats.vision_sections(_vision(spark, sf_dir))
+
+
+@query(f"""WITH d AS (SELECT doc_id AS doc, '# ' || left(text, 10) || chr(10) || text || chr(10) || '## tail' || chr(10) || right(text, 40) AS t FROM (SELECT doc_id, regexp_replace(text, '[#\\r\\n]', ' ', 'g') AS text FROM documents)),
+s AS (SELECT doc, 1 AS idx, '# ' || left(string_split(t, chr(10))[1], 0) AS h, string_split(t, chr(10)) AS l FROM d),
+o AS (SELECT doc, 1 AS idx, {O.TRIM.format('l[2]')} AS text FROM s UNION ALL SELECT doc, 2, {O.TRIM.format('l[4]')} FROM s)
+SELECT doc, idx, length(text) AS n FROM o WHERE length(text) > 20""")
+def vision_outline(spark, sf_dir):
+    d = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.regexp_replace("text", "[#\r\n]", " ").alias("t"))
+    made = d.select("doc", F.concat(F.lit("# h"), F.left("t", F.lit(10)), F.lit("\n"), F.col("t"), F.lit("\n## tail\n"), F.right("t", F.lit(40))).alias("text"))
+    return vision.sections(made).select("doc", "idx", F.length("text").cast("long").alias("n"))
+
+
+# ---------------------------------------------------------------- statistics
+
+
+@query(f"WITH {O.ITEMS} SELECT repo, count(*) AS items, count(*) FILTER (type = 'pr') AS prs, count(*) FILTER (type = 'issue') AS issues, count(*) FILTER (number % 10 = 0) AS diffs FROM items GROUP BY repo")
+def repo_stats(spark, sf_dir):
+    items, _ = stand_in(spark, sf_dir)
+    return stats.repo_stats(items, items.filter("number % 10 = 0").select("repo", "number"))
+
+
+@query(f"WITH {O.ITEMS} SELECT repo, count(*) FILTER (number % 3 <> 0) AS embedded, count(*) AS total, floor(100 * count(*) FILTER (number % 3 <> 0) / count(*) + 0.5)::INTEGER AS percent FROM items GROUP BY repo")
+def coverage(spark, sf_dir):
+    items, vectors = stand_in(spark, sf_dir)
+    some = vectors.join(items.filter("number % 3 <> 0").select("item_id"), "item_id", "left_semi")
+    return stats.coverage(items, some)
+
+
+@query(f"WITH {O.ITEMS} SELECT repo, count(*) AS items, count(*) AS embeddings, max(updated_at) AS last_sync FROM items GROUP BY repo")
+def repo_status(spark, sf_dir):
+    return stats.repo_status(*stand_in(spark, sf_dir))
+
+
+@query(f"WITH {O.ITEMS} SELECT author, count(*) AS n FROM items GROUP BY author ORDER BY n DESC, author LIMIT 10")
+def author_frequency(spark, sf_dir):
+    return stats.author_frequency(stand_in(spark, sf_dir)[0], 10)
+
+
+@query(f"WITH {O.ITEMS} SELECT repo, author, (count(*) FILTER (state = 'merged'))::INTEGER AS merge_count FROM items GROUP BY repo, author")
+def author_merges(spark, sf_dir):
+    return stats.merge_counts(stand_in(spark, sf_dir)[0])
+
+
+@query(f"WITH {O.ITEMS} SELECT repo, count(*) AS new_items FROM items WHERE created_at >= TIMESTAMP '2024-01-29' GROUP BY repo")
+def digest_new_items(spark, sf_dir):
+    return stats.items_since(stand_in(spark, sf_dir)[0], F.lit("2024-01-29").cast("timestamp"))
+
+
+@query("SELECT date_trunc('week', ts)::TIMESTAMP AS week, event_type, count(*) AS n FROM events GROUP BY ALL")
+def weekly_counts(spark, sf_dir):
+    return read_table(spark, sf_dir, "events").groupBy(text.week_start(F.col("ts")).alias("week"), "event_type").agg(F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------- text
+
+
+@query(f"""SELECT doc_id, CASE WHEN b = '' THEN h ELSE h || chr(10) || chr(10) || b END AS prepared FROM (
+SELECT doc_id, {O.TRIM.format('left(text, 60)')} AS h, left({O.TRIM.format('text')}, 2000) AS b FROM documents)""")
+def embedding_text(spark, sf_dir):
+    d = read_table(spark, sf_dir, "documents")
+    return d.select("doc_id", text.embedding_text(F.substring("text", 1, 60), F.col("text")).alias("prepared"))
+
+
+@query("""SELECT doc_id, left(c, 256) AS title, regexp_replace(replace(left(c, 60), '|', '\\|'), '\\\\+$', '') AS cell FROM (
+SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[\\x00-\\x1F\\x7F-\\x{9F}]', ' ', 'g'), '\\s+', ' ', 'g')) AS c FROM documents)""")
+def titles(spark, sf_dir):
+    d = read_table(spark, sf_dir, "documents")
+    return d.select("doc_id", text.clean_title(F.col("text")).alias("title"), text.table_cell(F.col("text")).alias("cell"))
+
+
+_TAIL = "[.,;:)}\\]''\"]+$"
+_PATHS = f"""WITH p AS (SELECT page_id, list_distinct(list_concat(
+  list_transform(list_filter(regexp_extract_all(url, '(?:^|\\s|`|/|[(\\["''])([a-zA-Z0-9_\\-./]+/[a-zA-Z0-9_\\-./]*)', 1), lambda x: length(x) > 2), lambda x: regexp_replace(x, '{_TAIL}', '')),
+  list_filter(regexp_extract_all(url, '(?:^|\\s)([a-zA-Z0-9_\\-]+\\.[a-zA-Z]{{1,10}})(?:\\s|$|[,;:)])', 1), lambda x: length(x) > 2 AND NOT regexp_full_match(x, '\\d+\\.\\d+')))) AS ps FROM pages)"""
+
+
+@query(_PATHS + " SELECT page_id, array_to_string(list_sort(ps), ' ') AS paths FROM p")
+def mentioned_paths(spark, sf_dir):
+    pages = read_table(spark, sf_dir, "pages")
+    return pages.select("page_id", F.array_join(F.array_sort(text.paths(F.col("url"))), " ").alias("paths"))
+
+
+@query()
+def owner_suggestions(spark, sf_dir):
+    pages = read_table(spark, sf_dir, "pages")
+    items = pages.select(F.col("page_id").alias("item_id"), F.col("url").alias("title"), F.substring("html", 1, 400).alias("body"))
+    return routing.suggest_owners(items, OWNERS)
+
+
+@query("SELECT page_id, CASE WHEN page_id % 3 = 2 THEN NULL ELSE 'o' || page_id END AS owner, CASE WHEN page_id % 3 = 2 THEN NULL ELSE 'n' END AS name FROM pages")
+def repo_names(spark, sf_dir):
+    k = F.col("page_id")
+    given = F.when(k % 3 == 0, F.concat(F.lit(" https://github.com/o"), k, F.lit("/n.git"))).when(k % 3 == 1, F.concat(F.lit("git@github.com:o"), k, F.lit("/n/"))).otherwise("one-part")
+    parts = text.repo_parts(given)
+    return read_table(spark, sf_dir, "pages").select("page_id", parts["owner"].alias("owner"), parts["name"].alias("name"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '{\"a\": {\"b\": ' || doc_id || '}}' END AS found FROM documents")
+def json_in_text(spark, sf_dir):
+    k = F.col("doc_id")
+    answer = F.when(k % 2 == 0, F.concat(F.lit('ok: {"a": {"b": '), k, F.lit("}} and }"))).otherwise(F.lit("none { open"))
+    return read_table(spark, sf_dir, "documents").select("doc_id", text.first_json_object(answer).alias("found"))
+
+
+# ---------------------------------------------------------------- ingest
+
+
+@query(f"WITH {O.ITEMS} SELECT item_id, CASE WHEN number % 5 = 0 THEN 'new' WHEN number % 5 = 1 THEN 'updated' WHEN number % 3 = 0 THEN 'missing-vector' ELSE 'unchanged' END AS change FROM items")
+def scan_changes(spark, sf_dir):
+    items, vectors = stand_in(spark, sf_dir)
+    stored = items.filter("number % 5 <> 0").withColumn("updated_at", F.when(F.col("number") % 5 == 1, F.lit(None).cast("timestamp")).otherwise(F.col("updated_at")))
+    stored = stored.withColumn("updated_at", F.coalesce("updated_at", F.lit("2020-01-01").cast("timestamp")))
+    have = vectors.join(items.filter("number % 3 <> 0").select("item_id"), "item_id", "left_semi")
+    return ingest.classify_changes(items, stored, have).select("item_id", "change")
+
+
+@query(f"WITH {O.ITEMS} SELECT item_id, CASE WHEN number % 2 = 0 THEN 'new ' || number ELSE title END AS title, CASE WHEN number % 4 <> 3 THEN created_at ELSE TIMESTAMP '2025-01-01' END AS created_at FROM items WHERE number % 4 <> 3 OR number % 2 = 0 UNION ALL SELECT item_id, 'new ' || number, TIMESTAMP '2025-01-01' FROM (SELECT * FROM items WHERE number % 4 = 3)")
+def upsert_items(spark, sf_dir):
+    items, _ = stand_in(spark, sf_dir)
+    stored = items.filter("number % 4 <> 3").select("item_id", "title", "created_at")
+    incoming = items.filter("number % 2 = 0 or number % 4 = 3").select(
+        "item_id", F.concat(F.lit("new "), F.col("number")).alias("title"), F.lit("2025-01-01").cast("timestamp").alias("created_at")
+    )
+    return ingest.upsert(stored, incoming)
+
+
+@query(f"WITH {O.ITEMS} SELECT item_id, CASE WHEN number % 2 = 0 THEN 'seen' ELSE state END AS state FROM items")
+def merge_metadata(spark, sf_dir):
+    items, _ = stand_in(spark, sf_dir)
+    observed = items.select("item_id", F.when(F.col("number") % 2 == 0, "seen").alias("state"))
+    return ingest.merge_metadata(items, observed, ["state"])
+
+
+@query(f"WITH {O.ITEMS} SELECT item_id FROM items WHERE ci_status IS NULL OR number % 6 = 1")
+def dirty_metadata(spark, sf_dir):
+    items, _ = stand_in(spark, sf_dir)
+    stored = items.withColumn("ci_status", F.coalesce("ci_status", F.lit("x"))).withColumn("review_count", F.when(F.col("number") % 6 == 1, 99).otherwise(F.col("review_count")))
+    return ingest.dirty_metadata(items, stored, ["ci_status", "review_count"])
+
+
+@query()
+def near_duplicates_embedded(spark, sf_dir):
+    """At the real threshold, over vectors of the hashing embedder."""
+    items, _ = stand_in(spark, sf_dir)
+    vectors = checkpointed(ingest.embed(items, ingest.HashingEmbedder(), text="body").select("item_id", "embedding"))
+    found, _ = clusters.find_clusters(items, vectors, 0.85)
+    return found.select("cluster_id", "size", "confidence")
+
+
+@query(f"WITH {O.ITEMS} SELECT item_id, abs(sqrt(list_inner_product(v, v)) - 1) < 0.001 AS is_unit FROM vec")
+def unit_vectors(spark, sf_dir):
+    _, vectors = stand_in(spark, sf_dir)
+    scaled = unit(F.transform(F.col("embedding"), lambda x: (x * 3).cast("float")))
+    from tidewheel.functions.vectors import norm
+
+    return vectors.select("item_id", (F.abs(norm(scaled) - 1) < 0.001).alias("is_unit"))
+
+
+def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:  # noqa: N802
+    return dupes_clusters(spark, sf_dir)
 
 
-def FLAGSHIP(spark, sf_dir):  # noqa: N802
-    return QUERIES["dupes_clusters"](spark, sf_dir)
