@@ -13,11 +13,15 @@ from tidewheel.operators.ordering import numbered
 from tidewheel.operators.similarity import eligible, pair_statistics, similar_pairs
 
 
+#: Edge tables up to this size find their components in one task.
+ONE_TASK_EDGES = 100_000
+
+
 def item_components(edges: DataFrame) -> DataFrame:
     """``(item_id, cluster_key)``: components of at least two, named by a hash of their smallest hash."""
     ids = edges.select(F.xxhash64("src").alias("a"), F.xxhash64("dst").alias("b"))
     names = edges.select(F.col("src").alias("item_id")).union(edges.select("dst")).distinct().withColumn("id", F.xxhash64("item_id"))
-    return names.join(connected_components(ids), "id").select("item_id", F.col("component").alias("cluster_key"))
+    return names.join(connected_components(ids, one_task_edges=ONE_TASK_EDGES), "id").select("item_id", F.col("component").alias("cluster_key"))
 
 
 def refine(members: DataFrame, edges: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:

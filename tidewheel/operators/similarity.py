@@ -119,11 +119,50 @@ def best_section(vectors: DataFrame, sections: DataFrame, aligned: float = 0.65,
     )
 
 
-def pair_statistics(members: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Exact mean and minimum cosine over all pairs of each cluster; the minimum starts at 1."""
-    rows = members.select("cluster_key", "item_id").join(vectors, "item_id")
-    other = rows.select("cluster_key", F.col("item_id").alias("o"), F.col("embedding").alias("e"))
-    sims = rows.join(other, "cluster_key").filter(F.col("item_id") < F.col("o")).select("cluster_key", cosine(F.col("embedding"), F.col("e")).alias("sim"))
-    return sims.groupBy("cluster_key").agg(F.avg("sim").alias("avg_similarity"), F.least(F.lit(1.0), F.min("sim")).alias("min_similarity"))
+def pair_statistics(members: DataFrame, vectors: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Mean and minimum cosine over all pairs of each cluster; the minimum starts at 1.
 
+    Clusters are tiled like the whole join is: small ones are one tile, a large one is dealt to blocks whose
+    pairs give partial sums and minima, so no task holds more than two blocks.
+    """
+    sizes = members.groupBy("cluster_key").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
+    rows = members.select("cluster_key", "item_id").join(vectors, "item_id").join(sizes, "cluster_key")
+    dealt = (
+        rows.withColumn("b", F.pmod(F.xxhash64("item_id"), F.col("blocks")).cast("int"))
+        .select("cluster_key", "item_id", "embedding", "b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
+        .select("cluster_key", "item_id", "embedding", "b", F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q"))
+    )
+    kinds = "cluster_key long, pairs long, total double, low double"
 
+    def tile(key, p: int, q: int, block: np.ndarray, matrix: np.ndarray) -> tuple:
+        left, right = np.flatnonzero(block == p), np.flatnonzero(block == q)
+        length = np.linalg.norm(matrix, axis=1)
+        scaled = matrix / np.where(length == 0, 1, length)[:, None]
+        sims = scaled[left] @ scaled[right].T
+        keep = np.triu(np.ones(sims.shape, bool), 1) if p == q else np.ones(sims.shape, bool)
+        if not keep.any():
+            return key, 0, 0.0, None
+        # what may be the minimum is summed again from left to right
+        i, j = np.nonzero(keep & (sims <= sims[keep].min() + MARGIN))
+        return key, int(keep.sum()), float(sims[keep].sum()), float(_fold(matrix[left[i]], matrix[right[j]]).min())
+
+    def run(batches):
+        held, key = [], None
+        for batch in batches:
+            columns = [batch.column(k) for k in range(4)]
+            flat = batch.column(4)
+            for n, k in enumerate(zip(*(c.to_pylist() for c in columns[:3]), strict=True)):
+                if k != key and held:
+                    yield done(key, held)
+                    held = []
+                key = k
+                held.append((columns[3][n].as_py(), flat[n].values.to_numpy(zero_copy_only=False).astype(np.float64)))
+        if held:
+            yield done(key, held)
+
+    def done(key, held):
+        row = tile(key[0], key[1], key[2], np.array([h[0] for h in held]), np.stack([h[1] for h in held]))
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)], ["cluster_key", "pairs", "total", "low"])
+
+    tiles = dealt.select("cluster_key", "p", "q", "b", "embedding").repartition("cluster_key", "p", "q").sortWithinPartitions("cluster_key", "p", "q").mapInArrow(run, kinds)
+    return tiles.groupBy("cluster_key").agg((F.sum("total") / F.sum("pairs")).alias("avg_similarity"), F.least(F.lit(1.0), F.min("low")).alias("min_similarity"))
