@@ -3,15 +3,14 @@
 A document's row of the incidence matrix is its set of distinct word n-grams. Two rows link when
 ``100 * overlap >= percent * union``, decided on exact overlap counts.
 
-1. *Blocking.* Linked sets of sizes a <= b have a >= percent/100 * b, and differ in at most
-   ``(a + b) * (100 - percent) / (100 + percent)`` n-grams. Sizes are cut into classes so narrow that
-   linked sets fall in the same or adjacent classes. In a class whose sets differ in at most d n-grams,
-   the columns are dealt by hash to d + 1 parts, and linked sets must agree on at least one whole part.
-   A row's parts are hashed; rows with an equal part hash fall into the same block. No link is lost,
-   whatever the data, and no n-gram frequencies are needed.
-2. Part hashes travel in packed arrays to hash buckets, where a streamed dictionary from hash to the
-   first document seen gives one edge per occurrence: never all pairs, never a gathered group. The
-   connected components of those edges are the blocks of the product.
+1. *Bounds.* Linked sets share all but (100 - percent) % of either set's n-grams. So a set is left out as soon as
+   more of its n-grams than that occur in no other set. This is first counted on a hashed share of all n-grams:
+   packed 32-bit keys go to hash buckets, where a streamed dictionary tells which keys two sets have. Key
+   collisions can only keep a set in.
+2. *Blocking.* Of the sets left, all n-grams are counted exactly. With the n-grams in one order, rarest
+   first, linked sets share one of the first (100 - percent) % + 1 of each. Sets that share such an n-gram are
+   joined by one edge to the first of them, never in all pairs; the connected components of these edges are
+   the blocks of the product. No link is lost, whatever the data.
 3. Equal rows are collapsed to one representative. A block with more n-grams than ``block_grams`` is
    cut into tiles, each with the block's few pivot rows added. Each tile's sparse product is taken a row
    at a time, overlap counts are accumulated by bincount, entries outside the size-derived bounds are
@@ -29,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewheel.llm._text import SPACES, byte_table, from_binary, mix64, prefix_sums, shuffle_parts, slices, span_hash
@@ -64,60 +63,22 @@ def gram_sets(s, n: int) -> Iterator[np.ndarray]:
                 yield np.zeros(0, dtype=np.uint64)
 
 
-class SizeClasses:
-    """Sizes cut so that sets that can link fall in the same or the next class."""
-
-    def __init__(self, percent: int):
-        self.percent = percent
-        self.starts = [1]
-
-    def of(self, size: int) -> int:
-        while self.starts[-1] <= size:
-            low = self.starts[-1]
-            # sets of size low link with sizes up to low * 100 / percent
-            self.starts.append(low * 100 // self.percent + 1)
-        return int(np.searchsorted(self.starts, size, side="right")) - 1
-
-    def parts(self, level: int) -> int:
-        """Parts at a level, which joins the classes level - 1 and level: most differing n-grams plus one."""
-        while len(self.starts) < level + 2:
-            self.of(self.starts[-1])
-        most = self.starts[level + 1] - 1
-        return 2 * most * (100 - self.percent) // (100 + self.percent) + 1
-
-
-def part_hashes(grams: np.ndarray, classes: SizeClasses) -> np.ndarray:
-    """The hashes of all parts of a set, at both of its levels."""
-    own, out = classes.of(len(grams)), []
-    with np.errstate(over="ignore"):
-        mixed = mix64(grams + np.uint64(0x1234567))
-        for level in (own, own + 1):
-            k = classes.parts(level)
-            part = (mixed % np.uint64(k)).astype(np.int64)
-            # an order-free sum per part, in two 32-bit halves that float sums hold exactly
-            low = np.bincount(part, weights=(grams & np.uint64(0xFFFFFFFF)).astype(np.float64), minlength=k)
-            high = np.bincount(part, weights=(grams >> np.uint64(32)).astype(np.float64), minlength=k)
-            count = np.bincount(part, minlength=k).astype(np.uint64)
-            total = mix64(low.astype(np.uint64)) + mix64(high.astype(np.uint64) + np.uint64(level))
-            out.append(mix64(mix64(total + count) + np.arange(k, dtype=np.uint64) * np.uint64(2654435761)))
-    return np.concatenate(out)
-
-
 def set_key(grams: np.ndarray) -> int:
     """A 64-bit hash of a set; equal sets share it."""
     with np.errstate(over="ignore"):
         return int(grams.sum(dtype=np.uint64).view(np.int64))
 
 
-def set_table(docs: DataFrame, id_column: str, text_column: str, n: int) -> DataFrame:
-    """``(id, n, h1, h2)``: set size and a 128-bit hash of the set, one row per row of ``docs``."""
+def set_table(docs: DataFrame, id_column: str, text_column: str, n: int, percent: int) -> DataFrame:
+    """``(id, n, h1, h2, c)``: set size, a 128-bit hash of the set, and how many n-grams the first count sees."""
 
     def run(batches):
         for s in slices(batches, "text"):
-            size, h1, h2 = [], [], []
+            size, h1, h2, counted = [], [], [], []
             with np.errstate(over="ignore"):
                 for g in gram_sets(s, n):
                     size.append(len(g))
+                    counted.append(len(_counted(g, percent)))
                     h1.append(set_key(g))
                     h2.append(np.bitwise_xor.reduce(mix64(g)) if len(g) else np.uint64(0))
             yield pa.RecordBatch.from_arrays(
@@ -126,95 +87,162 @@ def set_table(docs: DataFrame, id_column: str, text_column: str, n: int) -> Data
                     pa.array(size, pa.int64()),
                     pa.array(h1, pa.int64()),
                     pa.array(np.array(h2, np.uint64).view(np.int64)),
+                    pa.array(counted, pa.int64()),
                 ],
-                ["id", "n", "h1", "h2"],
+                ["id", "n", "h1", "h2", "c"],
             )
 
     return docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).mapInArrow(
-        run, "id long, n long, h1 long, h2 long"
+        run, "id long, n long, h1 long, h2 long, c long"
     )
 
 
-def block_edges(docs: DataFrame, text_column: str, n: int, percent: int) -> DataFrame:
-    """Edges ``(a, b)`` between set keys whose components hold every link; equal sets are one vertex."""
+class SharedKeys:
+    """A growing dictionary from key to its first set, which tells each (key, set) once two sets have the key."""
+
+    def __init__(self):
+        self.keys, self.sets, self.told = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
+        self.pairs = np.zeros(0, np.uint64)
+
+    def meet(self, keys: np.ndarray, sets: np.ndarray) -> np.ndarray:
+        """Sets, one entry for each of their keys that is newly known to be shared."""
+        order = np.lexsort((sets, keys))
+        keys, sets = keys[order], sets[order]
+        keep = np.append(True, (keys[1:] != keys[:-1]) | (sets[1:] != sets[:-1]))
+        keys, sets = keys[keep], sets[keep]
+        start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        size = np.diff(np.append(start, len(keys)))
+        uniq, first = keys[start], sets[start]
+        shared, again = size > 1, np.zeros(len(uniq), bool)
+        late_keys, late_sets = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, uniq), len(self.keys) - 1)
+            again = self.keys[at] == uniq
+            shared |= again & (self.told[at] | (self.sets[at] != first))
+            late = again & shared & ~self.told[at]
+            late_keys, late_sets = uniq[late], self.sets[at[late]]
+            self.told[at[again]] |= shared[again]
+        merged = np.concatenate([self.keys, uniq[~again]])
+        order = np.argsort(merged, kind="stable")
+        self.sets = np.concatenate([self.sets, first[~again]])[order]
+        self.told = np.concatenate([self.told, shared[~again]])[order]
+        self.keys = merged[order]
+        out = np.repeat(shared, size)
+        keys, sets = np.concatenate([keys[out], late_keys]), np.concatenate([sets[out], late_sets])
+        with np.errstate(over="ignore"):
+            pair, at = np.unique(mix64(keys) + mix64(sets.view(np.uint64)), return_index=True)
+        new = ~np.isin(pair, self.pairs)
+        self.pairs = np.union1d(self.pairs, pair[new])
+        return sets[at[new]]
+
+
+def counted_share(percent: int) -> int:
+    """Thousandths of all n-grams that the first count looks at: well over what a set may lack."""
+    return min(1000, 25 * (100 - percent))
+
+
+def _counted(grams: np.ndarray, percent: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        mixed = mix64(grams + np.uint64(0x1234567))
+    return mixed[(mixed >> np.uint64(44)) % np.uint64(1000) < np.uint64(counted_share(percent))]
+
+
+def shared_counts(docs: DataFrame, text_column: str, n: int, percent: int) -> DataFrame:
+    """``(h1, shared)``: how many of a set's counted n-grams another set has too."""
     buckets = shuffle_parts(docs)
+    schema = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("sets", pa.binary()), ("counts", pa.binary())])
+
+    def rows(bucket: np.ndarray, keys: np.ndarray, sets: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(bucket, kind="stable")
+        bucket, keys, sets = bucket[order], keys[order], sets[order]
+        cuts = np.flatnonzero(np.diff(bucket)) + 1
+        out = []
+        for b, k, o in zip(*(np.split(x, cuts) for x in (bucket, keys, sets)), strict=True):
+            head = np.flatnonzero(np.append(True, o[1:] != o[:-1]))
+            out.append({"bucket": int(b[0]), "keys": k.tobytes(), "sets": o[head].tobytes(), "counts": np.diff(np.append(head, len(o))).astype(np.uint32).tobytes()})
+        return pa.RecordBatch.from_pylist(out, schema=schema)
 
     def pack(batches):
-        held, ids, total = [], [], 0
-        classes = SizeClasses(percent)
+        held, names, total = [], [], 0
 
         def flush():
             keys = np.concatenate(held)
-            owner = np.repeat(np.array(ids, np.int64), [len(x) for x in held])
-            bucket = (keys % np.uint64(buckets)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            keys, owner, bucket = keys[order], owner[order], bucket[order]
-            cuts = np.flatnonzero(np.diff(bucket)) + 1
-            rows = [(int(b[0]), k.tobytes(), o.tobytes()) for b, k, o in zip(*(np.split(x, cuts) for x in (bucket, keys, owner)), strict=True)]
-            return pa.RecordBatch.from_pylist([{"bucket": b, "keys": k, "ids": o} for b, k, o in rows], schema=schema)
+            return rows((keys >> np.uint64(32)) % np.uint64(buckets), (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.repeat(np.array(names, np.int64), [len(x) for x in held]))
 
-        schema = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary())])
         for s in slices(batches, "text"):
             for g in gram_sets(s, n):
                 if len(g):
-                    held.append(part_hashes(g, classes))
-                    ids.append(set_key(g))
+                    held.append(_counted(g, percent))
+                    names.append(set_key(g))
                     total += len(held[-1])
             if total >= FLUSH:
                 yield flush()
-                held, ids, total = [], [], 0
+                held, names, total = [], [], 0
         if total:
             yield flush()
 
     def meet(batches):
-        known, keys, ids, total = First(), [], [], 0
+        known, keys, sets, total = SharedKeys(), [], [], 0
 
-        def edges():
-            a, b = known.meet(np.concatenate(keys), np.concatenate(ids))
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        def found():
+            who, count = np.unique(known.meet(np.concatenate(keys).astype(np.uint64), np.concatenate(sets)), return_counts=True)
+            # a packed row for each bucket of sets
+            bucket = mix64(who.view(np.uint64)) % np.uint64(buckets)
+            order = np.argsort(bucket, kind="stable")
+            who, count, bucket = who[order], count[order].astype(np.uint32), bucket[order].astype(np.int64)
+            cuts = np.flatnonzero(np.diff(bucket)) + 1
+            out = [{"bucket": int(b[0]), "sets": w.tobytes(), "counts": c.tobytes()} for b, w, c in zip(*(np.split(x, cuts) for x in (bucket, who, count)), strict=True) if len(w)]
+            return pa.RecordBatch.from_pylist(out, schema=pa.schema([("bucket", pa.int32()), ("sets", pa.binary()), ("counts", pa.binary())]))
 
         for batch in batches:
-            for k, i in zip(from_binary(batch.column(1), np.uint64), from_binary(batch.column(2), np.int64), strict=True):
-                keys.append(k), ids.append(i)
+            for k, o, c in zip(from_binary(batch.column(1), np.uint32), from_binary(batch.column(2), np.int64), from_binary(batch.column(3), np.uint32), strict=True):
+                keys.append(k), sets.append(np.repeat(o, c))
                 total += len(k)
                 if total >= FLUSH:
-                    yield edges()
-                    keys, ids, total = [], [], 0
+                    yield found()
+                    keys, sets, total = [], [], 0
         if total:
-            yield edges()
+            yield found()
 
-    packed = (
-        docs.select(F.col(text_column).alias("text")).mapInArrow(pack, "bucket int, keys binary, ids binary")
-    )
-    return packed.repartitionById(buckets, F.col("bucket")).mapInArrow(meet, "a long, b long").distinct()
+    def add(batches):
+        sets, counts = [], []
+        for batch in batches:
+            sets += from_binary(batch.column(1), np.int64)
+            counts += from_binary(batch.column(2), np.uint32)
+        if sets:
+            who, at = np.unique(np.concatenate(sets), return_inverse=True)
+            total = np.bincount(at, weights=np.concatenate(counts)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(total)], ["h1", "shared"])
 
+    packed = docs.select(F.col(text_column).alias("text")).mapInArrow(pack, "bucket int, keys binary, sets binary, counts binary")
+    told = packed.repartitionById(buckets, F.col("bucket")).mapInArrow(meet, "bucket int, sets binary, counts binary")
+    return told.repartitionById(buckets, F.col("bucket")).mapInArrow(add, "h1 long, shared long")
 
-class First:
-    """A growing dictionary from 64-bit key to the first id seen with it."""
 
-    def __init__(self):
-        self.keys, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-
-    def meet(self, keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct pairs (first id, id) of unequal ids that these occurrences give."""
-        order = np.argsort(keys, kind="stable")
-        keys, ids = keys[order], ids[order]
-        head = np.ones(len(keys), bool)
-        head[1:] = keys[1:] != keys[:-1]
-        uniq, first = keys[head], ids[head]
-        if len(self.keys):
-            at = np.minimum(np.searchsorted(self.keys, uniq), len(self.keys) - 1)
-            old = self.keys[at] == uniq
-            first = np.where(old, self.ids[at], first)
-            merged = np.concatenate([self.keys, uniq[~old]])
-            order = np.argsort(merged, kind="stable")
-            self.keys, self.ids = merged[order], np.concatenate([self.ids, first[~old]])[order]
-        else:
-            self.keys, self.ids = uniq, first
-        a = np.repeat(first, np.diff(np.append(np.flatnonzero(head), len(keys))))
-        differ = a != ids
-        pairs = np.unique(np.stack([a[differ], ids[differ]], axis=1), axis=0) if differ.any() else np.zeros((0, 2), np.int64)
-        return pairs[:, 0], pairs[:, 1]
+def gram_rows(texts: DataFrame, n: int) -> DataFrame:
+    """``(id, n, g)``: every n-gram of every text, for the few texts that the bounds leave."""
+
+    def run(batches):
+        for s in slices(batches, "text"):
+            grams = list(gram_sets(s, n))
+            size = np.array([len(g) for g in grams], np.int64)
+            if size.sum():
+                ids = s.rows.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(ids, size)), pa.array(np.repeat(size, size)), pa.array(np.concatenate(grams).view(np.int64))], ["id", "n", "g"]
+                )
+
+    return texts.select("id", "text").mapInArrow(run, "id long, n long, g long")
+
+
+def block_edges(rows: DataFrame, percent: int) -> DataFrame:
+    """Edges ``(a, b)`` whose components hold every link, from ``gram_rows`` of one document per set."""
+    frequency = rows.groupBy("g").agg(F.count("*").alias("df")).filter("df > 1")
+    known = rows.join(frequency, "g", "left").withColumn("df", F.coalesce("df", F.lit(1)))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "g"))
+    prefix = known.withColumn("place", place).filter(F.col("place") <= F.floor(F.col("n") * (100 - percent) / 100) + 1).filter("df > 1").select("id", "g")
+    first = prefix.groupBy("g").agg(F.min("id").alias("a"), F.count("*").alias("m")).filter("m > 1").select("g", "a")
+    return prefix.join(first, "g").filter("a <> id").select("a", F.col("id").alias("b")).distinct()
 
 
 def link_tile(sets: list[np.ndarray], percent: int, label: np.ndarray | None = None, rows: np.ndarray | None = None) -> np.ndarray:
@@ -314,14 +342,14 @@ def jaccard_components(
 
     ``component_id`` is the smallest id reachable over links, a document's own id where it has none.
     """
-    table = checkpointed(set_table(docs, id_column, text_column, n))
-    blocks = connected_components(checkpointed(block_edges(docs, text_column, n, percent)))
-    member = checkpointed(
-        blocks.select(F.col("id").alias("h1"), F.col("component").alias("block"))
-        .join(table.filter("n > 0 and id is not null"), "h1")
-        .groupBy("block", "h1", "h2", "n")
-        .agg(F.min("id").alias("id"))
-    )
+    table = checkpointed(set_table(docs, id_column, text_column, n, percent))
+    shared = shared_counts(docs, text_column, n, percent)
+    alone = F.col("c") - F.coalesce("shared", F.lit(0))
+    rep = table.filter("n > 0 and id is not null").groupBy("h1", "h2", "n").agg(F.min("id").alias("id"), F.any_value("c").alias("c"))
+    left = checkpointed(rep.join(shared, "h1", "left").filter(alone <= F.floor(F.col("n") * (100 - percent) / 100)).select("id", "n"))
+    grams = gram_rows(_with_text(left.select("id"), docs, id_column, text_column), n)
+    blocks = connected_components(checkpointed(block_edges(grams, percent)))
+    member = checkpointed(blocks.select("id", F.col("component").alias("block")).join(left, "id"))
     stats = member.groupBy("block").agg(
         F.count("*").alias("m"),
         F.sum("n").alias("grams"),

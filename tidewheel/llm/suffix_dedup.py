@@ -454,7 +454,8 @@ def remove_repeats(
     anchor = anchor or max(1, width * 2 // 5)
     buckets = shuffle_parts(docs)
     source = docs.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    rest = [c for c in docs.columns if c not in (id_column, text_column)]
+    names = [c for c in docs.columns if c not in ("kept", "n_bytes", "spans")]
+    rest = [c for c in names if c not in (id_column, text_column)]
     sha = source.select("id", F.sha2(F.col("text").cast("binary"), 256).alias("sha"), F.octet_length("text").alias("n"))
     lowest = sha.groupBy("sha").agg(F.min("id").alias("low"))
     copies = sha.filter(F.col("n") >= width).join(lowest, "sha").filter("id > low").groupBy("id").agg(F.collect_set("sha").alias("copy"))
@@ -503,4 +504,4 @@ def remove_repeats(
             )
 
     out = judged.mapInArrow(finish, kinds)
-    return out.select(*[F.col("text" if c == text_column else f"__row.`{c}`").alias(c) for c in docs.columns], "kept", "n_bytes", "spans")
+    return out.select(*[F.col("text" if c == text_column else f"__row.`{c}`").alias(c) for c in names], "kept", "n_bytes", "spans")

@@ -67,9 +67,9 @@ def with_rule(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
         marked.select("__row", F.explode(keys).alias("key"))
         .join(listed, "key")
         .groupBy("__row")
-        .agg(F.max(F.struct(F.length("key").alias("n"), "key", "v")).alias("x"))
+        .agg(F.max(F.struct(F.length("key").alias("n"), "key", "v")).alias("__x"))
     )
-    return marked.join(hits, "__row", "left").withColumn("rule", F.col("x.key")).withColumn("rule_verdict", F.col("x.v")).drop("__row", "x")
+    return marked.join(hits, "__row", "left").withColumn("rule", F.col("__x.key")).withColumn("rule_verdict", F.col("__x.v")).drop("__row", "__x")
 
 
 def _domain(host: Column) -> Column:
