@@ -187,6 +187,16 @@ class PieceIndex:
     def scores(self, block: int, who: np.ndarray, queries: Queries) -> np.ndarray:
         """Single-precision scores of a block's documents for the queries ``who``."""
         at = slice(block * BLOCK_DOCS, (block + 1) * BLOCK_DOCS)
+        if 3 * len(who) > len(queries.ids):
+            # most queries are asked: scoring all costs less than picking their weights out
+            out = self.dense[at] @ queries.dense.T
+            a, z = self.rare_ptr[block], self.rare_ptr[block + 1]
+            if z > a:
+                cell, q, weight = queries.rare_pairs(self.rare_term[a:z])
+                weight *= self.rare_weight[a:z][cell]
+                flat = np.bincount((self.rare_doc[a:z] - block * BLOCK_DOCS)[cell] * len(queries.ids) + q, weights=weight, minlength=out.size)
+                out += flat.reshape(out.shape)
+            return out if len(who) == len(queries.ids) else out[:, who]
         out = self.dense[at] @ queries.dense[who].T
         a, z = self.rare_ptr[block], self.rare_ptr[block + 1]
         if z > a:
@@ -225,12 +235,16 @@ class PieceIndex:
             return
         q, doc, approximate = (np.concatenate(x) for x in zip(*pool, strict=True))
         keep = approximate >= floor[q] * (1 - slack)
-        q, doc = q[keep], doc[keep]
+        q, doc, approximate = q[keep], doc[keep], approximate[keep]
         order = np.argsort(q, kind="stable")
-        q, doc = q[order], doc[order]
+        q, doc, approximate = q[order], doc[order], approximate[order]
         for part in np.split(np.arange(len(q)), np.flatnonzero(np.diff(q)) + 1):
             if len(part):
+                # only what is near the k-th best of all that was found so far is worth scoring exactly
                 who = q[part[0]]
+                seen = np.concatenate([best.score[who], approximate[part]])
+                part = part[approximate[part] >= np.partition(seen, len(seen) - best.k)[len(seen) - best.k] * (1 - slack)]
+            if len(part):
                 best.add(who, self.exact(doc[part], queries.terms[who], queries.weights[who]), self.ids[doc[part]])
 
     def _score(self, rounds, queries: Queries, floor: np.ndarray, slack: float, pool: list, k: int) -> None:
