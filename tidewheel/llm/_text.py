@@ -6,6 +6,7 @@ a word byte, so working on UTF-8 bytes gives the same words as working on code p
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -133,6 +134,18 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             at = to
 
 
+def small_batches(df: DataFrame) -> None:
+    """Bound what travels between the JVM and Python at once, for long texts and packed rows.
+
+    Sets the session's Arrow batch limits unless they are already as small.
+    """
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2000), ("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)):
+        now = int(re.sub(r"\D", "", conf.get(key)) or 0)
+        if not 0 < now <= most:
+            conf.set(key, str(most))
+
+
 def shuffle_parts(df: DataFrame) -> int:
     """The session's number of shuffle partitions, which operators size their buckets by."""
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -25,8 +25,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewheel.llm._text import small_batches
+
 #: Entries that the memos of a task keep before they start again.
-MEMO = 400_000
+MEMO = 100_000
 #: A piece longer than this is encoded but not remembered.
 LONG_PIECE = 64
 
@@ -158,6 +160,10 @@ class BytePairCodec:
             put(known)
         return ids
 
+    def forget(self) -> None:
+        """Drop what was remembered of texts: workers outlive tasks, and other work shares their memory."""
+        self.memo.clear(), self.parts.clear(), self.pairs.clear()
+
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
@@ -170,6 +176,7 @@ def codec(path: str, pattern: str) -> BytePairCodec:
 
 def encode(docs: DataFrame, path: str, pattern: str, text_column: str = "text", ids_column: str = "ids") -> DataFrame:
     """``docs`` with the ids of each text as an array; the vocabulary file must be on every worker."""
+    small_batches(docs)
     ids = f"`{ids_column}` array<int>"
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != ids_column)
     names = [f.name for f in docs.schema if f.name != ids_column]
@@ -180,6 +187,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_column: str = "text",
         for batch in batches:
             rows = [c.encode(x) if x else [] for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.list_(pa.int32()))], [*names, ids_column])
+        c.forget()
 
     return docs.select(*names).mapInArrow(run, f"{kinds}, {ids}")
 
@@ -201,6 +209,7 @@ def decode(tokens: DataFrame, path: str, pattern: str, ids_column: str = "ids",
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``(id, n_tokens, ids_sha256, decoded_sha256)``: encodes, then decodes the ids, without shipping either."""
+    small_batches(docs)
     id_kind = docs.schema[id_column].dataType.simpleString()
 
     def run(batches):
@@ -217,6 +226,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_i
                 [batch.column(0), pa.array(count, pa.int64()), pa.array(hashes, pa.string()), pa.array(back, pa.string())],
                 [id_column, "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        c.forget()
 
     return docs.select(id_column, F.col(text_column).alias("__text")).mapInArrow(
         run, f"`{id_column}` {id_kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.llm._text import ALNUM, byte_table, prefix_sums, slices, span_hash
+from tidewheel.llm._text import ALNUM, byte_table, prefix_sums, slices, small_batches, span_hash
 
 _TABLE = byte_table(41, lower=True)
 
@@ -142,6 +142,7 @@ def _find(words: list[str], phrase: list[str]) -> int:
 
 def scan(docs: DataFrame, text_column: str = "text", templates: tuple[Template, ...] = BASE + WIDER) -> DataFrame:
     """``docs`` with n_words, n_base, first_word, last_word, base_labels, labels, score, matches added."""
+    small_batches(docs)
     columns = [c for c in docs.columns if c not in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "matches")]
     at = columns.index(text_column)
     match_kind = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("words", pa.int32()), ("share", pa.float64())]))

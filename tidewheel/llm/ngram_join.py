@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewheel.llm._text import SPACES, byte_table, from_binary, mix64, prefix_sums, shuffle_parts, slices, span_hash
+from tidewheel.llm._text import SPACES, byte_table, from_binary, mix64, prefix_sums, shuffle_parts, slices, small_batches, span_hash
 from tidewheel.operators.components import checkpointed, connected_components
 
 _TABLE = byte_table(11, lower=True)
@@ -342,6 +342,7 @@ def jaccard_components(
 
     ``component_id`` is the smallest id reachable over links, a document's own id where it has none.
     """
+    small_batches(docs)
     table = checkpointed(set_table(docs, id_column, text_column, n, percent))
     shared = shared_counts(docs, text_column, n, percent)
     alone = F.col("c") - F.coalesce("shared", F.lit(0))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.llm._text import byte_table, from_binary, mix64, prefix_sums, shuffle_parts, slices, span_hash
+from tidewheel.llm._text import byte_table, from_binary, mix64, prefix_sums, shuffle_parts, slices, small_batches, span_hash
 
 _TABLE = byte_table(23, lower=False)
 _LOW = np.uint64(0xFFFFFFFF)
@@ -452,6 +452,7 @@ def remove_repeats(
     ``as_text``: ``kept`` is a string; of a character that a cut went through the other bytes go too.
     """
     anchor = anchor or max(1, width * 2 // 5)
+    small_batches(docs)
     buckets = shuffle_parts(docs)
     source = docs.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     names = [c for c in docs.columns if c not in ("kept", "n_bytes", "spans")]

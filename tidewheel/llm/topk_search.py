@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewheel.llm._text import ALNUM, byte_table, from_binary, prefix_sums, slices, span_hash
+from tidewheel.llm._text import ALNUM, byte_table, from_binary, prefix_sums, slices, small_batches, span_hash
 from tidewheel.operators.components import checkpointed
 
 _TABLE = byte_table(53, lower=True)
@@ -281,6 +281,7 @@ def search(
     docs: DataFrame, queries: DataFrame, k: int = 10, id_column: str = "doc_id", text_column: str = "text", block_terms: int = 2_000_000
 ) -> DataFrame:
     """``(query_id, rank, doc_id, score)``: for each row of ``queries`` its k best rows of ``docs``."""
+    small_batches(docs)
     bags = _bag(docs, id_column, text_column)
     asked = checkpointed(query_terms(_bag(queries, id_column, text_column)).filter("n > 0"))
     total = asked.agg(F.sum("n").alias("n")).first()["n"] or 0

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.llm._text import ALNUM, byte_table, prefix_sums, slices, span_hash
+from tidewheel.llm._text import ALNUM, byte_table, prefix_sums, slices, small_batches, span_hash
 from tidewheel.operators.components import checkpointed
 
 _TABLE = byte_table(31, lower=True)
@@ -123,6 +123,7 @@ def fit(
     At most ``max_per_class`` labelled rows of each class are used, those with the smallest hash of the id;
     classes are weighted back to their shares among all labelled rows.
     """
+    small_batches(docs)
     known = labels.select(F.col(id_column).alias("id"), F.col(label_column).cast("int").alias("label")).filter("label in (0, 1) and id is not null")
     totals = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     picks = [known.filter(F.col("label") == y).orderBy(F.xxhash64("id"), "id").limit(max_per_class) for y in (0, 1)]
@@ -205,6 +206,7 @@ def _train(table: list, features: np.ndarray, totals: dict, rounds: int, l2: flo
 
 def score(docs: DataFrame, model: Model, text_column: str = "text", least: float = 0.5) -> DataFrame:
     """``docs`` with ``score`` and ``offending``: byte spans of sentences that score ``least`` or more."""
+    small_batches(docs)
     columns = [c for c in docs.columns if c not in ("score", "offending")]
     at = columns.index(text_column)
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
