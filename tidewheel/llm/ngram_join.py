@@ -348,7 +348,9 @@ def jaccard_components(
     alone = F.col("c") - F.coalesce("shared", F.lit(0))
     rep = table.filter("n > 0 and id is not null").groupBy("h1", "h2", "n").agg(F.min("id").alias("id"), F.any_value("c").alias("c"))
     left = checkpointed(rep.join(shared, "h1", "left").filter(alone <= F.floor(F.col("n") * (100 - percent) / 100)).select("id", "n"))
-    grams = gram_rows(_with_text(left.select("id"), docs, id_column, text_column), n)
+    # the texts that are left are few; written once, they spare three more scans of all
+    texts = checkpointed(_with_text(left.select("id"), docs, id_column, text_column))
+    grams = gram_rows(texts, n)
     blocks = connected_components(checkpointed(block_edges(grams, percent)))
     member = checkpointed(blocks.select("id", F.col("component").alias("block")).join(left, "id"))
     stats = member.groupBy("block").agg(
@@ -371,11 +373,11 @@ def jaccard_components(
         .select(F.struct("block", "tile", F.lit(0).alias("part")).alias("k"), "id", F.lit(None).cast("long").alias("label"), F.lit(True).alias("wanted"))
         .select(F.concat_ws(":", "k.block", "k.tile", "k.part").alias("key"), "id", "label", "wanted")
     )
-    edges = checkpointed(_tiles(_with_text(keys, docs, id_column, text_column), n, percent))
+    edges = checkpointed(_tiles(_with_text(keys, texts, "id", "text"), n, percent))
     labels = connected_components(edges)
     cut = stats.filter("tiles > 1").select("block", "tiles")
     if not cut.isEmpty():
-        edges = edges.unionByName(_between_tiles(member, cut, labels, docs, id_column, text_column, n, percent, block_grams))
+        edges = edges.unionByName(_between_tiles(member, cut, labels, texts, n, percent, block_grams))
         labels = connected_components(edges)
     rep = table.filter("n > 0").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"))
     component = rep.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select(
@@ -386,7 +388,7 @@ def jaccard_components(
     )
 
 
-def _between_tiles(member, cut, labels, docs, id_column, text_column, n, percent, block_grams) -> DataFrame:
+def _between_tiles(member, cut, labels, texts, n, percent, block_grams) -> DataFrame:
     """Links between rows outside their block's largest component and all tiles of that block."""
     placed = checkpointed(member.join(cut, "block").join(labels, "id", "left").select("block", "tiles", "id", "n", F.coalesce("component", "id").alias("label")))
     main = (
@@ -408,4 +410,4 @@ def _between_tiles(member, cut, labels, docs, id_column, text_column, n, percent
         .groupBy(F.concat_ws(":", "block", "tile", "part").alias("key"), "id", "label")
         .agg(F.max("wanted").alias("wanted"))
     )
-    return checkpointed(_tiles(_with_text(checkpointed(keys), docs, id_column, text_column), n, percent))
+    return checkpointed(_tiles(_with_text(checkpointed(keys), texts, "id", "text"), n, percent))
