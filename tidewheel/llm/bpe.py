@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tidewheel.llm._text import small_batches
 
 #: Entries that the memos of a task keep before they start again.
-MEMO = 100_000
+MEMO, PAIRS = 250_000, 500_000
 #: A piece longer than this is encoded but not remembered.
 LONG_PIECE = 64
 
@@ -82,7 +82,7 @@ class BytePairCodec:
         key = (self.ranks[a], self.ranks[b])
         known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) >= MEMO:
+            if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
             known = self.pairs[key] = self._holds(a, b)
         return known
