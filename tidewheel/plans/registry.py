@@ -446,7 +446,7 @@ def mentioned_paths(spark, sf_dir):
 @query()
 def owner_suggestions(spark, sf_dir):
     pages = read_table(spark, sf_dir, "pages")
-    items = pages.select(F.col("page_id").alias("item_id"), F.col("url").alias("title"), F.substring("html", 1, 400).alias("body"))
+    items = pages.select(F.col("page_id").alias("item_id"), F.col("url").alias("title"), F.col("html").alias("body"))
     return routing.suggest_owners(items, OWNERS)
 
 
