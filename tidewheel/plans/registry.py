@@ -16,7 +16,7 @@ from tidewheel.operators import canonical, clusters, identity, routing, similari
 from tidewheel.operators.components import checkpointed
 from tidewheel.plans import oracles as O  # noqa: N812
 from tidewheel.sources import ingest
-from tidewheel.sources.items import STAND_IN_DUCKDB, read_table, stand_in
+from tidewheel.sources.items import STAND_IN_DUCKDB, all_items, read_table, stand_in
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -503,9 +503,9 @@ def dirty_metadata(spark, sf_dir):
 
 @query()
 def near_duplicates_embedded(spark, sf_dir):
-    """At the real threshold, over vectors of the hashing embedder."""
-    items, _ = stand_in(spark, sf_dir)
-    vectors = checkpointed(ingest.embed(items, ingest.HashingEmbedder(), text="body").select("item_id", "embedding"))
+    """At the real threshold, over all documents and the hashing embedder's vectors of their whole text."""
+    items = all_items(spark, sf_dir)
+    vectors = checkpointed(ingest.embed(items, ingest.HashingEmbedder()).select("item_id", "embedding"))
     found, _ = clusters.find_clusters(items, vectors, 0.85)
     return found.select("cluster_id", "size", "confidence")
 

@@ -90,6 +90,12 @@ STAND_IN_DUCKDB = _STAND_IN.replace("STRING", "VARCHAR").format(
 )
 
 
+def all_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items over all of ``documents``, with or without a vector, and their whole text as ``full_body``."""
+    whole = STAND_IN_SPARK.replace("FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id", ", d.text AS full_body FROM {docs} d")
+    return spark.sql(whole, docs=read_table(spark, sf_dir, "documents"))
+
+
 def stand_in(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Items over ``documents`` and their vectors, ``(item_id, embedding)``."""
     docs, vectors = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "embeddings")
