@@ -220,7 +220,7 @@ def shared_counts(docs: DataFrame, text_column: str, n: int, percent: int) -> Da
 
 
 def gram_rows(texts: DataFrame, n: int) -> DataFrame:
-    """``(id, n, g)``: every n-gram of every text, for the few texts that the bounds leave."""
+    """``(id, h, n, g)``: every n-gram of every text with its set's key, for the few texts that the bounds leave."""
 
     def run(batches):
         for s in slices(batches, "text"):
@@ -228,18 +228,24 @@ def gram_rows(texts: DataFrame, n: int) -> DataFrame:
             size = np.array([len(g) for g in grams], np.int64)
             if size.sum():
                 ids = s.rows.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                keys = np.array([set_key(g) for g in grams], np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(ids, size)), pa.array(np.repeat(size, size)), pa.array(np.concatenate(grams).view(np.int64))], ["id", "n", "g"]
+                    [pa.array(np.repeat(ids, size)), pa.array(np.repeat(keys, size)), pa.array(np.repeat(size, size)), pa.array(np.concatenate(grams).view(np.int64))],
+                    ["id", "h", "n", "g"],
                 )
 
-    return texts.select("id", "text").mapInArrow(run, "id long, n long, g long")
+    return texts.select("id", "text").mapInArrow(run, "id long, h long, n long, g long")
 
 
 def block_edges(rows: DataFrame, percent: int) -> DataFrame:
-    """Edges ``(a, b)`` whose components hold every link, from ``gram_rows`` of one document per set."""
+    """Edges ``(a, b)`` whose components hold every link, from ``gram_rows`` of the documents.
+
+    An n-gram takes one place of its set's prefix, however many rows repeat the set; repeated rows count in ``df``,
+    which only has to be one order for all sets.
+    """
     frequency = rows.groupBy("g").agg(F.count("*").alias("df")).filter("df > 1")
     known = rows.join(frequency, "g", "left").withColumn("df", F.coalesce("df", F.lit(1)))
-    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "g"))
+    place = F.dense_rank().over(Window.partitionBy("id", "h").orderBy("df", "g"))
     prefix = known.withColumn("place", place).filter(F.col("place") <= F.floor(F.col("n") * (100 - percent) / 100) + 1).filter("df > 1").select("id", "g")
     first = prefix.groupBy("g").agg(F.min("id").alias("a"), F.count("*").alias("m")).filter("m > 1").select("g", "a")
     return prefix.join(first, "g").filter("a <> id").select("a", F.col("id").alias("b")).distinct()
