@@ -47,8 +47,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, beside the digest of what they decode to."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    ids = bpe.encode(docs.select("doc_id", "source", "text"), path, public_tokenizers.PATTERN)
-    return ids.select("doc_id", "source", "ids", F.size("ids").cast("long").alias("n_tokens"))
+    ids = bpe.encode(docs.select("doc_id", "source", "text"), path, public_tokenizers.PATTERN, digest_column="decoded_sha256")
+    return ids.select("doc_id", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), "decoded_sha256")
 
 
 STAGES = [

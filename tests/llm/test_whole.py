@@ -1,7 +1,13 @@
 """Operators on inputs that a shortened job gets wrong."""
 
+import hashlib
+
+import public_tokenizers
+import tiktoken
+
+import corpus_pipeline
 from tests.llm import brute
-from tidewheel.llm import ngram_join
+from tidewheel.llm import bpe, ngram_join
 
 
 def test_join_keeps_links_of_repeated_rows(spark):
@@ -15,3 +21,15 @@ def test_join_keeps_links_of_repeated_rows(spark):
     got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), n=3, percent=90).collect()
     assert sorted((r["id"], r["n_shingles"], r["component_id"]) for r in got) == sorted((i, *want[i]) for i, _ in rows)
     assert all(want[2 * k + 1][1] == 2 * k for k in range(8))
+
+
+def test_pipeline_tokens_equal_tiktoken_and_decode_back(spark):
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = ["plain words", "größer als\n\n 12345 ", "\u4f60\u597d \U0001f600", "", None]
+    docs = spark.createDataFrame([(i, "web", t) for i, t in enumerate(texts)], "doc_id long, source string, text string")
+    got = {r["doc_id"]: r for r in corpus_pipeline.tokens(spark, docs, "").collect()}
+    for i, t in enumerate(texts):
+        ids = own.encode_ordinary(t or "")
+        assert got[i]["ids"] == ids and got[i]["n_tokens"] == len(ids)
+        assert got[i]["decoded_sha256"] == hashlib.sha256(own.decode_bytes(ids)).hexdigest() == hashlib.sha256((t or "").encode()).hexdigest()

@@ -174,19 +174,26 @@ def codec(path: str, pattern: str) -> BytePairCodec:
     return BytePairCodec(read_ranks(path), pattern)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text_column: str = "text", ids_column: str = "ids") -> DataFrame:
-    """``docs`` with the ids of each text as an array; the vocabulary file must be on every worker."""
+def encode(docs: DataFrame, path: str, pattern: str, text_column: str = "text", ids_column: str = "ids", digest_column: str | None = None) -> DataFrame:
+    """``docs`` with the ids of each text as an array; the vocabulary file must be on every worker.
+
+    ``digest_column``: the SHA-256 of the bytes that the ids decode to, by the same worker's codec.
+    """
     small_batches(docs)
-    ids = f"`{ids_column}` array<int>"
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != ids_column)
-    names = [f.name for f in docs.schema if f.name != ids_column]
+    made = [ids_column, *([digest_column] if digest_column else [])]
+    ids = f"`{ids_column}` array<int>" + (f", `{digest_column}` string" if digest_column else "")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in made)
+    names = [f.name for f in docs.schema if f.name not in made]
     at = names.index(text_column)
 
     def run(batches):
         c = codec(path, pattern)
         for batch in batches:
             rows = [c.encode(x) if x else [] for x in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.list_(pa.int32()))], [*names, ids_column])
+            new = [pa.array(rows, pa.list_(pa.int32()))]
+            if digest_column:
+                new.append(pa.array([hashlib.sha256(c.decode(x)).hexdigest() for x in rows], pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*names, *made])
         c.forget()
 
     return docs.select(*names).mapInArrow(run, f"{kinds}, {ids}")
