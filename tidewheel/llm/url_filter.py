@@ -6,6 +6,10 @@ strength of each level's prior is estimated from the spread between its groups b
 when even the upper bound of its host's posterior, mean plus ``z`` standard deviations, stays under
 ``threshold``; without evidence against it, it is allowed.
 
+The registered domain is simply a host's last two labels and the suffix its last one, as in the oracle SQL; no
+public-suffix table is used. Under suffixes of several labels (co.uk, com.au) unrelated hosts share one domain and
+so one prior, which decides for those that have no labelled pages of their own.
+
 A url's host is what follows the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; its
 path follows up to ``?``, ``#`` or the end. Null urls and urls without ``://`` have an empty host and path,
 which no rule fits. Repeated rows count as often as they stand there.
