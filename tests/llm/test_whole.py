@@ -7,7 +7,7 @@ import tiktoken
 
 import corpus_pipeline
 from tests.llm import brute
-from tidewheel.llm import bpe, ngram_join
+from tidewheel.llm import bpe, ngram_join, toxicity
 
 
 def test_join_keeps_links_of_repeated_rows(spark):
@@ -33,3 +33,15 @@ def test_pipeline_tokens_equal_tiktoken_and_decode_back(spark):
         ids = own.encode_ordinary(t or "")
         assert got[i]["ids"] == ids and got[i]["n_tokens"] == len(ids)
         assert got[i]["decoded_sha256"] == hashlib.sha256(own.decode_bytes(ids)).hexdigest() == hashlib.sha256((t or "").encode()).hexdigest()
+
+
+def test_toxicity_screens_before_it_bounds(spark):
+    """Common words of both classes are more than four times the bound; the telling word is rarer than they are."""
+    common = " ".join(f"c{j}" for j in range(30))
+    docs = [(i, common + (" vile" if i % 2 and i % 4 == 1 else "")) for i in range(80)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in docs], "doc_id long, toxic int")
+    model = toxicity.fit(frame, labels, max_features=2)
+    assert 1 <= len(model.features) <= 2
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(frame, model).collect()}
+    assert min(got[i] for i, t in docs if "vile" in t) > max(got[i] for i, t in docs if "vile" not in t)

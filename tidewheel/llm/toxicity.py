@@ -5,8 +5,8 @@ document is toxic with probability 1 - prod(1 - p_sentence). Weights minimise th
 document labels; the sentence scores come out of it and locate what offends.
 
 Fitting uses a bounded sample of labelled rows (``max_per_class`` of each class, chosen by hash of the id);
-sample, feature counts and screening run on the executors, and only the features that survive screening
-reach the driver. Scoring needs no shuffle.
+sample, feature counts and screening by odds run on the executors, and only features that pass the screening,
+those with the best odds up to ``max_features``, reach the driver. Scoring needs no shuffle.
 
 Null and empty texts hold no sentence and get the score of one sentence without features. Labels that are
 null are ignored, as are labels without a document; a document labelled twice counts twice.
@@ -84,20 +84,14 @@ def fold(id_column: str):
     return F.crc32(F.col(id_column).cast("string").cast("binary")) % 3
 
 
-def _count(sample: DataFrame, wanted: np.ndarray | None, label: int) -> DataFrame:
-    """Documents of one label with each feature, of ``wanted`` only if given."""
-    only = None if wanted is None else Model(wanted, np.zeros(len(wanted)), 0.0)
+def _count(sample: DataFrame, label: int) -> DataFrame:
+    """Documents of one label with each feature."""
 
     def run(batches):
         for s in slices(batches, "text"):
             start, first, found = _features(s)
             doc = np.repeat(np.arange(s.n), np.diff(first))
-            pairs = []
-            for word, h in found:
-                if only is not None:
-                    hit, _ = only.find(h)
-                    word, h = word[hit], h[hit]
-                pairs.append(np.stack([doc[word].astype(np.uint64), h]))
+            pairs = [np.stack([doc[word].astype(np.uint64), h]) for word, h in found]
             pairs = np.unique(np.concatenate(pairs, axis=1), axis=1)
             h, n = np.unique(pairs[1], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
@@ -134,18 +128,13 @@ def fit(
         share = (totals.get(1, 0) + 0.5) / (sum(totals.values()) + 1)
         return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(share / (1 - share))))
 
-    rows = _count(sample, None, 1).filter(F.col("n") >= least_documents).orderBy(F.desc("n"), "h").limit(4 * max_features).collect()
-    seen = {r["h"]: r["n"] for r in rows}
-    hashes = np.sort(np.array(list(seen), np.int64).view(np.uint64))
-    against = {r["h"]: r["n"] for r in _count(sample, hashes, 0).collect()} if len(hashes) else {}
     used = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    pos = np.array([seen[h] for h in hashes.view(np.int64).tolist()], float)
-    neg = np.array([against.get(h, 0) for h in hashes.view(np.int64).tolist()], float)
-    odds = ((pos + 0.5) / (used.get(1, 0) + 1)) / ((neg + 0.5) / (used.get(0, 0) + 1))
-    keep = odds >= least_odds
-    if keep.sum() > max_features:
-        keep &= odds >= np.sort(odds[keep])[-max_features]
-    chosen = Model(hashes[keep], np.zeros(int(keep.sum())), 0.0)
+    seen = _count(sample, 1).filter(F.col("n") >= least_documents).withColumnRenamed("n", "pos")
+    both = seen.join(_count(sample, 0).withColumnRenamed("n", "neg"), "h", "left").fillna(0, ["neg"])
+    odds = ((F.col("pos") + 0.5) / (used.get(1, 0) + 1)) / ((F.col("neg") + 0.5) / (used.get(0, 0) + 1))
+    kept = both.withColumn("odds", odds).filter(F.col("odds") >= least_odds).orderBy(F.desc("odds"), F.desc("pos"), "h").limit(max_features)
+    hashes = np.sort(np.array([r["h"] for r in kept.select("h").collect()], np.int64).view(np.uint64))
+    chosen = Model(hashes, np.zeros(len(hashes)), 0.0)
 
     def instances(batches):
         for s in slices(batches, "text"):
