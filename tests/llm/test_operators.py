@@ -1,9 +1,12 @@
 """Each operator against its plain version; nulls, empty and repeated rows, ties, empty tables, clashing columns."""
 
+import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -11,7 +14,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from tidewheel.llm import bpe, chat_format, license_scan, mixing, ngram_join, quality_rules, suffix_dedup, topk_search, toxicity, url_filter
+from tidewheel.llm import bpe, chat_format, license_scan, mixing, ngram_join, quality_rules, queries, suffix_dedup, topk_search, toxicity, url_filter
+from tidewheel.llm._text import Slice, slices
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 DOCS = "doc_id long, text string"
@@ -65,9 +69,54 @@ def test_bpe_is_linear_on_one_long_piece(codec, reference):
 
 
 def test_bpe_pairs_agree_with_merging(codec):
-    for (a, b), known in list(codec.pairs.items())[:5000]:
-        x, y = codec.bytes_of[a], codec.bytes_of[b]
-        assert known == (codec._merge(x + y) == [x, y])
+    rng = random.Random(5)
+    made = [t for t in codec.ranks if len(t) == 1 or t in codec.halves]
+    some = sorted(made, key=codec.ranks.get)[:600]
+    pairs = [(rng.choice(some), rng.choice(some)) for _ in range(3000)] + [(rng.choice(made), rng.choice(made)) for _ in range(1000)]
+    pairs += [codec.halves[t] for t in made[300:800]]
+    for _ in range(2):  # the second time from the memo
+        for x, y in pairs:
+            assert codec.compatible(x, y) == (codec._merge(x + y) == [x, y])
+
+
+def test_bpe_batches_blocks_and_memos(codec, reference, monkeypatch):
+    """Long texts in blocks, memos that start again, pieces of every length: as the library has them."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(1, 22))) for _ in range(3000)]
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 400))) + rng.choice(["", " ", "\n", "x'll", "  \t"]) for _ in range(60)]
+    texts += ["", "é" * 900, "q" * 3000, "ab 'sa 'll's''s don't\n's", " " * 500, "a" * 70 + " " + "b" * 70]
+    monkeypatch.setattr(bpe, "BLOCK", 512)
+    monkeypatch.setattr(bpe, "KNOWN_IDS", 2000)
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    for s in [Slice(batch, "text"), *slices(iter([batch]), "text", 512)]:
+        offsets, ids = codec.encode_slice(s)
+        for i in range(s.n):
+            text = s.text(i).decode()
+            assert ids[offsets[i] : offsets[i + 1]].tolist() == reference.encode_ordinary(text)
+            assert codec.decode(ids[offsets[i] : offsets[i + 1]]) == text.encode()
+
+
+def test_bpe_other_patterns():
+    """A pattern whose pieces cross spaces is matched by the regex engine."""
+    pattern = r"[a-z]+ [a-z]+|\s|."
+    ranks = bpe.read_ranks(PATH)
+    other = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    for text in ("in the end of it all, é", "the the the", ""):
+        assert bpe.BytePairCodec(ranks, pattern).encode(text) == other.encode_ordinary(text)
+    with pytest.raises(ValueError, match="leaves"):
+        bpe.BytePairCodec(ranks, r"[a-z]+").encode("a b")
+
+
+def test_bpe_query_columns(spark, reference, tmp_path):
+    """Every contract column of the registered query, with nulls, repeats, a very long text and other columns."""
+    rows = [(1, "Hello wörld", "x"), (2, None, "x"), (3, "", None), (1, "Hello wörld", "y"), (None, "a  b\n", "z"), (4, "word " * 200_000 + "e" * 9_000, "x")]
+    spark.createDataFrame(rows, "doc_id long, text string, ids string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, queries.QUERIES["op1_byte_bpe"](spark, str(tmp_path)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()), key=str)
+    want = []
+    for i, text, _ in rows:
+        ids = reference.encode_ordinary(text or "")
+        want.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest()))
+    assert got == sorted(want, key=str)
 
 
 def test_bpe_frames(spark):

@@ -6,6 +6,9 @@ a word byte, so working on UTF-8 bytes gives the same words as working on code p
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import re
 from collections.abc import Iterator
 
@@ -134,16 +137,32 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             at = to
 
 
-def small_batches(df: DataFrame) -> None:
-    """Bound what travels between the JVM and Python at once, for long texts and packed rows.
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, its session's Arrow batches bounded, for long texts and packed rows.
 
-    Sets the session's Arrow batch limits unless they are already as small.
+    The limits are read when a query runs, so they stay lowered in the session; larger ones are never set.
     """
     conf = df.sparkSession.conf
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2000), ("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)):
         now = int(re.sub(r"\D", "", conf.get(key)) or 0)
         if not 0 < now <= most:
             conf.set(key, str(most))
+    return df
+
+
+@functools.cache
+def _trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):
+        return lambda keep: 0
+
+
+def release() -> None:
+    """Give memory that a task has freed back to the system: workers outlive tasks, and other stages share their memory."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
 
 
 def shuffle_parts(df: DataFrame) -> int:
@@ -153,8 +172,3 @@ def shuffle_parts(df: DataFrame) -> int:
 
 def from_binary(values: pa.Array, dtype) -> list[np.ndarray]:
     return [np.frombuffer(v.as_buffer(), dtype=dtype) for v in values]
-
-
-def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    for batch in batches:
-        yield from batch.to_pylist()
