@@ -195,9 +195,11 @@ def test_dedup_equals_brute_force(spark, width, alphabet):
         rows.append((i, "".join(parts)))
     rows += [(90, rows[5][1]), (91, rows[5][1]), (92, None), (None, rows[7][1]), (3, rows[3][1]), (4, rows[9][1]), (93, ""), (94, passages[0] * 30)]
     rng.shuffle(rows)
-    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, DOCS).withColumn("kept", F.lit(0)).withColumn("marks", F.lit(1)), width=width)
-    assert got.columns == ["doc_id", "text", "marks", "kept", "n_bytes", "spans"]
-    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_bytes"], [tuple(s) for s in r["spans"]], bytes(r["kept"])) for r in got.collect()) == brute.removed(rows, width)
+    df = spark.createDataFrame(rows, DOCS).withColumn("kept", F.lit(0)).withColumn("marks", F.lit(1)).withColumn("__id", F.lit("x"))
+    for more in ({}, {"hot_docs": 3, "bucket_bytes": 300}):  # hot keys split by windows, several buckets a task
+        got = suffix_dedup.remove_repeats(df, width=width, **more)
+        assert got.columns == ["doc_id", "text", "marks", "__id", "kept", "n_bytes", "spans"]
+        assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_bytes"], [tuple(s) for s in r["spans"]], bytes(r["kept"])) for r in got.collect()) == brute.removed(rows, width)
 
 
 def test_dedup_of_nothing(spark):
@@ -207,17 +209,78 @@ def test_dedup_of_nothing(spark):
     assert {r["doc_id"]: r["kept"] for r in one.collect()} == {1: "é" * 60, 2: "x"}
 
 
-def test_index_streams_foreign_strings():
-    import numpy as np
-
-    data = np.frombuffer(b"abracadabracadabraxyzabracad", np.uint8)
-    index = suffix_dedup.RunLengthIndex(data, np.array([len(data)]), np.array([7]), 5)
-    assert len(index.head) < len(data)
-    query = np.frombuffer(b"zabracadzz", np.uint8)
-    best = {}
-    for _, at, _, place in index.stream(query, np.array([0]), np.array([len(query)])):
-        best[int(at[0])] = index.text[int(place[0])] - 1
-    assert all(best[k] == query[k] for k in best)
+def test_dedup_refuses_text_ids(spark):
+    with pytest.raises(TypeError, match="integer"):
+        suffix_dedup.remove_repeats(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
+def test_dedup_query_columns(spark, tmp_path):
+    """Every contract column of the registered query against brute force, with a very long text."""
+    rng = random.Random(12)
+    lines = ["".join(rng.choice("abcdefgé ") for _ in range(70)) for _ in range(30)]
+    rows = [(i, "".join(rng.choice(lines) if rng.random() < 0.3 else "".join(rng.choice("abcdefg ") for _ in range(60)) for _ in range(rng.randrange(8)))) for i in range(60)]
+    rows += [(60, None), (61, ""), (62, "".join("".join(rng.choice("abcdef ") for _ in range(90)) + rng.choice(lines) for _ in range(300)))]
+    spark.createDataFrame(rows, DOCS).withColumn("spans", F.lit(1)).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.QUERIES["op4_suffix_array_dedup"](spark, str(tmp_path)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    want = [(i, n, sum(z - a for a, z in spans), len(spans), hashlib.sha256(kept).hexdigest()) for i, n, spans, kept in brute.removed(rows, 50)]
+    assert sorted(map(tuple, got)) == want
+
+
+def strings_of(rng, alphabet, n, longest):
+    return [bytes(rng.choice(alphabet) for _ in range(rng.randint(1, longest))) for _ in range(n)]
+
+
+def test_index_gives_matching_statistics(monkeypatch):
+    """Lengths, smallest owners and marks of foreign strings, against looking everywhere."""
+    rng = random.Random(3)
+    steps = mismatches = 0
+    for trial in range(120):
+        alphabet, width = (b"ab", b"abcdefgh")[trial % 2], rng.choice([3, 5, 8])
+        base = strings_of(rng, alphabet, rng.randint(1, 6), 40)
+
+        def mutated(rate, base=base, alphabet=alphabet):
+            return bytes(c if rng.random() > rate else rng.choice(alphabet) for c in rng.choice(base))
+
+        strings = [*dict.fromkeys(mutated(0.05) for _ in range(rng.randint(1, 20)))]
+        owner = np.array([rng.randint(0, 9) for _ in strings])
+        index = suffix_dedup.RunLengthIndex(np.frombuffer(b"".join(strings), np.uint8), np.cumsum([*map(len, strings)]), owner, width)
+        asked = strings_of(rng, alphabet + b"z", 4, 30) + [mutated(0.1) for _ in range(6)]
+        data, ends = np.frombuffer(b"".join(asked), np.uint8), np.cumsum([*map(len, asked)])
+        starts, got = ends - [*map(len, asked)], {}
+        for _, at, row, place, length in index.stream(data, starts, ends):
+            least = index.least_owner(row, place)
+            for p, n, low in zip(at.tolist(), length.tolist(), least.tolist(), strict=True):
+                got[p] = n
+                if n >= width:
+                    piece = data[p : p + width].tobytes()
+                    assert low == min(o for o, x in zip(owner, strings, strict=True) if piece in x)
+        for a, z in zip(starts, ends, strict=True):
+            for p in range(a, z):
+                assert got[p] == next(k for k in range(z - p, -1, -1) if not k or any(data[p : p + k].tobytes() in x for x in strings))
+        steps, mismatches = steps + index.steps, mismatches + index.mismatches
+        kept = [i for i, x in enumerate(strings) if len(x) >= width]
+        strings, owner = [strings[i] for i in kept], owner[kept]
+        if strings:
+            monkeypatch.setattr(suffix_dedup, "PIECE_BYTES", rng.choice([40, 200, 1 << 18]))
+            monkeypatch.setattr(suffix_dedup, "STREAMS", rng.choice([2, 1 << 16]))
+            ends = np.cumsum([*map(len, strings)])
+            gone = suffix_dedup.earlier(np.frombuffer(b"".join(strings), np.uint8), ends, owner, np.ones(len(strings), int), width)
+            for a, o, x in zip(ends - [*map(len, strings)], owner, strings, strict=True):
+                for p in range(len(x) - width + 1):
+                    assert gone[a + p] == any(q < o and x[p : p + width] in y for q, y in zip(owner, strings, strict=True))
+    assert mismatches > steps / 10
+
+
+def test_index_compresses_and_marks_by_other_strings():
+    """On a repetitive corpus runs are far fewer than symbols, and marks come from streams with mismatches."""
+    rng = random.Random(1)
+    base = bytes(rng.choice(b"abcdefghijklmnop ") for _ in range(3000))
+    copies = [bytes(c if rng.random() > 0.002 else 120 for c in base) for _ in range(40)]
+    index = suffix_dedup.RunLengthIndex(np.frombuffer(b"".join(copies), np.uint8), np.arange(1, 41) * 3000, np.arange(40), 50)
+    assert len(index.head) < index.size / 10
+    seen = []
+    suffix_dedup.earlier(np.frombuffer(b"".join(copies), np.uint8), np.arange(1, 41) * 3000, np.arange(40), np.zeros(40, int), 50, seen.append)
+    assert sum(i.mismatches for i in seen) > 0 and sum(i.steps for i in seen) > 100_000
 
 
 # ------------------------------------------------------------------ 5 top-k search

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql.types import IntegralType
 
 #: Bytes of text handled at once inside a task; longer texts form a slice of their own.
 SLICE_BYTES = 1 << 20
@@ -165,6 +166,13 @@ def release() -> None:
     _trim()(0)
 
 
+def integer_ids(df: DataFrame, column: str) -> None:
+    """Refuse ids that are not integers: a cast would make nulls of them."""
+    kind = df.schema[column].dataType
+    if not isinstance(kind, IntegralType):
+        raise TypeError(f"{column} must be an integer, not {kind.simpleString()}")
+
+
 def shuffle_parts(df: DataFrame) -> int:
     """The session's number of shuffle partitions, which operators size their buckets by."""
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -5,18 +5,25 @@ Strings are judged on the input, overlaps count, and matches never cross documen
 
 1. *Routing.* Each ``width``-byte window is represented by its minimizer, the leftmost of its ``anchor``-byte
    substrings with the smallest hash: equal windows have equal minimizers at equal places. Packed 32-bit
-   minimizer keys go to hash buckets, where a streamed dictionary finds those that two documents share.
+   minimizer keys go to hash buckets, where a streamed dictionary finds those that two documents share. The
+   number of buckets follows the counted bytes of text; a task takes its buckets one after another.
 2. *Segments.* A document's windows with one shared minimizer form a segment, the bytes they cover. Segments
-   go to their minimizer's bucket, equal ones of one task only once, with the list of their places.
-3. *Index.* A bucket's distinct segments, cut into pieces at minimizers, become a text whose
-   Burrows-Wheeler transform is run-compressed, with the suffix array sampled at run ends. Segments are
-   streamed backwards through it in lock step (LF steps on runs; on a mismatch the longer of the two
-   neighbouring run ends continues), giving matching statistics; where a match reaches ``width`` the
-   smallest document of that stretch of the transform is read off.
-4. Windows whose smallest document precedes their own are marks; marks meet the texts again by id.
-
-Documents equal to one with a smaller id are recognised by SHA-256 and not indexed. A null text is empty.
-A null id is kept as it is: it neither removes nor is removed from. Repeated rows are each judged alone.
+   go to their minimizer's bucket. Of equal ones that a task holds at once only the smallest document's travel;
+   the others are marks already, so a passage that is everywhere sends one row a task. Windows of a key that
+   very many documents share are routed by a hash of the whole window instead.
+3. *Index.* Of a bucket's distinct segments, the first of each key becomes a text whose Burrows-Wheeler
+   transform is run-compressed, with the suffix array sampled at run ends. The other segments are streamed
+   backwards through it in lock step (LF steps on runs; on a mismatch the neighbouring run end with the longer
+   common prefix continues), which gives matching statistics; where a match reaches ``width`` the smallest
+   document of that stretch of the transform decides. Segments with windows left over are halved by document,
+   the earlier half indexed and the later one streamed, until none is left.
+4. Windows that an earlier document has are marks; marks meet the texts again by id.
+
+Documents equal to one with a smaller id are recognised by SHA-256 and not indexed. A null or empty text is
+empty and stays so. A null id is kept as it is: it neither removes nor is removed from. Repeated rows are each
+judged alone, and so are texts that share an id. An empty table gives an empty one. A text is held whole by the task that reads it; very
+long ones form slices of their own. Input columns ``kept``, ``n_bytes`` and ``spans`` are replaced, all others,
+whatever their names, stay. Ids must be integers.
 """
 
 from __future__ import annotations
@@ -27,16 +34,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.llm._text import byte_table, from_binary, mix64, prefix_sums, shuffle_parts, slices, small_batches, span_hash
+from tidewheel.llm._text import byte_table, from_binary, integer_ids, mix64, prefix_sums, release, shuffle_parts, slices, small_batches, span_hash
+from tidewheel.operators.components import checkpointed
 
 _TABLE = byte_table(23, lower=False)
 _LOW = np.uint64(0xFFFFFFFF)
 FLUSH = 1 << 20
-#: Bytes of distinct segments that one index holds, and bytes of segments that a task gathers before sending.
-PIECE_BYTES, SEND_BYTES = 1 << 17, 8 << 20
+#: Bytes of strings that one index holds, strings streamed through it at once, bytes of segments that a task gathers before sending.
+PIECE_BYTES, STREAMS, SEND_BYTES = 1 << 18, 1 << 16, 8 << 20
+#: Bytes of text that a bucket stands for, and bytes of segments that are judged together (more where one key has them).
+BUCKET_BYTES, CHUNK_BYTES = 32 << 20, 4 << 20
+#: A key in so many documents is hot; so many of the commonest hot keys are split by whole windows.
+HOT_DOCS, HOT_KEYS = 1 << 14, 1 << 20
 
 
 def minimizers(buf: np.ndarray, offsets: np.ndarray, width: int, anchor: int) -> tuple[np.ndarray, ...]:
@@ -74,9 +87,12 @@ def routed(key: np.ndarray, buckets: int) -> np.ndarray:
     return ((key >> np.uint64(32)) % np.uint64(buckets) << np.uint64(32)) | (key & _LOW)
 
 
-def shared_keys(docs: DataFrame, width: int, anchor: int, buckets: int) -> DataFrame:
-    """``(doc, key)``: minimizers of a document that another document has too."""
-    schema = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("step", pa.binary()), ("count", pa.binary())])
+def shared_keys(docs: DataFrame, width: int, anchor: int, parts: int, buckets: int, hot_docs: int) -> DataFrame:
+    """``(doc, key, docs)``: minimizers of a document that another document has too (``docs`` null).
+
+    Keys of ``hot_docs`` documents or more are also listed without a document, with their numbers of documents.
+    """
+    schema = pa.schema([("bucket", pa.int64()), ("keys", pa.binary()), ("step", pa.binary()), ("count", pa.binary())])
 
     def pack(batches):
         keys, ids, total = [], [], 0
@@ -85,7 +101,7 @@ def shared_keys(docs: DataFrame, width: int, anchor: int, buckets: int) -> DataF
             key, owner = np.concatenate(keys), np.concatenate(ids)
             order = np.argsort(key >> np.uint64(32), kind="stable")
             key, owner = key[order], owner[order]
-            bucket = (key >> np.uint64(32)).astype(np.int32)
+            bucket = (key >> np.uint64(32)).astype(np.int64)
             cuts = np.flatnonzero(np.diff(bucket)) + 1
             out = []
             for k, o in zip(np.split(key, cuts), np.split(owner, cuts), strict=True):
@@ -112,15 +128,25 @@ def shared_keys(docs: DataFrame, width: int, anchor: int, buckets: int) -> DataF
             yield flush()
 
     def meet(batches):
-        known, held, total = Shared(), [], 0
+        known, held, total, now = Shared(), [], 0, None
 
         def found():
             doc, key = known.meet(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]))
-            return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(key.view(np.int64))], ["doc", "key"])
+            return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(key.view(np.int64)), pa.nulls(len(doc), pa.int64())], ["doc", "key", "docs"])
+
+        def hot():
+            key, seen = known.often(hot_docs)
+            return pa.RecordBatch.from_arrays([pa.nulls(len(key), pa.int64()), pa.array(key.view(np.int64)), pa.array(seen)], ["doc", "key", "docs"])
 
         for batch in batches:
             columns = [from_binary(batch.column(i), t) for i, t in ((1, np.uint32), (2, np.int64), (3, np.uint32))]
             for bucket, k, step, count in zip(batch.column(0).to_pylist(), *columns, strict=True):
+                if bucket != now and now is not None:
+                    if total:
+                        yield found()
+                    yield hot()
+                    known, held, total = Shared(), [], 0
+                now = bucket
                 held.append((k.astype(np.uint64) | np.uint64(bucket << 32), np.repeat(np.cumsum(step), count)))
                 total += len(k)
                 if total >= FLUSH:
@@ -128,16 +154,35 @@ def shared_keys(docs: DataFrame, width: int, anchor: int, buckets: int) -> DataF
                     held, total = [], 0
         if total:
             yield found()
-
-    packed = docs.select(F.col("id"), "text").filter("id is not null").mapInArrow(pack, "bucket int, keys binary, step binary, count binary")
-    return packed.repartitionById(buckets, F.col("bucket")).mapInArrow(meet, "doc long, key long")
+        yield hot()
+        known, held = None, []
+        release()
+
+    packed = docs.select(F.col("id"), "text").filter("id is not null").mapInArrow(pack, "bucket long, keys binary, step binary, count binary")
+    dealt = packed.repartitionById(parts, F.pmod("bucket", F.lit(parts)).cast("int"))
+    return (dealt.sortWithinPartitions("bucket") if buckets > parts else dealt).mapInArrow(meet, "doc long, key long, docs long")
+
+
+def hot_keys(pairs: DataFrame) -> np.ndarray:
+    """The hot keys of ``shared_keys``; if there are more than ``HOT_KEYS``, only the commoner ones, down to a power of two."""
+    listed = pairs.filter("doc is null").select("key", F.floor(F.log2("docs")).alias("level"))
+    levels = sorted(((r["level"], r["n"]) for r in listed.groupBy("level").agg(F.count("*").alias("n")).collect()), reverse=True)
+    least, total = None, 0
+    for level, n in levels:
+        total += n
+        if total > HOT_KEYS:
+            break
+        least = level
+    if least is None:
+        return np.zeros(0, np.uint64)
+    return np.array([r["key"] for r in listed.filter(F.col("level") >= least).select("key").collect()], np.int64).view(np.uint64)
 
 
 class Shared:
-    """A growing dictionary from key to its first document, and whether a second has been seen."""
+    """A growing dictionary from key to its first document, and the number of documents seen with it (a repeat may count again)."""
 
     def __init__(self):
-        self.keys, self.docs, self.told = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
+        self.keys, self.docs, self.seen = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def meet(self, keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """New (document, key) pairs, distinct, of keys that two documents have by now."""
@@ -145,53 +190,57 @@ class Shared:
         keys, docs = keys[order], docs[order]
         keep = np.append(True, (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1]))
         keys, docs = keys[keep], docs[keep]
-        head = np.append(True, keys[1:] != keys[:-1])
-        start = np.flatnonzero(head)
+        start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
         size = np.diff(np.append(start, len(keys)))
         uniq, first = keys[start], docs[start]
-        shared, again = size > 1, np.zeros(len(uniq), bool)
-        if len(self.keys):
-            at = np.minimum(np.searchsorted(self.keys, uniq), len(self.keys) - 1)
-            again = self.keys[at] == uniq
-            shared |= again & (self.told[at] | (self.docs[at] != first))
-            tell = again & shared & ~self.told[at]
-            old = (self.docs[at[tell]], uniq[tell])
-            self.told[at[again]] |= shared[again]
-        else:
-            old = (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        at = np.minimum(np.searchsorted(self.keys, uniq), max(0, len(self.keys) - 1))
+        again = self.keys[at] == uniq if len(self.keys) else np.zeros(len(uniq), bool)
+        shared = size > 1
+        at = at[again]
+        other = (self.seen[at] > 1) | (self.docs[at] != first[again]) | (size[again] > 1)
+        tell = other & (self.seen[at] == 1)
+        old = self.docs[at[tell]], uniq[again][tell]
+        # one more sighting of a key's only document adds nothing
+        self.seen[at] += np.where(other, size[again] - ((self.seen[at] == 1) & (self.docs[at] == first[again])), 0)
+        shared[again] = other
         out = np.repeat(shared, size)
         merged = np.concatenate([self.keys, uniq[~again]])
         order = np.argsort(merged, kind="stable")
         self.docs = np.concatenate([self.docs, first[~again]])[order]
-        self.told = np.concatenate([self.told, shared[~again]])[order]
+        self.seen = np.concatenate([self.seen, size[~again]])[order]
         self.keys = merged[order]
         return np.concatenate([docs[out], old[0]]), np.concatenate([keys[out], old[1]])
 
+    def often(self, docs: int) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of at least so many documents, and their numbers of documents."""
+        hot = self.seen >= docs
+        return self.keys[hot], self.seen[hot]
+
 
 class RunLengthIndex:
-    """Run-compressed Burrows-Wheeler transform of a set of strings, suffix array sampled at run ends.
+    """Run-compressed Burrows-Wheeler transform of some strings, the suffix array sampled at the ends of its runs.
 
-    The text is the strings in order, each closed by a separator that sorts before every byte; separators
-    are ordered by their string's number, so suffixes are totally ordered by their string's rest.
+    The text is the strings in order, each closed by a zero, bytes raised by one (UTF-8 has no byte 255). After
+    construction only the text's bytes, the runs with their samples, and the smallest owners of stretches of
+    rows that share their first ``width`` symbols are kept; the suffix array and its inverse are dropped.
     """
 
     def __init__(self, data: np.ndarray, ends: np.ndarray, owner: np.ndarray, width: int):
         n, m = len(data), len(ends)
         size = self.size = n + m
-        self.stop = stop = ends + np.arange(m)
-        self.text = text = np.zeros(size, dtype=np.int64)
+        self.stop, self.owner = ends + np.arange(m), owner
+        padded = np.zeros(size + 16, dtype=np.uint8)
         inside = np.ones(size, bool)
-        inside[stop] = False
-        text[inside] = data.astype(np.int64) + 1
-        lengths = np.diff(np.append(-1, stop))
-        string = np.repeat(np.arange(m), lengths)
-        left = np.repeat(stop, lengths) - np.arange(size)
-        sa, isa = self._sorted(string, left, int(lengths.max()))
-        bwt = text[sa - 1]
-        bwt[sa == 0] = 0
+        inside[self.stop] = False
+        padded[:size][inside] = data + np.uint8(1)
+        self.words = np.ndarray(size + 8, "<u8", padded, strides=(1,))
+        text = padded[:size]
+        sa = self._sorted(np.ndarray(size, ">u8", padded, strides=(1,)).astype(np.uint64))
+        bwt = text[sa - 1].astype(np.int16)
+        bwt[sa == 0] = -1
         changed = np.append(True, bwt[1:] != bwt[:-1])
         head = self.head = np.flatnonzero(changed)
-        self.symbol = bwt[head]
+        self.symbol = bwt[head].astype(np.int64)
         self.length = np.diff(np.append(head, size))
         self.first_sample, self.last_sample = sa[head], sa[head + self.length - 1]
         by_symbol = self.by_symbol = np.argsort(self.symbol, kind="stable")
@@ -199,232 +248,345 @@ class RunLengthIndex:
         self.target = np.empty(len(head), np.int64)
         self.target[by_symbol] = np.cumsum(self.length[by_symbol]) - self.length[by_symbol]
         self.symbol_at = self.symbol[by_symbol] * (size + 1) + head[by_symbol]
+        self.mismatches = self.steps = 0
+        self._owners(sa, head[1:], width)
+
+    def _owners(self, sa: np.ndarray, begins: np.ndarray, width: int) -> None:
+        """Stretches of more than one row that share ``width`` symbols, and their smallest owners."""
         # common prefixes of neighbouring rows: compared where a run begins, one less than the place before elsewhere
-        begins = np.flatnonzero(changed | (bwt == 0))[1:]
+        size = self.size
         plcp, known = np.zeros(size, np.int64), np.zeros(size, np.int64)
-        plcp[sa[begins]] = self.common(sa[begins], sa[begins - 1])
+        plcp[sa[begins]] = self.common(sa[begins], sa[begins - 1], size)
         known[sa[begins]] = sa[begins]
         known[sa[0]] = sa[0]
         known = np.maximum.accumulate(known)
         plcp = plcp[known] - (np.arange(size) - known)
-        self.stretch = np.flatnonzero(np.append(True, plcp[sa[1:]] < width))
-        self.least = np.minimum.reduceat(owner[string[sa]], self.stretch)
-
-    def _sorted(self, string: np.ndarray, left: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
-        """Suffix array and its inverse: seven symbols in one key, then doubling."""
-        size, text = self.size, self.text
-        key, alive, span = text.copy(), text > 0, 7
-        for k in range(1, span):
-            symbol = np.zeros(size, np.int64)
-            symbol[:-k] = text[k:]
-            symbol[~alive] = 0
-            alive &= symbol > 0
-            key = key << 9 | symbol
-        self.seven = key
+        joined = np.append(plcp[sa[1:]] >= width, False)
+        first = np.flatnonzero(joined & ~np.append(False, joined[:-1]))
+        self.many, self.many_end = first, np.flatnonzero(~joined & np.append(False, joined[:-1])) + 1
+        self.least = np.zeros(0, np.int64)
+        if len(first):
+            cuts = np.column_stack([self.many, self.many_end]).ravel()
+            rows = self.owner[np.searchsorted(self.stop, sa)]
+            self.least = np.minimum.reduceat(np.append(rows, rows[-1:]), cuts)[::2]
+
+    def _sorted(self, key: np.ndarray) -> np.ndarray:
+        """Suffix array: by eight symbols, then doubling where that leaves ties."""
+        size, span = self.size, 8
+        sa = np.argsort(key)
+        head = np.append(True, np.diff(key[sa]) != 0)
+        slots, rank = np.arange(size), np.empty(size, np.int64)
+        rank[sa] = np.maximum.accumulate(np.where(head, slots, 0))
         while True:
+            tied = ~(head & np.append(head[1:], True))
+            if not tied.any():
+                return sa
+            slots = slots[tied]
+            at = sa[slots]
+            follow = np.where(at + span < size, rank[np.minimum(at + span, size - 1)] + 1, 0)
+            key = rank[at] << 32 | follow
             order = np.argsort(key)
-            changed = np.diff(key[order]) != 0
-            rank = np.empty(size, np.int64)
-            rank[order] = np.cumsum(np.append(0, changed))
-            if span > 7 and (changed.all() or span > longest):
-                return order, rank
-            follow = np.zeros(size, np.int64)
-            follow[:-span] = rank[span:]
-            key = rank << 32 | np.where(left < span, string, follow)
+            key, at = key[order], at[order]
+            sa[slots] = at
+            head = np.append(True, np.diff(key) != 0)
+            rank[at] = np.maximum.accumulate(np.where(head, slots, 0))
             span *= 2
 
-    def run_of(self, row: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.head, row, side="right") - 1
-
-    def step(self, row: np.ndarray, place: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """One symbol backwards: the row and the text place that continue each match best."""
-        run = self.run_of(row)
-        off = self.symbol[run] != symbol
-        row, place = row.copy(), place.copy()
-        if off.any():
-            x = np.flatnonzero(off)
-            at = np.searchsorted(self.symbol_at, symbol[x] * (self.size + 1) + row[x])
-            up, down = np.clip(at - 1, 0, len(self.by_symbol) - 1), np.clip(at, 0, len(self.by_symbol) - 1)
-            up, down = self.by_symbol[up], self.by_symbol[down]
-            reach = [np.where(self.symbol[r] == symbol[x], self.common(s[r], place[x]), -1) for r, s in ((up, self.last_sample), (down, self.first_sample))]
-            pick = reach[0] >= reach[1]
-            run[x] = np.where(pick, up, down)
-            row[x] = np.where(pick, self.head[up] + self.length[up] - 1, self.head[down])
-            place[x] = np.where(pick, self.last_sample[up], self.first_sample[down])
-            lost = self.symbol[run[x]] != symbol[x]
-            if lost.any():
-                raise ValueError("a streamed string has a byte that the text lacks")
-        return self.target[run] + row - self.head[run], place - 1
-
-    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Common prefix lengths of pairs of suffixes."""
-        # seven symbols at a time while they agree and no string ends in them; the last seven by their bits
+    def common(self, a: np.ndarray, b: np.ndarray, limit: np.ndarray | int) -> np.ndarray:
+        """Common prefix lengths of pairs of suffixes, up to a limit: eight symbols at a time."""
         out, alive = np.zeros(len(a), np.int64), np.arange(len(a))
+        limit = np.broadcast_to(limit, len(a))
         while len(alive):
             k = out[alive]
-            x, y = self.seven[a[alive] + k], self.seven[b[alive] + k]
-            same = (x == y) & (x & 0x1FF > 0)
-            last, x, y = alive[~same], x[~same], x[~same] ^ y[~same]
-            for k in range(54, -1, -9):
-                out[last] += (y >> k == 0) & (x >> k & 0x1FF > 0)
+            differ = self.words[a[alive] + k] ^ self.words[b[alive] + k]
+            same = differ == 0
+            last = differ[~same]
+            out[alive[~same]] += np.log2((last & (~last + np.uint64(1))).astype(np.float64)).astype(np.int64) >> 3
             alive = alive[same]
-            out[alive] += 7
-        return out
+            out[alive] += 8
+            alive = alive[(out[alive] < limit[alive]) & (np.maximum(a[alive], b[alive]) + out[alive] < self.size)]
+        return np.minimum(out, limit)
 
-    def stream(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, ...]]:
-        """Matching of the strings ``data[start:end]``, last symbol first.
+    def step(self, row: np.ndarray, place: np.ndarray, length: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, ...]:
+        """One symbol backwards: row, text place and length of the longest match of each string.
 
-        Yields (string numbers, place in data, row, place of the match); where the match at a place is at least as long as what
-        is left of its string up to the width, ``least_owner`` of the row tells its smallest document.
-        ``rows``: where each string begins, the row of its own end if it is one of the indexed ones.
+        Where a row's symbol is another one, the nearest runs of the symbol above and below are compared with the
+        match so far by their samples, and the longer continues.
         """
-        alive = np.arange(len(starts))
-        row = np.zeros(len(starts), np.int64) if rows is None else rows.copy()
-        place = self.stop[row]
-        at = ends.copy()
-        while len(alive):
-            at[alive] -= 1
-            row[alive], place[alive] = self.step(row[alive], place[alive], data[at[alive]].astype(np.int64) + 1)
-            yield alive, at[alive], row[alive], place[alive]
-            alive = alive[at[alive] > starts[alive]]
-
-    def least_owner(self, row: np.ndarray) -> np.ndarray:
-        return self.least[np.searchsorted(self.stretch, row, side="right") - 1]
-
-
-def least_documents(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, owner: np.ndarray, width: int) -> np.ndarray:
-    """For each byte place that starts a ``width``-byte window inside a string, the smallest owner of that window."""
-    index = RunLengthIndex(data, ends, owner, width)
-    least = np.full(len(data), np.iinfo(np.int64).max)
-    looks = sorted({*range(0, width - 6, 7), max(0, width - 7)})
-    for who, at, row, place in index.stream(data, starts, ends, np.arange(len(ends))):
-        wide = (at + width <= ends[who]) & (place + width <= index.size)
-        at, row, place, own = at[wide], row[wide], place[wide], (at + who)[wide]
-        # the matched place is compared, seven symbols at a time, so a hit is exact
-        same = np.ones(len(at), bool)
-        for k in looks:
-            same &= index.seven[place + k] == index.seven[own + k]
-        if width < 7:
-            same = index.common(place, own) >= width
-        least[at[same]] = index.least_owner(row[same])
-    return least
-
-
-def segments(texts: DataFrame, width: int, anchor: int, buckets: int) -> DataFrame:
-    """Packed distinct segments of each task's documents with all their places, by bucket."""
-    schema = pa.schema([(c, pa.binary() if c != "bucket" else pa.int32()) for c in ("bucket", "data", "size", "key", "places", "doc", "start", "tag")])
+        run = np.searchsorted(self.head, row, side="right") - 1
+        off = np.flatnonzero(self.symbol[run] != symbol)
+        self.steps += len(row)
+        self.mismatches += len(off)
+        length = length + 1
+        lost = off[:0]
+        if len(off):
+            row, place = row.copy(), place.copy()
+            c, p, so_far = symbol[off], place[off], length[off] - 1
+            at = np.searchsorted(self.symbol_at, c * (self.size + 1) + row[off])
+            top = len(self.by_symbol) - 1
+            up, down = self.by_symbol[np.maximum(at - 1, 0)], self.by_symbol[np.minimum(at, top)]
+            reach = [np.where(self.symbol[r] == c, self.common(s[r], p, so_far), -1) for r, s in ((up, self.last_sample), (down, self.first_sample))]
+            pick = reach[0] >= reach[1]
+            best = np.where(pick, up, down)
+            run[off] = best
+            row[off] = np.where(pick, self.head[up] + self.length[up] - 1, self.head[down])
+            place[off] = np.where(pick, self.last_sample[up], self.first_sample[down])
+            length[off] = np.maximum(*reach) + 1
+            lost = off[np.maximum(*reach) < 0]
+        row, place = self.target[run] + row - self.head[run], place - 1
+        if len(lost):  # a symbol that the text lacks: the empty match
+            row[lost], place[lost], length[lost] = 0, self.size - 1, 0
+        return row, place, length
+
+    def stream(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, width: int = 0) -> Iterator[tuple[np.ndarray, ...]]:
+        """Matching statistics of the strings ``data[start:end]``, last symbol first.
+
+        Yields (string numbers, place in data, row, text place, length): ``length`` symbols from the place on are the
+        longest prefix of the string's rest that the text has, and stand at the text place. A string whose matches
+        can't reach ``width`` any more is left.
+        """
+        who = np.flatnonzero(ends > starts)
+        at, begin = ends[who].copy(), starts[who]
+        row, place, length = np.zeros(len(who), np.int64), np.full(len(who), self.size - 1), np.zeros(len(who), np.int64)
+        while len(who):
+            at -= 1
+            row, place, length = self.step(row, place, length, data[at].astype(np.int64) + 1)
+            yield who, at, row, place, length
+            on = (at > begin) & (length + at - begin >= width)
+            if not on.all():
+                who, at, begin, row, place, length = (x[on] for x in (who, at, begin, row, place, length))
+
+    def least_owner(self, row: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """The smallest owner of the ``width`` symbols at a match: of its stretch of rows, or of its one row."""
+        out = self.owner[np.searchsorted(self.stop, place)]
+        if len(self.many):
+            at = np.searchsorted(self.many, row, side="right") - 1
+            inside = (at >= 0) & (row < self.many_end[at])
+            out[inside] = self.least[at[inside]]
+        return out
+
+
+def _runs(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rank within, and size of, the run of equal values that each value stands in."""
+    head = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.zeros(0, np.int64)
+    size = np.diff(np.append(head, len(group)))
+    return np.arange(len(group)) - np.repeat(head, size), np.repeat(size, size)
+
+
+def earlier(data: np.ndarray, ends: np.ndarray, owner: np.ndarray, key: np.ndarray, width: int, tell=None) -> np.ndarray:
+    """For each byte place, whether the ``width``-byte window there is also in a string of the same key and a smaller owner.
+
+    The strings are distinct. Of each key the first string is indexed and the others are streamed through the
+    index; what is left is halved by owner again and again, the earlier half indexed, the later one streamed, so
+    no string meets itself, and strings whose windows are all found drop out.
+    """
+    gone = np.zeros(len(data), bool)
+    starts = np.append(0, ends[:-1])
+    windows = ends - starts - width + 1
+
+    def streamed(left: np.ndarray, right: np.ndarray, group: np.ndarray) -> np.ndarray:
+        """Mark windows of the strings ``right`` that ``left`` strings of the same group have; those that are left over."""
+        size = ends[left] - starts[left]
+        piece = (np.cumsum(size) - size) // PIECE_BYTES
+        cuts = np.flatnonzero(np.append(True, piece[1:] != piece[:-1])) if len(left) else []
+        of, to = group[left], group[right]
+        for a, z in zip(cuts, [*cuts[1:], len(left)], strict=False):
+            own = left[a:z]
+            text = np.concatenate([data[starts[i] : ends[i]] for i in own.tolist()])
+            index = RunLengthIndex(text, np.cumsum(size[a:z]), owner[own], width)
+            x, y = np.searchsorted(to, of[a], side="left"), np.searchsorted(to, of[z - 1], side="right")
+            for some in np.array_split(right[x:y], max(1, -(-(y - x) // STREAMS))):
+                for who, at, row, place, length in index.stream(data, starts[some], ends[some], width):
+                    hit = np.flatnonzero(length >= width)
+                    if len(hit):
+                        hit = hit[index.least_owner(row[hit], place[hit]) < owner[some[who[hit]]]]
+                        gone[at[hit]] = True
+            if tell is not None:
+                tell(index)
+        total = np.append(0, np.cumsum(gone))
+        found = total[starts[right] + windows[right]] - total[starts[right]]
+        return right[found < windows[right]]
+
+    order = np.lexsort((owner, key))
+    group = np.empty(len(ends), np.int64)
+    group[order] = np.cumsum(np.append(0, key[order][1:] != key[order][:-1])) if len(order) else 0
+    rank, size = _runs(group[order])
+    order, rank = order[size > 1], rank[size > 1]
+    order = streamed(order[rank == 0], order[rank > 0], group)
+    while True:
+        rank, size = _runs(group[order])
+        order, rank, size = (x[size > 1] for x in (order, rank, size))
+        if not len(order):
+            return gone
+        first = rank < (size + 1) // 2
+        rest = streamed(order[first], order[~first], group)
+        late = np.zeros(len(ends), bool)
+        late[rest] = True
+        order = order[first | late[order]]
+        half = group[order] * 2 + late[order]
+        group[order] = np.cumsum(np.append(0, half[1:] != half[:-1]))
+
+
+def segments(texts: DataFrame, width: int, anchor: int, buckets: int, hot: np.ndarray) -> DataFrame:
+    """Packed segments of each task's documents that have shared keys, by bucket.
+
+    Of equal segments that a task holds at once only the places in the smallest document travel on as segments; places
+    in others have an earlier equal and are marks already, in rows of their own (``spans`` is not null). Windows of a
+    hot key are segments of their own, by a hash of the whole window, so that no key gathers a large group.
+    """
+    schema = pa.schema([("bucket", pa.int64()), *((c, pa.binary()) for c in ("data", "size", "key", "doc", "places", "start", "tag", "spans"))])
 
     def run(batches):
-        held, total = {}, 0
+        held: dict[tuple[int, bytes], list] = {}
+        known: list[tuple[int, int, int, int]] = []
+        total = 0
 
         def flush():
             by: dict[int, list] = {}
-            for (key, seg), where in held.items():
-                by.setdefault(key >> 32, []).append((key & 0xFFFFFFFF, seg, where))
+            for (key, seg), (owner, where) in held.items():
+                by.setdefault(key >> 32, []).append((key & 0xFFFFFFFF, seg, owner, where))
             rows = [
                 {
                     "bucket": b,
                     "data": b"".join(x[1] for x in xs),
                     "size": np.array([len(x[1]) for x in xs], np.uint32).tobytes(),
                     "key": np.array([x[0] for x in xs], np.uint32).tobytes(),
-                    "places": np.array([len(x[2]) // 3 for x in xs], np.uint32).tobytes(),
-                    "doc": np.array([d for x in xs for d in x[2][::3]], np.int64).tobytes(),
-                    "start": np.array([d for x in xs for d in x[2][1::3]], np.uint32).tobytes(),
-                    "tag": np.array([d for x in xs for d in x[2][2::3]], np.uint32).tobytes(),
+                    "doc": np.array([x[2] for x in xs], np.int64).tobytes(),
+                    "places": np.array([len(x[3]) // 2 for x in xs], np.uint32).tobytes(),
+                    "start": np.array([d for x in xs for d in x[3][::2]], np.uint32).tobytes(),
+                    "tag": np.array([d for x in xs for d in x[3][1::2]], np.uint32).tobytes(),
                 }
                 for b, xs in by.items()
             ]
+            if known:
+                marks = np.array(known, np.int64)
+                rows.append({"bucket": int(marks[0, 0]) % buckets, "doc": marks[:, 0].tobytes(), "spans": marks[:, 1:].astype(np.uint32).tobytes()})
             return pa.RecordBatch.from_pylist(rows, schema=schema)
 
         for s in slices(batches, "text"):
             doc, start, count, key = minimizers(s.buf, s.offsets, width, anchor)
             key = routed(key, buckets)
-            ids = s.rows.column(0).to_pylist()
-            wanted = [x.values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) if x.is_valid else None for x in s.rows.column(2)]
-            cut = np.searchsorted(doc, np.arange(s.n + 1))
-            for i in range(s.n):
-                a, z = cut[i], cut[i + 1]
-                if a == z or wanted[i] is None:
+            lists = s.rows.column(2)
+            wanted = pc.list_flatten(lists).to_numpy(zero_copy_only=False).view(np.uint64)
+            holder = np.repeat(np.arange(s.n), pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)).astype(np.uint64)
+            hit = np.isin(key ^ mix64(doc.astype(np.uint64)), wanted ^ mix64(holder))
+            doc, start, count, key = doc[hit], start[hit], count[hit], key[hit]
+            often = np.isin(key, hot)
+            if often.any():
+                more = count[often]
+                at = np.repeat(start[often] - np.cumsum(more) + more, more) + np.arange(more.sum())
+                whole = span_hash(prefix_sums(s.buf, _TABLE), at, at + width)
+                doc, start = np.concatenate([doc[~often], np.repeat(doc[often], more)]), np.concatenate([start[~often], at])
+                count, key = np.concatenate([count[~often], np.ones(len(at), np.int64)]), np.concatenate([key[~often], routed(mix64(whole), buckets)])
+            ids, raw = s.rows.column(0).to_pylist(), s.buf.tobytes()
+            tags = {i: zlib.crc32(s.text(i)) for i in np.unique(doc).tolist()}
+            base = s.offsets[doc].tolist()
+            for k, i, p, c, b in zip(key.tolist(), doc.tolist(), start.tolist(), count.tolist(), base, strict=True):
+                seg = raw[p : p + c + width - 1]
+                owner, place, tag = ids[i], p - b, tags[i]
+                same = held.get((k, seg))
+                if same is None:
+                    held[k, seg] = [owner, [place, tag]]
+                    total += len(seg) + 200
                     continue
-                hit = a + np.flatnonzero(np.isin(key[a:z], wanted[i]))
-                base, whole = int(s.offsets[i]), s.text(i)
-                tag = zlib.crc32(whole)
-                for k, p, c in zip(key[hit].tolist(), start[hit].tolist(), count[hit].tolist(), strict=True):
-                    p -= base
-                    seg = whole[p : p + c + width - 1]
-                    where = held.get((k, seg))
-                    if where is None:
-                        held[k, seg] = [ids[i], p, tag]
-                        total += len(seg) + 100
-                    else:
-                        where += (ids[i], p, tag)
-                        total += 16
-                if total >= 6 * SEND_BYTES:
-                    yield flush()
-                    held, total = {}, 0
+                total += 40
+                if owner > same[0]:
+                    known.append((owner, place, c, tag))
+                elif owner == same[0]:
+                    same[1] += (place, tag)
+                else:
+                    known += [(same[0], q, c, t) for q, t in zip(same[1][::2], same[1][1::2], strict=True)]
+                    same[:] = owner, [place, tag]
+            if total >= 6 * SEND_BYTES:
+                yield flush()
+                held, known, total = {}, [], 0
         if held:
             yield flush()
+        held, known = {}, []
+        release()
+
+    return texts.mapInArrow(run, "bucket long, data binary, size binary, key binary, doc binary, places binary, start binary, tag binary, spans binary")
+
+
+def _marked(doc: np.ndarray, spans: np.ndarray) -> pa.RecordBatch:
+    """Marks of many documents, packed by document."""
+    order = np.argsort(doc, kind="stable")
+    doc, spans = doc[order], np.ascontiguousarray(spans[order], np.uint32)
+    edge = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+    return pa.RecordBatch.from_arrays([pa.array(doc[edge]), pa.array([x.tobytes() for x in np.split(spans, edge[1:])], pa.binary())], ["doc", "spans"])
+
+
+def judged(columns: list[list[np.ndarray]], width: int) -> Iterator[pa.RecordBatch]:
+    """Marks of one bucket's segments, given as packed rows; keys are taken a few at a time."""
+    data, size, key, doc, places, start, tag = (np.concatenate(x) for x in columns)
+    size, places = size.astype(np.int64), places.astype(np.int64)
+    first, begin = np.cumsum(places) - places, np.cumsum(size) - size
+    order = np.argsort(key, kind="stable")
+    filled = np.cumsum(size[order])
+    # strings of a key stay together
+    ends = np.flatnonzero(np.append(key[order][1:] != key[order][:-1], True)) + 1
+    part = filled[ends - 1] // CHUNK_BYTES
+    cuts = ends[np.append(part[1:] != part[:-1], True)]
+    raw = data.tobytes()
+    for a, z in zip([0, *cuts[:-1]], cuts, strict=True):
+        chunk = order[a:z]
+        seen: dict[bytes, int] = {}
+        of = np.array([seen.setdefault(raw[b : b + n], len(seen)) for b, n in zip(begin[chunk].tolist(), size[chunk].tolist(), strict=True)])
+        owner, own_key = np.full(len(seen), np.iinfo(np.int64).max), np.zeros(len(seen), np.int64)
+        np.minimum.at(owner, of, doc[chunk])
+        own_key[of] = key[chunk]
+        n = np.fromiter(map(len, seen), np.int64, len(seen))
+        stop = np.cumsum(n)
+        gone = earlier(np.frombuffer(b"".join(seen), np.uint8), stop, owner, own_key, width)
+        # all windows of a segment that an earlier document has whole; of the others, those that are found
+        count = places[chunk]
+        occ = np.repeat(first[chunk] - np.cumsum(count) + count, count) + np.arange(count.sum())
+        seg, by = np.repeat(of, count), np.repeat(doc[chunk], count)
+        late = by > owner[seg]
+        out = [(by[late], np.column_stack([start[occ[late]], (n[seg] - width + 1)[late], tag[occ[late]]]))]
+        occ, seg, by = occ[~late], seg[~late], by[~late]
+        wins = n[seg] - width + 1
+        who = np.repeat(np.arange(len(occ)), wins)
+        offset = np.arange(len(who)) - np.repeat(np.cumsum(wins) - wins, wins)
+        found = gone[(stop - n)[seg][who] + offset]
+        who, offset = who[found], offset[found]
+        if len(who):
+            where = start[occ].astype(np.int64)[who] + offset
+            head = np.flatnonzero(np.append(True, (who[1:] != who[:-1]) | (where[1:] != where[:-1] + 1)))
+            out.append((by[who[head]], np.column_stack([where[head], np.diff(np.append(head, len(where))), tag[occ][who[head]]])))
+        doc_, spans = (np.concatenate(x) for x in zip(*out, strict=True))
+        if len(doc_):
+            yield _marked(doc_, spans)
 
-    return texts.mapInArrow(run, "bucket int, data binary, size binary, key binary, places binary, doc binary, start binary, tag binary")
 
+def marks(packed: DataFrame, width: int, parts: int, buckets: int) -> DataFrame:
+    """``(doc, spans)``: packed (start, count, CRC-32 of the text) of windows that a smaller document has too.
 
-def marks(packed: DataFrame, width: int, buckets: int) -> DataFrame:
-    """``(doc, spans)``: packed (start, count, CRC-32 of the text) of windows that a smaller document has too."""
+    A task holds one bucket at a time; where it has several, its rows come sorted by bucket.
+    """
+    kinds = (np.uint8, np.uint32, np.uint32, np.int64, np.uint32, np.uint32, np.uint32)
 
     def run(batches):
-        rows = [[from_binary(b.column(i + 1), t) for i, t in enumerate((np.uint8, np.uint32, np.uint32, np.uint32, np.int64, np.uint32, np.uint32))] for b in batches]
-        rows = [list(x) for r in rows for x in zip(*r, strict=True)]
-        if not rows:
-            return
-        data, size, key, places, doc, start, tag = (np.concatenate(x) for x in zip(*rows, strict=True))
-        del rows
-        size, places = size.astype(np.int64), places.astype(np.int64)
-        first = np.cumsum(places) - places
-        least = np.minimum.reduceat(doc, first)
-        begin = np.cumsum(size) - size
-        order = np.argsort(key, kind="stable")
-        # equal segments of several tasks become one, pieces end where a key ends
-        filled = np.cumsum(size[order])
-        cut_ok = np.flatnonzero(np.append(np.diff(key[order]) != 0, True)) + 1
-        pieces, at = [], 0
-        while at < len(order):
-            goal = (filled[at - 1] if at else 0) + PIECE_BYTES
-            to = cut_ok[min(np.searchsorted(filled[cut_ok - 1], goal, side="left"), len(cut_ok) - 1)]
-            pieces.append(order[at:to])
-            at = int(to)
-        raw = data.tobytes()
-        for piece in pieces:
-            seen: dict[bytes, int] = {}
-            of = np.array([seen.setdefault(raw[b : b + n], len(seen)) for b, n in zip(begin[piece].tolist(), size[piece].tolist(), strict=True)])
-            owner = np.full(len(seen), np.iinfo(np.int64).max)
-            np.minimum.at(owner, of, least[piece])
-            flat = np.frombuffer(b"".join(seen), np.uint8)
-            n = np.array([len(x) for x in seen], np.int64)
-            ends = np.cumsum(n)
-            low = least_documents(flat, ends - n, ends, owner, width)
-            # a place per occurrence, then a window per place
-            count = places[piece]
-            occ = np.repeat(first[piece] - np.cumsum(count) + count, count) + np.arange(count.sum())
-            seg = np.repeat(of, count)
-            wins = n[seg] - width + 1
-            who = np.repeat(np.arange(len(occ)), wins)
-            offset = np.arange(len(who)) - np.repeat(np.cumsum(wins) - wins, wins)
-            gone = low[(ends - n)[seg][who] + offset] < doc[occ][who]
-            who, offset = who[gone], offset[gone]
-            if not len(who):
-                continue
-            where = start[occ].astype(np.int64)[who] + offset
-            head = np.flatnonzero(np.append(True, (who[1:] != who[:-1]) | (where[1:] != where[:-1] + 1)))
-            spans = np.stack([where[head], np.diff(np.append(head, len(where))), tag[occ][who[head]]], axis=1).astype(np.uint32)
-            ids = doc[occ][who[head]]
-            order_ = np.argsort(ids, kind="stable")
-            ids, spans = ids[order_], spans[order_]
-            edge = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[edge]), pa.array([x.tobytes() for x in np.split(spans, edge[1:])], pa.binary())], ["doc", "spans"]
-            )
+        bucket, held = None, []
+        for batch in batches:
+            numbers, spans = batch.column(0).to_pylist(), batch.column(8)
+            for i, b in enumerate(numbers):
+                if spans[i].is_valid:
+                    known = np.frombuffer(spans[i].as_buffer(), np.uint32).reshape(-1, 3)
+                    yield _marked(np.frombuffer(batch.column(4)[i].as_buffer(), np.int64), known)
+                    continue
+                if b != bucket and held:
+                    yield from judged(list(zip(*held, strict=True)), width)
+                    held = []
+                bucket = b
+                held.append([np.frombuffer(batch.column(k + 1)[i].as_buffer(), t) for k, t in enumerate(kinds)])
+        if held:
+            yield from judged(list(zip(*held, strict=True)), width)
+        held = []
+        release()
 
-    return packed.repartitionById(buckets, F.col("bucket")).mapInArrow(run, "doc long, spans binary")
+    dealt = packed.repartitionById(parts, F.pmod("bucket", F.lit(parts)).cast("int"))
+    return (dealt.sortWithinPartitions("bucket") if buckets > parts else dealt).mapInArrow(run, "doc long, spans binary")
 
 
 def removed_spans(spans: list[bytes], text: bytes, width: int) -> list[tuple[int, int]]:
@@ -445,27 +607,41 @@ def removed_spans(spans: list[bytes], text: bytes, width: int) -> list[tuple[int
 
 
 def remove_repeats(
-    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 50, anchor: int | None = None, as_text: bool = False
+    docs: DataFrame,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    width: int = 50,
+    anchor: int | None = None,
+    as_text: bool = False,
+    hot_docs: int = HOT_DOCS,
+    bucket_bytes: int = BUCKET_BYTES,
 ) -> DataFrame:
     """All columns of ``docs`` with ``kept`` (binary), ``n_bytes``, ``spans`` (array of start, end) added.
 
     ``as_text``: ``kept`` is a string; of a character that a cut went through the other bytes go too.
+    ``hot_docs``: documents from which on a key is split; ``bucket_bytes``: text that a bucket stands for. Neither changes the result.
     """
     anchor = anchor or max(1, width * 2 // 5)
+    integer_ids(docs, id_column)
     small_batches(docs)
-    buckets = shuffle_parts(docs)
     source = docs.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     names = [c for c in docs.columns if c not in ("kept", "n_bytes", "spans")]
     rest = [c for c in names if c not in (id_column, text_column)]
-    sha = source.select("id", F.sha2(F.col("text").cast("binary"), 256).alias("sha"), F.octet_length("text").alias("n"))
-    lowest = sha.groupBy("sha").agg(F.min("id").alias("low"))
-    copies = sha.filter(F.col("n") >= width).join(lowest, "sha").filter("id > low").groupBy("id").agg(F.collect_set("sha").alias("copy"))
-    shared = shared_keys(source, width, anchor, buckets).groupBy("doc").agg(F.collect_list("key").alias("keys"))
+    prints = checkpointed(source.select("id", F.sha2(F.col("text").cast("binary"), 256).alias("sha"), F.octet_length("text").alias("n")))
+    parts = shuffle_parts(docs)
+    total = prints.agg(F.sum(F.col("n").cast("long"))).first()[0] or 0
+    buckets = parts * -(-max(1, total) // (parts * bucket_bytes))
+    # of equal texts the smallest id; only groups of two ids or more are listed, so the join can split a large one
+    lowest = checkpointed(prints.filter(F.col("n") >= width).groupBy("sha").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("high > low").drop("high"))
+    copies = prints.join(lowest, "sha").filter("id > low").groupBy("id").agg(F.collect_set("sha").alias("copy"))
+    pairs = checkpointed(shared_keys(source, width, anchor, parts, buckets, hot_docs))
+    hot = hot_keys(pairs)
+    shared = pairs.filter("doc is not null").groupBy("doc").agg(F.collect_list("key").alias("keys"))
     whole = docs.select(
         F.col(id_column).cast("long").alias("__id"),
         F.col(text_column).alias("__text"),
-        F.struct(F.lit(0).alias("__none"), F.col(id_column), *[F.col(c) for c in rest]).alias("__row"),
-    ).repartition(buckets, "__id")
+        F.struct(F.lit(0).alias("__none"), F.col(id_column), *[F.col(f"`{c}`") for c in rest]).alias("__row"),
+    ).repartition(parts, "__id")
     texts = (
         # left joins and the row struct keep this side's plan equal to the one below, so texts are dealt once
         whole.join(shared.withColumnRenamed("doc", "__id").hint("shuffle_hash"), "__id", "left")
@@ -473,7 +649,7 @@ def remove_repeats(
         .filter("copy is null or not array_contains(copy, sha2(cast(__text as binary), 256))")
         .select("__id", F.col("__text").alias("text"), "keys", "__row")
     )
-    found = marks(segments(texts, width, anchor, buckets), width, buckets).groupBy("doc").agg(F.collect_list("spans").alias("marks"))
+    found = marks(segments(texts, width, anchor, buckets, hot), width, parts, buckets).groupBy("doc").agg(F.collect_list("spans").alias("marks"))
     judged = (
         whole.join(found.withColumnRenamed("doc", "__id").hint("shuffle_hash"), "__id", "left")
         .join(copies.withColumnRenamed("id", "__id").hint("shuffle_hash"), "__id", "left")
