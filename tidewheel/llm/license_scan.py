@@ -1,20 +1,27 @@
-"""Licence scans by a positional rare-token index over licence templates.
-
-The index holds, for every template word, its inverse document frequency among templates and its positions.
-Of each template the words with the highest IDF are its rare words. A file's words that are rare words
-anywhere are looked up in one pass; each occurrence votes for (template, file position - template position),
-so that votes of one template at one relative position are the intersection of its postings. A vote set is
-a candidate once it holds the template's quorum of rare words; a candidate is verified by its
-mandatory key phrases, which must stand at their relative positions, and scored by the share of all template
-words that stand in place. Short base phrases are templates whose key phrase is the whole template.
-
-Words are runs of ASCII letters and digits and of all non-ASCII characters, A-Z lower-cased. Null and
-empty texts have no words, no places, no labels and score 0. Repeated rows are scanned alike.
+"""Licence scans by a positional rare-token index over licence texts.
+
+The index holds the positions of every template's words with the highest inverse document frequency among the
+templates. A file's words that are such licence words are looked up in one pass; each occurrence votes for a
+template at one relative position (place in the file less place in the template).
+
+* Whole texts and notices tolerate gaps: votes are gathered in bands of relative positions, each an eighth of the
+  template wide and overlapping the next. A band that holds enough different rare words is a candidate; its words
+  are aligned with the template's by the longest chain that rises in both, and it is kept if the chain has
+  ``SHARE`` of the template and half of the template's key phrases, its rarest runs of three words, stand in it.
+  Of candidates at one place that differ in label the most alike is kept.
+* Phrases and short statements count only where all their words stand together.
+
+Words are runs of ASCII letters and digits and of all non-ASCII characters, A-Z lower-cased. Null and empty texts
+have no words, no places, no labels and score 0; an empty table gives an empty one; repeated rows are scanned
+alike; ties between candidates go to the earlier template. A text is held whole, however long. Input columns named
+like an added one are replaced, others keep their place.
 """
 
 from __future__ import annotations
 
 import math
+import re
+from bisect import bisect_left
 from collections import Counter
 from dataclasses import dataclass
 
@@ -23,168 +30,225 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.llm._text import ALNUM, byte_table, prefix_sums, slices, small_batches, span_hash
+from tidewheel.llm import license_texts
+from tidewheel.llm._text import ALNUM, byte_table, prefix_sums, release, slices, small_batches, span_hash
 
 _TABLE = byte_table(41, lower=True)
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: Share of a template's words that must stand in order, and of its rare words that make a candidate.
+SHARE, QUORUM = 0.6, 0.4
+#: Rare words of a template (at least, at most, else a third of it), and its key phrases.
+RARE, KEY_PHRASES = (8, 400), 8
+ADDED = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "matches")
 
 
 @dataclass(frozen=True)
 class Template:
-    """A licence's wording: ``keys`` are phrases of it that must stand in place for a match to count."""
+    """A licence's wording. ``together``: a short statement, all of whose words must stand together; ``base``: and which counts as such."""
 
     label: str
     text: str
-    keys: tuple[str, ...]
+    together: bool = False
     base: bool = False
 
 
-#: The contract's phrases: each is its own template and its own key phrase.
-BASE = (
-    Template("mit", "mit license", ("mit license",), True),
-    Template("apache", "apache license", ("apache license",), True),
-    Template("gpl", "general public license", ("general public license",), True),
-)
-#: Public licence wordings that the method labels besides.
-WIDER = (
-    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ("permission is hereby granted", "free of charge")),
-    Template("apache", "licensed under the apache license version 2 0", ("apache license version 2 0",)),
-    Template("gpl", "licensed under the gnu general public license version 3", ("gnu general public license",)),
-    Template("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", ("free software", "redistribute it")),
-    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("redistribution and use", "source and binary forms")),
-    Template("bsd", "licensed under the bsd 3 clause license", ("bsd 3 clause license",)),
-    Template("bsd", "licensed under the bsd license", ("bsd license",)),
-    Template("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
-    Template("mpl", "licensed under the mozilla public license", ("mozilla public license",)),
-    Template("cc0", "licensed under cc0 1 0", ("cc0 1 0",)),
-    Template("cc-by", "licensed under cc by 4 0", ("cc by 4 0",)),
-    Template("cc-by-sa", "licensed under cc by sa 4 0", ("cc by sa 4 0",)),
-    Template("cc-by-nc", "licensed under cc by nc 4 0", ("cc by nc 4 0",)),
-    Template("cc-by-nd", "licensed under cc by nd 4 0", ("cc by nd 4 0",)),
-    Template("cc", "licensed under a creative commons attribution", ("creative commons attribution",)),
-    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("with or without fee",)),
-    Template("lgpl", "gnu lesser general public license", ("lesser general public license",)),
-    Template("agpl", "gnu affero general public license", ("affero general public license",)),
-    Template("unlicense", "this is free and unencumbered software released into the public domain", ("unencumbered software",)),
-    Template("proprietary", "all rights reserved", ("all rights reserved",)),
-)
+def templates(folder: str | None = None) -> tuple[Template, ...]:
+    """The known wordings, and the whole licences of a folder if there is one."""
+    known = [Template(a, b, True, True) for a, b in license_texts.PHRASES]
+    known += [Template(a, b, True) for a, b in license_texts.STATEMENTS]
+    return (*known, *(Template(a, b) for a, b in [*license_texts.TEXTS, *license_texts.texts_in(folder)]))
+
+
+def words_of(text: str) -> list[str]:
+    return _WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text))
 
 
 def _hash_words(words: list[str]) -> np.ndarray:
-    out = []
-    for w in words:
-        buf = np.frombuffer(w.encode(), np.uint8)
-        out.append(span_hash(prefix_sums(buf, _TABLE), np.array([0]), np.array([len(buf)]))[0])
-    return np.array(out, np.uint64)
+    buf = np.frombuffer(" ".join(words).encode(), np.uint8)
+    sizes = np.array([len(w.encode()) for w in words], np.int64)
+    end = np.cumsum(sizes + 1) - 1
+    return span_hash(prefix_sums(buf, _TABLE), end - sizes, end)
 
 
 class PositionalIndex:
-    """Rare words of templates with their positions."""
+    """Rare words of templates with their positions, as one sorted list of postings."""
 
-    def __init__(self, templates: tuple[Template, ...], rare: int = 3, quorum: float = 0.6):
-        self.templates = templates
-        words = [t.text.split() for t in templates]
+    def __init__(self, known: tuple[Template, ...]):
+        self.templates = known
+        words = [words_of(t.text) for t in known]
         frequency = Counter(w for ws in words for w in set(ws))
-        self.idf = {w: math.log((1 + len(words)) / n) for w, n in frequency.items()}
+        idf = {w: math.log((1 + len(words)) / n) for w, n in frequency.items()}
         self.sequence = [_hash_words(ws) for ws in words]
-        postings: dict[int, list[tuple[int, int]]] = {}
-        self.needed, self.phrases = [], []
+        self.length = np.array([len(ws) for ws in words])
+        self.band = np.maximum(8, self.length // 8)
+        self.together = np.array([t.together for t in known])
+        self.needed, self.phrases, postings = [], [], []
         for k, ws in enumerate(words):
-            places = sorted(range(len(ws)), key=lambda i, ws=ws: (-self.idf[ws[i]], i))[: rare if len(ws) > rare else 1]
-            for i in places:
-                postings.setdefault(int(self.sequence[k][i]), []).append((k, i))
-            self.needed.append(max(1, math.ceil(quorum * len(places))))
-            self.phrases.append([(a, len(p)) for p in (key.split() for key in templates[k].keys) for a in [_find(ws, p)]])
-        self.keys = np.sort(np.array(list(postings), np.uint64))
-        self.postings = [postings[int(h)] for h in self.keys]
+            rarest = sorted(range(len(ws)), key=lambda i, ws=ws: (-idf[ws[i]], i))
+            places = rarest[: 1 if self.together[k] else min(len(ws), max(RARE[0], min(RARE[1], len(ws) // 3)))]
+            postings += [(int(self.sequence[k][i]), k, i) for i in places]
+            self.needed.append(math.ceil(QUORUM * len(places)))
+            self.phrases.append(self._key_phrases(ws, idf))
+        postings.sort()
+        hashes = np.array([p[0] for p in postings], np.uint64)
+        self.keys, self.first = np.unique(hashes, return_index=True)
+        self.first = np.append(self.first, len(postings))
+        self.of, self.at = (np.array([p[c] for p in postings], np.int64) for c in (1, 2))
+        self.needed = np.array(self.needed)
         self.mask = np.zeros(1 << 16, bool)
         self.mask[(self.keys >> np.uint64(48)).astype(np.int64)] = True
 
-    def scan(self, words: np.ndarray, first: np.ndarray) -> list[tuple[np.ndarray, ...]]:
-        """Verified matches: for each template (document, file position of its start, share in place)."""
-        maybe = np.flatnonzero(self.mask[(words >> np.uint64(48)).astype(np.int64)])
-        at = np.minimum(np.searchsorted(self.keys, words[maybe]), len(self.keys) - 1)
-        hit = self.keys[at] == words[maybe]
-        maybe, at = maybe[hit], at[hit]
-        votes: dict[int, list[np.ndarray]] = {}
-        for w in np.unique(at):
-            places = maybe[at == w]
-            for k, i in self.postings[w]:
-                votes.setdefault(k, []).append(places - i)
-        out = []
-        for k, starts in votes.items():
-            start, n = np.unique(np.concatenate(starts), return_counts=True)
-            start = start[n >= self.needed[k]]
-            seq = self.sequence[k]
-            # the document of a rare word of the match; words before or after it in the text do not count
-            doc = np.searchsorted(first, np.maximum(start, 0) if not len(seq) else np.minimum(start + self.anchor(k), len(words) - 1), side="right") - 1
-            lo, hi = first[doc], first[doc + 1]
-            place = start[:, None] + np.arange(len(seq))
-            good = (place >= lo[:, None]) & (place < hi[:, None])
-            good &= words[np.clip(place, 0, max(0, len(words) - 1))] == seq if len(words) else False
-            whole = np.ones(len(start), bool)
-            for a, m in self.phrases[k]:
-                whole &= good[:, a : a + m].all(axis=1)
-            if whole.any():
-                out.append((k, doc[whole], (start - lo)[whole], good[whole].mean(axis=1)))
+    def _key_phrases(self, ws: list[str], idf: dict[str, float]) -> list[np.ndarray]:
+        """The rarest runs of three words that don't overlap."""
+        taken, out = set(), []
+        for i in sorted(range(len(ws) - 2), key=lambda i: (-sum(idf[w] for w in ws[i : i + 3]), i)):
+            if not taken & {i, i + 1, i + 2}:
+                taken |= {i, i + 1, i + 2}
+                out.append(_hash_words(ws[i : i + 3]))
+            if len(out) == min(KEY_PHRASES, max(1, len(ws) // 4)):
+                break
         return out
 
-    def anchor(self, k: int) -> int:
-        """A place of the template that every verified match fills: the start of a key phrase."""
-        return self.phrases[k][0][0]
-
-
-def _find(words: list[str], phrase: list[str]) -> int:
-    for i in range(len(words) - len(phrase) + 1):
-        if words[i : i + len(phrase)] == phrase:
-            return i
-    raise ValueError(f"the key phrase {' '.join(phrase)} is not in its template")
+    def votes(self, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(template, template place, text, place in the text) of each posting that a word meets."""
+        maybe = np.flatnonzero(self.mask[(words >> np.uint64(48)).astype(np.int64)])
+        key = np.minimum(np.searchsorted(self.keys, words[maybe]), len(self.keys) - 1)
+        hit = self.keys[key] == words[maybe]
+        place, key = maybe[hit], key[hit]
+        n = self.first[key + 1] - self.first[key]
+        posting = np.repeat(self.first[key] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        place = np.repeat(place, n)
+        doc = np.searchsorted(first, place, side="right") - 1
+        return self.of[posting], self.at[posting], doc, place - first[doc]
+
+    def scan(self, words: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int, float]]:
+        """``(text, template, start, words, share)`` of each verified match."""
+        if not len(words):
+            return []
+        template, at, doc, place = self.votes(words, first)
+        short = self.together[template]
+        out = self._standing_together(words, first, template[short], doc[short], (place - at)[short])
+        out += self._in_order(words, first, template[~short], at[~short], doc[~short], place[~short])
+        return out
 
+    def _standing_together(self, words, first, template, doc, start) -> list:
+        out = []
+        for k in np.unique(template).tolist():
+            mine = template == k
+            d, s, size = doc[mine], start[mine], int(self.length[k])
+            fits = (s >= 0) & (s + size <= (first[d + 1] - first[d]))
+            d, s = d[fits], s[fits]
+            same = (words[(first[d] + s)[:, None] + np.arange(size)] == self.sequence[k]).all(axis=1)
+            out += [(x, k, y, size, 1.0) for x, y in zip(d[same].tolist(), s[same].tolist(), strict=True)]
+        return out
 
-def scan(docs: DataFrame, text_column: str = "text", templates: tuple[Template, ...] = BASE + WIDER) -> DataFrame:
-    """``docs`` with n_words, n_base, first_word, last_word, base_labels, labels, score, matches added."""
-    small_batches(docs)
-    columns = [c for c in docs.columns if c not in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "matches")]
-    at = columns.index(text_column)
+    def _in_order(self, words, first, template, at, doc, place) -> list:
+        if not len(template):
+            return []
+        # band b holds relative positions from (b - 1) to (b + 1) widths, counted from minus the template's length
+        band = (place - at + self.length[template]) // self.band[template]
+        bands = int(band.max()) + 2
+        code = (doc * len(self.templates) + template) * bands + band
+        most = int(self.length.max()) + 1
+        code = np.unique(np.concatenate([code, code + 1]) * most + np.concatenate([at, at])) // most
+        code, n = np.unique(code, return_counts=True)
+        enough = n >= self.needed[code // bands % len(self.templates)]
+        code, n = code[enough], n[enough]
+        found: dict[int, list[tuple]] = {}
+        run = np.cumsum(np.append(True, np.diff(code) != 1)) if len(code) else code
+        for r in np.unique(run):
+            mine = np.flatnonzero(run == r)
+            best = int(code[mine[np.argmax(n[mine])]])
+            d, k, b = best // bands // len(self.templates), best // bands % len(self.templates), best % bands
+            width, size = int(self.band[k]), int(self.length[k])
+            low = (b - 1) * width - size
+            a, z = max(0, low), min(int(first[d + 1] - first[d]), low + 2 * width + size)
+            text = words[first[d] + a : first[d] + z]
+            chain = rising_chain(self.sequence[k], text, low - a, low - a + 2 * width)
+            phrases = sum(_stands(p, text) for p in self.phrases[k])
+            if chain and len(chain) >= SHARE * size and 2 * phrases >= len(self.phrases[k]):
+                start, span = a + chain[0], chain[-1] - chain[0] + 1
+                found.setdefault(d, []).append((2 * len(chain) / (size + span), d, k, start, span, len(chain) / size))
+        return [m[1:] for ms in found.values() for m in self._most_alike(ms)]
+
+    def _most_alike(self, matches: list[tuple]) -> list[tuple]:
+        """Of matches of different labels that share most of a place, the most alike."""
+        kept: list[tuple] = []
+        for m in sorted(matches, key=lambda m: (-m[0], m[2])):
+            label, a, z = self.templates[m[2]].label, m[3], m[3] + m[4]
+            if not any(self.templates[o[2]].label != label and 2 * (min(z, o[3] + o[4]) - max(a, o[3])) > z - a for o in kept):
+                kept.append(m)
+        return kept
+
+
+def rising_chain(template: np.ndarray, text: np.ndarray, low: int, high: int) -> list[int]:
+    """Places in the text of the longest chain of equal words that rises in both, with relative positions in a band."""
+    order = np.argsort(text, kind="stable")
+    begin, end = (np.searchsorted(text[order], template, side=x) for x in ("left", "right"))
+    n = end - begin
+    i = np.repeat(np.arange(len(template)), n)
+    f = order[np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())]
+    inside = (f - i >= low) & (f - i <= high)
+    i, f = i[inside], f[inside]
+    order = np.lexsort((-f, i))
+    tails, last, back = [], [], []
+    places = f[order].tolist()
+    for p, x in enumerate(places):
+        k = bisect_left(tails, x)
+        back.append(last[k - 1] if k else -1)
+        if k == len(tails):
+            tails.append(x), last.append(p)
+        else:
+            tails[k], last[k] = x, p
+    chain, p = [], last[-1] if last else -1
+    while p >= 0:
+        chain.append(places[p])
+        p = back[p]
+    return chain[::-1]
+
+
+def _stands(phrase: np.ndarray, text: np.ndarray) -> bool:
+    size = len(text) - len(phrase) + 1
+    return size > 0 and bool(np.logical_and.reduce([text[k : k + size] == w for k, w in enumerate(phrase)]).any())
+
+
+def scan(docs: DataFrame, text_column: str = "text", known: tuple[Template, ...] | None = None) -> DataFrame:
+    """``docs`` with n_words, n_base, first_word, last_word, base_labels, labels, score, matches added.
+
+    ``known``: the wordings, ``templates()`` if not given; they are sent to every task and must be few.
+    """
+    known = templates() if known is None else known
+    if (size := sum(len(t.text) for t in known)) > 32 << 20:
+        raise ValueError(f"{size} characters of licences are too many to send to every task")
+    columns = [c for c in docs.columns if c not in ADDED]
     match_kind = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("words", pa.int32()), ("share", pa.float64())]))
 
     def run(batches):
-        index = PositionalIndex(templates)
-        for s in slices(batches, columns[at]):
+        index = PositionalIndex(known)
+        for s in slices(batches, text_column):
             start, end, first = s.words(ALNUM)
             words = span_hash(prefix_sums(s.buf, _TABLE), start, end)
             found: list[list] = [[] for _ in range(s.n)]
-            for k, docs_, places, share in index.scan(words, first):
-                for d, p, x in zip(docs_.tolist(), places.tolist(), share.tolist(), strict=True):
-                    found[d].append((k, p, x))
-            rows = {c: [] for c in ("n_base", "first", "last", "base", "labels", "score", "matches")}
+            for d, k, p, n, x in index.scan(words, first):
+                found[d].append((p, k, n, x))
+            rows = {c: [] for c in ADDED[1:]}
             for f in found:
-                base = sorted(p for k, p, _ in f if templates[k].base)
+                base = sorted(p for p, k, _, _ in f if known[k].base)
                 rows["n_base"].append(len(base))
-                rows["first"].append(base[0] if base else None)
-                rows["last"].append(base[-1] if base else None)
-                rows["base"].append(",".join(sorted({templates[k].label for k, _, _ in f if templates[k].base})))
-                kept = [(k, p, x) for k, p, x in f if templates[k].base or x >= 0.6]
-                rows["labels"].append(",".join(sorted({templates[k].label for k, _, _ in kept})))
-                # a bare phrase is weaker evidence than a whole notice
-                rows["score"].append(max((x * (0.5 if templates[k].base else 1.0) for k, _, x in kept), default=0.0))
-                rows["matches"].append([{"label": templates[k].label, "start": p, "words": len(index.sequence[k]), "share": x} for k, p, x in sorted(kept, key=lambda y: (y[1], y[0]))])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *s.rows.columns,
-                    pa.array(np.diff(first).astype(np.int64)),
-                    pa.array(rows["n_base"], pa.int64()),
-                    pa.array(rows["first"], pa.int64()),
-                    pa.array(rows["last"], pa.int64()),
-                    pa.array(rows["base"], pa.string()),
-                    pa.array(rows["labels"], pa.string()),
-                    pa.array(rows["score"], pa.float64()),
-                    pa.array(rows["matches"], match_kind),
-                ],
-                [*columns, "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "matches"],
-            )
+                rows["first_word"].append(base[0] if base else None)
+                rows["last_word"].append(base[-1] if base else None)
+                rows["base_labels"].append(",".join(sorted({known[k].label for _, k, _, _ in f if known[k].base})))
+                rows["labels"].append(",".join(sorted({known[k].label for _, k, _, _ in f})))
+                # a bare phrase is weaker evidence than a statement, a notice or a whole text
+                rows["score"].append(max((x * (0.5 if known[k].base else 1.0) for _, k, _, x in f), default=0.0))
+                rows["matches"].append([{"label": known[k].label, "start": p, "words": n, "share": x} for p, k, n, x in sorted(f)])
+            kinds = dict(zip(ADDED, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), match_kind), strict=True))
+            added = [pa.array(np.diff(first).astype(np.int64)), *(pa.array(rows[c], kinds[c]) for c in ADDED[1:])]
+            yield pa.RecordBatch.from_arrays([*s.rows.columns, *added], [*columns, *ADDED])
+        release()
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in columns)
-    return docs.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(
+    return small_batches(docs.select(*[F.col(f"`{c}`") for c in columns])).mapInArrow(
         run,
         f"{kinds}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double,"
         " matches array<struct<label:string,start:long,words:int,share:double>>",
