@@ -5,7 +5,9 @@ rendered as its completion, with the character spans that a loss may see: assist
 marker. Everything else of a completion, and the whole prompt, is masked.
 
 Turns are ordered by turn, then role, then text. A null role is ``unknown``, a null text is empty; turns
-without a conversation id belong to none. Two equal conversations give two empty completions.
+without a conversation id belong to none; repeated turns are turns each. Two equal conversations give two empty
+completions, a null one has no turns. Repeated pairs are formatted alike, an empty table gives an empty one. A
+conversation is one row, however long its texts. Input columns named like an added one are replaced, others stay.
 """
 
 from __future__ import annotations
@@ -56,31 +58,37 @@ def common_turns(a: Column, b: Column) -> Column:
     return F.when(first == 0, F.size(a)).otherwise((first - 1).cast("int"))
 
 
+#: Columns that ``preference_format`` adds.
+ADDED = ("prompt_turns", "prompt", "chosen", "chosen_spans", "rejected", "rejected_spans")
+
+
 def preference_format(pairs: DataFrame, chosen: str = "chosen", rejected: str = "rejected") -> DataFrame:
     """``pairs`` with prompt_turns, prompt, and of both sides the completion and its trainable spans.
 
     ``chosen`` and ``rejected`` are turn lists as ``conversations`` gives them; both are replaced.
     """
-    with_prefix = pairs.withColumn("prompt_turns", common_turns(F.col(chosen), F.col(rejected)))
+    kept = [c for c in pairs.columns if c not in (chosen, rejected, *ADDED)]
+    none = F.array().cast(pairs.schema[chosen].dataType.simpleString())
+    # the caller's columns travel in one struct, so that none clashes with a name used here
+    sides = pairs.select(
+        F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`") for c in kept]).alias("row"),
+        F.coalesce(F.col(f"`{chosen}`"), none).alias("c"),
+        F.coalesce(F.col(f"`{rejected}`"), none).alias("r"),
+    )
+    n = F.col("n")
 
     def rest(side: str) -> Column:
-        return F.slice(F.col(side), F.col("prompt_turns") + 1, F.greatest(F.size(side) - F.col("prompt_turns"), F.lit(0)))
-
-    cut = with_prefix.select(
-        *[F.col(c) for c in pairs.columns if c not in (chosen, rejected)],
-        "prompt_turns",
-        F.slice(F.col(chosen), F.lit(1), F.col("prompt_turns")).alias("__p"),
-        rest(chosen).alias("__c"),
-        rest(rejected).alias("__r"),
-    )
+        return F.slice(F.col(side), n + 1, F.greatest(F.size(side) - n, F.lit(0)))
+
+    cut = sides.withColumn("n", common_turns(F.col("c"), F.col("r"))).select("row", "n", F.slice("c", F.lit(1), n).alias("p"), rest("c").alias("c"), rest("r").alias("r"))
     return cut.select(
-        *[c for c in pairs.columns if c not in (chosen, rejected)],
-        "prompt_turns",
-        render(F.col("__p")).alias("prompt"),
-        render(F.col("__c")).alias("chosen"),
-        trainable(F.col("__c")).alias("chosen_spans"),
-        render(F.col("__r")).alias("rejected"),
-        trainable(F.col("__r")).alias("rejected_spans"),
+        *[F.col(f"row.`{c}`").alias(c) for c in kept],
+        n.alias("prompt_turns"),
+        render(F.col("p")).alias("prompt"),
+        render(F.col("c")).alias("chosen"),
+        trainable(F.col("c")).alias("chosen_spans"),
+        render(F.col("r")).alias("rejected"),
+        trainable(F.col("r")).alias("rejected_spans"),
     )
 
 
