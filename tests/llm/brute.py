@@ -67,6 +67,19 @@ def quality(text):
     return len(w), sum(map(len, w)), sum(text.count(c) for c in "#*$%&|<>"), dup, len(covered)
 
 
+def ratios(text):
+    """What quality rules may test, from their definitions."""
+    text = text or ""
+    n, chars, symbols, dup, repeats = quality(text)
+    w, lines = SPACED.findall(text), [x for x in text.split("\n") if SPACED.search(x)]
+    count = lambda known: sum(c in known for c in text)
+    return {
+        "words": n, "word_length": chars / max(1, n), "symbols": symbols / max(1, n), "shouts": count("!") / max(1, n),
+        "capitals": count("ABCDEFGHIJKLMNOPQRSTUVWXYZ") / max(1, chars), "digits": count("0123456789") / max(1, chars),
+        "dup_lines": dup / max(1, len(lines)), "repeats": repeats / max(1, n), "distinct": len(set(w)) / max(1, n),
+    }
+
+
 PHRASES = {"mit": ["mit", "license"], "apache": ["apache", "license"], "gpl": ["general", "public", "license"]}
 
 
@@ -77,6 +90,25 @@ def licences(text):
     return len(w), len(at), min(at) if at else None, max(at) if at else None, ",".join(sorted({k for _, k in hits}))
 
 
+def chain_length(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        left = 0
+        for j, y in enumerate(b):
+            row[j + 1], left = (left + 1 if x == y else max(row[j + 1], row[j])), row[j + 1]
+    return row[-1]
+
+
+def licence_labels(text, known):
+    w, labels = ALNUM.findall(lower(text)), set()
+    for t in known:
+        p = ALNUM.findall(lower(t.text))
+        together = any(w[i : i + len(p)] == p for i in range(len(w)))
+        if together or (not t.together and chain_length(p, w) >= 0.6 * len(p)):
+            labels.add(t.label)
+    return ",".join(sorted(labels))
+
+
 def search(rows, asked, k):
     bags = {i: Counter(ALNUM.findall(lower(t))) for i, t in rows}
     df = Counter(w for c in bags.values() for w in c)

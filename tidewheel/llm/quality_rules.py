@@ -8,7 +8,9 @@ and bucket. The list is emitted as one ordered conditional expression.
 
 Learning uses at most ``max_labelled`` labelled rows, those with the smallest hash of the id. Null and
 empty texts measure zero everywhere. Labels that are null or lack a document are ignored; without labels of
-both kinds the list is empty and keeps all.
+both kinds the list is empty and keeps all. Repeated rows are measured alike, an empty table gives an empty one, a
+text is one row however long. Conditions that gain alike are tried in the order of ``FEATURES`` and borders. An input
+column named like an added one is replaced, others stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,8 +35,11 @@ def _count_of(text: Column, characters: str) -> Column:
 
 def measure(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """``docs`` with a struct ``m`` of counts; each step names a column that the next reads more than once."""
-    text = F.coalesce(F.col(text_column), F.lit(""))
-    one = docs.withColumn("__text", text).withColumn("__words", F.array_remove(F.split(F.coalesce(F.col(text_column), F.lit("")), _SPLIT), ""))
+    kept = [c for c in docs.columns if c != "m"]
+    text = F.coalesce(F.col(f"`{text_column}`"), F.lit(""))
+    # the caller's columns travel in one struct, so that none clashes with a name used here
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("__row"), text.alias("__text"))
+    one = own.withColumn("__words", F.array_remove(F.split("__text", _SPLIT), ""))
     lines = F.filter(F.split("__text", "\n"), lambda x: F.length(F.translate(x, SEPARATORS, "")) > 0)
     two = one.withColumn("__lines", lines).withColumn("__n", F.size("__words"))
     windows = F.transform(
@@ -68,7 +73,7 @@ def measure(docs: DataFrame, text_column: str = "text") -> DataFrame:
         _count_of(F.col("__text"), "0123456789").alias("n_digits"),
         F.size(F.array_distinct("__words")).cast("long").alias("n_distinct"),
     )
-    return four.withColumn("m", struct).drop("__text", "__words", "__lines", "__n", "__t", "__s")
+    return four.select(*[F.col(f"__row.`{c}`").alias(c) for c in kept], struct.alias("m"))
 
 
 def features() -> dict[str, Column]:

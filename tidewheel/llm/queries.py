@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from tidewheel.llm import bpe, chat_format, license_scan, mixing, ngram_join, quality_rules, suffix_dedup, topk_search, toxicity, url_filter
 
+#: Whole licences besides the built-in wordings, where the driver has them.
+LICENSES = "/usr/share/common-licenses"
+
 QUERIES: dict = {}
 ORACLES: dict = {}
 
@@ -86,7 +89,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return license_scan.scan(docs).drop("text", "matches")
+    return license_scan.scan(docs, known=license_scan.templates(LICENSES)).drop("text", "matches")
 
 
 @query
