@@ -63,10 +63,31 @@ def test_blocks_equal_definition(spark):
     table = {n: [math.sin(n * k + k * k) for k in range(1, 9)] for n in range(60)}
     v = vectors(spark, table)
     want = {(r["src"], r["dst"]): r["sim"] for r in similarity.similar_pairs_reference(v, 0.3).collect()}
-    for rows in (512, 7):
+    for rows in (None, 512, 7):
         assert {(r["src"], r["dst"]): r["sim"] for r in similarity.similar_pairs(v, 0.3, rows).collect()} == want
 
 
+def test_equal_vectors_are_one_vertex(spark):
+    """Many equal vectors: pairs among the different ones only, stars for the rest, the same clusters and statistics."""
+    table = {n: [1.0, 2.0, 3.0] if n % 3 else [float(n), 1.0, -1.0] for n in range(1, 300)}
+    v = vectors(spark, table)
+    classes = {r["item_id"]: r["rep"] for r in similarity.vector_classes(v).collect()}
+    assert all(classes[f"o/r:pr:{n}"] == ("o/r:pr:1" if n % 3 else f"o/r:pr:{n}") for n in table)
+    every = similarity.similar_pairs_reference(v, 0.9)
+    firsts = set(classes.values())
+    want = {(r["src"], r["dst"]): r["sim"] for r in every.collect() if {r["src"], r["dst"]} <= firsts}
+    assert {(r["src"], r["dst"]): r["sim"] for r in similarity.similar_pairs(v, 0.9).collect()} == want
+    edges = similarity.similar_edges(v, 0.9)
+    assert edges.count() == len(want) + sum(a != b for a, b in classes.items())
+    parts = {r["item_id"]: r["cluster_key"] for r in clusters.item_components(edges).collect()}
+    whole = connected_components(every, "src", "dst")
+    assert parts == {r["id"]: r["component"] for r in whole.collect()}
+    members = spark.createDataFrame([(7, i) for i in classes], "cluster_key long, item_id string")
+    pairs = similarity.similar_pairs_reference(v, -1.0).agg(F.avg("sim"), F.min("sim")).first()
+    got = similarity.pair_statistics(members, v).first()
+    assert got["min_similarity"] == pairs[1] and got["avg_similarity"] == pytest.approx(pairs[0], abs=1e-12)
+
+
 def test_statistics_do_not_depend_on_tiles(spark):
     table = {n: [math.cos(n / 40), math.sin(n / 40), 0.1 * n % 1] for n in range(40)}
     members = spark.createDataFrame([(7, f"o/r:pr:{n}") for n in table], "cluster_key long, item_id string")

@@ -1,23 +1,34 @@
 """Commands over a store: ``python -m tidewheel --store PATH COMMAND``.
 
-Results go to stdout as line JSON or markdown; nothing is written to any service.
+Results go to stdout as line JSON or markdown; nothing is written to any service. ``scan`` and ``triage`` read
+records through a transport (``module:function``, see ``tidewheel.sources.api``) or a folder of event files, and write
+to the store only. ``reset`` needs ``--yes``.
 """
 
 from __future__ import annotations
 
 import argparse
+import importlib
+import json
 import sys
+import time
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewheel.functions import mapping, scoring
-from tidewheel.functions.text import clean_title
+from tidewheel.functions.text import clean_title, week_start
+from tidewheel.functions.vectors import truncate
 from tidewheel.operators import clusters, identity, similarity, stats, vision
-from tidewheel.plans import export
-from tidewheel.sources import config, ingest
+from tidewheel.operators.canonical import decide
+from tidewheel.operators.components import checkpointed
+from tidewheel.plans import digest, export
+from tidewheel.sources import config, ingest, reviews
+from tidewheel.sources import scan as scanning
+from tidewheel.sources.api import ItemPages
 from tidewheel.sources.store import Store
+from tidewheel.streaming import triage
 
 
 def _session() -> SparkSession:
@@ -67,13 +78,84 @@ def contract(store: Store, settings: config.Config, threshold: float | None = No
     return first.unionByName(export.contract_clusters(found, members, t, first_index=groups.count())).orderBy("index")
 
 
+def scan_repo(store: Store, settings: config.Config, repo: str, transport: str, provider: ingest.EmbeddingProvider) -> scanning.ScanReport:
+    """Fetch a repository's open items, and closed ones where incident windows are declared, and bring the store up to date."""
+    spark = store.spark
+    spark.dataSource.register(ItemPages)
+    pages = None
+    for options in scanning.fetch_plan(settings.windows):
+        one = spark.read.format("item_pages").options(transport=transport, repo=repo, **options).load()
+        pages = one if pages is None else pages.unionByName(one)
+    return scanning.scan(store, repo, ingest.fetched_items(checkpointed(pages), repo), provider)
+
+
+def triage_folder(store: Store, settings: config.Config, folder: str, checkpoint: str, provider: ingest.EmbeddingProvider) -> list[dict]:
+    """Drain a folder of events: items are stored, matched with what was there before, and what a comment or a closure would be is told."""
+    told: list[dict] = []
+
+    def load():
+        return items_of(store, settings).select("item_id", "type", "number", "created_at", "author", "author_is_bot"), store.read("embeddings").select("item_id", "embedding")
+
+    def keep(new: DataFrame, batch: int) -> None:
+        store.upsert("items", new)
+        space = ingest.embedding_space(provider.name, provider.name, provider.dims)
+        store.upsert("embeddings", new.select("item_id", "embedding").withColumn("embedding_space", F.lit(space)))
+
+    def emit(matches: DataFrame, batch: int) -> None:
+        told.extend(r.asDict() for r in export.triage_actions(matches).orderBy("item_id", "action").collect())
+
+    t = settings.thresholds.duplicate
+    triage.triage_stream(triage.read_events(store.spark, folder), provider, load, keep, emit, checkpoint, threshold=t, bot_logins=settings.bot_logins).awaitTermination()
+    return told
+
+
+def benchmark(store: Store, settings: config.Config, dims: int, threshold: float) -> dict:
+    """How clusters on the first ``dims`` dimensions differ from those on all, with the membership of both."""
+    items, full = items_of(store, settings), store.read("embeddings").select("item_id", "embedding")
+    sides, heads, seconds = [], [], []
+    for vectors in (full, full.withColumn("embedding", truncate(F.col("embedding"), dims))):
+        began = time.perf_counter()
+        found, members = clusters.find_clusters(items, vectors, threshold, settings.include_bots, settings.bot_logins)
+        members = checkpointed(members)
+        sides.append(members.select(F.col("cluster_id").alias("id"), F.col("item_id").alias("item")))
+        heads.append(found.join(decide(members), "cluster_id").select(F.col("cluster_id").alias("id"), "size", "theme", "canonical"))
+        seconds.append(round(time.perf_counter() - began, 3))
+    out = stats.dimension_study(*sides, *heads)
+    matches = checkpointed(stats.greedy_matches(stats.cluster_pairs(*sides)))
+    out["matches"] = [r.asDict() for r in matches.orderBy("id_a").collect()]
+    out["unmatched"] = [stats.unmatched(s, matches, side) for s, side in zip(sides, ("id_a", "id_b"), strict=True)]
+    out["seconds"] = seconds
+    return out
+
+
 def main(args: list[str]) -> int:
     p = argparse.ArgumentParser(prog="tidewheel")
     p.add_argument("--store", required=True)
     p.add_argument("--config", help="YAML settings")
     sub = p.add_subparsers(dest="command", required=True)
-    for name in ("dupes", "export", "report", "checklist"):
+    for name in ("dupes", "export", "checklist", "digest"):
         sub.add_parser(name).add_argument("--threshold", type=float)
+    told = sub.add_parser("report")
+    told.add_argument("--threshold", type=float)
+    told.add_argument("--vision", help="a document to compare items with")
+    told.add_argument("--json", action="store_true")
+    scan = sub.add_parser("scan")
+    scan.add_argument("--transport", required=True)
+    scan.add_argument("--repo", action="append", required=True)
+    events = sub.add_parser("triage")
+    events.add_argument("events")
+    events.add_argument("--checkpoint", required=True)
+    judge = sub.add_parser("review")
+    judge.add_argument("--provider", required=True, help="module:function that gives a provider")
+    judge.add_argument("--type", choices=("pr", "issue"))
+    judge.add_argument("--top", type=int)
+    study = sub.add_parser("benchmark")
+    study.add_argument("--dims", type=int, required=True)
+    study.add_argument("--threshold", type=float)
+    sub.add_parser("reset").add_argument("--yes", action="store_true")
+    of = sub.add_parser("cluster")
+    of.add_argument("item", help="id of an item, or a cluster's number")
+    of.add_argument("--threshold", type=float)
     sub.add_parser("rank").add_argument("--top", type=int, default=20)
     sub.add_parser("vision").add_argument("document")
     pair = sub.add_parser("compare")
@@ -97,12 +179,43 @@ def main(args: list[str]) -> int:
             print(row["json"])
     elif a.command == "checklist":
         found, members = dupes(store, settings, a.threshold)
-        print(export.checklist(found, members, ", ".join(settings.repos) or "all"))
+        sure = identity.confirmed(items_of(store, settings), store.read("diffs"), settings.include_bots, settings.bot_logins)
+        print(export.checklist(found, members, ", ".join(settings.repos) or "all repositories", sure))
+    elif a.command == "digest":
+        found, members = dupes(store, settings, a.threshold)
+        print(digest.weekly_digest(items_of(store, settings), found, members, week_start(F.current_timestamp())))
     elif a.command == "report":
         found, _ = dupes(store, settings, a.threshold)
         ranked = rank(store, settings, datetime.now(timezone.utc))
-        total = items_of(store, settings).count()
-        print(export.report(found, ranked, {"items": total, "clusters": found.count()}))
+        fit = alignment(store, settings, a.vision, ingest.HashingEmbedder()) if a.vision else None
+        totals = {"items": items_of(store, settings).count(), "clusters": found.count()}
+        print((export.report_json if a.json else export.report)(found, ranked, totals, fit))
+    elif a.command == "scan":
+        for repo in a.repo:
+            for line in scan_repo(store, settings, repo, a.transport, ingest.HashingEmbedder()).lines():
+                print(line)
+    elif a.command == "triage":
+        for row in triage_folder(store, settings, a.events, a.checkpoint, ingest.HashingEmbedder()):
+            print(json.dumps(row))
+    elif a.command == "review":
+        module, _, function = a.provider.partition(":")
+        provider = getattr(importlib.import_module(module), function)()
+        wanted = ingest.cached_diffs(items_of(store, settings), store.read("diffs"))
+        got = checkpointed(reviews.review(wanted, provider, a.type, a.top))
+        known = items_of(store, settings).select("item_id", "repo", "number", "type")
+        good = got.filter("error is null").join(known, "item_id")
+        store.upsert("reviews", good.select("number", "repo", "type", F.lit(provider.name).alias("provider"), F.lit(provider.model).alias("model"), "summary", "concerns", "recommendation", "confidence", F.current_timestamp().alias("reviewed_at")))
+        show(got.orderBy("item_id"))
+    elif a.command == "benchmark":
+        print(json.dumps(benchmark(store, settings, a.dims, settings.thresholds.duplicate if a.threshold is None else a.threshold)))
+    elif a.command == "reset":
+        if not a.yes:
+            p.error("reset forgets everything; say --yes")
+        store.reset()
+    elif a.command == "cluster":
+        _, members = dupes(store, settings, a.threshold)
+        wanted = members.filter(F.col("item_id") == a.item).select("cluster_id") if ":" in a.item else members.filter(F.col("cluster_id") == int(a.item)).select("cluster_id").distinct()
+        show(members.join(wanted, "cluster_id", "left_semi").select("cluster_id", "item_id", "score", clean_title(F.col("title")).alias("title")).orderBy("cluster_id", F.desc("score"), "item_id"))
     elif a.command == "rank":
         show(rank(store, settings, datetime.now(timezone.utc)).limit(a.top).select("item_id", "score", clean_title(F.col("title")).alias("title")))
     elif a.command == "vision":
@@ -120,5 +233,9 @@ def main(args: list[str]) -> int:
     return 0
 
 
-if __name__ == "__main__":
+def run() -> None:
     sys.exit(main(sys.argv[1:]))
+
+
+if __name__ == "__main__":
+    run()

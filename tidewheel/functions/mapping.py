@@ -71,7 +71,7 @@ def is_bot(author: Column, author_is_bot: Column, extra: tuple[str, ...] = ()) -
     return F.coalesce(author_is_bot, login.endswith("[bot]") | login.isin(*names))
 
 
-_INSTANT = re.compile(r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?(Z|[+-]\d{2}:\d{2})")
+_INSTANT = re.compile(r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?(Z|[+-]\d{2}:?\d{2})")
 
 
 @dataclass(frozen=True)
@@ -90,7 +90,7 @@ def compile_windows(entries: list[dict]) -> list[Window]:
         name = f"window {k} ({e.get('reason') or 'no reason'})"
         times = []
         for side in ("start", "end"):
-            text = str(e.get(side, ""))
+            text = str(e.get(side, "")).strip()
             if not _INSTANT.fullmatch(text):
                 raise ValueError(f"{name}: {side} needs a full ISO instant with an offset, not {text!r}")
             times.append(round(datetime.fromisoformat(text.replace("Z", "+00:00")).timestamp() * 1000))

@@ -55,15 +55,19 @@ def repo_parts(repo: Column) -> Column:
     return F.when(F.size(parts) == 2, F.struct(parts[0].alias("owner"), parts[1].alias("name")))
 
 
+#: What counts as a path with a slash, a name between back-ticks, a name standing alone, and what is cut from a path's end.
+PATH_WITH_SLASH = "(?:^|\\s|`|/|[(\\[\"'])([a-zA-Z0-9_\\-./]+/[a-zA-Z0-9_\\-./]*)"
+PATH_TICKED = "`([a-zA-Z0-9_\\-./]+\\.[a-zA-Z]{1,10})`"
+PATH_ALONE = "(?:^|\\s)([a-zA-Z0-9_\\-]+\\.[a-zA-Z]{1,10})(?:\\s|$|[,;:)])"
+PATH_TAIL = "[.,;:)}\\]'\"]+$"
+
+
 def paths(text: Column) -> Column:
     """File paths and names that a text mentions, each once, in order of kind and place."""
-    tail = "[.,;:)}\\]'\"]+$"
-    with_slash = F.regexp_extract_all(text, F.lit("(?:^|\\s|`|/|[(\\[\"'])([a-zA-Z0-9_\\-./]+/[a-zA-Z0-9_\\-./]*)"), 1)
-    with_slash = F.transform(F.filter(with_slash, lambda p: F.length(p) > 2), lambda p: F.regexp_replace(p, tail, ""))
-    ticked = F.filter(F.regexp_extract_all(text, F.lit("`([a-zA-Z0-9_\\-./]+\\.[a-zA-Z]{1,10})`"), 1), lambda p: F.length(p) > 2)
-    alone = F.regexp_extract_all(text, F.lit("(?:^|\\s)([a-zA-Z0-9_\\-]+\\.[a-zA-Z]{1,10})(?:\\s|$|[,;:)])"), 1)
-    alone = F.filter(alone, lambda p: (F.length(p) > 2) & ~p.rlike("^\\d+\\.\\d+$"))
-    return F.array_distinct(F.concat(with_slash, ticked, alone))
+    found = lambda pattern: F.filter(F.regexp_extract_all(text, F.lit(pattern), 1), lambda p: F.length(p) > 2)
+    with_slash = F.transform(found(PATH_WITH_SLASH), lambda p: F.regexp_replace(p, PATH_TAIL, ""))
+    alone = F.filter(found(PATH_ALONE), lambda p: ~p.rlike("^\\d+\\.\\d+$"))
+    return F.array_distinct(F.concat(with_slash, found(PATH_TICKED), alone))
 
 
 def path_matches(path: Column, pattern: Column) -> Column:
@@ -99,10 +103,17 @@ def percent(value: Column, digits: int = 1) -> Column:
     return F.format_string(f"%.{digits}f", value * 100)
 
 
+def endpoint_identity(url: Column) -> Column:
+    """A URL's origin and path: scheme and host in lower case, no credentials, default port, query, fragment or closing slash."""
+    part = lambda k: F.regexp_extract(url, "^\\s*([a-zA-Z][a-zA-Z0-9+.-]*)://(?:[^/?#]*@)?([^/?#]*)([^?#\\s]*)", k)
+    scheme, host = F.lower(part(1)), F.lower(part(2))
+    default = F.when(scheme == "https", ":443$").when(scheme == "http", ":80$").otherwise("$^")
+    return F.concat(scheme, F.lit("://"), F.regexp_replace(host, default, F.lit("")), F.regexp_replace(part(3), "/+$", ""))
+
+
 def endpoint_fingerprint(url: Column) -> Column:
     """Sixteen hex digits of the SHA-256 of a URL's origin and path."""
-    place = F.regexp_replace(F.regexp_extract(url, "^([^?#]*)", 1), "/+$", "")
-    return F.substring(F.sha2(place, 256), 1, 16)
+    return F.substring(F.sha2(endpoint_identity(url), 256), 1, 16)
 
 
 def week_start(ts: Column) -> Column:
@@ -111,16 +122,19 @@ def week_start(ts: Column) -> Column:
 
 
 def first_json_object(text: Column) -> Column:
-    """The first balanced ``{...}`` of a text, braces in strings counted like others; null if none closes."""
+    """The first balanced ``{...}`` of a text, braces in strings counted like others; null if none closes.
+
+    The text is cut at braces only, so the walk is as long as there are braces.
+    """
     start = F.locate("{", text)
-    rest = F.split(F.substr(text, F.greatest(start, F.lit(1))), "")
+    parts = F.split(F.substr(text, F.greatest(start, F.lit(1))), "(?=[{}])")
     depth = F.aggregate(
-        rest,
+        parts,
         F.struct(F.lit(0).alias("d"), F.lit(0).alias("n"), F.lit(0).alias("end")),
         lambda a, c: F.struct(
-            F.when(c == "{", a["d"] + 1).when(c == "}", a["d"] - 1).otherwise(a["d"]).alias("d"),
-            (a["n"] + 1).alias("n"),
-            F.when((a["end"] == 0) & (c == "}") & (a["d"] == 1), a["n"] + 1).otherwise(a["end"]).alias("end"),
+            F.when(c.startswith("{"), a["d"] + 1).when(c.startswith("}"), a["d"] - 1).otherwise(a["d"]).alias("d"),
+            (a["n"] + F.length(c)).alias("n"),
+            F.when((a["end"] == 0) & c.startswith("}") & (a["d"] == 1), a["n"] + 1).otherwise(a["end"]).alias("end"),
         ),
         lambda a: a["end"],
     )

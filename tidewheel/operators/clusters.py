@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.functions.mapping import is_bot
@@ -10,18 +10,15 @@ from tidewheel.functions.scoring import cluster_score, confidence
 from tidewheel.functions.vectors import cosine
 from tidewheel.operators.components import checkpointed, connected_components
 from tidewheel.operators.ordering import numbered
-from tidewheel.operators.similarity import eligible, pair_statistics, similar_pairs
-
+from tidewheel.operators.similarity import eligible, pair_statistics, similar_edges, vector_classes
 
 #: Edge tables up to this size find their components in one task.
 ONE_TASK_EDGES = 100_000
 
 
 def item_components(edges: DataFrame) -> DataFrame:
-    """``(item_id, cluster_key)``: components of at least two, named by a hash of their smallest hash."""
-    ids = edges.select(F.xxhash64("src").alias("a"), F.xxhash64("dst").alias("b"))
-    names = edges.select(F.col("src").alias("item_id")).union(edges.select("dst")).distinct().withColumn("id", F.xxhash64("item_id"))
-    return names.join(connected_components(ids, one_task_edges=ONE_TASK_EDGES), "id").select("item_id", F.col("component").alias("cluster_key"))
+    """``(item_id, cluster_key)``: components of at least two, named by their smallest item id."""
+    return connected_components(edges, "src", "dst", one_task_edges=ONE_TASK_EDGES).select(F.col("id").alias("item_id"), F.col("component").alias("cluster_key"))
 
 
 def refine(members: DataFrame, edges: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
@@ -29,10 +26,13 @@ def refine(members: DataFrame, edges: DataFrame, vectors: DataFrame, threshold:
 
     Kept are members whose cosine with the unweighted mean vector reaches the threshold, and members with an
     edge to one of those. Two or more of them are a cluster; the others form clusters among themselves.
+    ``edges`` are those of ``similar_edges``: items with equal vectors are near or far alike, so a neighbour of the
+    first of them is a neighbour of all.
     """
-    sized = members.withColumn("m", F.count("*").over(Window.partitionBy("cluster_key")))
-    small, large = sized.filter("m <= 3").select("item_id", "cluster_key"), sized.filter("m > 3").select("item_id", "cluster_key")
-    rows = large.join(vectors, "item_id")
+    sizes = members.groupBy("cluster_key").agg(F.count("*").alias("m"))
+    small = members.join(sizes.filter("m <= 3"), "cluster_key").select("item_id", "cluster_key")
+    large = members.join(sizes.filter("m > 3"), "cluster_key").select("item_id", "cluster_key")
+    rows = large.join(vector_classes(vectors), "item_id")
     # one mean per cluster and dimension, summed before the shuffle
     centroid = (
         rows.select("cluster_key", F.posexplode(F.col("embedding").cast("array<double>")).alias("d", "x"))
@@ -40,19 +40,21 @@ def refine(members: DataFrame, edges: DataFrame, vectors: DataFrame, threshold:
         .groupBy("cluster_key").agg(F.transform(F.sort_array(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("centroid"))
     )
     judged = checkpointed(
-        rows.join(centroid, "cluster_key").select("item_id", "cluster_key", (cosine(F.col("embedding"), F.col("centroid")) >= threshold).alias("near"))
+        rows.join(centroid, "cluster_key").select("item_id", "rep", "cluster_key", (cosine(F.col("embedding"), F.col("centroid")) >= threshold).alias("near"))
     )
     near = judged.filter("near").select("item_id", "cluster_key")
-    far = judged.filter("not near").select("item_id", "cluster_key")
+    far = judged.filter("not near")
     both = edges.select("src", "dst").union(edges.select("dst", "src"))
-    back = far.join(both.withColumnRenamed("src", "item_id"), "item_id").join(near.select(F.col("item_id").alias("dst")), "dst", "left_semi")
-    kept = near.union(back.select("item_id", "cluster_key").distinct())
-    main = kept.withColumn("m", F.count("*").over(Window.partitionBy("cluster_key"))).filter("m >= 2").select("item_id", "cluster_key")
-    left = far.join(back.select("item_id"), "item_id", "left_anti")
+    around = both.join(judged.filter("near").select(F.col("rep").alias("dst")).distinct(), "dst", "left_semi").select(F.col("src").alias("rep")).distinct()
+    back = far.join(around, "rep", "left_semi").select("item_id", "cluster_key")
+    kept = near.union(back)
+    main = kept.join(kept.groupBy("cluster_key").agg(F.count("*").alias("m")).filter("m >= 2"), "cluster_key").select("item_id", "cluster_key")
+    left = far.join(around, "rep", "left_anti").select("item_id", "cluster_key")
     mine = left.select(F.col("item_id").alias("src"), F.col("cluster_key").alias("ks"))
     theirs = left.select(F.col("item_id").alias("dst"), F.col("cluster_key").alias("kd"))
     again = checkpointed(edges.join(mine, "src").join(theirs, "dst").filter("ks = kd").select("src", "dst"))
-    return small.unionByName(main).unionByName(item_components(again).select("item_id", F.xxhash64("cluster_key", F.lit("again")).alias("cluster_key")))
+    loose = item_components(again).select("item_id", F.concat(F.lit("again "), "cluster_key").alias("cluster_key"))
+    return small.unionByName(main).unionByName(loose)
 
 
 def find_clusters(
@@ -70,13 +72,14 @@ def find_clusters(
     """
     bots = None if include_bots else items.filter(is_bot(F.col("author"), F.col("author_is_bot"), bot_logins)).select("item_id")
     taking = checkpointed(eligible(vectors, bots))
-    edges = checkpointed(similar_pairs(taking, threshold))
+    edges = checkpointed(similar_edges(taking, threshold))
     parts = item_components(edges)
     if refined:
         parts = refine(parts, edges, taking, threshold)
     parts = checkpointed(parts)
     scored = items.withColumn("score", cluster_score())
-    present = parts.join(scored, "item_id").withColumn("size", F.count("*").over(Window.partitionBy("cluster_key"))).filter("size >= 2")
+    found = parts.join(scored, "item_id")
+    present = found.join(found.groupBy("cluster_key").agg(F.count("*").alias("size")).filter("size >= 2"), "cluster_key")
     heads = present.groupBy("cluster_key").agg(
         F.any_value("size").alias("size"),
         F.min(F.struct("repo", "number", "item_id")).alias("low"),

@@ -16,9 +16,14 @@ MAX_ROUNDS = 60
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared checkpoint folder; sets one only where the session has none."""
+    """Cut lineage through the shared checkpoint folder, ``spark.checkpoint.dir``.
+
+    Where the session has none, a local session gets one; a cluster's executors could not share such a folder.
+    """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir("/tmp/checkpoints")
     return df.checkpoint(eager=True)
 
@@ -44,11 +49,13 @@ def _mark(edges: DataFrame) -> tuple:
 
 def _in_one_task(edges: DataFrame) -> DataFrame:
     """The same components by union-find in one task, for an edge table whose counted size allows it."""
+    kind = edges.schema["a"].dataType.simpleString()
+    arrow = pa.string() if kind == "string" else pa.int64()
 
     def run(batches):
-        parent: dict[int, int] = {}
+        parent: dict = {}
 
-        def root(x: int) -> int:
+        def root(x):
             while parent.setdefault(x, x) != x:
                 parent[x] = parent[parent[x]]
                 x = parent[x]
@@ -59,18 +66,19 @@ def _in_one_task(edges: DataFrame) -> DataFrame:
                 low, high = sorted((root(a), root(b)))
                 parent[high] = low
         ids = sorted(parent)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([root(x) for x in ids], pa.int64())], ["id", "component"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, arrow), pa.array([root(x) for x in ids], arrow)], ["id", "component"])
 
-    return edges.coalesce(1).mapInArrow(run, "id long, component long")
+    return edges.coalesce(1).mapInArrow(run, f"id {kind}, component {kind}")
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", one_task_edges: int = 0) -> DataFrame:
-    """``(id, component)`` for every vertex of ``edges``; component is the smallest id reachable.
+    """``(id, component)`` for every vertex of ``edges``; component is the smallest id reachable. Ids are strings or integers.
 
     Self loops contribute their vertex. An empty table gives an empty result. Nulls are ignored. Tables of at
     most ``one_task_edges`` edges are done in one task, which saves the rounds' overhead; others in rounds.
     """
-    whole = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).dropna()
+    kind = "string" if edges.schema[a].dataType.simpleString() == "string" else "long"
+    whole = edges.select(F.col(a).cast(kind).alias("a"), F.col(b).cast(kind).alias("b")).dropna()
     if one_task_edges and whole.limit(one_task_edges + 1).count() <= one_task_edges:
         return _in_one_task(whole)
     stars = checkpointed(

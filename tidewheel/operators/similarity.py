@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.functions.vectors import cosine, is_zero, l2, l2_to_cosine, unit
+from tidewheel.operators.components import checkpointed
 
-#: Vectors in a block of the blocked product; a task holds two blocks and their product.
-BLOCK_ROWS = 512
+#: Bytes of a block of vectors, rows of it that are multiplied at once, and numbers that are summed again at once.
+BLOCK_BYTES, STRIP_ROWS, FOLD_NUMBERS = 32 << 20, 512, 1 << 22
 #: Products are summed in another order by the matrix library, so they only propose pairs.
 MARGIN = 1e-6
 
@@ -35,40 +38,137 @@ def _fold(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.divide(dot, product, out=np.zeros_like(dot), where=product != 0)
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``(src, dst, sim)`` with src < dst and cosine >= threshold, by products of blocks of vectors.
+def _pairs_in(left: np.ndarray, right: np.ndarray, same: bool, keep) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``(i, j, sim)`` of row pairs whose product ``keep`` lets through, a strip of rows and a few pairs at a time.
 
-    Vectors are dealt to blocks by hash; each pair of blocks is one task's matrix product. The work is
-    quadratic in the vectors by definition, the rows shuffled are vectors times blocks, and a task's memory is
-    two blocks whatever the table's size.
+    ``same``: both are one block, of which each pair counts once.
     """
-    blocks = max(1, -(-vectors.count() // block_rows))
-    own = F.pmod(F.xxhash64("item_id"), F.lit(blocks)).cast("int")
-    dealt = vectors.withColumn("b", own).select(
-        "item_id", "embedding", "b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("o")
-    ).select("item_id", "embedding", "b", F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q"))
-
-    def product(table: pa.Table) -> pa.Table:
-        ids = np.array(table["item_id"].to_pylist(), dtype=object)
-        flat = table["embedding"].combine_chunks()
-        matrix = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
-        block = table["b"].to_numpy()
-        p, q = table["p"][0].as_py(), table["q"][0].as_py()
-        left, right = np.flatnonzero(block == p), np.flatnonzero(block == q)
+    scaled = []
+    for matrix in (left, right):
         length = np.linalg.norm(matrix, axis=1)
-        scaled = matrix / np.where(length == 0, 1, length)[:, None]
-        i, j = np.nonzero(scaled[left] @ scaled[right].T >= threshold - MARGIN)
-        i, j = left[i], right[j]
-        keep = i < j if p == q else np.ones(len(i), bool)
-        i, j = i[keep], j[keep]
-        sim = _fold(matrix[i], matrix[j]) if len(i) else np.zeros(0)
-        good = sim >= threshold
-        a, b, sim = ids[i[good]], ids[j[good]], sim[good]
-        low = np.where(a < b, a, b) if len(a) else a
-        high = np.where(a < b, b, a) if len(a) else b
-        return pa.table({"src": pa.array(low, pa.string()), "dst": pa.array(high, pa.string()), "sim": pa.array(sim, pa.float64())})
+        scaled.append(matrix / np.where(length == 0, 1, length)[:, None])
+    few = max(1, FOLD_NUMBERS // max(1, left.shape[1]))
+    for at in range(0, len(left), STRIP_ROWS):
+        sims = scaled[0][at : at + STRIP_ROWS] @ scaled[1].T
+        if same:
+            sims[np.arange(len(right)) <= at + np.arange(len(sims))[:, None]] = np.nan
+        i, j = np.nonzero(keep(sims))
+        for k in range(0, len(i), few):
+            x, y = at + i[k : k + few], j[k : k + few]
+            yield x, y, _fold(left[x], right[y])
+
+
+def _dealt(rows: DataFrame, keys: list[str], number: Column, others: Column) -> DataFrame:
+    """``rows`` dealt to pairs (p, q) of blocks, p at most q; each task gets whole pairs, one after another."""
+    pairs = rows.select(*keys, "item_id", "embedding", number.alias("b"), F.explode(others).alias("o")).select(
+        *keys, F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q"), "b", "item_id", F.col("embedding").cast("array<double>").alias("embedding")
+    )
+    return pairs.repartition(*keys, "p", "q").sortWithinPartitions(*keys, "p", "q", "b")
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list, np.ndarray, np.ndarray]]:
+    """``(key, ids, left, right)`` of each pair of blocks in sorted batches; ids are those of the left rows, then the right ones."""
+    now, names, held, blocks = None, [], [], []
+
+    def done():
+        block, matrix = np.array(blocks), np.concatenate(held)
+        left, right = (np.flatnonzero(block == x) for x in now[-2:])
+        return now, [names[k] for k in [*left, *right]], matrix[left], matrix[right]
+
+    for batch in batches:
+        columns = [batch.column(k).to_pylist() for k in range(keys + 4)]
+        lists = batch.column(keys + 4)
+        flat = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+        key = list(zip(*columns[: keys + 2], strict=True))
+        cuts = [0, *(k for k in range(1, len(key)) if key[k] != key[k - 1]), len(key)]
+        for a, z in zip(cuts, cuts[1:], strict=False):
+            if a == z:
+                continue
+            if key[a] != now:
+                if now is not None:
+                    yield done()
+                now, names, held, blocks = key[a], [], [], []
+            names += columns[keys + 3][a:z]
+            blocks += columns[keys + 2][a:z]
+            held.append(flat[a:z])
+    if now is not None:
+        yield done()
+
+
+def _block_count(vectors: DataFrame, block_rows: int | None) -> int:
+    """Blocks of bounded bytes, and enough of them for all cores where there are vectors enough."""
+    first = vectors.select(F.size("embedding")).first()
+    n = vectors.count()
+    rows = block_rows or max(1, BLOCK_BYTES // (8 * max(1, first[0] if first else 1)))
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    return max(1, -(-n // rows), 1 if block_rows else min(-(-n // 256), int((2 * cores) ** 0.5) + 1))
+
+
+def vector_classes(vectors: DataFrame) -> DataFrame:
+    """``vectors`` with ``rep``, the smallest id that has an equal vector.
+
+    Only vectors that occur twice are looked up, so the join's other side is small or can be split.
+    """
+    often = checkpointed(vectors.groupBy("embedding").agg(F.min("item_id").alias("rep"), F.count("*").alias("n")).filter("n > 1").drop("n"))
+    return vectors.join(often, "embedding", "left").select("item_id", "embedding", F.coalesce("rep", "item_id").alias("rep"))
+
+
+def similar_pairs(vectors: DataFrame, threshold: float, block_rows: int | None = None) -> DataFrame:
+    """``(src, dst, sim)`` with src < dst and cosine >= threshold, of different vectors, by products of blocks.
+
+    Equal vectors are one vertex, their smallest id (see ``vector_classes``): what the smallest is similar to, the
+    others are too. Each pair of blocks is one task's product, taken in strips, and its pairs are summed again a
+    few at a time, so a task's memory is two blocks whatever is similar. The work is quadratic in the different
+    vectors by definition; each is sent to every block, and blocks are as large as memory allows.
+    """
+    different = vectors.groupBy("embedding").agg(F.min("item_id").alias("item_id")).select("item_id", "embedding")
+    blocks = _block_count(vectors, block_rows)
+    dealt = _dealt(different, [], F.pmod(F.xxhash64("item_id"), F.lit(blocks)).cast("int"), F.sequence(F.lit(0), F.lit(blocks - 1)))
+
+    def run(batches):
+        for (p, q), names, left, right in _groups(batches, 0):
+            a, b = np.array(names[: len(left)], object), np.array(names[len(left) :] if p != q else names[: len(left)], object)
+            for i, j, sim in _pairs_in(left, right, p == q, lambda sims: sims >= threshold - MARGIN):
+                good = sim >= threshold
+                x, y = a[i[good]], b[j[good]]
+                if len(x):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.where(x < y, x, y), pa.string()), pa.array(np.where(x < y, y, x), pa.string()), pa.array(sim[good])], ["src", "dst", "sim"]
+                    )
+
+    return dealt.mapInArrow(run, "src string, dst string, sim double")
+
+
+def similar_edges(vectors: DataFrame, threshold: float) -> DataFrame:
+    """Edges that connect what all similar pairs connect: those of different vectors, and each copy with its first."""
+    copies = vector_classes(vectors).filter("rep <> item_id")
+    self = cosine(F.col("embedding"), F.col("embedding"))
+    stars = copies.select(F.col("rep").alias("src"), F.col("item_id").alias("dst"), self.alias("sim")).filter(F.col("sim") >= threshold)
+    return similar_pairs(vectors, threshold).unionByName(stars)
+
 
-    return dealt.groupBy("p", "q").applyInArrow(product, "src string, dst string, sim double")
+def cross_pairs(asked: DataFrame, stored: DataFrame, threshold: float) -> DataFrame:
+    """``(item_id, match, sim)`` of each asked vector and each stored one with cosine >= threshold, block by block.
+
+    Neither side is sent whole to a task. Both are ``(item_id, embedding)``; an id may be on both sides.
+    """
+    a, b = _block_count(asked, None), _block_count(stored, None)
+    number = lambda n: F.pmod(F.xxhash64("item_id"), F.lit(n)).cast("int")
+    ask = asked.select("item_id", "embedding", number(a).alias("n"), F.sequence(F.lit(a), F.lit(a + b - 1)).alias("others"))
+    hold = stored.select("item_id", "embedding", (number(b) + a).alias("n"), F.sequence(F.lit(0), F.lit(a - 1)).alias("others"))
+    dealt = _dealt(ask.unionByName(hold), [], F.col("n"), F.col("others"))
+
+    def run(batches):
+        for _, names, left, right in _groups(batches, 0):
+            x, y = np.array(names[: len(left)], object), np.array(names[len(left) :], object)
+            if not len(left) or not len(right):
+                continue
+            for i, j, sim in _pairs_in(left, right, False, lambda sims: sims >= threshold - MARGIN):
+                good = sim >= threshold
+                if good.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(x[i[good]], pa.string()), pa.array(y[j[good]], pa.string()), pa.array(sim[good])], ["item_id", "match", "sim"])
+
+    return dealt.mapInArrow(run, "item_id string, match string, sim double")
 
 
 def one_against_all(vectors: DataFrame, query: list[float], threshold: float, skip: str | None = None) -> DataFrame:
@@ -102,67 +202,77 @@ def best_section(vectors: DataFrame, sections: DataFrame, aligned: float = 0.65,
     """Each item's best section, strictly above 0 and the first among equals, and its class.
 
     ``sections`` (idx, heading, embedding) is one document's outline: its rows are counted before they are sent
-    to every task.
+    to every task as one matrix. Scores near the best are summed again from left to right.
     """
     if (n := sections.count()) > 10_000:
         raise ValueError(f"{n} sections are not an outline")
     rows = sections.orderBy("idx").select("idx", "heading", F.col("embedding").cast("array<double>").alias("embedding")).collect()
-    outline = F.array(*[F.struct(F.lit(-r["idx"]).alias("i"), F.lit(r["heading"]).alias("h"), F.array(*map(F.lit, r["embedding"])).alias("e")) for r in rows])
-    scored = F.transform(outline, lambda s: F.struct(cosine(F.col("embedding"), s["e"]).alias("sim"), s["i"].alias("i"), s["h"].alias("h")))
-    best = vectors.filter(~is_zero(F.col("embedding"))).withColumn("x", F.array_max(scored) if rows else F.lit(None).cast("struct<sim:double,i:int,h:string>"))
-    score = F.greatest(F.coalesce("x.sim", F.lit(0.0)), F.lit(0.0))
-    return best.select(
-        "item_id",
-        score.alias("score"),
-        F.when(score >= aligned, "aligned").when(score >= drifting, "drifting").otherwise("off-vision").alias("classification"),
-        F.when(score > 0, F.col("x.h")).otherwise("").alias("section"),
-    )
-
+    outline = np.array([r["embedding"] for r in rows], np.float64)
+    headings = [r["heading"] for r in rows]
+    length = np.linalg.norm(outline, axis=1) if rows else np.zeros(0)
+    scaled = outline / np.where(length == 0, 1, length)[:, None] if rows else outline
 
-def pair_statistics(members: DataFrame, vectors: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            score, place = np.zeros(batch.num_rows), np.full(batch.num_rows, -1)
+            if headings:
+                matrix = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                if matrix.shape[1] != outline.shape[1]:
+                    raise ValueError("vectors differ in length")
+                for at in range(0, len(matrix), STRIP_ROWS):
+                    part = matrix[at : at + STRIP_ROWS]
+                    sims = (part / np.linalg.norm(part, axis=1)[:, None]) @ scaled.T
+                    i, j = np.nonzero(sims >= sims.max(axis=1)[:, None] - MARGIN)
+                    few = max(1, FOLD_NUMBERS // matrix.shape[1])
+                    exact = np.concatenate([_fold(part[i[k : k + few]], outline[j[k : k + few]]) for k in range(0, len(i), few)])
+                    # the greatest, then the first
+                    order = np.lexsort((j, -exact, i))
+                    first = order[np.append(True, i[order][1:] != i[order][:-1])]
+                    score[at + i[first]], place[at + i[first]] = exact[first], j[first]
+            section = [headings[j] if s > 0 else "" for s, j in zip(score.tolist(), place.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.maximum(score, 0.0)), pa.array(section, pa.string())], ["item_id", "score", "section"])
+
+    kept = vectors.filter(~is_zero(F.col("embedding"))).select("item_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    score = F.col("score")
+    label = F.when(score >= aligned, "aligned").when(score >= drifting, "drifting").otherwise("off-vision")
+    return kept.mapInArrow(run, "item_id string, score double, section string").select("item_id", "score", label.alias("classification"), "section")
+
+
+def pair_statistics(members: DataFrame, vectors: DataFrame, block_rows: int | None = None) -> DataFrame:
     """Mean and minimum cosine over all pairs of each cluster; the minimum starts at 1.
 
-    Clusters are tiled like the whole join is: small ones are one tile, a large one is dealt to blocks whose
-    pairs give partial sums and minima, so no task holds more than two blocks.
+    The mean comes from the sum of the unit vectors, in one pass. The minimum needs pairs, of different vectors
+    only: they are tiled like the whole join is, so no task holds more than two blocks.
     """
-    sizes = members.groupBy("cluster_key").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
-    rows = members.select("cluster_key", "item_id").join(vectors, "item_id").join(sizes, "cluster_key")
-    dealt = (
-        rows.withColumn("b", F.pmod(F.xxhash64("item_id"), F.col("blocks")).cast("int"))
-        .select("cluster_key", "item_id", "embedding", "b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
-        .select("cluster_key", "item_id", "embedding", "b", F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q"))
-    )
-    kinds = "cluster_key long, pairs long, total double, low double"
-
-    def tile(key, p: int, q: int, block: np.ndarray, matrix: np.ndarray) -> tuple:
-        left, right = np.flatnonzero(block == p), np.flatnonzero(block == q)
-        length = np.linalg.norm(matrix, axis=1)
-        scaled = matrix / np.where(length == 0, 1, length)[:, None]
-        sims = scaled[left] @ scaled[right].T
-        keep = np.triu(np.ones(sims.shape, bool), 1) if p == q else np.ones(sims.shape, bool)
-        if not keep.any():
-            return key, 0, 0.0, None
-        # what may be the minimum is summed again from left to right
-        i, j = np.nonzero(keep & (sims <= sims[keep].min() + MARGIN))
-        return key, int(keep.sum()), float(sims[keep].sum()), float(_fold(matrix[left[i]], matrix[right[j]]).min())
+    rows = checkpointed(members.select("cluster_key", "item_id").join(vectors.select("item_id", F.col("embedding").cast("array<double>").alias("embedding")), "item_id"))
+    length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
+    scaled = rows.withColumn("n", length).select("cluster_key", F.posexplode(F.transform("embedding", lambda x: F.when(F.col("n") == 0, 0.0).otherwise(x / F.col("n")))).alias("d", "x"))
+    sums = scaled.groupBy("cluster_key", "d").agg(F.sum("x").alias("x"), F.sum(F.col("x") * F.col("x")).alias("xx"))
+    total = sums.groupBy("cluster_key").agg((F.sum(F.col("x") * F.col("x")) - F.sum("xx")).alias("twice"))
+    count = rows.groupBy("cluster_key").agg(F.count("*").alias("n"))
+    mean = total.join(count, "cluster_key").select("cluster_key", F.when(F.col("n") > 1, F.col("twice") / (F.col("n") * (F.col("n") - 1))).alias("avg_similarity"))
+    different = rows.groupBy("cluster_key", "embedding").agg(F.min("item_id").alias("item_id"), F.count("*").alias("copies"))
+    alike = different.filter("copies > 1").groupBy("cluster_key").agg(F.min(cosine(F.col("embedding"), F.col("embedding"))).alias("low"))
+    blocks = F.lit(block_rows) if block_rows else F.greatest(F.lit(1), F.floor(F.lit(BLOCK_BYTES) / (8 * F.size("embedding"))).cast("int"))
+    sizes = different.groupBy("cluster_key").agg(F.max(blocks).alias("most"), F.count("*").alias("n")).select("cluster_key", F.ceil(F.col("n") / F.col("most")).cast("int").alias("blocks"))
+    dealt = _dealt(different.join(sizes, "cluster_key"), ["cluster_key"], F.pmod(F.xxhash64("item_id"), F.col("blocks")).cast("int"), F.sequence(F.lit(0), F.col("blocks") - 1))
 
     def run(batches):
-        held, key = [], None
-        for batch in batches:
-            columns = [batch.column(k) for k in range(4)]
-            flat = batch.column(4)
-            for n, k in enumerate(zip(*(c.to_pylist() for c in columns[:3]), strict=True)):
-                if k != key and held:
-                    yield done(key, held)
-                    held = []
-                key = k
-                held.append((columns[3][n].as_py(), flat[n].values.to_numpy(zero_copy_only=False).astype(np.float64)))
-        if held:
-            yield done(key, held)
-
-    def done(key, held):
-        row = tile(key[0], key[1], key[2], np.array([h[0] for h in held]), np.stack([h[1] for h in held]))
-        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)], ["cluster_key", "pairs", "total", "low"])
-
-    tiles = dealt.select("cluster_key", "p", "q", "b", "embedding").repartition("cluster_key", "p", "q").sortWithinPartitions("cluster_key", "p", "q").mapInArrow(run, kinds)
-    return tiles.groupBy("cluster_key").agg((F.sum("total") / F.sum("pairs")).alias("avg_similarity"), F.least(F.lit(1.0), F.min("low")).alias("min_similarity"))
+        for (key, p, q), _, left, right in _groups(batches, 1):
+            least = [np.inf]
+
+            def near(sims, least=least):
+                """What may be the minimum so far."""
+                if np.isnan(sims).all():
+                    return np.zeros(sims.shape, bool)
+                least[0] = min(least[0], np.nanmin(sims) + MARGIN)
+                return sims <= least[0]
+
+            low = min((sim.min() for _, _, sim in _pairs_in(left, right, p == q, near)), default=None)
+            yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([low], pa.float64())], ["cluster_key", "low"])
+
+    kind = members.schema["cluster_key"].dataType.simpleString()
+    lows = dealt.mapInArrow(run, f"cluster_key {kind}, low double").unionByName(alike).groupBy("cluster_key").agg(F.least(F.lit(1.0), F.min("low")).alias("min_similarity"))
+    return mean.join(lows, "cluster_key").select("cluster_key", "avg_similarity", "min_similarity")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewheel.operators.components import checkpointed
+
 
 def repo_stats(items: DataFrame, diffs: DataFrame | None = None, repos: list[str] | None = None) -> DataFrame:
     kept = items if repos is None else items.filter(F.col("repo").isin(repos))
@@ -101,28 +103,30 @@ def cluster_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
     return common.join(sa, "id_a").join(sb, "id_b").select("id_a", "id_b", (F.col("n") / (F.col("na") + F.col("nb") - F.col("n"))).alias("overlap"))
 
 
-def greedy_matches(pairs: DataFrame, rounds: int = 1000) -> DataFrame:
+def greedy_matches(pairs: DataFrame) -> DataFrame:
     """Each cluster at most once, best overlap first, ties to the smaller ids.
 
     A pair that is best for both its clusters is what the greedy order takes first among its neighbours, so
-    each round takes all of those at once and drops what they use; rounds are few and nothing is gathered.
+    each round takes all of those at once and drops what they use, until no pair is left. The best pair of all is
+    always best for both, so every round takes one at least.
     """
-    from tidewheel.operators.components import checkpointed
-
     left, out = checkpointed(pairs), None
-    for _ in range(rounds):
-        key = F.struct((-F.col("overlap")).alias("o"), "id_a", "id_b")
-        best = left.withColumn("k", key)
-        best = best.withColumn("ka", F.min("k").over(Window.partitionBy("id_a"))).withColumn("kb", F.min("k").over(Window.partitionBy("id_b")))
-        taken = checkpointed(best.filter("k = ka and k = kb").select("id_a", "id_b", "overlap"))
-        if taken.isEmpty():
-            break
+    while not left.isEmpty():
+        keyed = left.withColumn("k", F.struct((-F.col("overlap")).alias("o"), "id_a", "id_b"))
+        first_a, first_b = (keyed.groupBy(c).agg(F.min("k").alias("m")) for c in ("id_a", "id_b"))
+        best = first_a.join(first_b.withColumnRenamed("m", "n"), F.col("m") == F.col("n"))
+        taken = checkpointed(best.select("m.id_a", "m.id_b", (-F.col("m.o")).alias("overlap")))
         out = taken if out is None else out.unionByName(taken)
         left = checkpointed(left.join(taken.select("id_a"), "id_a", "left_anti").join(taken.select("id_b"), "id_b", "left_anti"))
     out = pairs.limit(0) if out is None else out
     return out.select("id_a", "id_b", F.floor(100 * F.col("overlap") + 0.5).cast("int").alias("overlap"))
 
 
+def unmatched(clusters_of: DataFrame, matches: DataFrame, side: str) -> int:
+    """How many clusters of one side (``id_a`` or ``id_b``) no match has; ``clusters_of``: (id, item)."""
+    return clusters_of.select("id").distinct().join(matches.select(F.col(side).alias("id")), "id", "left_anti").count()
+
+
 def threshold_sweep(edges: DataFrame, thresholds: list[float], components) -> DataFrame:
     """Components of at least two at each threshold, from edges built once at the lowest."""
     out = None

@@ -5,6 +5,7 @@ Everything up to the JSON column is a DataFrame; only the few rows a report show
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -15,6 +16,8 @@ from tidewheel.functions.mapping import item_url
 from tidewheel.functions.scoring import confidence
 from tidewheel.functions.text import clean_title, percent, table_cell
 from tidewheel.operators.canonical import closing_edges, decide, relations, tracker_roles
+from tidewheel.operators.stats import vision_distribution, vision_sections
+from tidewheel.plans.digest import off_vision
 
 SCHEMA_VERSION = 1
 
@@ -107,43 +110,119 @@ def markdown_table(df: DataFrame, columns: dict[str, Column], limit: int) -> str
     return "\n".join([head, *("| " + " | ".join(x or "" for x in row) + " |" for row in cells)])
 
 
-def report(clusters: DataFrame, ranked: DataFrame, stats: dict, top_clusters: int = 25, top_ranked: int = 20) -> str:
-    """A triage report: totals, largest clusters, best items."""
+def report_data(clusters: DataFrame, ranked: DataFrame, stats: dict, vision: DataFrame | None = None, top_clusters: int = 25, top_ranked: int = 20, top_off: int = 20) -> dict:
+    """What a triage report shows: totals, largest clusters, best items, how items sit with the vision."""
+    listed = clusters.orderBy("cluster_id").limit(top_clusters).select("cluster_id", "size", "avg_similarity", "min_similarity", "confidence", clean_title(F.col("theme")).alias("theme"))
+    best = ranked.orderBy(F.desc("score"), "item_id").limit(top_ranked).select("item_id", "score", clean_title(F.col("title")).alias("title"))
+    out = {"stats": stats, "clusters": [r.asDict() for r in listed.collect()], "best": [r.asDict() for r in best.collect()]}
+    if vision is not None:
+        out["vision"] = {
+            "distribution": [r.asDict() for r in vision_distribution(vision).orderBy("classification").collect()],
+            "sections": [r.asDict() for r in vision_sections(vision).collect()],
+            "off_vision": [r.asDict() for r in off_vision(vision, top_off).select("item_id", "score").collect()],
+        }
+    return out
+
+
+def _table(columns: list[str], rows: list[dict]) -> list[str]:
+    cell = lambda v: f"{v:.3f}" if isinstance(v, float) else str(v if v is not None else "").replace("|", "\\|")
+    return ["| " + " | ".join(columns) + " |", "|" + "---|" * len(columns), *("| " + " | ".join(cell(r[c]) for c in columns) + " |" for r in rows)]
+
+
+def report(clusters: DataFrame, ranked: DataFrame, stats: dict, vision: DataFrame | None = None, top_clusters: int = 25, top_ranked: int = 20) -> str:
+    """The triage report as markdown."""
+    data = report_data(clusters, ranked, stats, vision, top_clusters, top_ranked)
     lines = ["# Triage report", "", *(f"- {k}: {v}" for k, v in stats.items()), "", "## Clusters", ""]
-    columns = {"#": F.col("cluster_id"), "size": F.col("size"), "similarity": percent(F.col("avg_similarity")), "confidence": F.col("confidence"), "theme": F.col("theme")}
-    lines += [markdown_table(clusters.orderBy("cluster_id"), columns, top_clusters), "", "## Best items", ""]
-    lines += [markdown_table(ranked.orderBy(F.desc("score"), "item_id"), {"item": F.col("item_id"), "score": F.round("score", 3), "title": F.col("title")}, top_ranked)]
+    lines += [*_table(["cluster_id", "size", "avg_similarity", "confidence", "theme"], data["clusters"]), "", "## Best items", ""]
+    lines += _table(["item_id", "score", "title"], data["best"])
+    if vision is not None:
+        lines += ["", "## Vision", "", *_table(["classification", "n", "percent"], data["vision"]["distribution"]), ""]
+        lines += [*_table(["section", "aligned", "drifting", "off_vision", "total"], data["vision"]["sections"]), "", "### Furthest from it", ""]
+        lines += _table(["item_id", "score"], data["vision"]["off_vision"])
     return "\n".join(lines) + "\n"
 
 
-def checklist(clusters: DataFrame, members: DataFrame, repo: str) -> str:
-    """An editable checklist: each cluster's tracker, or that none is filed, and what to close against it."""
+def report_json(clusters: DataFrame, ranked: DataFrame, stats: dict, vision: DataFrame | None = None) -> str:
+    """The triage report as one JSON object."""
+    return json.dumps({"version": SCHEMA_VERSION} | report_data(clusters, ranked, stats, vision), default=str)
+
+
+def vision_table(scores: DataFrame, top: int = 50) -> str:
+    """Items by how well they fit the vision, best first."""
+    columns = {"item": F.col("item_id"), "score": percent(F.col("score")), "class": F.col("classification"), "section": F.col("section")}
+    return markdown_table(scores.orderBy(F.desc("score"), "item_id"), columns, top)
+
+
+def _shown(c: str = "") -> Column:
+    """How lists name an item: its repository and number."""
+    return F.concat(F.col(f"{c}repo"), F.lit("#"), F.col(f"{c}number").cast("string"))
+
+
+def checklist(clusters: DataFrame, members: DataFrame, repo: str, confirmed: DataFrame | None = None) -> str:
+    """An editable checklist: confirmed groups and what to keep of them, then each cluster's tracker and what closes against it.
+
+    ``confirmed``: members of ``identity.confirmed``. Members of both are told under the confirmed group only.
+    """
+    out = [f"# Checklist for {repo}"]
+    if confirmed is not None:
+        out += _confirmed_lines(confirmed)
+        members = members.join(confirmed.select("item_id"), "item_id", "left_anti")
     rows = tracker_roles(members).join(clusters.select("cluster_id", "theme", "confidence"), "cluster_id")
-    shown = rows.select("cluster_id", "position", "role", "needs_tracker", "number", "confidence", clean_title(F.col("theme"), 80).alias("theme"), clean_title(F.col("title"), 80).alias("title"))
-    out, last, tracker = [f"# Housekeeping: {repo}", ""], None, None
+    shown = rows.select("cluster_id", "position", "role", "needs_tracker", _shown().alias("ref"), "confidence", clean_title(F.col("theme"), 80).alias("theme"), clean_title(F.col("title"), 80).alias("title"))
+    last, unsure, keeper = None, False, None
     for r in shown.orderBy("cluster_id", "position").toLocalIterator():
         if r["cluster_id"] != last:
-            badge = "loose, review" if r["confidence"] == "loose" else r["confidence"]
-            out += ["" if last is not None else "", f"### {r['theme']} ({badge})"]
-            last, tracker = r["cluster_id"], None
+            last, unsure, keeper = r["cluster_id"], r["confidence"] == "loose", None
+            out += ["", f"## Cluster {last}: {r['theme']}", f"Confidence: {r['confidence']}{' (look before closing)' if unsure else ''}"]
             if r["needs_tracker"]:
-                out.append("no tracker issue is filed; consider opening one, then close these against it:")
+                out.append("No issue tracks this yet; open one and close these in its favour:")
         if r["role"] == "tracker":
-            tracker = r["number"]
-            out.append(f'tracker: #{tracker} "{r["title"]}"')
-            out.append("verify that these are the same bug before closing:" if r["confidence"] == "loose" else f"close as duplicate of #{tracker}:")
+            keeper = r["ref"]
+            out.append(f"Tracked by {keeper}, {r['title']}. {'Same problem? If so, close' if unsure else 'Close'} in its favour:")
         else:
-            out.append(f"- [ ] #{r['number']} ({r['role']}) {r['title']}")
+            out.append(f"- [ ] {r['ref']} [{r['role']}] {r['title']}")
     return "\n".join(out) + "\n"
 
 
+def _confirmed_lines(confirmed: DataFrame) -> list[str]:
+    """Groups of the same change, the kept one first."""
+    chosen = decide(_complete(confirmed), "issue").select("cluster_id", "canonical")
+    rows = confirmed.join(chosen, "cluster_id").select("cluster_id", "basis", (F.col("item_id") == F.col("canonical")).alias("kept"), _shown().alias("ref"), "item_id", clean_title(F.col("title"), 80).alias("title"))
+    out, last = [], None
+    for r in rows.orderBy("cluster_id", F.desc("kept"), "item_id").toLocalIterator():
+        if r["cluster_id"] != last:
+            last = r["cluster_id"]
+            why = "one head commit" if r["basis"] == "head-oid" else "one diff"
+            out += ["", f"## Same change: {r['title']}", f"Confirmed by {why}. Keep {r['ref']}; the others duplicate it:"]
+        if not r["kept"]:
+            out.append(f"- [ ] {r['ref']} {r['title']}")
+    return out
+
+
 def match_comment(repo: str, matches: list, source: dict, seconds: float, owners: list[tuple[str, str]] = ()) -> str:
     """The comment on a new item that resembles others."""
-    rows = "\n".join(f"| [#{m['number']}](https://github.com/{repo}/issues/{m['number']}) | {m['similarity'] * 100:.1f}% | {m['title']} |" for m in matches)
-    text = f"## Triage\n\nthis item is similar to existing ones:\n\n| # | similarity | title |\n|---|---|---|\n{rows}\n\n**source of truth:** #{source['number']}"
+    link = lambda n: f"[#{n}](https://github.com/{repo}/issues/{n})"
+    lines = ["### Seen before?", "", f"{len(matches)} known items look like this one; {link(source['number'])} is the one to follow.", ""]
+    lines += _table(["item", "likeness", "title"], [{"item": link(m["number"]), "likeness": f"{100 * m['similarity']:.1f} %", "title": m["title"]} for m in matches])
     if owners:
-        text += "\n\n**suggested reviewers:** " + ", ".join(f"@{o} (owns {p})" for o, p in owners)
-    return f"{text}\n\n*triaged in {seconds:.1f}s*"
+        lines += ["", "Reviewers who own the paths it names: " + ", ".join(f"@{o} ({p})" for o, p in owners)]
+    return "\n".join([*lines, "", f"_Compared in {seconds:.1f} s._"])
+
+
+def close_comment(repo: str, source: dict, similarity: float) -> str:
+    """The comment with which a new item is closed in favour of another."""
+    n = source["number"]
+    return f"Closed in favour of [#{n}](https://github.com/{repo}/issues/{n}), which it repeats ({100 * similarity:.1f} % alike). Reopen it if that is wrong."
+
+
+def triage_actions(matches: DataFrame) -> DataFrame:
+    """``(item_id, action, target, similarity)``: a comment for each matched item, and a closure where the best match allows it.
+
+    ``matches`` as ``triage.match_batch`` gives them; nothing is written here, see ``WriteGate``.
+    """
+    told = matches.filter("canonical").select("item_id", F.lit("comment").alias("action"), F.col("match").alias("target"), F.col("sim").alias("similarity"))
+    closed = matches.filter("auto_close").select("item_id", F.lit("close").alias("action"), F.col("match").alias("target"), F.col("sim").alias("similarity"))
+    return told.unionByName(closed)
 
 
 def label_actions(decisions: DataFrame, members: DataFrame, vision: DataFrame | None = None) -> DataFrame:

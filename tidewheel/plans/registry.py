@@ -5,6 +5,7 @@ Similarity runs at 0.40 (0.35 where refinement must matter): the stand-in vector
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,9 +15,12 @@ from tidewheel.functions import mapping, scoring, text
 from tidewheel.functions.vectors import is_zero, truncate, unit
 from tidewheel.operators import canonical, clusters, identity, routing, similarity, stats, vision
 from tidewheel.operators.components import checkpointed
+from tidewheel.plans import digest
 from tidewheel.plans import oracles as O  # noqa: N812
 from tidewheel.sources import ingest
+from tidewheel.sources import scan as scanning
 from tidewheel.sources.items import STAND_IN_DUCKDB, all_items, read_table, stand_in
+from tidewheel.sources.store import Store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -106,21 +110,29 @@ def fetch_mapping(spark, sf_dir):
 # ---------------------------------------------------------------- similarity
 
 
-@query(f"WITH RECURSIVE {O.ITEMS}, {O.graph(T)} SELECT src, dst, round(sim, 6) AS sim FROM edges")
+_FIRST = "firsts AS (SELECT min(item_id) AS rep, v FROM taking GROUP BY v)"
+
+
+@query(f"WITH RECURSIVE {O.ITEMS}, {O.graph(T)}, {_FIRST} SELECT src, dst, round(sim, 6) AS sim FROM edges WHERE src IN (SELECT rep FROM firsts) AND dst IN (SELECT rep FROM firsts)")
 def similar_pairs(spark, sf_dir):
     items, vectors = stand_in(spark, sf_dir)
     bots = items.filter(mapping.is_bot(F.col("author"), F.col("author_is_bot")))
     return similarity.similar_pairs(similarity.eligible(vectors, bots), T).select("src", "dst", sim6("sim"))
 
 
+@query(f"WITH RECURSIVE {O.ITEMS}, {O.graph(T)}, {_FIRST} SELECT item_id, rep FROM taking JOIN firsts USING (v)")
+def vector_classes(spark, sf_dir):
+    items, vectors = stand_in(spark, sf_dir)
+    bots = items.filter(mapping.is_bot(F.col("author"), F.col("author_is_bot")))
+    return similarity.vector_classes(similarity.eligible(vectors, bots)).select("item_id", "rep")
+
+
 @query(f"WITH RECURSIVE {O.ITEMS}, {O.graph(T)} SELECT item_id, min(item_id) OVER (PARTITION BY part) AS component FROM parts")
 def components(spark, sf_dir):
     items, vectors = stand_in(spark, sf_dir)
     bots = items.filter(mapping.is_bot(F.col("author"), F.col("author_is_bot")))
-    edges = checkpointed(similarity.similar_pairs(similarity.eligible(vectors, bots), T))
-    parts = checkpointed(clusters.item_components(edges))
-    names = parts.groupBy("cluster_key").agg(F.min("item_id").alias("component"))
-    return parts.join(names, "cluster_key").select("item_id", "component")
+    edges = checkpointed(similarity.similar_edges(similarity.eligible(vectors, bots), T))
+    return clusters.item_components(edges).select("item_id", F.col("cluster_key").alias("component"))
 
 
 @query(f"""WITH {O.ITEMS}, q AS (SELECT v FROM vec WHERE number = 7),
@@ -238,7 +250,7 @@ _SWEEP = "".join(f", {O.graph(t, f's{k}_')}" for k, t in enumerate((0.40, 0.42,
 def threshold_sweep(spark, sf_dir):
     items, vectors = stand_in(spark, sf_dir)
     bots = items.filter(mapping.is_bot(F.col("author"), F.col("author_is_bot")))
-    edges = checkpointed(similarity.similar_pairs(similarity.eligible(vectors, bots), 0.40))
+    edges = checkpointed(similarity.similar_edges(similarity.eligible(vectors, bots), 0.40))
     return stats.threshold_sweep(edges, [0.40, 0.42, 0.45], clusters.item_components)
 
 
@@ -248,7 +260,7 @@ def _two_models(spark, sf_dir):
     bots = items.filter(mapping.is_bot(F.col("author"), F.col("author_is_bot")))
     out = []
     for v in (vectors, vectors.withColumn("embedding", truncate(F.col("embedding"), 48))):
-        edges = checkpointed(similarity.similar_pairs(similarity.eligible(v, bots), T))
+        edges = checkpointed(similarity.similar_edges(similarity.eligible(v, bots), T))
         out.append(checkpointed(clusters.item_components(edges).select(F.col("cluster_key").alias("id"), F.col("item_id").alias("item"))))
     return out
 
@@ -260,7 +272,15 @@ def model_overlap(spark, sf_dir):
     return stats.overlap(a, b)
 
 
-@query()
+@query(f"""WITH RECURSIVE {O.ITEMS}, {O.graph(T)}, {O.graph(T, 'b_', 48)},
+sa AS (SELECT part, count(*) AS n FROM parts GROUP BY part), sb AS (SELECT part, count(*) AS n FROM b_parts GROUP BY part),
+common AS (SELECT a.part AS id_a, b.part AS id_b, count(*) AS n FROM parts a JOIN b_parts b USING (item_id) GROUP BY a.part, b.part),
+pairs AS (SELECT id_a, id_b, common.n::DOUBLE / (sa.n + sb.n - common.n) AS o FROM common JOIN sa ON sa.part = id_a JOIN sb ON sb.part = id_b),
+ordered AS (SELECT *, row_number() OVER (ORDER BY o DESC, id_a, id_b) AS r FROM pairs),
+greedy AS (SELECT 0::BIGINT AS r, CAST([] AS VARCHAR[]) AS ua, CAST([] AS VARCHAR[]) AS ub, NULL::DOUBLE AS o UNION ALL
+  SELECT p.r, CASE WHEN free THEN list_append(ua, id_a) ELSE ua END, CASE WHEN free THEN list_append(ub, id_b) ELSE ub END, CASE WHEN free THEN p.o END
+  FROM (SELECT q.*, g.ua, g.ub, NOT list_contains(g.ua, q.id_a) AND NOT list_contains(g.ub, q.id_b) AS free FROM greedy g JOIN ordered q ON q.r = g.r + 1) p)
+SELECT floor(100 * o + 0.5)::INTEGER AS overlap, count(*) AS pairs FROM greedy WHERE o IS NOT NULL GROUP BY 1""")
 def model_matches(spark, sf_dir):
     a, b = _two_models(spark, sf_dir)
     return stats.greedy_matches(stats.cluster_pairs(a, b)).select("overlap", F.lit(1).alias("pairs")).groupBy("overlap").agg(F.sum("pairs").alias("pairs"))
@@ -382,14 +402,12 @@ def repo_stats(spark, sf_dir):
     return stats.repo_stats(items, items.filter("number % 10 = 0").select("repo", "number"))
 
 
-@query(f"WITH {O.ITEMS} SELECT repo, count(*) FILTER (number % 3 <> 0) AS embedded, count(*) AS total, floor(100 * count(*) FILTER (number % 3 <> 0) / count(*) + 0.5)::INTEGER AS percent FROM items GROUP BY repo")
+@query(f"WITH {O.ITEMS} SELECT i.repo, count(v.item_id) AS embedded, count(*) AS total, floor(100 * count(v.item_id) / count(*) + 0.5)::INTEGER AS percent FROM items i LEFT JOIN vec v USING (item_id) GROUP BY i.repo")
 def coverage(spark, sf_dir):
-    items, vectors = stand_in(spark, sf_dir)
-    some = vectors.join(items.filter("number % 3 <> 0").select("item_id"), "item_id", "left_semi")
-    return stats.coverage(items, some)
+    return stats.coverage(*stand_in(spark, sf_dir))
 
 
-@query(f"WITH {O.ITEMS} SELECT repo, count(*) AS items, count(*) AS embeddings, max(updated_at) AS last_sync FROM items GROUP BY repo")
+@query(f"WITH {O.ITEMS} SELECT i.repo, count(*) AS items, count(v.item_id) AS embeddings, max(updated_at) AS last_sync FROM items i LEFT JOIN vec v USING (item_id) GROUP BY i.repo")
 def repo_status(spark, sf_dir):
     return stats.repo_status(*stand_in(spark, sf_dir))
 
@@ -431,44 +449,149 @@ def titles(spark, sf_dir):
     return d.select("doc_id", text.clean_title(F.col("text")).alias("title"), text.table_cell(F.col("text")).alias("cell"))
 
 
-_TAIL = "[.,;:)}\\]''\"]+$"
-_PATHS = f"""WITH p AS (SELECT page_id, list_distinct(list_concat(
-  list_transform(list_filter(regexp_extract_all(url, '(?:^|\\s|`|/|[(\\["''])([a-zA-Z0-9_\\-./]+/[a-zA-Z0-9_\\-./]*)', 1), lambda x: length(x) > 2), lambda x: regexp_replace(x, '{_TAIL}', '')),
-  list_filter(regexp_extract_all(url, '(?:^|\\s)([a-zA-Z0-9_\\-]+\\.[a-zA-Z]{{1,10}})(?:\\s|$|[,;:)])', 1), lambda x: length(x) > 2 AND NOT regexp_full_match(x, '\\d+\\.\\d+')))) AS ps FROM pages)"""
+
+def _sql(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
 
 
-@query(_PATHS + " SELECT page_id, array_to_string(list_sort(ps), ' ') AS paths FROM p")
+_PATHS = f"""
+raw AS (SELECT page_id, regexp_extract_all(t, {_sql(text.PATH_WITH_SLASH)}, 1) AS a, regexp_extract_all(t, {_sql(text.PATH_TICKED)}, 1) AS b, regexp_extract_all(t, {_sql(text.PATH_ALONE)}, 1) AS c FROM given),
+listed AS (SELECT page_id, list_concat(list_concat(
+  list_transform(list_filter(a, lambda x: length(x) > 2), lambda x: regexp_replace(x, {_sql(text.PATH_TAIL)}, '')), list_filter(b, lambda x: length(x) > 2)),
+  list_filter(c, lambda x: length(x) > 2 AND NOT regexp_full_match(x, '[0-9]+[.][0-9]+'))) AS ps FROM raw),
+places AS (SELECT page_id, unnest(ps) AS path, generate_subscripts(ps, 1) AS i FROM listed),
+firsts AS (SELECT page_id, path, min(i) AS i FROM places GROUP BY page_id, path)"""
+
+
+@query(f"WITH given AS (SELECT page_id, coalesce(url, '') || ' `' || coalesce(html, '') || '`' AS t FROM pages), {_PATHS} SELECT p.page_id, coalesce(string_agg(path, ' ' ORDER BY i), '') AS paths FROM pages p LEFT JOIN firsts USING (page_id) GROUP BY p.page_id")
 def mentioned_paths(spark, sf_dir):
     pages = read_table(spark, sf_dir, "pages")
-    return pages.select("page_id", F.array_join(F.array_sort(text.paths(F.col("url"))), " ").alias("paths"))
+    whole = F.concat(F.coalesce("url", F.lit("")), F.lit(" `"), F.coalesce("html", F.lit("")), F.lit("`"))
+    return pages.select("page_id", F.array_join(text.paths(whole), " ").alias("paths"))
 
 
-@query()
+_RULES = ", ".join(f"({i}, '{p}', '{o}', {j})" for i, (p, os) in enumerate(routing.parse_owners(OWNERS)) for j, o in enumerate(os))
+
+
+@query(f"""WITH given AS (SELECT page_id, concat_ws(chr(10), url, html) AS t FROM pages), {_PATHS},
+rules AS (SELECT * FROM (VALUES {_RULES}) AS v(rule_pos, pattern, owner, owner_pos)),
+trimmed AS (SELECT page_id, i, regexp_replace(path, '^/', '') AS path FROM firsts),
+hits AS (SELECT page_id, owner, pattern, (i, rule_pos, owner_pos) AS spot FROM trimmed, (SELECT *, regexp_replace(pattern, '^/', '') AS p FROM rules) r
+  WHERE CASE WHEN starts_with(p, '*.') THEN ends_with(path, substr(p, 2)) ELSE starts_with(path, p) OR contains(path, regexp_replace(p, '/$', '')) END),
+best AS (SELECT page_id, owner, min(spot) AS spot, arg_min(pattern, spot) AS pattern FROM hits GROUP BY page_id, owner),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY spot) AS rank FROM best)
+SELECT page_id AS item_id, rank::INTEGER AS rank, owner, pattern FROM ranked WHERE rank <= 3""")
 def owner_suggestions(spark, sf_dir):
     pages = read_table(spark, sf_dir, "pages")
     items = pages.select(F.col("page_id").alias("item_id"), F.col("url").alias("title"), F.col("html").alias("body"))
     return routing.suggest_owners(items, OWNERS)
 
 
-@query("SELECT page_id, CASE WHEN page_id % 3 = 2 THEN NULL ELSE 'o' || page_id END AS owner, CASE WHEN page_id % 3 = 2 THEN NULL ELSE 'n' END AS name FROM pages")
+@query("""WITH parts AS (SELECT page_id, list_filter(string_split(substr(url, strpos(url, '://') + 3), '/'), lambda x: x <> '') AS p FROM pages)
+SELECT page_id, CASE WHEN page_id % 3 < 2 AND len(p) = 3 THEN p[2] END AS owner, CASE WHEN page_id % 3 < 2 AND len(p) = 3 THEN p[3] END AS name FROM parts""")
 def repo_names(spark, sf_dir):
-    k = F.col("page_id")
-    given = F.when(k % 3 == 0, F.concat(F.lit(" https://github.com/o"), k, F.lit("/n.git"))).when(k % 3 == 1, F.concat(F.lit("git@github.com:o"), k, F.lit("/n/"))).otherwise("one-part")
+    """The path of each page's url as a repository: by URL, in scp form, and with a part too many."""
+    k, path = F.col("page_id"), F.regexp_extract("url", "^[^:]*://[^/]*/(.*)$", 1)
+    given = F.when(k % 3 == 0, F.concat(F.lit(" https://github.com/"), path, F.lit(".git"))).when(k % 3 == 1, F.concat(F.lit("git@github.com:"), path, F.lit("/"))).otherwise(F.concat(path, F.lit("/more")))
     parts = text.repo_parts(given)
     return read_table(spark, sf_dir, "pages").select("page_id", parts["owner"].alias("owner"), parts["name"].alias("name"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '{\"a\": {\"b\": ' || doc_id || '}}' END AS found FROM documents")
+@query("""WITH cut AS (SELECT doc_id, CASE WHEN strpos(t, '{') > 0 THEN substr(t, strpos(t, '{')) END AS rest FROM (
+  SELECT doc_id, translate(coalesce(text, ''), 'wyg', '{}}') AS t FROM documents)),
+pieces AS (SELECT doc_id, rest, regexp_extract_all(rest, '[{}][^{}]*') AS ps FROM cut WHERE rest IS NOT NULL),
+marks AS (SELECT doc_id, rest, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM pieces),
+depth AS (SELECT doc_id, rest, i, p, sum(CASE WHEN p[1] = '{' THEN 1 ELSE -1 END) OVER w AS d, sum(length(p)) OVER w AS n FROM marks WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+done AS (SELECT doc_id, any_value(rest) AS rest, min(n - length(p) + 1) AS n FROM depth WHERE d = 0 AND p[1] = '}' GROUP BY doc_id)
+SELECT doc_id, substr(done.rest, 1, done.n::BIGINT) AS found FROM documents LEFT JOIN done USING (doc_id)""")
 def json_in_text(spark, sf_dir):
-    k = F.col("doc_id")
-    answer = F.when(k % 2 == 0, F.concat(F.lit('ok: {"a": {"b": '), k, F.lit("}} and }"))).otherwise(F.lit("none { open"))
+    """The first balanced object of every whole text, w standing for an opening and y and g for a closing brace."""
+    answer = F.translate(F.coalesce("text", F.lit("")), "wyg", "{}}")
     return read_table(spark, sf_dir, "documents").select("doc_id", text.first_json_object(answer).alias("found"))
 
 
+# ---------------------------------------------------------------- digests and crossing
+
+
+@query(O.clusters(T, True) + """SELECT (SELECT count(DISTINCT repo) FROM items) AS repos, (SELECT count(*) FROM items) AS items,
+(SELECT count(*) FROM items WHERE created_at >= TIMESTAMP '2024-01-29') AS new_items, (SELECT count(*) FROM clusters) AS clusters, (SELECT coalesce(sum(size), 0)::BIGINT FROM clusters) AS in_clusters,
+(SELECT count(*) FROM (SELECT cluster_id FROM members GROUP BY cluster_id HAVING count(DISTINCT repo) > 1)) AS across_repos""")
+def digest_totals(spark, sf_dir):
+    items, _ = stand_in(spark, sf_dir)
+    return digest.digest_totals(items, *_clusters(spark, sf_dir), F.lit("2024-01-29").cast("timestamp"))
+
+
+@query(O.clusters(T, True) + "SELECT cluster_id, array_to_string(list_slice(list(item_id ORDER BY score DESC, item_id), 1, 2), ' ') AS shown, greatest(count(*) - 2, 0)::INTEGER AS more FROM members GROUP BY cluster_id")
+def top_members(spark, sf_dir):
+    _, members = _clusters(spark, sf_dir)
+    return digest.top_members(members, 2).select("cluster_id", F.array_join("shown", " ").alias("shown"), "more")
+
+
+@query(f"WITH {O.ITEMS} SELECT a.item_id, b.item_id AS match, round({O.COSINE.format(a='a.v', b='b.v')}, 6) AS sim FROM vec a, vec b WHERE a.number % 10 = 0 AND b.number % 10 <> 0 AND {O.COSINE.format(a='a.v', b='b.v')} >= {T}")
+def cross_pairs(spark, sf_dir):
+    items, vectors = stand_in(spark, sf_dir)
+    asked = vectors.join(items.filter("number % 10 = 0").select("item_id"), "item_id", "left_semi")
+    stored = vectors.join(items.filter("number % 10 <> 0").select("item_id"), "item_id", "left_semi")
+    return similarity.cross_pairs(asked, stored, T).select("item_id", "match", sim6("sim"))
+
+
+# ---------------------------------------------------------------- scan job and store
+
+
+def _scratch_store(spark: SparkSession) -> Store:
+    """An empty store in the shared checkpoint folder."""
+    checkpointed(spark.range(1))
+    return Store(spark, f"{spark.sparkContext.getCheckpointDir()}/store-{uuid.uuid4().hex}")
+
+
+def _pages(docs: DataFrame, later: bool) -> DataFrame:
+    """``documents`` as pages of the richer API: first without every fifth, later all, some updated, some with other metadata."""
+    k = F.col("doc_id")
+    stamp = F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(hours=(k % 1000).cast("int"))
+    moved = F.when((k % 7 == 0) & F.lit(later), stamp + F.make_dt_interval(days=F.lit(900))).otherwise(stamp)
+    record = F.struct(
+        k.alias("number"), F.substring("text", 1, 60).alias("title"), F.col("text").alias("body"), F.when(k % 4 == 1, "CLOSED").otherwise("OPEN").alias("state"),
+        stamp.alias("createdAt"), moved.alias("updatedAt"), F.struct(F.lit("ann").alias("login"), F.lit("User").alias("typename")).alias("author"),
+        F.when((k % 11 == 0) & F.lit(later), F.array(F.lit("bug"))).alias("labels"),
+    )
+    kept = docs if later else docs.filter(k % 5 != 0)
+    return kept.select(k.alias("number"), F.when(k % 3 == 0, "issue").otherwise("pr").alias("kind"), F.to_json(record).alias("record"))
+
+
+@query("""WITH d AS (SELECT doc_id AS k FROM documents), c AS (SELECT k, CASE WHEN k % 5 = 0 THEN 'new' WHEN k % 7 = 0 THEN 'updated' WHEN k % 13 = 0 THEN 'missing' ELSE 'unchanged' END AS change FROM d)
+SELECT count(*) AS fetched, count(*) FILTER (change = 'new') AS new, count(*) FILTER (change = 'updated') AS updated, count(*) FILTER (change = 'missing') AS missing_vector,
+  count(*) FILTER (change = 'unchanged') AS unchanged, count(*) FILTER (change IN ('missing', 'unchanged') AND k % 11 = 0) AS refreshed,
+  count(*) FILTER (change <> 'unchanged') AS embedded, count(*) AS items, count(*) AS vectors, count(*) FILTER (k % 11 = 0) AS labelled FROM c""")
+def scan_job(spark, sf_dir):
+    """Two scans over all documents as paged records, vectors lost in between: what the second did, and what the store holds."""
+    docs, store, provider = read_table(spark, sf_dir, "documents"), _scratch_store(spark), ingest.HashingEmbedder(16)
+    scanning.scan(store, "o/r", ingest.fetched_items(_pages(docs, False), "o/r"), provider)
+    number = F.substring_index("item_id", ":", -1).cast("long")
+    store.replace("embeddings", store.read("embeddings").filter(number % 13 != 0))
+    r = scanning.scan(store, "o/r", ingest.fetched_items(_pages(docs, True), "o/r"), provider)
+    held = store.read("items").agg(F.count("*").alias("items"), F.count_if(F.size("labels") > 0).alias("labelled"))
+    vectors = store.read("embeddings").count()
+    told = {k: getattr(r, k) for k in ("fetched", "new", "updated", "missing_vector", "unchanged", "refreshed", "embedded")}
+    return held.select(*[F.lit(v).cast("long").alias(k) for k, v in told.items()], "items", F.lit(vectors).cast("long").alias("vectors"), "labelled")
+
+
+@query(f"WITH {O.ITEMS} SELECT repo, number, CASE WHEN number % 20 = 0 THEN 'later ' || title ELSE title END AS patch_text FROM items WHERE number % 10 = 0")
+def store_round_trip(spark, sf_dir):
+    """Diffs written twice by their two-column key, with repeated rows of which the latest counts."""
+    items, _ = stand_in(spark, sf_dir)
+    store, some = _scratch_store(spark), items.filter("number % 10 = 0")
+    at = lambda day: F.lit(f"2024-01-0{day}").cast("timestamp").alias("fetched_at")
+    store.upsert("diffs", some.select("number", "repo", F.col("title").alias("patch_text"), at(1)))
+    again = some.filter("number % 20 = 0")
+    early = again.select("number", "repo", F.concat(F.lit("early "), "title").alias("patch_text"), at(2))
+    store.upsert("diffs", early.unionByName(again.select("number", "repo", F.concat(F.lit("later "), "title").alias("patch_text"), at(3))))
+    return store.read("diffs").select("repo", "number", "patch_text")
+
+
 # ---------------------------------------------------------------- ingest
 
 
-@query(f"WITH {O.ITEMS} SELECT item_id, CASE WHEN number % 5 = 0 THEN 'new' WHEN number % 5 = 1 THEN 'updated' WHEN number % 3 = 0 THEN 'missing-vector' ELSE 'unchanged' END AS change FROM items")
+@query(f"WITH {O.ITEMS} SELECT item_id, CASE WHEN number % 5 = 0 THEN 'new' WHEN number % 5 = 1 THEN 'updated' WHEN number % 3 = 0 OR item_id NOT IN (SELECT item_id FROM vec) THEN 'missing-vector' ELSE 'unchanged' END AS change FROM items")
 def scan_changes(spark, sf_dir):
     items, vectors = stand_in(spark, sf_dir)
     stored = items.filter("number % 5 <> 0").withColumn("updated_at", F.when(F.col("number") % 5 == 1, F.lit(None).cast("timestamp")).otherwise(F.col("updated_at")))

@@ -7,13 +7,16 @@
 from __future__ import annotations
 
 import importlib
+import json
 import time
+import warnings
 from collections.abc import Iterator
 from datetime import datetime
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-SCHEMA = "number bigint, kind string, title string, body string, state string, author string, updated_at timestamp, created_at timestamp"
+#: ``record`` is the whole row as JSON, from which ``ingest.records`` takes what a kind of item needs.
+SCHEMA = "number bigint, kind string, title string, body string, state string, author string, updated_at timestamp, created_at timestamp, record string"
 ATTEMPTS = 5
 
 
@@ -58,7 +61,8 @@ class PageReader(DataSourceReader):
             for row in rows:
                 if oldest and row["updated_at"] < oldest.replace(tzinfo=row["updated_at"].tzinfo):
                     return
-                yield tuple(row.get(c.split()[0]) if c.split()[0] != "kind" else partition.value for c in SCHEMA.split(", "))
+                known = row | {"kind": partition.value, "record": json.dumps(row, default=_iso)}
+                yield tuple(known.get(c.split()[0]) for c in SCHEMA.split(", "))
             seen += len(rows)
             if cursor is None or (most and seen >= most):
                 return
@@ -70,9 +74,15 @@ class PageReader(DataSourceReader):
             except RateLimited as wait:
                 if k == ATTEMPTS - 1:
                     raise
-                time.sleep(min(wait.seconds * 2**k, 60))
+                pause = min(wait.seconds * 2**k, 60)
+                warnings.warn(f"{kind} pages of {self.options['repo']}: rate limited, waiting {pause:g} s ({k + 1} of {ATTEMPTS})", stacklevel=2)
+                time.sleep(pause)
         raise AssertionError("unreachable")
 
 
+def _iso(value) -> str:
+    return value.isoformat() if hasattr(value, "isoformat") else str(value)
+
+
 def estimated_calls(items: int, page: int = 100) -> int:
     return -(-items // page)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, field, fields
+from dataclasses import asdict, dataclass, field, fields
 from urllib.parse import urlsplit
 
 from tidewheel.functions.mapping import Window, compile_windows
@@ -56,29 +56,74 @@ def load(text: str) -> Config:
     )
 
 
+def environment(text: str) -> dict[str, str]:
+    """Settings of a ``.env`` file: ``NAME=value`` lines, ``export`` and quotes allowed, comments and blank lines skipped."""
+    out = {}
+    for line in map(str.strip, text.split("\n")):
+        name, eq, value = line.removeprefix("export ").partition("=")
+        if eq and not line.startswith("#") and name.strip():
+            value = value.strip()
+            quoted = len(value) > 1 and value[0] == value[-1] and value[0] in "\"'"
+            out[name.strip()] = value[1:-1] if quoted else value.split(" #")[0].rstrip()
+    return out
+
+
+@dataclass
+class ClusterSettings:
+    include_bots: bool = False
+    bot_logins: list[str] = field(default_factory=list)
+
+
 @dataclass
 class RepoSettings:
     similarity: float = 0.85
     auto_close: float = 0.95
     auto_close_enabled: bool = False
-    include_bots: bool = False
+    incidents: list[dict] = field(default_factory=list)
+    cluster: ClusterSettings = field(default_factory=ClusterSettings)
+
+    @property
+    def windows(self) -> list[Window]:
+        return compile_windows(self.incidents)
 
 
 def repo_settings(text: str | None) -> RepoSettings:
-    """Settings of one repository from JSON: a corrupt file gives defaults, a malformed setting is an error."""
+    """Settings of one repository from JSON: a corrupt file gives defaults, a malformed setting is an error.
+
+    What a file leaves out keeps its default, within ``cluster`` too. Each call gives settings of its own.
+    """
     if not text:
         return RepoSettings()
     try:
         raw = json.loads(text)
     except ValueError:
         return RepoSettings()
-    out = RepoSettings(**{k: v for k, v in raw.items() if k in {f.name for f in fields(RepoSettings)}})
+    if not isinstance(raw, dict):
+        return RepoSettings()
+    inner = raw.get("cluster", {})
+    if not isinstance(inner, dict):
+        raise ValueError("cluster must be an object")
+    known = lambda kind, given: {k: v for k, v in given.items() if k in {f.name for f in fields(kind)}}
+    out = RepoSettings(**(known(RepoSettings, raw) | {"cluster": ClusterSettings(**known(ClusterSettings, inner))}))
     for name in ("similarity", "auto_close"):
-        if not isinstance(getattr(out, name), int | float) or not 0 <= getattr(out, name) <= 1:
+        if isinstance(getattr(out, name), bool) or not isinstance(getattr(out, name), int | float) or not 0 <= getattr(out, name) <= 1:
             raise ValueError(f"{name} must lie in 0 to 1")
+    for name, value in (("auto_close_enabled", out.auto_close_enabled), ("cluster.include_bots", out.cluster.include_bots)):
+        if not isinstance(value, bool):
+            raise ValueError(f"{name} must be true or false")
+    if not isinstance(out.cluster.bot_logins, list) or not all(isinstance(x, str) and x.strip() for x in out.cluster.bot_logins):
+        raise ValueError("cluster.bot_logins must be a list of logins")
+    if not isinstance(out.incidents, list):
+        raise ValueError("incidents must be a list")
+    compile_windows(out.incidents)
     return out
 
 
+def repo_settings_text(settings: RepoSettings) -> str:
+    """The JSON that ``repo_settings`` reads back."""
+    return json.dumps(asdict(settings), indent=2, sort_keys=True)
+
+
 def provider_url(url: str) -> str:
     """A provider's address without a closing slash; only http(s), no credentials, query or fragment."""
     parts = urlsplit(url)

@@ -10,7 +10,7 @@ ITEM_DDL = (
     "item_id string not null, type string, number bigint, repo string, title string, body string, state string, author string,"
     " author_is_bot boolean, created_at timestamp, updated_at timestamp, closed_at timestamp, labels array<string>, ci_status string,"
     " review_count int, additions int, deletions int, changed_files int, has_tests boolean, node_id string, head_ref_oid string,"
-    " closes_issues array<bigint>, body_length int"
+    " closes_issues array<bigint>, body_length int, full_body string"
 )
 EMBEDDING_DDL = "item_id string not null, embedding array<float>, embedding_space string"
 DIFF_DDL = "number bigint, repo string, patch_text string, fetched_at timestamp"
@@ -73,7 +73,7 @@ SELECT concat(repo, ':', type, ':', CAST(number AS STRING)) AS item_id, * FROM (
   CASE WHEN d.doc_id % 3 = 0 OR d.doc_id % 11 = 0 THEN NULL
        WHEN d.doc_id % 2 = 1 THEN {empty}
        ELSE {series} END AS closes_issues
- FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id) t
+ FROM documents d) t
 """
 
 STAND_IN_SPARK = _STAND_IN.format(
@@ -91,14 +91,13 @@ STAND_IN_DUCKDB = _STAND_IN.replace("STRING", "VARCHAR").format(
 
 
 def all_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items over all of ``documents``, with or without a vector, and their whole text as ``full_body``."""
-    whole = STAND_IN_SPARK.replace("FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id", ", d.text AS full_body FROM {docs} d")
+    """The stand-in items with their whole text as ``full_body``."""
+    whole = STAND_IN_SPARK.replace("FROM documents d", ", d.text AS full_body FROM {docs} d")
     return spark.sql(whole, docs=read_table(spark, sf_dir, "documents"))
 
 
 def stand_in(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Items over ``documents`` and their vectors, ``(item_id, embedding)``."""
-    docs, vectors = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "embeddings")
-    items = spark.sql(STAND_IN_SPARK.replace("documents d", "{docs} d").replace("embeddings e", "{vecs} e"), docs=docs, vecs=vectors)
+    """Items over all of ``documents``, and the vectors of those that have one, ``(item_id, embedding)``."""
+    items = spark.sql(STAND_IN_SPARK.replace("documents d", "{docs} d"), docs=read_table(spark, sf_dir, "documents"))
     named = items.select("item_id", F.col("number").alias("vec_id"))
-    return items, vectors.join(named, "vec_id").select("item_id", "embedding")
+    return items, read_table(spark, sf_dir, "embeddings").join(named, "vec_id").select("item_id", "embedding")

@@ -1,6 +1,9 @@
-"""A store of Parquet tables under one folder: replaced by writing aside, then swapping a pointer.
+"""A store of Parquet tables under one folder: a new version is written aside, then named by a marker.
 
-Readers resolve the pointer when they plan, so a failed writer leaves the last whole version in place.
+A marker is an empty file ``table@number@folder``, made only when the folder is complete; the highest number is the
+current version and nothing is deleted before a newer one is named. So a writer that fails, before or after its
+marker, leaves a whole version in place, and readers that planned on an older one still find its files. Two
+writers that name the same number at once are told so, and neither's marker of that number stays.
 """
 
 from __future__ import annotations
@@ -15,7 +18,14 @@ from tidewheel.sources import items as S
 from tidewheel.sources.ingest import EmbeddingProvider, embed, upsert
 
 GEOMETRY = "1"
+#: Versions of a table whose files stay for readers that planned on them.
+KEPT_VERSIONS = 3
 _DDL = {"items": S.ITEM_DDL, "embeddings": S.EMBEDDING_DDL, "diffs": S.DIFF_DDL, "reviews": S.REVIEW_DDL, "author_stats": S.AUTHOR_DDL, "meta": "key string, value string"}
+#: What identifies a row of each table, and the time by which the later of two rows is told.
+KEYS = {
+    "items": (["item_id"], "updated_at"), "embeddings": (["item_id"], None), "diffs": (["repo", "number"], "fetched_at"),
+    "reviews": (["repo", "number", "type"], "reviewed_at"), "author_stats": (["repo", "author"], "cached_at"), "meta": (["key"], None),
+}
 
 
 class Store:
@@ -26,47 +36,91 @@ class Store:
     def _path(self, text: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(text)
 
+    def versions(self, name: str) -> list[tuple[int, str]]:
+        """Numbers and folders of a table's named versions, the current one last."""
+        if not self._fs.exists(self._path(self.path)):
+            return []
+        names = [f.getPath().getName() for f in self._fs.listStatus(self._path(self.path))]
+        return sorted((int(x.split("@")[1]), x.split("@")[2]) for x in names if x.startswith(f"{name}@"))
+
     def read(self, name: str) -> DataFrame:
         """The current version of a table; an empty one of its schema where none was written."""
-        pointer = f"{self.path}/{name}.current"
-        if not self._fs.exists(self._path(pointer)):
-            return self.spark.createDataFrame([], _DDL[name])
-        return self.spark.read.parquet(self.spark.read.text(pointer).first()[0])
+        known = self.versions(name)
+        # the schema is given, as a version without rows may have no file to tell it
+        return self.spark.read.schema(_DDL[name]).parquet(f"{self.path}/{known[-1][1]}") if known else self.spark.createDataFrame([], _DDL[name])
 
     def replace(self, name: str, df: DataFrame) -> None:
-        """Write a new version, then point to it. Items are partitioned by repository."""
-        target = f"{self.path}/{name}-{uuid.uuid4().hex}"
+        """Write a new version, then name it. Items are partitioned by repository."""
+        before = self.versions(name)
+        folder = f"{name}-{uuid.uuid4().hex}"
         writer = df.write.partitionBy("repo") if name == "items" else df.write
-        writer.parquet(target)
-        aside = f"{self.path}/{name}.next-{uuid.uuid4().hex}"
-        self.spark.createDataFrame([(target,)], "value string").coalesce(1).write.text(aside)
-        self._fs.delete(self._path(f"{self.path}/{name}.current"), True)
-        self._fs.rename(self._path(aside), self._path(f"{self.path}/{name}.current"))
+        writer.parquet(f"{self.path}/{folder}")
+        number = before[-1][0] + 1 if before else 1
+        self._mark(name, number, folder)
+        if [f for n, f in self.versions(name) if n >= number] != [folder]:
+            self._fs.delete(self._path(f"{self.path}/{name}@{number:012d}@{folder}"), False)
+            raise RuntimeError(f"another writer replaced {name} meanwhile")
+        for n, f in before[: max(0, len(before) + 1 - KEPT_VERSIONS)]:
+            self._fs.delete(self._path(f"{self.path}/{name}@{n:012d}@{f}"), False)
+            self._fs.delete(self._path(f"{self.path}/{f}"), True)
+
+    def _mark(self, name: str, number: int, folder: str) -> None:
+        if not self._fs.createNewFile(self._path(f"{self.path}/{name}@{number:012d}@{folder}")):
+            raise RuntimeError(f"{name}: version {number} has a marker already")
+
+    def upsert(self, name: str, incoming: DataFrame) -> None:
+        """Insert or replace rows by the table's key; of incoming rows with one key the latest counts."""
+        current = self.read(name)
+        key, latest = KEYS[name]
+        fitted = incoming.select(*[F.col(c) if c in incoming.columns else F.lit(None).cast(current.schema[c].dataType).alias(c) for c in current.columns])
+        self.replace(name, upsert(current, fitted, keep=("created_at",) if name == "items" else (), key=key, latest=latest))
 
     def upsert_items(self, incoming: DataFrame) -> None:
-        current = self.read("items")
-        self.replace("items", upsert(current, incoming.select(*[F.col(c) if c in incoming.columns else F.lit(None).cast(current.schema[c].dataType).alias(c) for c in current.columns])))
+        self.upsert("items", incoming)
+
+    def item(self, item_id: str) -> DataFrame:
+        """The one item of an id, or no row."""
+        return self.read("items").filter(F.col("item_id") == item_id)
+
+    def by_number(self, repo: str, number: int, kind: str | None = None) -> DataFrame:
+        """Items of a repository and number; the filter prunes to the repository's files."""
+        kept = self.read("items").filter((F.col("repo") == repo) & (F.col("number") == number))
+        return kept if kind is None else kept.filter(F.col("type") == kind)
+
+    def vector(self, item_id: str) -> DataFrame:
+        """The one vector of an id, or no row."""
+        return self.read("embeddings").filter(F.col("item_id") == item_id)
+
+    def drop_vectors(self) -> None:
+        """Forget all vectors, and what space and geometry they had; items stay."""
+        self.replace("embeddings", self.read("embeddings").limit(0))
+        self.replace("meta", self.read("meta").filter(~F.col("key").isin("embedding_space", "geometry", "dims")))
 
-    def upsert(self, name: str, incoming: DataFrame, key: str) -> None:
-        self.replace(name, upsert(self.read(name), incoming, keep=(), key=key))
+    def reset(self) -> None:
+        """Forget everything."""
+        for name in _DDL:
+            if self.versions(name):
+                self.replace(name, self.read(name).limit(0))
 
     def meta(self, key: str) -> str | None:
         row = self.read("meta").filter(F.col("key") == key).select("value").first()
         return row["value"] if row else None
 
     def set_meta(self, key: str, value: str) -> None:
-        self.upsert("meta", self.spark.createDataFrame([(key, value)], "key string, value string"), "key")
+        self.upsert("meta", self.spark.createDataFrame([(key, value)], "key string, value string"))
 
     def has_embeddings(self) -> bool:
         return not self.read("embeddings").isEmpty()
 
-    def guard(self, space: str | None = None) -> None:
-        """Refuse vectors of an unstamped geometry or of another embedding space."""
+    def guard(self, space: str | None = None, dims: int | None = None) -> None:
+        """Refuse vectors of an unstamped geometry, of another embedding space or of another length."""
         if self.has_embeddings():
             if (found := self.meta("geometry") or "0") != GEOMETRY:
                 raise ValueError(f"vectors have geometry {found}, not {GEOMETRY}: backfill first")
             if space is not None and (held := self.meta("embedding_space")) not in (None, space):
                 raise ValueError(f"vectors belong to {held}, not {space}: re-embed first")
+            if dims is not None and (held := self.read("embeddings").select(F.size("embedding").alias("n")).filter(F.col("n") != dims).first()):
+                raise ValueError(f"vectors have {held['n']} dimensions, not {dims}: re-embed first")
 
     def backfill_geometry(self) -> None:
         """Normalise all vectors and stamp the version last."""

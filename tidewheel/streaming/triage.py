@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidewheel.functions.mapping import cluster_key, is_bot
-from tidewheel.functions.vectors import cosine, is_zero
+from tidewheel.functions.vectors import is_zero
+from tidewheel.operators.similarity import cross_pairs
 from tidewheel.sources.ingest import EmbeddingProvider, embed
 
 EVENT_DDL = (
@@ -23,8 +24,9 @@ EVENT_DDL = (
 MATCH_DDL = "item_id string, match string, sim double, rank int, canonical boolean, auto_close boolean"
 
 
-def read_events(spark: SparkSession, path: str) -> DataFrame:
-    return spark.readStream.schema(EVENT_DDL).json(path)
+def read_events(spark: SparkSession, path: str, files: int = 100) -> DataFrame:
+    """Events from a folder of JSON files; a micro-batch takes at most ``files`` of them, a backlog too."""
+    return spark.readStream.schema(EVENT_DDL).option("maxFilesPerTrigger", files).json(path)
 
 
 def opened(events: DataFrame) -> DataFrame:
@@ -34,7 +36,7 @@ def opened(events: DataFrame) -> DataFrame:
     return kept.select(
         "event_id", cluster_key(F.col("repo.full_name"), kind, F.col("number")).alias("item_id"), kind.alias("type"), "number",
         F.col("repo.full_name").alias("repo"), "title", F.coalesce("body", F.lit("")).alias("body"), F.col("sender").alias("author"),
-        F.lit(None).cast("boolean").alias("author_is_bot"), F.col("received_at").alias("created_at"),
+        F.lit(None).cast("boolean").alias("author_is_bot"), F.lit("open").alias("state"), F.col("received_at").alias("created_at"), F.col("received_at").alias("updated_at"),
     )
 
 
@@ -46,7 +48,7 @@ def match_batch(new: DataFrame, vectors: DataFrame, known: DataFrame, threshold:
     decided in the incoming item's mode with similarity as score.
     """
     people = new.filter(~is_bot(F.col("author"), F.col("author_is_bot"), bot_logins) & ~is_zero(F.col("embedding")))
-    asked = people.select("event_id", "item_id", F.col("type").alias("mode"), F.col("embedding").alias("q"))
+    asked = people.select("item_id", "event_id", F.col("type").alias("mode"))
     stored = (
         known.filter(~is_bot(F.col("author"), F.col("author_is_bot"), bot_logins))
         .join(vectors.filter(~is_zero(F.col("embedding"))), "item_id")
@@ -54,11 +56,9 @@ def match_batch(new: DataFrame, vectors: DataFrame, known: DataFrame, threshold:
         .select(F.lit(-1).cast("bigint").alias("seen"), F.col("item_id").alias("match"), "number", "created_at", "embedding")
     )
     fresh = people.select(F.col("event_id").alias("seen"), F.col("item_id").alias("match"), "number", "created_at", "embedding")
-    # a micro-batch is bounded by the source's rate limit, so its queries are what is sent to every task
-    pairs = stored.unionByName(fresh).join(F.broadcast(asked), (F.col("seen") < F.col("event_id")) & (F.col("match") != F.col("item_id")))
-    hits = pairs.withColumn("sim", cosine(F.col("q"), F.col("embedding"))).filter(F.col("sim") >= threshold)
-    from pyspark.sql import Window
-
+    held = stored.unionByName(fresh)
+    near = cross_pairs(people.select("item_id", "embedding"), held.select(F.col("match").alias("item_id"), "embedding"), threshold).filter("match <> item_id")
+    hits = near.join(asked, "item_id").join(held.drop("embedding"), "match").filter("seen < event_id")
     by_sim = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("sim"), "match"))
     early = F.row_number().over(Window.partitionBy("item_id").orderBy(F.asc_nulls_last("created_at"), F.desc("sim"), "number", "match"))
     first = F.when(F.col("mode") == "issue", early).otherwise(by_sim) == 1

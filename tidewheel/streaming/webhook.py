@@ -25,3 +25,10 @@ def event_row(body: bytes, event_type: str, event_id: int) -> dict | None:
         "body": item.get("body") or "", "repo": {"owner": repo["owner"]["login"], "name": repo["name"], "full_name": repo["full_name"]},
         "sender": item["user"]["login"], "received_at": item.get("created_at"),
     }
+
+
+def installed_repos(body: bytes, event_type: str) -> list[str]:
+    """Full names of the repositories that an installation event brings; other events bring none."""
+    raw = json.loads(body)
+    key = {("installation", "created"): "repositories", ("installation_repositories", "added"): "repositories_added"}.get((event_type, raw.get("action")))
+    return [r["full_name"] for r in raw.get(key) or [] if r.get("full_name")] if key else []
