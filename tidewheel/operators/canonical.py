@@ -14,11 +14,18 @@ def _issue_order() -> list[Column]:
     return [F.asc_nulls_last("created_at"), F.desc("score"), F.asc("number"), F.asc("item_id")]
 
 
-def _pr_order() -> list[Column]:
-    return [
-        F.desc("tier"), F.desc("ci"), F.desc("score"), F.asc_nulls_last("created_at"),
-        F.desc(F.coalesce("review_count", F.lit(0))), F.asc("number"), F.asc("item_id"),
-    ]
+def _orders() -> dict[str, Column]:
+    """A member's place by report (issue), by state, build and score (pr), and by score alone, as structs of which the least comes first."""
+    dated = [F.col("created_at").isNull().alias("undated"), F.col("created_at")]
+    told = [F.col("score"), F.col("tier"), F.col("ci")]
+    return {
+        "issue": F.struct(*dated, (-F.col("score")).alias("s"), "number", "item_id", *told),
+        "pr": F.struct(
+            (-F.col("tier")).alias("t"), (-F.col("ci")).alias("c"), (-F.col("score")).alias("s"), *dated,
+            (-F.coalesce("review_count", F.lit(0))).alias("r"), "number", "item_id", *told,
+        ),
+        "best": F.struct((-F.col("score")).alias("s"), "item_id", "score"),
+    }
 
 
 def decide(members: DataFrame, mode: str | None = None) -> DataFrame:
@@ -27,23 +34,22 @@ def decide(members: DataFrame, mode: str | None = None) -> DataFrame:
     Clusters with more issues than half are decided by earliest report, others by state, build, score; the
     margin is the gap of the two best scores, whatever the rule.
     """
-    of = Window.partitionBy("cluster_id")
     closed = F.col("incident_closed") if "incident_closed" in members.columns else F.lit(False)
-    chosen = F.lit(mode) if mode else F.when(F.sum((F.col("type") == "issue").cast("int")).over(of) * 2 > F.count("*").over(of), "issue").otherwise("pr")
-    rows = members.withColumn("mode", chosen).withColumn("tier", state_tier(F.col("state"), closed)).withColumn("ci", ci_rank(F.col("ci_status")))
-    ranked = (
-        rows.withColumn("ri", F.row_number().over(of.orderBy(*_issue_order())))
-        .withColumn("rp", F.row_number().over(of.orderBy(*_pr_order())))
-        .withColumn("rank", F.when(F.col("mode") == "issue", F.col("ri")).otherwise(F.col("rp")))
-        .withColumn("by_score", F.row_number().over(of.orderBy(F.desc("score"), "item_id")))
-    )
-    seen = F.struct("item_id", "score", "created_at", "tier", "ci")
-    out = ranked.groupBy("cluster_id").agg(
-        F.any_value("mode").alias("mode"),
-        F.max(F.when(F.col("rank") == 1, seen)).alias("a"),
-        F.max(F.when(F.col("rank") == 2, seen)).alias("b"),
-        (F.max(F.when(F.col("by_score") == 1, F.col("score"))) - F.max(F.when(F.col("by_score") == 2, F.col("score")))).alias("margin"),
-    )
+    rows = members.withColumn("tier", state_tier(F.col("state"), closed)).withColumn("ci", ci_rank(F.col("ci_status")))
+    places = rows.select("cluster_id", "type", *[c.alias(k) for k, c in _orders().items()])
+    issues = F.count_if(F.col("type") == "issue") * 2 > F.count("*")
+    chosen = F.lit(mode) if mode else F.when(issues, "issue").otherwise("pr")
+    # the first of each order, then the first of what is left: least values, summed up before anything is shuffled
+    first = places.groupBy("cluster_id").agg(chosen.alias("mode"), *[F.min(k).alias(f"{k}1") for k in _orders()])
+    left = lambda k: F.when(F.col(f"{k}.item_id") != F.col(f"{k}1.item_id"), F.col(k))
+    second = places.join(first, "cluster_id").groupBy("cluster_id").agg(*[F.min(left(k)).alias(f"{k}2") for k in _orders()])
+
+    def seen(n: int) -> Column:
+        parts = lambda k: F.struct(*[F.col(f"{k}{n}")[c].alias(c) for c in ("item_id", "score", "created_at", "tier", "ci")])
+        there = lambda k: F.when(F.col(f"{k}{n}").isNotNull(), parts(k))
+        return F.when(F.col("mode") == "issue", there("issue")).otherwise(there("pr"))
+
+    out = first.join(second, "cluster_id").select("cluster_id", "mode", seen(1).alias("a"), seen(2).alias("b"), (F.col("best1.score") - F.col("best2.score")).alias("margin"))
     a, b = F.col("a"), F.col("b")
     hours = F.abs(F.unix_millis(a["created_at"]) - F.unix_millis(b["created_at"])) <= TIE_HOURS * 3_600_000
     undated = a["created_at"].isNull() & b["created_at"].isNull()
