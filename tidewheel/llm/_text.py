@@ -166,6 +166,25 @@ def release() -> None:
     _trim()(0)
 
 
+#: Bytes of what a task's function returns at once.
+RETURN_BYTES = 4 << 20
+
+
+def released(run):
+    """``run`` as a task's function: what it yields travels a few megabytes at a time, and memory is given back at the end."""
+
+    def whole(batches):
+        try:
+            for batch in run(batches):
+                step = max(1, int(batch.num_rows * RETURN_BYTES // max(1, batch.nbytes)))
+                for at in range(0, batch.num_rows, step):
+                    yield batch.slice(at, step)
+        finally:
+            release()
+
+    return whole
+
+
 def integer_ids(df: DataFrame, column: str) -> None:
     """Refuse ids that are not integers: a cast would make nulls of them."""
     kind = df.schema[column].dataType

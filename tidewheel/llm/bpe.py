@@ -21,6 +21,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+from array import array
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -32,14 +33,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.llm._text import Slice, mix64, release, slices, small_batches
+from tidewheel.llm._text import Slice, mix64, released, slices, small_batches
 
 #: Memo of pieces: bits of the number of slots (21 bytes each), bytes of a piece that has one, ids that are kept before it starts again.
-PIECE_BITS, KEY_BYTES, KNOWN_IDS = 20, 15, 6 << 20
+PIECE_BITS, KEY_BYTES, KNOWN_IDS = 19, 15, 2 << 20
 #: Slots of the memo of pairs (8 bytes each).
 PAIR_SLOTS = 1 << 19
 #: Bytes of text that are split at once; a longer text is cut where a piece ends.
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 #: Pieces longer than this are encoded one by one, as are the last few of a batch.
 LONG_PIECE, FEW = 64, 24
 #: The pattern whose pieces are found without the regex engine (fixed value).
@@ -59,9 +60,10 @@ def read_ranks(path: str) -> dict[bytes, int]:
 def character_kinds() -> np.ndarray:
     """Letter, number, white space or none of them, for each code point."""
     kinds = np.zeros(0x110000, np.uint8)
-    every = "".join(map(chr, chain(range(0xD800), range(0xE000, 0x110000))))
-    for kind, name in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_BLANK, r"\s+")):
-        kinds[np.frombuffer("".join(regex.findall(name, every)).encode("utf-32-le"), np.uint32)] = kind
+    for first in range(0, 0x110000, 0x10000):
+        some = "".join(map(chr, (c for c in range(first, first + 0x10000) if not 0xD800 <= c < 0xE000)))
+        for kind, name in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_BLANK, r"\s+")):
+            kinds[np.frombuffer("".join(regex.findall(name, some)).encode("utf-32-le"), np.uint32)] = kind
     return kinds
 
 
@@ -144,9 +146,14 @@ class BytePairCodec:
             self.left[ranks[t]], self.right[ranks[t]] = ranks[a], ranks[b]
         for t in reachable:
             self.shorter[ranks[t]] = next((ranks[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in usable), -1)
-        merges = [(ranks[t[:n]] << 32 | ranks[t[n:]], i) for t, i in ranks.items() for n in range(1, len(t)) if t[:n] in ranks and t[n:] in ranks]
-        merges = np.array(sorted(merges), np.int64).reshape(-1, 2)
-        self.merge_key, self.merge_rank = merges[:, 0].copy(), merges[:, 1].copy()
+        merges = array("q")
+        for t, i in ranks.items():
+            for n in range(1, len(t)):
+                if t[:n] in ranks and t[n:] in ranks:
+                    merges.extend((ranks[t[:n]] << 32 | ranks[t[n:]], i))
+        pairs = np.frombuffer(merges, np.int64).reshape(-1, 2)
+        order = np.argsort(pairs[:, 0])
+        self.merge_key, self.merge_rank = pairs[order, 0], pairs[order, 1]
         spelled = [self.bytes_of.get(i, b"") for i in range(most)]
         self.spelling = pa.array(spelled, pa.binary())
 
@@ -467,9 +474,8 @@ def encode(docs: DataFrame, path: str, pattern: str, text_column: str = "text",
                 ends, data = c.spell(flat)
                 new.append(_digests(data, ends[offsets]))
             yield pa.RecordBatch.from_arrays([*s.rows.columns, *new], [*names, *made])
-        release()
 
-    return small_batches(docs.select(*[F.col(f"`{c}`") for c in names])).mapInArrow(run, f"{kinds}, {ids}")
+    return small_batches(docs.select(*[F.col(f"`{c}`") for c in names])).mapInArrow(released(run), f"{kinds}, {ids}")
 
 
 def decode(tokens: DataFrame, path: str, pattern: str, ids_column: str = "ids", bytes_column: str = "decoded") -> DataFrame:
@@ -489,7 +495,7 @@ def decode(tokens: DataFrame, path: str, pattern: str, ids_column: str = "ids",
             rows = [data[a:z].to_pybytes() if z > a else b"" for a, z in zip(cuts, cuts[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.binary())], [*names, bytes_column])
 
-    return tokens.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, f"{kinds}, `{bytes_column}` binary")
+    return tokens.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(released(run), f"{kinds}, `{bytes_column}` binary")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -505,7 +511,6 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_i
                 [s.rows.column(0), pa.array(np.diff(offsets), pa.int64()), _digests(np.ascontiguousarray(ids, "<u4"), 4 * offsets), _digests(data, ends[offsets])],
                 [id_column, "n_tokens", "ids_sha256", "decoded_sha256"],
             )
-        release()
 
     picked = docs.select(F.col(id_column), F.col(text_column).alias("__text"))
-    return small_batches(picked).mapInArrow(run, f"`{id_column}` {id_kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return small_batches(picked).mapInArrow(released(run), f"`{id_column}` {id_kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

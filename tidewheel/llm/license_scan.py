@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.llm import license_texts
-from tidewheel.llm._text import ALNUM, byte_table, prefix_sums, release, slices, small_batches, span_hash
+from tidewheel.llm._text import ALNUM, byte_table, prefix_sums, released, slices, small_batches, span_hash
 
 _TABLE = byte_table(41, lower=True)
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -245,11 +245,10 @@ def scan(docs: DataFrame, text_column: str = "text", known: tuple[Template, ...]
             kinds = dict(zip(ADDED, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), match_kind), strict=True))
             added = [pa.array(np.diff(first).astype(np.int64)), *(pa.array(rows[c], kinds[c]) for c in ADDED[1:])]
             yield pa.RecordBatch.from_arrays([*s.rows.columns, *added], [*columns, *ADDED])
-        release()
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in columns)
     return small_batches(docs.select(*[F.col(f"`{c}`") for c in columns])).mapInArrow(
-        run,
+        released(run),
         f"{kinds}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double,"
         " matches array<struct<label:string,start:long,words:int,share:double>>",
     )

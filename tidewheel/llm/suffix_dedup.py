@@ -38,14 +38,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.llm._text import byte_table, from_binary, integer_ids, mix64, prefix_sums, release, shuffle_parts, slices, small_batches, span_hash
+from tidewheel.llm._text import byte_table, from_binary, integer_ids, mix64, prefix_sums, released, shuffle_parts, slices, small_batches, span_hash
 from tidewheel.operators.components import checkpointed
 
 _TABLE = byte_table(23, lower=False)
 _LOW = np.uint64(0xFFFFFFFF)
 FLUSH = 1 << 20
 #: Bytes of strings that one index holds, strings streamed through it at once, bytes of segments that a task gathers before sending.
-PIECE_BYTES, STREAMS, SEND_BYTES = 1 << 18, 1 << 16, 8 << 20
+PIECE_BYTES, STREAMS, SEND_BYTES = 1 << 18, 1 << 16, 24 << 20
 #: Bytes of text that a bucket stands for, and bytes of segments that are judged together (more where one key has them).
 BUCKET_BYTES, CHUNK_BYTES = 32 << 20, 4 << 20
 #: A key in so many documents is hot; so many of the commonest hot keys are split by whole windows.
@@ -156,11 +156,10 @@ def shared_keys(docs: DataFrame, width: int, anchor: int, parts: int, buckets: i
             yield found()
         yield hot()
         known, held = None, []
-        release()
 
-    packed = docs.select(F.col("id"), "text").filter("id is not null").mapInArrow(pack, "bucket long, keys binary, step binary, count binary")
+    packed = docs.select(F.col("id"), "text").filter("id is not null").mapInArrow(released(pack), "bucket long, keys binary, step binary, count binary")
     dealt = packed.repartitionById(parts, F.pmod("bucket", F.lit(parts)).cast("int"))
-    return (dealt.sortWithinPartitions("bucket") if buckets > parts else dealt).mapInArrow(meet, "doc long, key long, docs long")
+    return (dealt.sortWithinPartitions("bucket") if buckets > parts else dealt).mapInArrow(released(meet), "doc long, key long, docs long")
 
 
 def hot_keys(pairs: DataFrame) -> np.ndarray:
@@ -497,15 +496,14 @@ def segments(texts: DataFrame, width: int, anchor: int, buckets: int, hot: np.nd
                 else:
                     known += [(same[0], q, c, t) for q, t in zip(same[1][::2], same[1][1::2], strict=True)]
                     same[:] = owner, [place, tag]
-            if total >= 6 * SEND_BYTES:
+            if total >= SEND_BYTES:
                 yield flush()
                 held, known, total = {}, [], 0
         if held:
             yield flush()
         held, known = {}, []
-        release()
 
-    return texts.mapInArrow(run, "bucket long, data binary, size binary, key binary, doc binary, places binary, start binary, tag binary, spans binary")
+    return texts.mapInArrow(released(run), "bucket long, data binary, size binary, key binary, doc binary, places binary, start binary, tag binary, spans binary")
 
 
 def _marked(doc: np.ndarray, spans: np.ndarray) -> pa.RecordBatch:
@@ -516,9 +514,10 @@ def _marked(doc: np.ndarray, spans: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(doc[edge]), pa.array([x.tobytes() for x in np.split(spans, edge[1:])], pa.binary())], ["doc", "spans"])
 
 
-def judged(columns: list[list[np.ndarray]], width: int) -> Iterator[pa.RecordBatch]:
+def judged(columns: list[tuple[np.ndarray, ...]], width: int) -> Iterator[pa.RecordBatch]:
     """Marks of one bucket's segments, given as packed rows; keys are taken a few at a time."""
-    data, size, key, doc, places, start, tag = (np.concatenate(x) for x in columns)
+    raw = b"".join(columns[0])
+    size, key, doc, places, start, tag = (np.concatenate(x) for x in columns[1:])
     size, places = size.astype(np.int64), places.astype(np.int64)
     first, begin = np.cumsum(places) - places, np.cumsum(size) - size
     order = np.argsort(key, kind="stable")
@@ -527,7 +526,6 @@ def judged(columns: list[list[np.ndarray]], width: int) -> Iterator[pa.RecordBat
     ends = np.flatnonzero(np.append(key[order][1:] != key[order][:-1], True)) + 1
     part = filled[ends - 1] // CHUNK_BYTES
     cuts = ends[np.append(part[1:] != part[:-1], True)]
-    raw = data.tobytes()
     for a, z in zip([0, *cuts[:-1]], cuts, strict=True):
         chunk = order[a:z]
         seen: dict[bytes, int] = {}
@@ -583,10 +581,9 @@ def marks(packed: DataFrame, width: int, parts: int, buckets: int) -> DataFrame:
         if held:
             yield from judged(list(zip(*held, strict=True)), width)
         held = []
-        release()
 
     dealt = packed.repartitionById(parts, F.pmod("bucket", F.lit(parts)).cast("int"))
-    return (dealt.sortWithinPartitions("bucket") if buckets > parts else dealt).mapInArrow(run, "doc long, spans binary")
+    return (dealt.sortWithinPartitions("bucket") if buckets > parts else dealt).mapInArrow(released(run), "doc long, spans binary")
 
 
 def removed_spans(spans: list[bytes], text: bytes, width: int) -> list[tuple[int, int]]:
@@ -680,5 +677,5 @@ def remove_repeats(
                 ["__row", "text", "kept", "n_bytes", "spans"],
             )
 
-    out = judged.mapInArrow(finish, kinds)
+    out = judged.mapInArrow(released(finish), kinds)
     return out.select(*[F.col("text" if c == text_column else f"__row.`{c}`").alias(c) for c in names], "kept", "n_bytes", "spans")
