@@ -19,7 +19,8 @@ A document's row of the incidence matrix is its set of distinct word n-grams. Tw
    tiles of that block, so nothing is missed between tiles.
 
 Nulls and empty texts have an empty set and link with nothing; a null id is kept with its own row.
-Repeated rows are each returned; rows of one id are taken for one document.
+Repeated rows are each returned; rows of one id are taken for one document. A text is one set however long; an empty
+table gives an empty one; other columns, whatever their names, are not looked at. Ids must be integers.
 """
 
 from __future__ import annotations
@@ -31,12 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewheel.llm._text import SPACES, byte_table, from_binary, mix64, prefix_sums, shuffle_parts, slices, small_batches, span_hash
+from tidewheel.llm._text import SPACES, byte_table, from_binary, integer_ids, mix64, prefix_sums, released, shuffle_parts, slices, small_batches, span_hash
 from tidewheel.operators.components import checkpointed, connected_components
 
 _TABLE = byte_table(11, lower=True)
 #: Packed part hashes a task holds before it sends them on.
 FLUSH = 1 << 20
+#: Counted n-grams of a bucket of the first count.
+BUCKET_GRAMS = 8 << 20
 #: A set of ids is broadcast only up to this many rows; beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
 
@@ -93,7 +96,7 @@ def set_table(docs: DataFrame, id_column: str, text_column: str, n: int, percent
             )
 
     return docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).mapInArrow(
-        run, "id long, n long, h1 long, h2 long, c long"
+        released(run), "id long, n long, h1 long, h2 long, c long"
     )
 
 
@@ -147,10 +150,15 @@ def _counted(grams: np.ndarray, percent: int) -> np.ndarray:
     return mixed[(mixed >> np.uint64(44)) % np.uint64(1000) < np.uint64(counted_share(percent))]
 
 
-def shared_counts(docs: DataFrame, text_column: str, n: int, percent: int) -> DataFrame:
-    """``(h1, shared)``: how many of a set's counted n-grams another set has too."""
-    buckets = shuffle_parts(docs)
-    schema = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("sets", pa.binary()), ("counts", pa.binary())])
+def _by_bucket(packed: DataFrame, parts: int, buckets: int) -> DataFrame:
+    """Rows dealt by bucket; where a task has several buckets, one after another."""
+    dealt = packed.repartitionById(parts, F.pmod("bucket", F.lit(parts)).cast("int"))
+    return dealt.sortWithinPartitions("bucket") if buckets > parts else dealt
+
+
+def shared_counts(docs: DataFrame, text_column: str, n: int, percent: int, parts: int, buckets: int) -> DataFrame:
+    """``(h1, shared)``: how many of a set's counted n-grams another set has too. A task holds one bucket at a time."""
+    schema = pa.schema([("bucket", pa.int64()), ("keys", pa.binary()), ("sets", pa.binary()), ("counts", pa.binary())])
 
     def rows(bucket: np.ndarray, keys: np.ndarray, sets: np.ndarray) -> pa.RecordBatch:
         order = np.argsort(bucket, kind="stable")
@@ -192,10 +200,17 @@ def shared_counts(docs: DataFrame, text_column: str, n: int, percent: int) -> Da
             who, count, bucket = who[order], count[order].astype(np.uint32), bucket[order].astype(np.int64)
             cuts = np.flatnonzero(np.diff(bucket)) + 1
             out = [{"bucket": int(b[0]), "sets": w.tobytes(), "counts": c.tobytes()} for b, w, c in zip(*(np.split(x, cuts) for x in (bucket, who, count)), strict=True) if len(w)]
-            return pa.RecordBatch.from_pylist(out, schema=pa.schema([("bucket", pa.int32()), ("sets", pa.binary()), ("counts", pa.binary())]))
+            return pa.RecordBatch.from_pylist(out, schema=pa.schema([("bucket", pa.int64()), ("sets", pa.binary()), ("counts", pa.binary())]))
 
+        now = None
         for batch in batches:
-            for k, o, c in zip(from_binary(batch.column(1), np.uint32), from_binary(batch.column(2), np.int64), from_binary(batch.column(3), np.uint32), strict=True):
+            columns = [from_binary(batch.column(i), t) for i, t in ((1, np.uint32), (2, np.int64), (3, np.uint32))]
+            for b, k, o, c in zip(batch.column(0).to_pylist(), *columns, strict=True):
+                if b != now and now is not None:
+                    if total:
+                        yield found()
+                    known, keys, sets, total = SharedKeys(), [], [], 0
+                now = b
                 keys.append(k), sets.append(np.repeat(o, c))
                 total += len(k)
                 if total >= FLUSH:
@@ -205,18 +220,26 @@ def shared_counts(docs: DataFrame, text_column: str, n: int, percent: int) -> Da
             yield found()
 
     def add(batches):
-        sets, counts = [], []
-        for batch in batches:
-            sets += from_binary(batch.column(1), np.int64)
-            counts += from_binary(batch.column(2), np.uint32)
-        if sets:
+        now, sets, counts = None, [], []
+
+        def summed():
             who, at = np.unique(np.concatenate(sets), return_inverse=True)
             total = np.bincount(at, weights=np.concatenate(counts)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(total)], ["h1", "shared"])
+            return pa.RecordBatch.from_arrays([pa.array(who), pa.array(total)], ["h1", "shared"])
+
+        for batch in batches:
+            for b, s, c in zip(batch.column(0).to_pylist(), from_binary(batch.column(1), np.int64), from_binary(batch.column(2), np.uint32), strict=True):
+                if b != now and sets:
+                    yield summed()
+                    sets, counts = [], []
+                now = b
+                sets.append(s), counts.append(c)
+        if sets:
+            yield summed()
 
-    packed = docs.select(F.col(text_column).alias("text")).mapInArrow(pack, "bucket int, keys binary, sets binary, counts binary")
-    told = packed.repartitionById(buckets, F.col("bucket")).mapInArrow(meet, "bucket int, sets binary, counts binary")
-    return told.repartitionById(buckets, F.col("bucket")).mapInArrow(add, "h1 long, shared long")
+    packed = docs.select(F.col(text_column).alias("text")).mapInArrow(released(pack), "bucket long, keys binary, sets binary, counts binary")
+    told = _by_bucket(packed, parts, buckets).mapInArrow(released(meet), "bucket long, sets binary, counts binary")
+    return _by_bucket(told, parts, buckets).mapInArrow(released(add), "h1 long, shared long")
 
 
 def gram_rows(texts: DataFrame, n: int) -> DataFrame:
@@ -234,7 +257,7 @@ def gram_rows(texts: DataFrame, n: int) -> DataFrame:
                     ["id", "h", "n", "g"],
                 )
 
-    return texts.select("id", "text").mapInArrow(run, "id long, h long, n long, g long")
+    return texts.select("id", "text").mapInArrow(released(run), "id long, h long, n long, g long")
 
 
 def block_edges(rows: DataFrame, percent: int) -> DataFrame:
@@ -327,7 +350,7 @@ def _tiles(rows: DataFrame, n: int, percent: int) -> DataFrame:
         rows.select("key", "id", "text", "label", "wanted")
         .repartition("key")
         .sortWithinPartitions("key", "id")
-        .mapInArrow(run, "a long, b long")
+        .mapInArrow(released(run), "a long, b long")
     )
 
 
@@ -342,15 +365,25 @@ def _with_text(keys: DataFrame, docs: DataFrame, id_column: str, text_column: st
 
 
 def jaccard_components(
-    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", n: int = 5, percent: int = 80, block_grams: int = 2_000_000
+    docs: DataFrame,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    n: int = 5,
+    percent: int = 80,
+    block_grams: int = 2_000_000,
+    bucket_grams: int = BUCKET_GRAMS,
 ) -> DataFrame:
     """``(id, n_shingles, component_id)`` for every row of ``docs``.
 
-    ``component_id`` is the smallest id reachable over links, a document's own id where it has none.
+    ``component_id`` is the smallest id reachable over links, a document's own id where it has none. ``bucket_grams``:
+    counted n-grams that a bucket of the first count is for; it does not change the result.
     """
+    integer_ids(docs, id_column)
     small_batches(docs)
     table = checkpointed(set_table(docs, id_column, text_column, n, percent))
-    shared = shared_counts(docs, text_column, n, percent)
+    parts = shuffle_parts(docs)
+    counted = table.agg(F.sum("c").alias("c")).first()["c"] or 0
+    shared = shared_counts(docs, text_column, n, percent, parts, parts * -(-max(1, counted) // (parts * bucket_grams)))
     alone = F.col("c") - F.coalesce("shared", F.lit(0))
     rep = table.filter("n > 0 and id is not null").groupBy("h1", "h2", "n").agg(F.min("id").alias("id"), F.any_value("c").alias("c"))
     left = checkpointed(rep.join(shared, "h1", "left").filter(alone <= F.floor(F.col("n") * (100 - percent) / 100)).select("id", "n"))
