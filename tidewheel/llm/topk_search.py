@@ -9,10 +9,11 @@ the others come from postings. What may enter a top-k is scored again in double
 order, so that results do not depend on how documents were dealt. Shards' top-k lists merge by score and id.
 
 A query is a whole text: its distinct words weigh idf * (k3 + 1) * qtf / (k3 + qtf). Queries are taken in
-blocks of at most ``block_terms`` words, one pass over the documents each, and only a block's words are
-broadcast. Null and empty texts have no words: as queries they find nothing, as documents they are never found.
-Only documents that share a word with a query score. Rows with a null id are neither asked nor found.
-Ties are broken by the smaller id.
+blocks of about ``block_terms`` words and ``block_queries`` queries, one pass over the documents each, and only a
+block's words are broadcast, so a worker's memory is bounded whether queries are long or many. Null and empty texts have no words: as queries they find nothing, as documents they are never found.
+Only documents that share a word with a query score. Rows with a null id are neither asked nor found; repeated rows are
+found each; an id that is asked twice is asked once, with the least of its texts. Ties are broken by the smaller id. Empty tables give no
+answers; other columns, whatever their names, are not looked at. Ids must be integers.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewheel.llm._text import ALNUM, byte_table, from_binary, prefix_sums, slices, small_batches, span_hash
+from tidewheel.llm._text import ALNUM, byte_table, from_binary, integer_ids, prefix_sums, released, slices, small_batches, span_hash
 from tidewheel.operators.components import checkpointed
 
 _TABLE = byte_table(53, lower=True)
@@ -55,7 +56,7 @@ def query_terms(queries: DataFrame) -> DataFrame:
                 terms.append(t.tobytes()), counts.append(c.astype(np.uint32).tobytes()), n.append(len(t))
             yield pa.RecordBatch.from_arrays([s.rows.column(0), pa.array(terms, pa.binary()), pa.array(counts, pa.binary()), pa.array(n, pa.int64())], ["id", "terms", "counts", "n"])
 
-    return queries.mapInArrow(run, "id long, terms binary, counts binary, n long")
+    return queries.mapInArrow(released(run), "id long, terms binary, counts binary, n long")
 
 
 class Vocabulary:
@@ -100,7 +101,7 @@ def statistics(docs: DataFrame, terms: np.ndarray) -> tuple[int, int, np.ndarray
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, [-1, -2])), pa.array(np.append(total[some], [n, words]))], ["t", "n"])
 
-    got = docs.select("text").mapInArrow(run, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
+    got = docs.select("text").mapInArrow(released(run), "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
     shared.unpersist()
     t, n = got.column(0).to_numpy(), got.column(1).to_numpy()
     frequency = np.zeros(len(terms), np.int64)
@@ -278,14 +279,16 @@ def _pieces(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary):
 
 
 def search(
-    docs: DataFrame, queries: DataFrame, k: int = 10, id_column: str = "doc_id", text_column: str = "text", block_terms: int = 2_000_000
+    docs: DataFrame, queries: DataFrame, k: int = 10, id_column: str = "doc_id", text_column: str = "text", block_terms: int = 2_000_000, block_queries: int = 8192
 ) -> DataFrame:
     """``(query_id, rank, doc_id, score)``: for each row of ``queries`` its k best rows of ``docs``."""
+    integer_ids(docs, id_column)
     small_batches(docs)
     bags = _bag(docs, id_column, text_column)
-    asked = checkpointed(query_terms(_bag(queries, id_column, text_column)).filter("n > 0"))
-    total = asked.agg(F.sum("n").alias("n")).first()["n"] or 0
-    parts = max(1, -(-total // block_terms))
+    once = _bag(queries, id_column, text_column).groupBy("id").agg(F.min("text").alias("text"))
+    asked = checkpointed(query_terms(once).filter("n > 0"))
+    size = asked.agg(F.sum("n").alias("n"), F.count("*").alias("queries")).first()
+    parts = max(1, -(-(size["n"] or 0) // block_terms), -(-size["queries"] // block_queries))
     out = None
     for part in range(parts):
         block = asked.filter(F.pmod(F.xxhash64("id"), F.lit(parts)) == part).orderBy("id").toArrow()
@@ -321,6 +324,6 @@ def _search_block(bags: DataFrame, block: pa.Table, k: int) -> DataFrame:
         if len(q):
             yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(best.id[q, j]), pa.array(best.score[q, j])], ["query_id", "doc_id", "score"])
 
-    found = bags.mapInArrow(run, "query_id long, doc_id long, score double")
+    found = bags.mapInArrow(released(run), "query_id long, doc_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
