@@ -9,7 +9,10 @@ sample, feature counts and screening by odds run on the executors, and only feat
 those with the best odds up to ``max_features``, reach the driver. Scoring needs no shuffle.
 
 Null and empty texts hold no sentence and get the score of one sentence without features. Labels that are
-null are ignored, as are labels without a document; a document labelled twice counts twice.
+null are ignored, as are labels without a document; a document labelled twice counts twice, repeated rows score
+alike. Features of equal odds are taken in the order of their counts and hashes. Without labelled documents of both
+kinds all texts get the prior's score. A text is held whole, however long; an empty table gives an empty one. Input columns named
+``score`` or ``offending`` are replaced, others stay.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.llm._text import ALNUM, byte_table, prefix_sums, slices, small_batches, span_hash
+from tidewheel.llm._text import ALNUM, byte_table, prefix_sums, released, slices, small_batches, span_hash
 from tidewheel.operators.components import checkpointed
 
 _TABLE = byte_table(31, lower=True)
@@ -96,7 +99,7 @@ def _count(sample: DataFrame, label: int) -> DataFrame:
             h, n = np.unique(pairs[1], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
-    return sample.filter(F.col("label") == label).select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    return sample.filter(F.col("label") == label).select("text").mapInArrow(released(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
 def fit(
@@ -124,11 +127,11 @@ def fit(
     picked = picks[0].unionByName(picks[1])
     text = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     sample = checkpointed(text.join(F.broadcast(picked), "id").select("text", "label"))  # at most 2 * max_per_class ids
-    if totals.get(1, 0) == 0 or totals.get(0, 0) == 0:
+    used = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    if not used.get(1) or not used.get(0):
         share = (totals.get(1, 0) + 0.5) / (sum(totals.values()) + 1)
         return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(share / (1 - share))))
 
-    used = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     seen = _count(sample, 1).filter(F.col("n") >= least_documents).withColumnRenamed("n", "pos")
     both = seen.join(_count(sample, 0).withColumnRenamed("n", "neg"), "h", "left").fillna(0, ["neg"])
     odds = ((F.col("pos") + 0.5) / (used.get(1, 0) + 1)) / ((F.col("neg") + 0.5) / (used.get(0, 0) + 1))
@@ -155,7 +158,7 @@ def fit(
                 )
 
     kinds = pa.schema([("label", pa.int32()), ("sentences", pa.int64()), ("sentence", pa.list_(pa.int64())), ("feature", pa.list_(pa.int64()))])
-    table = sample.mapInArrow(instances, "label int, sentences long, sentence array<long>, feature array<long>").collect()
+    table = sample.mapInArrow(released(instances), "label int, sentences long, sentence array<long>, feature array<long>").collect()
     return _train(table, chosen.features, totals, rounds, l2)
 
 
@@ -227,4 +230,4 @@ def score(docs: DataFrame, model: Model, text_column: str = "text", least: float
             )
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in columns)
-    return docs.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(run, f"{kinds}, score double, offending array<struct<start:int,end:int,score:double>>")
+    return docs.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(released(run), f"{kinds}, score double, offending array<struct<start:int,end:int,score:double>>")
