@@ -6,13 +6,14 @@ strength of each level's prior is estimated from the spread between its groups b
 when even the upper bound of its host's posterior, mean plus ``z`` standard deviations, stays under
 ``threshold``; without evidence against it, it is allowed.
 
-The registered domain is simply a host's last two labels and the suffix its last one, as in the oracle SQL; no
-public-suffix table is used. Under suffixes of several labels (co.uk, com.au) unrelated hosts share one domain and
-so one prior, which decides for those that have no labelled pages of their own.
+The registered domain is a host's last label before its suffix, with it. The suffix is the last label, or the last
+two where a country's code follows one of ``SECOND_LEVEL`` (co.uk, com.au); no longer public suffixes are told apart.
 
 A url's host is what follows the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; its
 path follows up to ``?``, ``#`` or the end. Null urls and urls without ``://`` have an empty host and path,
-which no rule fits. Repeated rows count as often as they stand there.
+which no rule fits. Repeated rows count as often as they stand there. Rules of one length that fit alike are tried in
+their order as texts. An empty table gives an empty one; urls may be of any length. Input columns named like an added one
+(host, path, rule, verdict, bound) are replaced, others stay.
 """
 
 from __future__ import annotations
@@ -27,6 +28,9 @@ CHAIN = 64
 #: Host posteriors are broadcast only up to this many hosts.
 BROADCAST_HOSTS = 50_000
 
+#: Labels under which countries register names (fixed values).
+SECOND_LEVEL = ("ac", "co", "com", "edu", "go", "gov", "ne", "net", "or", "org")
+_TWO = f"(^|[.])({'|'.join(SECOND_LEVEL)})[.][a-z]{{2}}$"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -76,12 +80,12 @@ def with_rule(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     return marked.join(hits, "__row", "left").withColumn("rule", F.col("__x.key")).withColumn("rule_verdict", F.col("__x.v")).drop("__row", "__x")
 
 
-def _domain(host: Column) -> Column:
-    return F.substring_index(host, ".", -2)
+def domain_of(host: Column) -> Column:
+    return F.when(host.rlike(_TWO), F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
 
 
-def _suffix(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+def suffix_of(host: Column) -> Column:
+    return F.when(host.rlike(_TWO), F.substring_index(host, ".", -2)).otherwise(F.substring_index(host, ".", -1))
 
 
 def _strength(groups: DataFrame) -> tuple[float, float]:
@@ -102,15 +106,20 @@ def _strength(groups: DataFrame) -> tuple[float, float]:
     return row["k"], row["m"]
 
 
-def host_posteriors(outcomes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, tuple[float, float]]:
+def host_counts(outcomes: DataFrame) -> DataFrame:
+    """``(host, good, n)`` of labelled pages (host, good)."""
+    return outcomes.groupBy("host").agg(F.sum(F.col("good").cast("long")).alias("good"), F.count("*").alias("n"))
+
+
+def host_posteriors(counts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, tuple[float, float]]:
     """Posterior tables ``(name, a, b)`` of hosts, domains and suffixes, and the prior (a, b) of all.
 
-    ``outcomes``: (host, good) with one row per labelled page. Of each level only strength and mean, two
-    numbers, come to the driver.
+    ``counts``: (host, good, n) of hosts with labelled pages, as ``host_counts`` gives them. Of each level only
+    strength and mean, two numbers, come to the driver.
     """
-    host = checkpointed(outcomes.groupBy("host").agg(F.sum(F.col("good").cast("long")).alias("good"), F.count("*").alias("n")))
-    domain = host.groupBy(_domain(F.col("host")).alias("domain")).agg(F.sum("good").alias("good"), F.sum("n").alias("n"))
-    suffix = domain.groupBy(_suffix(F.col("domain")).alias("suffix")).agg(F.sum("good").alias("good"), F.sum("n").alias("n"))
+    host = counts.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
+    domain = host.groupBy("domain", "suffix").agg(F.sum("good").alias("good"), F.sum("n").alias("n"))
+    suffix = domain.groupBy("suffix").agg(F.sum("good").alias("good"), F.sum("n").alias("n"))
 
     def shrunk(groups: DataFrame, k: float, prior, name: str) -> DataFrame:
         return groups.select(name, (k * prior + F.col("good")).alias("a"), (k * (1 - prior) + F.col("n") - F.col("good")).alias("b"))
@@ -118,9 +127,9 @@ def host_posteriors(outcomes: DataFrame) -> tuple[DataFrame, DataFrame, DataFram
     above = F.col("a") / (F.col("a") + F.col("b"))
     k, m = _strength(suffix)
     s = shrunk(suffix, k, F.lit(m), "suffix")
-    d = domain.withColumn("suffix", _suffix(F.col("domain"))).join(s, "suffix").withColumn("pm", above)
+    d = domain.join(s, "suffix").withColumn("pm", above)
     d = shrunk(d, _strength(domain)[0], F.col("pm"), "domain")
-    h = host.withColumn("domain", _domain(F.col("host"))).join(d, "domain").withColumn("pm", above)
+    h = host.join(d, "domain").withColumn("pm", above)
     return shrunk(h, _strength(host)[0], F.col("pm"), "host"), d, s, (k * m, k * (1 - m))
 
 
@@ -129,14 +138,18 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], outcomes: DataFrame |
 
     ``outcomes``: labelled pages (host, good); by default those that a rule decides.
     """
-    ruled = with_rule(pages.withColumn("host", host_of(F.col(url_column))).withColumn("path", path_of(F.col(url_column))), rules)
-    if outcomes is None:
-        outcomes = ruled.filter("rule is not null").select("host", (F.col("rule_verdict") == "allow").alias("good"))
-    host, domain, suffix, overall = host_posteriors(outcomes)
+    ruled = with_rule(pages.withColumn("host", host_of(F.col(f"`{url_column}`"))).withColumn("path", path_of(F.col(f"`{url_column}`"))), rules)
+    # what the levels need of the pages, by host: urls are parsed once for it and once for the result
+    decided = F.col("rule").isNotNull()
+    seen = checkpointed(
+        ruled.groupBy("host").agg(F.count_if(decided & (F.col("rule_verdict") == "allow")).alias("good"), F.count_if(decided).alias("n"), F.count_if(~decided).alias("free"))
+    )
+    counts = seen.filter("n > 0").select("host", "good", "n") if outcomes is None else checkpointed(host_counts(outcomes))
+    host, domain, suffix, overall = host_posteriors(counts)
     # hosts that need a verdict, once each; the finest level with evidence speaks for them
-    asked = ruled.filter("rule is null").select("host").distinct()
+    asked = seen.filter("free > 0").select("host")
     levels = (
-        asked.withColumn("domain", _domain(F.col("host"))).withColumn("suffix", _suffix(F.col("host")))
+        asked.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
         .join(host.select("host", F.struct("a", "b").alias("h")), "host", "left")
         .join(domain.select("domain", F.struct("a", "b").alias("d")), "domain", "left")
         .join(suffix.select("suffix", F.struct("a", "b").alias("s")), "suffix", "left")
@@ -182,12 +195,15 @@ def oracle(rules: list[tuple[str, str]] = RULES, z: float = 1.64, threshold: flo
     THEN (yy - y * (y / n) - y / n * (1 - y / n) * (g - 1)) / (y / n * (1 - y / n) * (n - nn / n - (g - 1))) END AS rho
   FROM (SELECT sum(good)::DOUBLE AS y, sum(n)::DOUBLE AS n, count(*) AS g, sum(n::DOUBLE * n) AS nn, sum(good::DOUBLE * good / n) AS yy FROM {groups})))"""
 
+    two, labels = f"regexp_matches(host, '{_TWO}')", "array_to_string(list_slice(string_split(host, '.'), {0}, -1), '.')"
+    domain = f"CASE WHEN {two} THEN {labels.format(-3)} ELSE {labels.format(-2)} END AS domain"
+    suffix = f"CASE WHEN {two} THEN {labels.format(-2)} ELSE {labels.format(-1)} END AS suffix"
     return f"""
 WITH parsed AS (
   SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host,
     regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
 ruled AS (SELECT *, CASE {' '.join(cases)} END AS rule, CASE {' '.join(verdicts)} END AS rule_verdict FROM parsed),
-host AS (SELECT host, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain, split_part(host, '.', -1) AS suffix,
+host AS (SELECT host, {domain}, {suffix},
   sum((rule_verdict = 'allow')::INT) AS good, count(*) AS n FROM ruled WHERE rule IS NOT NULL GROUP BY host),
 domain AS (SELECT domain, suffix, sum(good) AS good, sum(n) AS n FROM host GROUP BY domain, suffix),
 suffix AS (SELECT suffix, sum(good) AS good, sum(n) AS n FROM domain GROUP BY suffix),
@@ -195,7 +211,7 @@ kh AS {strength('host')}, kd AS {strength('domain')}, ks AS {strength('suffix')}
 s AS (SELECT suffix, k * m + good AS a, k * (1 - m) + n - good AS b FROM suffix, ks),
 d AS (SELECT domain, k * (s.a / (s.a + s.b)) + good AS a, k * (1 - s.a / (s.a + s.b)) + n - good AS b FROM domain JOIN s USING (suffix), kd),
 h AS (SELECT host, k * (d.a / (d.a + d.b)) + good AS a, k * (1 - d.a / (d.a + d.b)) + n - good AS b FROM host JOIN d USING (domain), kh),
-asked AS (SELECT DISTINCT host, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain, split_part(host, '.', -1) AS suffix FROM ruled WHERE rule IS NULL),
+asked AS (SELECT DISTINCT host, {domain}, {suffix} FROM ruled WHERE rule IS NULL),
 levels AS (SELECT asked.host, coalesce(h.a, d.a, s.a, k * m) AS a, coalesce(h.b, d.b, s.b, k * (1 - m)) AS b
   FROM asked LEFT JOIN h USING (host) LEFT JOIN d ON d.domain = asked.domain LEFT JOIN s ON s.suffix = asked.suffix, ks),
 bounds AS (SELECT host, a / (a + b) + {z} * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1)) AS bound FROM levels)
