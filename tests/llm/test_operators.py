@@ -136,6 +136,9 @@ def test_join_equals_brute_force(spark, n, percent, grams):
     rows = made(5)
     got = ngram_join.jaccard_components(spark.createDataFrame(rows, DOCS), n=n, percent=percent, block_grams=grams)
     assert {r["id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == brute.components(rows, n, percent)
+    if grams == 400:  # several buckets a task
+        got = ngram_join.jaccard_components(spark.createDataFrame(rows, DOCS), n=n, percent=percent, bucket_grams=50)
+        assert {r["id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == brute.components(rows, n, percent)
 
 
 def test_join_edges(spark):
@@ -306,8 +309,8 @@ def test_search_equals_brute_force(spark):
     rows = [(i, t) for i, t in made(9, 260, 40)]
     df = spark.createDataFrame(rows, DOCS).withColumn("id", F.lit(0))
     asked = [i for i, t in rows if i % 20 == 0]
-    for terms in (2_000_000, 100):
-        got = topk_search.search(df, df.filter("doc_id % 20 = 0"), k=7, block_terms=terms)
+    for more in ({}, {"block_terms": 100}, {"block_queries": 5}):
+        got = topk_search.search(df, df.filter("doc_id % 20 = 0"), k=7, **more)
         assert sorted((r["query_id"], r["rank"], r["doc_id"]) for r in got.collect()) == brute.search(rows, asked, 7)
     assert topk_search.search(df.limit(0), df.limit(0)).count() == 0
     empty = spark.createDataFrame([(0, None), (1, "")], DOCS)
@@ -471,12 +474,19 @@ def test_url_rules(spark):
 def test_url_reputation_shrinks(spark):
     good = [("a.big.com", True)] * 50 + [("b.big.com", False)] + [("c.bad.com", False)] * 40 + [("d.bad.com", False)] * 3
     outcomes = spark.createDataFrame(good, "host string, good boolean")
-    host = {r["host"]: r["a"] / (r["a"] + r["b"]) for r in url_filter.host_posteriors(outcomes)[0].collect()}
+    host = {r["host"]: r["a"] / (r["a"] + r["b"]) for r in url_filter.host_posteriors(url_filter.host_counts(outcomes))[0].collect()}
     assert host["a.big.com"] > 0.9 and host["c.bad.com"] < 0.2
     assert host["b.big.com"] > host["d.bad.com"]  # one bad page on a good domain weighs less
     pages = spark.createDataFrame([(1, "x://c.bad.com/"), (2, "x://new.bad.com/"), (3, "x://a.big.com/"), (4, "x://never.seen/")], "page_id int, url string")
     got = {r["page_id"]: r["verdict"] for r in url_filter.judge(pages, [], outcomes).collect()}
     assert got[1] == "block" and got[3] == "allow" and got[4] == "allow"
+    hosts = {"a.b.co.uk": ("b.co.uk", "co.uk"), "b.co.uk": ("b.co.uk", "co.uk"), "x.y.com": ("y.com", "com"), "co.uk": ("co.uk", "co.uk"), "localhost": ("localhost", "localhost"), "": ("", ""), "my.co.info": ("co.info", "info")}
+    rows = spark.createDataFrame([(h,) for h in hosts], "h string").select("h", url_filter.domain_of(F.col("h")), url_filter.suffix_of(F.col("h"))).collect()
+    assert {r[0]: (r[1], r[2]) for r in rows} == hosts
+    shared = spark.createDataFrame([("bad.co.uk", False)] * 40 + [(f"ok{k}.co.uk", True) for k in range(60)], "host string, good boolean")
+    some = spark.createDataFrame([(1, "x://new.co.uk/"), (2, "x://more.bad.co.uk/")], "page_id int, url string")
+    verdicts = {r["page_id"]: r["verdict"] for r in url_filter.judge(some, [], shared).collect()}
+    assert verdicts == {1: "allow", 2: "block"}
 
 
 # ------------------------------------------------------------------ 9 quality rules

@@ -29,6 +29,24 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id")
 
 
+#: Exact, and quadratic in the documents that share a shingle.
+ORACLES["op2_ngram_jaccard_join"] = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE CAST([] AS VARCHAR[]) END AS s FROM w),
+grams AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS shared
+  FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+linked AS (SELECT a, b FROM pairs WHERE 100 * shared >= 90 * (na + nb - shared)),
+ways AS (SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked),
+reach AS (SELECT a AS x, a AS y FROM ways UNION SELECT r.x, ways.b FROM reach r JOIN ways ON ways.a = r.y),
+parts AS (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(parts.component_id, s.doc_id) AS component_id FROM s LEFT JOIN parts USING (doc_id)
+"""
+
+
 @query
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), width=50)
@@ -57,7 +75,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.score(docs, toxicity.fit(docs, labels))
     return scored.select(
         "doc_id",
-        (toxicity.fold("doc_id") == 1).alias("held_out"),
+        F.coalesce(toxicity.fold("doc_id") == 1, F.lit(False)).alias("held_out"),
         "score",
         (F.col("score") >= 0.7).cast("int").alias("predicted"),
         F.size("offending").cast("long").alias("n_offending"),
@@ -117,4 +135,21 @@ ORACLES["op3_chat_format"] = chat_format.ORACLE
 @query
 def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return topk_search.search(docs, docs.filter(F.col("doc_id") % 100 == 0), k=10)
+    return topk_search.search(docs, docs.filter(F.col("doc_id") % 100 == 0), k=10).withColumn("score", F.round("score", 6))
+
+
+#: Scores every pair of query and document that share a word.
+ORACLES["op5_topk_search"] = """
+WITH words AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS w FROM documents),
+tf AS (SELECT doc_id, w, count(*) AS c FROM words GROUP BY doc_id, w),
+size AS (SELECT doc_id, sum(c) AS n FROM tf GROUP BY doc_id),
+whole AS (SELECT (SELECT count(*) FROM documents)::DOUBLE AS docs, greatest(1.0, (SELECT coalesce(sum(n), 0) FROM size)::DOUBLE / (SELECT count(*) FROM documents)) AS mean),
+df AS (SELECT w, count(*) AS n FROM tf GROUP BY w),
+asked AS (SELECT tf.doc_id, tf.w, ln(1 + (docs - df.n + 0.5) / (df.n + 0.5)) * 8 * tf.c / (7 + tf.c) AS weight FROM tf JOIN df USING (w), whole WHERE tf.doc_id % 100 = 0),
+scored AS (
+  SELECT q.doc_id AS query_id, d.doc_id, sum(q.weight * d.c * 2.2 / (d.c + 1.2 * (0.25 + 0.75 * s.n / mean))) AS score
+  FROM asked q JOIN tf d USING (w) JOIN size s ON s.doc_id = d.doc_id, whole GROUP BY q.doc_id, d.doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scored)
+SELECT query_id, rank::INTEGER AS rank, doc_id, round(score, 6) AS score FROM ranked WHERE rank <= 10
+"""
