@@ -152,7 +152,7 @@ def test_export_contract(spark):
     gate = export.WriteGate()
     assert gate.guard("label", "o/r#1", lambda: 1) is None and gate.journal == [("label", "o/r#1")]
     listed = export.checklist(found.withColumn("confidence", F.lit("solid")), members, "o/r")
-    assert "close as duplicate of #1:" in listed and "- [ ] #2 (fix) t2" in listed
+    assert "Tracked by o/r#1, t1. Close in its favour:" in listed and "- [ ] o/r#2 [fix] t2" in listed
     assert export.label_actions(canonical.decide(members), members).count() == 3
 
 
