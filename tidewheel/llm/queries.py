@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm import bpe, chat_format, license_scan, mixing, ngram_join, quality_rules, suffix_dedup, topk_search, toxicity, url_filter
+from tidewheel.llm import bpe, chat_format, kdtree_clusters, license_scan, mixing, ngram_join, quality_rules, suffix_dedup, topk_search, toxicity, url_filter
 
 #: Whole licences besides the built-in wordings, where the driver has them.
 LICENSES = "/usr/share/common-licenses"
@@ -153,3 +153,13 @@ scored AS (
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scored)
 SELECT query_id, rank::INTEGER AS rank, doc_id, round(score, 6) AS score FROM ranked WHERE rank <= 10
 """
+
+
+@query
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = kdtree_clusters.clusters(table(spark, sf_dir, "embeddings"), k=16, rounds=3, dims=64, scale=64)
+    text = F.array_join(F.col("centroid").cast("array<string>"), ",")
+    return out.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", F.sha2(text, 256).alias("centroid_sha256"))
+
+
+ORACLES["op11_centroid_clustering"] = kdtree_clusters.oracle()
