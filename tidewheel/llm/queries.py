@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm import bpe, chat_format, kdtree_clusters, license_scan, mixing, ngram_join, order_minhash, quality_rules, suffix_dedup, topk_search, toxicity, url_filter
+from tidewheel.llm import bpe, chat_format, collocations, kdtree_clusters, license_scan, mixing, ngram_join, order_minhash, quality_rules, suffix_dedup, topk_search, toxicity, url_filter
 
 #: Whole licences besides the built-in wordings, where the driver has them.
 LICENSES = "/usr/share/common-licenses"
@@ -168,3 +168,11 @@ ORACLES["op11_centroid_clustering"] = kdtree_clusters.oracle()
 @query
 def op13_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.compare_with_next(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), longest=3, least=10, top=2000, inside=50)
+
+
+ORACLES["op12_collocations"] = collocations.oracle()
