@@ -318,6 +318,13 @@ def phrases(docs: DataFrame, longest: int = 3, least: int = 10, text: str = "tex
     return words.join(totals, "lang"), found
 
 
+def with_score(cuts: DataFrame) -> DataFrame:
+    """``cuts`` with ``score``, ``floor(1000000 * a * a / (l * r))`` in whole numbers of up to 38 digits."""
+    exact = {c: f"cast({c} as decimal(18,0))" for c in ("a", "l", "r")}
+    wide = cuts.withColumn("__up", F.expr("{a} * {a} * cast(1000000 as decimal(7,0))".format(**exact))).withColumn("__down", F.expr("{l} * {r}".format(**exact)))
+    return wide.withColumn("score", F.expr("__up div __down")).drop("__up", "__down")
+
+
 def collocations(docs: DataFrame, longest: int = 3, least: int = 10, top: int | None = 2000, inside: int = 50, text: str = "text", lang: str = "lang", **sizes) -> DataFrame:
     """``(lang, rank, phrase, a, l, r, n, score)``: each language's phrases by score, count and text, the first ``top`` of them.
 
@@ -331,9 +338,7 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, top: int |
     sided = cuts.withColumn("left", F.slice("g", 1, F.col("k"))).withColumn("right", F.slice("g", F.col("k") + 1, size - F.col("k")))
     for side, name in (("left", "l"), ("right", "r")):
         sided = sided.join(known.select(F.col("g").alias(side), F.col("a").alias(name)), side)
-    exact = [F.col(c).cast("decimal(18,0)") for c in ("a", "l", "r")]
-    sided = sided.withColumn("up", exact[0] * exact[0] * F.lit(1_000_000).cast("decimal(7,0)")).withColumn("down", exact[1] * exact[2])
-    weakest = sided.groupBy("g").agg(F.min(F.struct(F.expr("up div down").alias("score"), "k", "a", "l", "r")).alias("c")).select("g", "c.*")
+    weakest = with_score(sided).groupBy("g").agg(F.min(F.struct("score", "k", "a", "l", "r")).alias("c")).select("g", "c.*")
     longer = found.filter(size > 2).select("a", "g", F.explode(F.sequence(F.lit(2), size - 1)).alias("m"))
     parts = longer.select("a", F.explode(F.transform(F.sequence(F.lit(1), size - F.col("m") + 1), lambda i: F.slice("g", i, F.col("m")))).alias("g"))
     held = parts.groupBy("g").agg(F.max("a").alias("most"))
