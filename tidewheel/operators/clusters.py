@@ -9,8 +9,9 @@ from tidewheel.functions.mapping import is_bot
 from tidewheel.functions.scoring import cluster_score, confidence
 from tidewheel.functions.vectors import cosine
 from tidewheel.operators.components import checkpointed, connected_components
+from tidewheel.operators.metric import any_pairs
 from tidewheel.operators.ordering import numbered
-from tidewheel.operators.similarity import eligible, pair_statistics, similar_edges, vector_classes
+from tidewheel.operators.similarity import copy_edges, eligible, pair_statistics, vector_classes, vector_sums
 
 #: Edge tables up to this size find their components in one task.
 ONE_TASK_EDGES = 100_000
@@ -32,13 +33,9 @@ def refine(members: DataFrame, edges: DataFrame, vectors: DataFrame, threshold:
     sizes = members.groupBy("cluster_key").agg(F.count("*").alias("m"))
     small = members.join(sizes.filter("m <= 3"), "cluster_key").select("item_id", "cluster_key")
     large = members.join(sizes.filter("m > 3"), "cluster_key").select("item_id", "cluster_key")
-    rows = large.join(vector_classes(vectors), "item_id")
-    # one mean per cluster and dimension, summed before the shuffle
-    centroid = (
-        rows.select("cluster_key", F.posexplode(F.col("embedding").cast("array<double>")).alias("d", "x"))
-        .groupBy("cluster_key", "d").agg(F.avg("x").alias("x"))
-        .groupBy("cluster_key").agg(F.transform(F.sort_array(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("centroid"))
-    )
+    rows = checkpointed(large.join(vectors if "rep" in vectors.columns else vector_classes(vectors), "item_id"))
+    sums = vector_sums(rows, "cluster_key")
+    centroid = sums.select("cluster_key", F.transform("total", lambda x: x / F.col("n")).alias("centroid"))
     judged = checkpointed(
         rows.join(centroid, "cluster_key").select("item_id", "rep", "cluster_key", (cosine(F.col("embedding"), F.col("centroid")) >= threshold).alias("near"))
     )
@@ -71,8 +68,8 @@ def find_clusters(
     Members carry the item's columns, ``cluster_id`` and ``score``; ids follow size, then lowest (repo, number).
     """
     bots = None if include_bots else items.filter(is_bot(F.col("author"), F.col("author_is_bot"), bot_logins)).select("item_id")
-    taking = checkpointed(eligible(vectors, bots))
-    edges = checkpointed(similar_edges(taking, threshold))
+    taking = checkpointed(vector_classes(eligible(vectors, bots)))
+    edges = checkpointed(any_pairs(taking, threshold).unionByName(copy_edges(taking, threshold)))
     parts = item_components(edges)
     if refined:
         parts = refine(parts, edges, taking, threshold)

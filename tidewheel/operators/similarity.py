@@ -107,29 +107,50 @@ def _block_count(vectors: DataFrame, block_rows: int | None) -> int:
 def vector_classes(vectors: DataFrame) -> DataFrame:
     """``vectors`` with ``rep``, the smallest id that has an equal vector.
 
-    Only vectors that occur twice are looked up, so the join's other side is small or can be split.
+    Vectors meet by two hashes of 64 bits; only those whose hashes occur twice are compared themselves.
     """
-    often = checkpointed(vectors.groupBy("embedding").agg(F.min("item_id").alias("rep"), F.count("*").alias("n")).filter("n > 1").drop("n"))
-    return vectors.join(often, "embedding", "left").select("item_id", "embedding", F.coalesce("rep", "item_id").alias("rep"))
+    hashed = vectors.select("item_id", "embedding", F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(1), "embedding").alias("h2"))
+    often = checkpointed(hashed.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").select("h1", "h2"))
+    twice = hashed.join(often, ["h1", "h2"], "left_semi")
+    first = twice.groupBy("h1", "h2", "embedding").agg(F.min("item_id").alias("rep"))
+    again = twice.join(first, ["h1", "h2", "embedding"]).select("item_id", "embedding", "rep")
+    return hashed.join(often, ["h1", "h2"], "left_anti").select("item_id", "embedding", F.col("item_id").alias("rep")).unionByName(again)
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, block_rows: int | None = None) -> DataFrame:
-    """``(src, dst, sim)`` with src < dst and cosine >= threshold, of different vectors, by products of blocks.
+def _classed(vectors: DataFrame) -> DataFrame:
+    """``vectors`` with ``rep``, as they came if they have it."""
+    return vectors if "rep" in vectors.columns else vector_classes(vectors)
 
-    Equal vectors are one vertex, their smallest id (see ``vector_classes``): what the smallest is similar to, the
-    others are too. Each pair of blocks is one task's product, taken in strips, and its pairs are summed again a
-    few at a time, so a task's memory is two blocks whatever is similar. The work is quadratic in the different
-    vectors by definition; each is sent to every block, and blocks are as large as memory allows.
-    """
-    different = vectors.groupBy("embedding").agg(F.min("item_id").alias("item_id")).select("item_id", "embedding")
-    blocks = _block_count(vectors, block_rows)
-    dealt = _dealt(different, [], F.pmod(F.xxhash64("item_id"), F.lit(blocks)).cast("int"), F.sequence(F.lit(0), F.lit(blocks - 1)))
+
+def _spanning(x: np.ndarray, y: np.ndarray, root: dict) -> list[int]:
+    """Which of the pairs ``(x, y)`` join what no earlier pair has joined."""
+
+    def top(i):
+        while root.setdefault(i, i) != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    kept = []
+    for k, (i, j) in enumerate(zip(x.tolist(), y.tolist(), strict=True)):
+        if (i := top(i)) != (j := top(j)):
+            root[j] = i
+            kept.append(k)
+    return kept
+
+
+def pairs_of_blocks(dealt: DataFrame, threshold: float, spanning: bool = False) -> DataFrame:
+    """``(src, dst, sim)`` of the pairs at or over a threshold in each pair of dealt blocks; with ``spanning`` only a forest of them."""
 
     def run(batches):
         for (p, q), names, left, right in _groups(batches, 0):
-            a, b = np.array(names[: len(left)], object), np.array(names[len(left) :] if p != q else names[: len(left)], object)
+            if not len(left) or not len(right):
+                continue
+            a, b, root = np.array(names[: len(left)], object), np.array(names[len(left) :] if p != q else names[: len(left)], object), {}
             for i, j, sim in _pairs_in(left, right, p == q, lambda sims: sims >= threshold - MARGIN):
-                good = sim >= threshold
+                good = np.flatnonzero(sim >= threshold)
+                if spanning:
+                    good = good[_spanning(i[good], j[good] + (len(left) if p != q else 0), root)]
                 x, y = a[i[good]], b[j[good]]
                 if len(x):
                     yield pa.RecordBatch.from_arrays(
@@ -139,12 +160,31 @@ def similar_pairs(vectors: DataFrame, threshold: float, block_rows: int | None =
     return dealt.mapInArrow(run, "src string, dst string, sim double")
 
 
-def similar_edges(vectors: DataFrame, threshold: float) -> DataFrame:
-    """Edges that connect what all similar pairs connect: those of different vectors, and each copy with its first."""
-    copies = vector_classes(vectors).filter("rep <> item_id")
+def similar_pairs(vectors: DataFrame, threshold: float, block_rows: int | None = None, spanning: bool = False) -> DataFrame:
+    """``(src, dst, sim)`` with src < dst and cosine >= threshold, of different vectors, by products of blocks.
+
+    Equal vectors are one vertex, their smallest id (see ``vector_classes``; a ``rep`` column is taken as that): what the
+    smallest is similar to, the others are too. Each pair of blocks is one task's product, taken in strips, and its
+    pairs are summed again a few at a time, so a task's memory is two blocks whatever is similar. Every vector goes to
+    every block; ``metric.pruned_pairs`` sends it only where its neighbours can be. With ``spanning`` a block pair gives
+    a forest of its pairs, which connects what all of them connect.
+    """
+    different = _classed(vectors).filter("item_id = rep").select("item_id", "embedding")
+    blocks = _block_count(vectors, block_rows)
+    dealt = _dealt(different, [], F.pmod(F.xxhash64("item_id"), F.lit(blocks)).cast("int"), F.sequence(F.lit(0), F.lit(blocks - 1)))
+    return pairs_of_blocks(dealt, threshold, spanning)
+
+
+def copy_edges(classes: DataFrame, threshold: float) -> DataFrame:
+    """Edges of each copy with the first of its equals."""
     self = cosine(F.col("embedding"), F.col("embedding"))
-    stars = copies.select(F.col("rep").alias("src"), F.col("item_id").alias("dst"), self.alias("sim")).filter(F.col("sim") >= threshold)
-    return similar_pairs(vectors, threshold).unionByName(stars)
+    return classes.filter("rep <> item_id").select(F.col("rep").alias("src"), F.col("item_id").alias("dst"), self.alias("sim")).filter(F.col("sim") >= threshold)
+
+
+def similar_edges(vectors: DataFrame, threshold: float, spanning: bool = False) -> DataFrame:
+    """Edges that connect what all similar pairs connect: those of different vectors, and each copy with its first."""
+    classes = vectors if "rep" in vectors.columns else checkpointed(vector_classes(vectors))
+    return similar_pairs(classes, threshold, spanning=spanning).unionByName(copy_edges(classes, threshold))
 
 
 def cross_pairs(asked: DataFrame, stored: DataFrame, threshold: float) -> DataFrame:
@@ -240,20 +280,86 @@ def best_section(vectors: DataFrame, sections: DataFrame, aligned: float = 0.65,
     return kept.mapInArrow(run, "item_id string, score double, section string").select("item_id", "score", label.alias("classification"), "section")
 
 
+def vector_sums(rows: DataFrame, key: str, scaled: bool = False) -> DataFrame:
+    """``(key, n, total, squares)``: count, sum of the vectors in doubles and sum of their squared lengths; ``scaled``: of unit vectors.
+
+    A task adds what it has of a key and sends one row, so a key of any size is a row a task when it is added up.
+    """
+    kind = rows.schema[key].dataType.simpleString()
+    ddl = f"{key} {kind}, n bigint, total array<double>, squares double"
+    given = rows.select(key, F.lit(1).cast("bigint").alias("n"), F.col("embedding").cast("array<double>").alias("total"), F.lit(0.0).alias("squares"))
+
+    def add(batches, first: bool):
+        held: dict = {}
+
+        def out():
+            if held:
+                n, total, squares = zip(*held.values(), strict=True)
+                arrow = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, total)]), pa.int32()), pa.array(np.concatenate(total)))
+                yield pa.RecordBatch.from_arrays([pa.array(list(held)), pa.array(n, pa.int64()), arrow, pa.array(squares, pa.float64())], [key, "n", "total", "squares"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            matrix = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            squares = batch.column(3).to_numpy()
+            if first:
+                squares = (matrix * matrix).sum(axis=1)
+                if scaled:
+                    length = np.sqrt(squares)
+                    matrix, squares = matrix / np.where(length == 0, 1, length)[:, None], (length > 0).astype(float)
+            names, place = np.unique(np.array(batch.column(0).to_pylist(), object), return_inverse=True)
+            total, counts = np.zeros((len(names), matrix.shape[1])), np.zeros(len(names), np.int64)
+            np.add.at(total, place, matrix)
+            np.add.at(counts, place, batch.column(1).to_numpy())
+            sums = np.bincount(place, squares, len(names))
+            for i, name in enumerate(names):
+                a, b, c = held.get(name, (0, 0.0, 0.0))
+                held[name] = (a + int(counts[i]), b + total[i], c + float(sums[i]))
+            if len(held) * matrix.shape[1] * 8 > BLOCK_BYTES and first:
+                yield from out()
+                held.clear()
+        yield from out()
+
+    parts = given.mapInArrow(lambda batches: add(batches, True), ddl)
+
+    def whole(batches):
+        """Rows in the order of keys: one key is held at a time."""
+        last = None
+        for batch in batches:
+            matrix = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            done = []
+            for i, (name, n, squares) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                if last is not None and last[0] == name:
+                    last = (name, last[1] + n, last[2] + matrix[i], last[3] + squares)
+                else:
+                    done += [] if last is None else [last]
+                    last = (name, n, matrix[i], squares)
+            yield from made(done)
+        yield from made([] if last is None else [last])
+
+    def made(rows_):
+        if rows_:
+            names, n, total, squares = zip(*rows_, strict=True)
+            arrow = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, total)]), pa.int32()), pa.array(np.concatenate(total)))
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(n, pa.int64()), arrow, pa.array(squares, pa.float64())], [key, "n", "total", "squares"])
+
+    return parts.repartition(key).sortWithinPartitions(key).mapInArrow(whole, ddl)
+
+
 def pair_statistics(members: DataFrame, vectors: DataFrame, block_rows: int | None = None) -> DataFrame:
     """Mean and minimum cosine over all pairs of each cluster; the minimum starts at 1.
 
     The mean comes from the sum of the unit vectors, in one pass. The minimum needs pairs, of different vectors
-    only: they are tiled like the whole join is, so no task holds more than two blocks.
+    only: they are tiled like the whole join is, so no task holds more than two blocks. ``vectors`` may have ``rep``.
     """
-    rows = checkpointed(members.select("cluster_key", "item_id").join(vectors.select("item_id", F.col("embedding").cast("array<double>").alias("embedding")), "item_id"))
-    length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
-    scaled = rows.withColumn("n", length).select("cluster_key", F.posexplode(F.transform("embedding", lambda x: F.when(F.col("n") == 0, 0.0).otherwise(x / F.col("n")))).alias("d", "x"))
-    sums = scaled.groupBy("cluster_key", "d").agg(F.sum("x").alias("x"), F.sum(F.col("x") * F.col("x")).alias("xx"))
-    total = sums.groupBy("cluster_key").agg((F.sum(F.col("x") * F.col("x")) - F.sum("xx")).alias("twice"))
-    count = rows.groupBy("cluster_key").agg(F.count("*").alias("n"))
-    mean = total.join(count, "cluster_key").select("cluster_key", F.when(F.col("n") > 1, F.col("twice") / (F.col("n") * (F.col("n") - 1))).alias("avg_similarity"))
-    different = rows.groupBy("cluster_key", "embedding").agg(F.min("item_id").alias("item_id"), F.count("*").alias("copies"))
+    held = _classed(vectors).select("item_id", "rep", F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = checkpointed(members.select("cluster_key", "item_id").join(held, "item_id"))
+    sums = vector_sums(rows, "cluster_key", scaled=True)
+    twice = F.aggregate("total", F.lit(0.0), lambda s, x: s + x * x) - F.col("squares")
+    mean = sums.select("cluster_key", F.when(F.col("n") > 1, twice / (F.col("n") * (F.col("n") - 1))).alias("avg_similarity"))
+    firsts = rows.groupBy("cluster_key", "rep").agg(F.min("item_id").alias("item_id"), F.count("*").alias("copies"))
+    different = rows.drop("rep").join(firsts, ["cluster_key", "item_id"])
     alike = different.filter("copies > 1").groupBy("cluster_key").agg(F.min(cosine(F.col("embedding"), F.col("embedding"))).alias("low"))
     blocks = F.lit(block_rows) if block_rows else F.greatest(F.lit(1), F.floor(F.lit(BLOCK_BYTES) / (8 * F.size("embedding"))).cast("int"))
     sizes = different.groupBy("cluster_key").agg(F.max(blocks).alias("most"), F.count("*").alias("n")).select("cluster_key", F.ceil(F.col("n") / F.col("most")).cast("int").alias("blocks"))

@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 
 from tidewheel.functions import mapping, scoring, text
 from tidewheel.functions.vectors import is_zero, truncate, unit
-from tidewheel.operators import canonical, clusters, identity, routing, similarity, stats, vision
+from tidewheel.operators import canonical, clusters, identity, metric, routing, similarity, stats, vision
 from tidewheel.operators.components import checkpointed
 from tidewheel.plans import digest
 from tidewheel.plans import oracles as O  # noqa: N812
 from tidewheel.sources import ingest
 from tidewheel.sources import scan as scanning
-from tidewheel.sources.items import STAND_IN_DUCKDB, all_items, read_table, stand_in
+from tidewheel.sources.items import ITEM_DDL, STAND_IN_DUCKDB, all_items, read_table, stand_in, with_columns
 from tidewheel.sources.store import Store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,6 +120,17 @@ def similar_pairs(spark, sf_dir):
     return similarity.similar_pairs(similarity.eligible(vectors, bots), T).select("src", "dst", sim6("sim"))
 
 
+ORACLES["similar_pairs_pruned"] = ORACLES["similar_pairs"]
+
+
+@query()
+def similar_pairs_pruned(spark, sf_dir):
+    """The pairs of ``similar_pairs``, vectors sent only to cells that may hold their neighbours."""
+    items, vectors = stand_in(spark, sf_dir)
+    bots = items.filter(mapping.is_bot(F.col("author"), F.col("author_is_bot")))
+    return metric.pruned_pairs(similarity.eligible(vectors, bots), T).select("src", "dst", sim6("sim"))
+
+
 @query(f"WITH RECURSIVE {O.ITEMS}, {O.graph(T)}, {_FIRST} SELECT item_id, rep FROM taking JOIN firsts USING (v)")
 def vector_classes(spark, sf_dir):
     items, vectors = stand_in(spark, sf_dir)
@@ -145,6 +156,22 @@ def knn(spark, sf_dir):
     return similarity.nearest(vectors, q, 20, 0.2).select("item_id", F.round("distance", 5).alias("distance"))
 
 
+ORACLES["knn_indexed"] = ORACLES["knn"]
+
+
+def _indexed(vectors: DataFrame) -> metric.VectorIndex:
+    """An index of vectors in the shared checkpoint folder."""
+    return metric.VectorIndex.build(vectors, f"{_scratch_store(vectors.sparkSession).path}-index")
+
+
+@query()
+def knn_indexed(spark, sf_dir):
+    """What ``knn`` gives, from an index that is built over all vectors and read in part."""
+    items, vectors = stand_in(spark, sf_dir)
+    q = items.filter("number = 7").join(vectors, "item_id").select("embedding").first()[0]
+    return _indexed(vectors).nearest(q, 20, 0.2).select("item_id", F.round("distance", 5).alias("distance"))
+
+
 @query(f"WITH {O.ITEMS}, q AS (SELECT v FROM vec WHERE number = 7) SELECT item_id, round(sim, 6) AS sim FROM (SELECT vec.item_id, vec.number, {O.COSINE.format(a='vec.v', b='q.v')} AS sim FROM vec, q) WHERE sim >= 0.2 AND number <> 7")
 def match_new_item(spark, sf_dir):
     items, vectors = stand_in(spark, sf_dir)
@@ -535,6 +562,18 @@ def cross_pairs(spark, sf_dir):
     return similarity.cross_pairs(asked, stored, T).select("item_id", "match", sim6("sim"))
 
 
+ORACLES["cross_pairs_indexed"] = ORACLES["cross_pairs"]
+
+
+@query()
+def cross_pairs_indexed(spark, sf_dir):
+    """What ``cross_pairs`` gives, the stored side being an index."""
+    items, vectors = stand_in(spark, sf_dir)
+    asked = vectors.join(items.filter("number % 10 = 0").select("item_id"), "item_id", "left_semi")
+    stored = vectors.join(items.filter("number % 10 <> 0").select("item_id"), "item_id", "left_semi")
+    return _indexed(stored).near(asked, T).select("item_id", "match", sim6("sim"))
+
+
 # ---------------------------------------------------------------- scan job and store
 
 
@@ -588,6 +627,23 @@ def store_round_trip(spark, sf_dir):
     return store.read("diffs").select("repo", "number", "patch_text")
 
 
+_NEWER = "number % 7 = 0 OR number % 11 = 0"
+
+
+@query(f"""WITH {O.ITEMS} SELECT item_id, CASE WHEN number % 11 = 0 THEN 'later ' || number WHEN number % 7 = 0 THEN 'new ' || number ELSE title END AS title, state,
+  CASE WHEN number % 77 = 0 OR number % 2 = 1 OR NOT ({_NEWER}) THEN created_at ELSE TIMESTAMP '2030-01-01' END AS created_at FROM items WHERE number % 2 = 1 OR number % 77 = 0 OR {_NEWER}""")
+def store_deltas(spark, sf_dir):
+    """Items as a base of odd numbers, two deltas over it and a compaction between, read back newest first and first created."""
+    items, store = all_items(spark, sf_dir), _scratch_store(spark)
+    n = F.col("number")
+    later = lambda word: items.withColumn("title", F.concat(F.lit(f"{word} "), n)).withColumn("created_at", F.lit("2030-01-01").cast("timestamp"))
+    store.replace("items", with_columns(items.filter((n % 2 == 1) | (n % 77 == 0)), ITEM_DDL))
+    store.upsert("items", later("new").filter(n % 7 == 0))
+    store.compact("items")
+    store.upsert("items", later("later").filter(n % 11 == 0))
+    return store.read("items").select("item_id", "title", "state", "created_at")
+
+
 # ---------------------------------------------------------------- ingest
 
 

@@ -12,7 +12,8 @@ ITEM_DDL = (
     " review_count int, additions int, deletions int, changed_files int, has_tests boolean, node_id string, head_ref_oid string,"
     " closes_issues array<bigint>, body_length int, full_body string"
 )
-EMBEDDING_DDL = "item_id string not null, embedding array<float>, embedding_space string"
+#: ``text_key`` tells which text a vector was made of; null: unknown.
+EMBEDDING_DDL = "item_id string not null, embedding array<float>, embedding_space string, text_key string"
 DIFF_DDL = "number bigint, repo string, patch_text string, fetched_at timestamp"
 REVIEW_DDL = (
     "number bigint, repo string, type string, provider string, model string, summary string, concerns array<string>,"
@@ -30,6 +31,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def with_columns(df: DataFrame, ddl: str) -> DataFrame:
+    """``df`` in the columns of a schema; those that it lacks are null."""
+    schema = df.sparkSession.createDataFrame([], ddl).schema
+    return df.select(*[(F.col(c.name) if c.name in df.columns else F.lit(None)).cast(c.dataType).alias(c.name) for c in schema])
+
+
 def items_of(store: DataFrame, repos: list[str] | None = None) -> DataFrame:
     """Items of some repositories; the filter reaches the scan, metadata JSON is parsed with a fixed schema."""
     kept = store if repos is None else store.filter(F.col("repo").isin(repos))
