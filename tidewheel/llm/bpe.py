@@ -45,6 +45,17 @@ BLOCK = 1 << 20
 LONG_PIECE, FEW = 64, 24
 #: The pattern whose pieces are found without the regex engine (fixed value).
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Code points, first and last, that the regex module has as letters or numbers and the Unicode tables that tiktoken splits by do not (fixed values).
+LATER = (
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF),
+    (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4), (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D), (0x107BB, 0x107BF),
+    (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB), (0x11DE0, 0x11DE9), (0x11DF1, 0x11DF1),
+    (0x1246F, 0x1246F), (0x12475, 0x1247F), (0x12550, 0x12686), (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF6), (0x187F8, 0x187FF),
+    (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2), (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168),
+    (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2),
+    (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD),
+    (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+)
 _LETTER, _NUMBER, _BLANK = 1, 2, 3
 PIECE_SLOTS = 1 << PIECE_BITS
 _MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
@@ -58,12 +69,14 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 @functools.cache
 def character_kinds() -> np.ndarray:
-    """Letter, number, white space or none of them, for each code point."""
+    """Letter, number, white space or none of them, for each code point, as tiktoken tells them apart."""
     kinds = np.zeros(0x110000, np.uint8)
     for first in range(0, 0x110000, 0x10000):
         some = "".join(map(chr, (c for c in range(first, first + 0x10000) if not 0xD800 <= c < 0xE000)))
         for kind, name in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_BLANK, r"\s+")):
             kinds[np.frombuffer("".join(regex.findall(name, some)).encode("utf-32-le"), np.uint32)] = kind
+    for first, last in LATER:
+        kinds[first : last + 1] = 0
     return kinds
 
 
