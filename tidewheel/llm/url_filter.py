@@ -1,6 +1,7 @@
 """URL filtering by rules, and by empirical-Bayes host reputation where no rule decides.
 
-Labelled page outcomes (good or bad) are shrunk through beta-binomial priors: the suffix's rate towards the
+Page outcomes (good or bad) come with a label, or from what a page holds: ``page_outcomes`` calls a page good that has words
+enough and few symbols among them. They say nothing of rules, so hosts that no rule knows are judged too. Outcomes are shrunk through beta-binomial priors: the suffix's rate towards the
 rate of all pages, the registered domain's towards its suffix's, the host's towards its domain's. The
 strength of each level's prior is estimated from the spread between its groups by moments. A page is blocked
 when even the upper bound of its host's posterior, mean plus ``z`` standard deviations, stays under
@@ -28,6 +29,9 @@ CHAIN = 64
 #: Host posteriors are broadcast only up to this many hosts.
 BROADCAST_HOSTS = 50_000
 
+#: What a good page has: words at least; symbols that it has few of.
+LEAST_WORDS, SYMBOLS = 20, "#*%|$"
+
 #: Labels under which countries register names (fixed values).
 SECOND_LEVEL = ("ac", "co", "com", "edu", "go", "gov", "ne", "net", "or", "org")
 _TWO = f"(^|[.])({'|'.join(SECOND_LEVEL)})[.][a-z]{{2}}$"
@@ -133,6 +137,17 @@ def host_posteriors(counts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame,
     return shrunk(h, _strength(host)[0], F.col("pm"), "host"), d, s, (k * m, k * (1 - m))
 
 
+def page_outcomes(pages: DataFrame, url_column: str = "url", html_column: str = "html") -> DataFrame:
+    """``(host, good)`` of every page that has html: good pages have ``LEAST_WORDS`` words or more, and a symbol in ten words at most.
+
+    Tags count as blanks. Null html tells nothing.
+    """
+    text = F.regexp_replace(F.col(f"`{html_column}`"), "<[^>]*>", " ")
+    made = pages.filter(F.col(f"`{html_column}`").isNotNull()).select(host_of(F.col(f"`{url_column}`")).alias("host"), text.alias("text"))
+    words, symbols = F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+")), F.length("text") - F.length(F.translate("text", SYMBOLS, ""))
+    return made.select("host", ((words >= LEAST_WORDS) & (10 * symbols <= words)).alias("good"))
+
+
 def judge(pages: DataFrame, rules: list[tuple[str, str]], outcomes: DataFrame | None = None, url_column: str = "url", z: float = 1.64, threshold: float = 0.5) -> DataFrame:
     """``pages`` with host, path, rule, verdict, bound (of the posterior used; null where a rule decides).
 
@@ -181,7 +196,7 @@ RULES = [
 
 
 def oracle(rules: list[tuple[str, str]] = RULES, z: float = 1.64, threshold: float = 0.5) -> str:
-    """DuckDB SQL for ``judge`` with its default outcomes over ``pages``."""
+    """DuckDB SQL for ``judge`` with ``page_outcomes`` over ``pages``."""
     cases, verdicts = [], []
     for what, text in sorted(rules, key=lambda r: (-len(r[1]), r[1])):
         host, path = split_rule(text)
@@ -201,10 +216,11 @@ def oracle(rules: list[tuple[str, str]] = RULES, z: float = 1.64, threshold: flo
     return f"""
 WITH parsed AS (
   SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host,
-    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, regexp_replace(html, '<[^>]*>', ' ', 'g') AS text FROM pages),
+outcomes AS (SELECT host, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS w, length(text) - length(translate(text, '{SYMBOLS}', '')) AS s FROM parsed WHERE text IS NOT NULL),
 ruled AS (SELECT *, CASE {' '.join(cases)} END AS rule, CASE {' '.join(verdicts)} END AS rule_verdict FROM parsed),
 host AS (SELECT host, {domain}, {suffix},
-  sum((rule_verdict = 'allow')::INT) AS good, count(*) AS n FROM ruled WHERE rule IS NOT NULL GROUP BY host),
+  sum((w >= {LEAST_WORDS} AND 10 * s <= w)::INT) AS good, count(*) AS n FROM outcomes GROUP BY host),
 domain AS (SELECT domain, suffix, sum(good) AS good, sum(n) AS n FROM host GROUP BY domain, suffix),
 suffix AS (SELECT suffix, sum(good) AS good, sum(n) AS n FROM domain GROUP BY suffix),
 kh AS {strength('host')}, kd AS {strength('domain')}, ks AS {strength('suffix')},
