@@ -63,6 +63,21 @@ def test_bpe_equals_tiktoken_on_mixtures(codec, reference, parts):
     assert codec.encode("".join(parts)) == reference.encode_ordinary("".join(parts))
 
 
+def test_bpe_tells_all_code_points_apart_as_tiktoken_does(codec, reference):
+    """Letters, numbers and white space by tiktoken itself, over all code points; texts of those that tables differ on."""
+    want = np.zeros(0x110000, np.uint8)
+    for kind, pattern in ((1, r"\p{L}+"), (2, r"\p{N}+"), (3, r"\s+")):
+        probe = tiktoken.Encoding("probe", pat_str=pattern, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+        for first in range(0, 0x110000, 0x4000):
+            some = "".join(map(chr, (c for c in range(first, first + 0x4000) if not 0xD800 <= c < 0xE000)))
+            want[[ord(c) for c in probe.decode_bytes(probe.encode_ordinary(some)).decode()]] = kind
+    assert np.flatnonzero(bpe.character_kinds() != want).tolist() == []
+    for first, last in bpe.LATER:
+        for c in {first, last, (first + last) // 2}:
+            text = f"a{chr(c)}b1{chr(c)} {chr(c)}a"
+            assert codec.encode(text) == reference.encode_ordinary(text)
+
+
 def test_bpe_is_linear_on_one_long_piece(codec, reference):
     for text in ("a" * 20_000, "ab" * 9_000, "漢" * 5_000):
         assert codec.encode(text) == reference.encode_ordinary(text)
@@ -471,6 +486,19 @@ def test_url_rules(spark):
     assert url_filter.judge(df.limit(0), url_filter.RULES).count() == 0
 
 
+def test_url_reputation_by_pages_themselves(spark, tmp_path):
+    """Two hosts of one suffix, and of one domain, get verdicts of their own from what their pages hold; null pages tell nothing."""
+    fine, junk = "<p>" + "plain words here " * 10 + "</p>", "<p>" + "%%% *** ### ||| word " * 10 + "</p>"
+    rows = [(i, f"x://good.net/{i}", fine) for i in range(30)] + [(100 + i, f"x://bad.net/{i}", junk) for i in range(30)]
+    rows += [(200 + i, f"x://a.mixed.org/{i}", fine) for i in range(40)] + [(300 + i, f"x://b.mixed.org/{i}", "<b>short</b>") for i in range(40)]
+    rows += [(400, "x://bad.net/null", None), (401, "x://new.bad.net/", None), (402, None, None), (403, "x://unseen.com/en/", junk), (404, "x://long.net/" + "y" * 200_000, fine)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("bound", F.lit("clash"))
+    assert {r["good"] for r in url_filter.page_outcomes(df).collect()} == {True, False} and url_filter.page_outcomes(df).count() == len(rows) - 3
+    df.write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: r["verdict"] for r in queries.QUERIES["op8_url_filter"](spark, str(tmp_path)).collect()}
+    assert got[1] == got[201] == got[402] == got[403] == got[404] == "allow" and got[101] == got[301] == got[400] == got[401] == "block"
+
+
 def test_url_reputation_shrinks(spark):
     good = [("a.big.com", True)] * 50 + [("b.big.com", False)] + [("c.bad.com", False)] * 40 + [("d.bad.com", False)] * 3
     outcomes = spark.createDataFrame(good, "host string, good boolean")

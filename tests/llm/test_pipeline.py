@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_equals_oracle(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "pages", "conversations"):
+    for table in ("documents", "pages", "conversations", "embeddings"):
         con.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
     df = queries.QUERIES[name](spark, SF)
     columns = sorted(df.columns)
@@ -52,8 +52,8 @@ def test_run_and_empty_tables(spark, tmp_path):
 @pytest.mark.parametrize("name", sorted(q for q in queries.QUERIES if q.startswith("op")))
 def test_every_query_covers_its_table(spark, name):
     df = queries.QUERIES[name](spark, SF)
-    if name in ("op5_topk_search", "op6_mixing", "op3_chat_format"):
+    if name in ("op5_topk_search", "op6_mixing", "op3_chat_format", "op12_collocations"):
         assert df.count() > 0
     else:
-        table = "pages" if name == "op8_url_filter" else "documents"
+        table = {"op8_url_filter": "pages", "op11_centroid_clustering": "embeddings"}.get(name, "documents")
         assert df.count() == spark.read.parquet(f"{SF}/{table}.parquet").count()

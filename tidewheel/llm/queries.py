@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from tidewheel.llm import bpe, chat_format, collocations, kdtree_clusters, license_scan, mixing, ngram_join, order_minhash, quality_rules, suffix_dedup, topk_search, toxicity, url_filter
 
-#: Whole licences besides the built-in wordings, where the driver has them.
-LICENSES = "/usr/share/common-licenses"
-
 QUERIES: dict = {}
 ORACLES: dict = {}
 
@@ -107,12 +104,13 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return license_scan.scan(docs, known=license_scan.templates(LICENSES)).drop("text", "matches")
+    return license_scan.scan(docs, known=license_scan.templates()).drop("text", "matches")
 
 
 @query
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), url_filter.RULES).drop("url")
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.judge(pages.select("page_id", "url"), url_filter.RULES, url_filter.page_outcomes(pages)).drop("url")
 
 
 ORACLES["op8_url_filter"] = url_filter.oracle()
