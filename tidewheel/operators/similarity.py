@@ -61,7 +61,7 @@ def _pairs_in(left: np.ndarray, right: np.ndarray, same: bool, keep) -> Iterator
 def _dealt(rows: DataFrame, keys: list[str], number: Column, others: Column) -> DataFrame:
     """``rows`` dealt to pairs (p, q) of blocks, p at most q; each task gets whole pairs, one after another."""
     pairs = rows.select(*keys, "item_id", "embedding", number.alias("b"), F.explode(others).alias("o")).select(
-        *keys, F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q"), "b", "item_id", F.col("embedding").cast("array<double>").alias("embedding")
+        *keys, F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q"), "b", "item_id", "embedding"
     )
     return pairs.repartition(*keys, "p", "q").sortWithinPartitions(*keys, "p", "q", "b")
 
@@ -78,7 +78,7 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tupl
     for batch in batches:
         columns = [batch.column(k).to_pylist() for k in range(keys + 4)]
         lists = batch.column(keys + 4)
-        flat = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+        flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
         key = list(zip(*columns[: keys + 2], strict=True))
         cuts = [0, *(k for k in range(1, len(key)) if key[k] != key[k - 1]), len(key)]
         for a, z in zip(cuts, cuts[1:], strict=False):
