@@ -201,7 +201,7 @@ def test_triage_stream(spark, tmp_path):
     out, stored = [], []
     q = triage.triage_stream(
         triage.read_events(spark, str(tmp_path / "in")), ingest.HashingEmbedder(), lambda: (known, vec),
-        lambda df, b: stored.extend(df.collect()), lambda df, b: out.extend(df.collect()), str(tmp_path / "cp"), auto_close=0.95,
+        lambda df, b: stored.extend(df.collect()), lambda df, new, b: out.extend(df.collect()), str(tmp_path / "cp"), auto_close=0.95,
     )
     q.awaitTermination(120)
     assert sorted(r["number"] for r in stored) == [10, 11, 13]

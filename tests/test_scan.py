@@ -145,8 +145,8 @@ def test_triage_and_review_commands(spark, path, capsys, tmp_path):
     events = [{"event_id": 1, "action": "opened", "event_type": "issues", "number": 50, "title": "crash on start", "body": "text 1", "repo": {"full_name": "o/r"}, "sender": "a", "received_at": "2024-01-05T00:00:00Z"}]
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "e.json").write_text("\n".join(map(json.dumps, events)))
-    told = triage_folder(Store(spark, path), config.Config(), str(tmp_path / "in"), str(tmp_path / "cp"), ingest.HashingEmbedder())
-    assert [(r["item_id"], r["action"], r["target"]) for r in told] == [("o/r:issue:50", "comment", "o/r:pr:1")]
+    told = triage_folder(Store(spark, path), config.Config(), str(tmp_path / "in"), str(tmp_path / "cp"), ingest.HashingEmbedder()).collect()
+    assert [(r["item_id"], r["action"], r["target"]) for r in told] == [("o/r:issue:50", "comment", "o/r:pr:1")] and "#1" in told[0]["text"]
     assert Store(spark, path).item("o/r:issue:50").first()["state"] == "open" and Store(spark, path).vector("o/r:issue:50").count() == 1
     main(["--store", path, "review", "--provider", "tests.test_scan:Provider", "--type", "pr"])
     assert len(capsys.readouterr().out.strip().split("\n")) == 3 and Store(spark, path).read("reviews").count() == 3

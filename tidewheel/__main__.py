@@ -20,14 +20,14 @@ from pyspark.sql import functions as F
 from tidewheel.functions import mapping, scoring
 from tidewheel.functions.text import clean_title, week_start
 from tidewheel.functions.vectors import truncate
-from tidewheel.operators import clusters, identity, similarity, stats, vision
+from tidewheel.operators import clusters, identity, routing, similarity, stats, vision
 from tidewheel.operators.canonical import decide
 from tidewheel.operators.components import checkpointed
 from tidewheel.plans import digest, export
 from tidewheel.sources import config, ingest, reviews
 from tidewheel.sources import scan as scanning
 from tidewheel.sources.api import ItemPages
-from tidewheel.sources.store import Store
+from tidewheel.sources.store import GEOMETRY, Store
 from tidewheel.streaming import triage
 
 
@@ -89,24 +89,39 @@ def scan_repo(store: Store, settings: config.Config, repo: str, transport: str,
     return scanning.scan(store, repo, ingest.fetched_items(checkpointed(pages), repo), provider)
 
 
-def triage_folder(store: Store, settings: config.Config, folder: str, checkpoint: str, provider: ingest.EmbeddingProvider) -> list[dict]:
-    """Drain a folder of events: items are stored, matched with what was there before, and what a comment or a closure would be is told."""
-    told: list[dict] = []
+def triage_folder(
+    store: Store, settings: config.Config, folder: str, checkpoint: str, provider: ingest.EmbeddingProvider, auto_close: float | None = None,
+    owners_file: str | None = None, limits: dict[str, config.RepoSettings] | None = None,
+) -> DataFrame:
+    """Drain a folder of events: items are matched with what was there before and stored, and what is to be done about them waits in the store.
+
+    Intents are unique by (event, action), so a batch that is handled again after a failure tells nothing twice. ``owners_file``
+    holds ownership rules. All intents are returned; ``export.deliver`` hands them on through the gate.
+    """
+    space = ingest.embedding_space(provider.name, provider.name, provider.dims)
+    store.guard(space, provider.dims)
+    if store.meta("embedding_space") != space:
+        store.set_metas({"embedding_space": space, "geometry": GEOMETRY})
 
     def load():
         return items_of(store, settings).select("item_id", "type", "number", "created_at", "author", "author_is_bot"), store.read("embeddings").select("item_id", "embedding")
 
     def keep(new: DataFrame, batch: int) -> None:
         store.upsert("items", new)
-        space = ingest.embedding_space(provider.name, provider.name, provider.dims)
         store.upsert("embeddings", new.select("item_id", "embedding").withColumn("embedding_space", F.lit(space)))
 
-    def emit(matches: DataFrame, batch: int) -> None:
-        told.extend(r.asDict() for r in export.triage_actions(matches).orderBy("item_id", "action").collect())
+    def emit(matches: DataFrame, new: DataFrame, batch: int) -> None:
+        matches = checkpointed(matches)
+        if not matches.isEmpty():
+            owners = routing.suggest_owners(new, owners_file) if owners_file else None
+            store.upsert("intents", export.triage_intents(matches, new, store.read("items"), owners))
 
     t = settings.thresholds.duplicate
-    triage.triage_stream(triage.read_events(store.spark, folder), provider, load, keep, emit, checkpoint, threshold=t, bot_logins=settings.bot_logins).awaitTermination()
-    return told
+    stream = triage.triage_stream(
+        triage.read_events(store.spark, folder), provider, load, keep, emit, checkpoint, threshold=t, auto_close=auto_close, bot_logins=settings.bot_logins, limits=limits
+    )
+    stream.awaitTermination()
+    return store.read("intents")
 
 
 def benchmark(store: Store, settings: config.Config, dims: int, threshold: float) -> dict:
@@ -142,9 +157,16 @@ def main(args: list[str]) -> int:
     scan = sub.add_parser("scan")
     scan.add_argument("--transport", required=True)
     scan.add_argument("--repo", action="append", required=True)
+    scan.add_argument("--report", action="store_true", help="print the backlog report")
+    labels = sub.add_parser("labels")
+    labels.add_argument("--threshold", type=float)
+    labels.add_argument("--vision", help="a document to compare items with")
     events = sub.add_parser("triage")
     events.add_argument("events")
     events.add_argument("--checkpoint", required=True)
+    events.add_argument("--auto-close", type=float, help="similarity from which a new item is to be closed; not at all if left out")
+    events.add_argument("--owners", help="a file of ownership rules")
+    events.add_argument("--repo-settings", action="append", default=[], metavar="REPO=FILE", help="JSON settings of a repository")
     judge = sub.add_parser("review")
     judge.add_argument("--provider", required=True, help="module:function that gives a provider")
     judge.add_argument("--type", choices=("pr", "issue"))
@@ -191,12 +213,21 @@ def main(args: list[str]) -> int:
         totals = {"items": items_of(store, settings).count(), "clusters": found.count()}
         print((export.report_json if a.json else export.report)(found, ranked, totals, fit))
     elif a.command == "scan":
-        for repo in a.repo:
-            for line in scan_repo(store, settings, repo, a.transport, ingest.HashingEmbedder()).lines():
+        reports = [scan_repo(store, settings, repo, a.transport, ingest.HashingEmbedder()) for repo in a.repo]
+        if a.report:
+            print(digest.backlog_report(reports, *dupes(store, settings)))
+        else:
+            for line in (x for r in reports for x in r.lines()):
                 print(line)
+    elif a.command == "labels":
+        _, members = dupes(store, settings, a.threshold)
+        members = checkpointed(members)
+        fit = alignment(store, settings, a.vision, ingest.HashingEmbedder()) if a.vision else None
+        show(export.label_actions(decide(members), members, fit).orderBy("item_id", "label"))
     elif a.command == "triage":
-        for row in triage_folder(store, settings, a.events, a.checkpoint, ingest.HashingEmbedder()):
-            print(json.dumps(row))
+        limits = {repo: config.repo_settings(open(file).read()) for repo, _, file in (x.partition("=") for x in a.repo_settings)}
+        rules = open(a.owners).read() if a.owners else None
+        show(triage_folder(store, settings, a.events, a.checkpoint, ingest.HashingEmbedder(), a.auto_close, rules, limits).orderBy("event_id", "action"))
     elif a.command == "review":
         module, _, function = a.provider.partition(":")
         provider = getattr(importlib.import_module(module), function)()

@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.functions.scoring import ci_rank, state_tier
+from tidewheel.operators.ordering import numbered
 
 TIE_MARGIN, TIE_HOURS = 0.05, 24
 
 
-def _issue_order() -> list[Column]:
-    return [F.asc_nulls_last("created_at"), F.desc("score"), F.asc("number"), F.asc("item_id")]
-
-
 def _orders() -> dict[str, Column]:
     """A member's place by report (issue), by state, build and score (pr), and by score alone, as structs of which the least comes first."""
     dated = [F.col("created_at").isNull().alias("undated"), F.col("created_at")]
@@ -64,22 +61,23 @@ def tracker_roles(members: DataFrame) -> DataFrame:
 
     ``needs_tracker`` holds where a cluster has no issue.
     """
-    of = Window.partitionBy("cluster_id")
-    first = F.row_number().over(Window.partitionBy("cluster_id", "type").orderBy(*_issue_order()))
-    rows = members.withColumn("__first", first).withColumn(
-        "role", F.when(F.col("type") == "pr", "fix").when(F.col("__first") == 1, "tracker").otherwise("duplicate")
-    )
-    turn = F.row_number().over(
-        of.orderBy(
-            F.when(F.col("role") == "tracker", 0).when(F.col("role") == "fix", 1).otherwise(2),
-            F.when(F.col("role") == "fix", -F.col("score")),
-            F.when(F.col("role") != "fix", F.col("created_at")).asc_nulls_last(),
-            "number",
-            "item_id",
-        )
-    )
-    needs = F.max((F.col("type") == "issue").cast("int")).over(of) == 0
-    return rows.withColumn("position", turn).withColumn("needs_tracker", needs).drop("__first")
+    dated = (F.col("created_at").isNull().alias("undated"), "created_at")
+    issue = F.col("type") == "issue"
+    earliest = F.min(F.when(issue, F.struct(*dated, (-F.col("score")).alias("s"), "number", "item_id")))
+    heads = members.groupBy("cluster_id").agg(earliest["item_id"].alias("__first"), (F.max(issue.cast("int")) == 0).alias("needs_tracker"))
+    rows = members.join(heads, "cluster_id").withColumn("role", F.when(F.col("type") == "pr", "fix").when(F.col("item_id") == F.col("__first"), "tracker").otherwise("duplicate"))
+    turn = [
+        F.col("cluster_id"),
+        F.when(F.col("role") == "tracker", 0).when(F.col("role") == "fix", 1).otherwise(2),
+        F.when(F.col("role") == "fix", -F.col("score")),
+        F.when(F.col("role") != "fix", F.col("created_at")).asc_nulls_last(),
+        F.col("number"),
+        F.col("item_id"),
+    ]
+    # numbered over all clusters by ranges, then from each cluster's least number on: a cluster of any size is cut into ranges
+    placed = numbered(rows.drop("__first"), turn, "__n")
+    least = placed.groupBy("cluster_id").agg(F.min("__n").alias("__least"))
+    return placed.join(least, "cluster_id").withColumn("position", F.col("__n") - F.col("__least") + 1).drop("__n", "__least")
 
 
 def closing_edges(members: DataFrame) -> DataFrame:

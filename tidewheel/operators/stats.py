@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewheel.operators.components import checkpointed
+from tidewheel.operators.components import checkpointed, connected_components
 
 
 def repo_stats(items: DataFrame, diffs: DataFrame | None = None, repos: list[str] | None = None) -> DataFrame:
@@ -103,23 +104,58 @@ def cluster_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
     return common.join(sa, "id_a").join(sb, "id_b").select("id_a", "id_b", (F.col("n") / (F.col("na") + F.col("nb") - F.col("n"))).alias("overlap"))
 
 
-def greedy_matches(pairs: DataFrame) -> DataFrame:
+#: Pairs of a component up to which one task settles it.
+ONE_TASK_PAIRS = 1_000_000
+
+
+def greedy_matches(pairs: DataFrame, one_task_pairs: int = ONE_TASK_PAIRS) -> DataFrame:
     """Each cluster at most once, best overlap first, ties to the smaller ids.
 
+    What the greedy order takes in one component of the pair graph says nothing about another, so each is settled where
+    its pairs lie sorted, in one pass. Components of more pairs than ``one_task_pairs`` go in rounds.
+    """
+    left = checkpointed(pairs)
+    ends = left.select(F.concat(F.lit("a "), F.col("id_a").cast("string")).alias("a"), F.concat(F.lit("b "), F.col("id_b").cast("string")).alias("b"))
+    parts = connected_components(ends, one_task_edges=100_000).filter("id like 'a %'").select(F.col("id").alias("__a"), "component")
+    placed = checkpointed(left.withColumn("__a", F.concat(F.lit("a "), F.col("id_a").cast("string"))).join(parts, "__a").drop("__a"))
+    large = checkpointed(placed.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") > one_task_pairs).select("component"))
+    schema = left.select("id_a", "id_b", "overlap").schema
+
+    def run(batches):
+        now, used = None, (set(), set())
+        for batch in batches:
+            rows = []
+            for component, a, b in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if component != now:
+                    now, used = component, (set(), set())
+                rows.append(a not in used[0] and b not in used[1])
+                if rows[-1]:
+                    used[0].add(a)
+                    used[1].add(b)
+            yield pa.RecordBatch.from_arrays(batch.columns[1:], ["id_a", "id_b", "overlap"]).filter(pa.array(rows, pa.bool_()))
+
+    keys = ["component", F.desc("overlap"), "id_a", "id_b"]
+    small = placed.join(large, "component", "left_anti").repartition("component").sortWithinPartitions(*keys).select("component", "id_a", "id_b", "overlap")
+    out = small.mapInArrow(run, schema).unionByName(_matched_in_rounds(placed.join(large, "component", "left_semi").select("id_a", "id_b", "overlap")))
+    return out.select("id_a", "id_b", F.floor(100 * F.col("overlap") + 0.5).cast("int").alias("overlap"))
+
+
+def _matched_in_rounds(pairs: DataFrame) -> DataFrame:
+    """Greedy matches of pairs, whole rounds at a time.
+
     A pair that is best for both its clusters is what the greedy order takes first among its neighbours, so
     each round takes all of those at once and drops what they use, until no pair is left. The best pair of all is
     always best for both, so every round takes one at least.
     """
-    left, out = checkpointed(pairs), None
+    left, out = checkpointed(pairs), pairs.limit(0)
     while not left.isEmpty():
         keyed = left.withColumn("k", F.struct((-F.col("overlap")).alias("o"), "id_a", "id_b"))
         first_a, first_b = (keyed.groupBy(c).agg(F.min("k").alias("m")) for c in ("id_a", "id_b"))
         best = first_a.join(first_b.withColumnRenamed("m", "n"), F.col("m") == F.col("n"))
         taken = checkpointed(best.select("m.id_a", "m.id_b", (-F.col("m.o")).alias("overlap")))
-        out = taken if out is None else out.unionByName(taken)
+        out = out.unionByName(taken)
         left = checkpointed(left.join(taken.select("id_a"), "id_a", "left_anti").join(taken.select("id_b"), "id_b", "left_anti"))
-    out = pairs.limit(0) if out is None else out
-    return out.select("id_a", "id_b", F.floor(100 * F.col("overlap") + 0.5).cast("int").alias("overlap"))
+    return out
 
 
 def unmatched(clusters_of: DataFrame, matches: DataFrame, side: str) -> int:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewheel.functions.text import clean_title
@@ -27,9 +27,12 @@ def digest_totals(items: DataFrame, clusters: DataFrame, members: DataFrame, sin
 
 def top_members(members: DataFrame, most: int = MEMBERS) -> DataFrame:
     """``(cluster_id, shown, more)``: references of each cluster's best members, and how many are left out."""
-    ref = F.struct((-F.col("score")).alias("s"), "item_id")
-    listed = members.groupBy("cluster_id").agg(F.sort_array(F.collect_list(ref)).alias("all"))
-    return listed.select("cluster_id", F.transform(F.slice("all", 1, most), lambda x: x["item_id"]).alias("shown"), F.greatest(F.size("all") - most, F.lit(0)).alias("more"))
+    # every task sends its first few of a cluster, so no task has a whole one
+    order = F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.desc("score"), "item_id"))
+    best = members.select("cluster_id", "score", "item_id").withColumn("__n", order).filter(F.col("__n") <= most)
+    listed = best.groupBy("cluster_id").agg(F.sort_array(F.collect_list(F.struct("__n", "item_id"))).alias("all"))
+    sizes = members.groupBy("cluster_id").agg(F.count("*").alias("size"))
+    return listed.join(sizes, "cluster_id").select("cluster_id", F.transform("all", lambda x: x["item_id"]).alias("shown"), F.greatest(F.col("size") - most, F.lit(0)).cast("int").alias("more"))
 
 
 def clusters_of(members: DataFrame, repo: str, number: int, kind: str = "pr") -> DataFrame:

@@ -6,9 +6,10 @@ Everything up to the JSON column is a DataFrame; only the few rows a report show
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +21,8 @@ from tidewheel.operators.stats import vision_distribution, vision_sections
 from tidewheel.plans.digest import off_vision
 
 SCHEMA_VERSION = 1
+#: Matches that a comment shows.
+COMMENT_MATCHES = 10
 
 
 def item_ref(prefix: str = "") -> Column:
@@ -199,14 +202,14 @@ def _confirmed_lines(confirmed: DataFrame) -> list[str]:
     return out
 
 
-def match_comment(repo: str, matches: list, source: dict, seconds: float, owners: list[tuple[str, str]] = ()) -> str:
-    """The comment on a new item that resembles others."""
+def match_comment(repo: str, matches: list, source: dict, seconds: float | None = None, owners: list[tuple[str, str]] = ()) -> str:
+    """The comment on a new item that resembles others; without ``seconds`` it is the same whenever it is made."""
     link = lambda n: f"[#{n}](https://github.com/{repo}/issues/{n})"
     lines = ["### Seen before?", "", f"{len(matches)} known items look like this one; {link(source['number'])} is the one to follow.", ""]
     lines += _table(["item", "likeness", "title"], [{"item": link(m["number"]), "likeness": f"{100 * m['similarity']:.1f} %", "title": m["title"]} for m in matches])
     if owners:
         lines += ["", "Reviewers who own the paths it names: " + ", ".join(f"@{o} ({p})" for o, p in owners)]
-    return "\n".join([*lines, "", f"_Compared in {seconds:.1f} s._"])
+    return "\n".join([*lines, *([] if seconds is None else ["", f"_Compared in {seconds:.1f} s._"])])
 
 
 def close_comment(repo: str, source: dict, similarity: float) -> str:
@@ -216,13 +219,63 @@ def close_comment(repo: str, source: dict, similarity: float) -> str:
 
 
 def triage_actions(matches: DataFrame) -> DataFrame:
-    """``(item_id, action, target, similarity)``: a comment for each matched item, and a closure where the best match allows it.
+    """``(event_id, item_id, action, target, similarity)``: a comment for each matched item, and a closure where the best match allows it.
 
-    ``matches`` as ``triage.match_batch`` gives them; nothing is written here, see ``WriteGate``.
+    ``matches`` as ``triage.match_batch`` gives them; nothing is written here, see ``deliver``.
     """
-    told = matches.filter("canonical").select("item_id", F.lit("comment").alias("action"), F.col("match").alias("target"), F.col("sim").alias("similarity"))
-    closed = matches.filter("auto_close").select("item_id", F.lit("close").alias("action"), F.col("match").alias("target"), F.col("sim").alias("similarity"))
-    return told.unionByName(closed)
+    columns = lambda action: ("event_id", "item_id", F.lit(action).alias("action"), F.col("match").alias("target"), F.col("sim").alias("similarity"))
+    return matches.filter("canonical").select(*columns("comment")).unionByName(matches.filter("auto_close").select(*columns("close")))
+
+
+def triage_intents(matches: DataFrame, new: DataFrame, known: DataFrame, owners: DataFrame | None = None, shown: int = COMMENT_MATCHES) -> DataFrame:
+    """``triage_actions`` with the ``text`` of each comment: the best ``shown`` matches, and owners of the paths that the item names.
+
+    ``new``: the batch's items; ``known``: (item_id, number, title) of what can be matched; ``owners``: as ``routing.suggest_owners`` gives them.
+    """
+    titles = known.select("item_id", "number", "title").unionByName(new.select("item_id", "number", "title")).dropDuplicates(["item_id"])
+    named = titles.select(F.col("item_id").alias("match"), F.col("number").alias("match_number"), F.col("title").alias("match_title"))
+    best = matches.filter(F.col("rank") <= shown).join(named, "match")
+    row = F.struct("rank", F.col("match_number").alias("number"), F.col("sim").alias("similarity"), clean_title(F.col("match_title")).alias("title"))
+    listed = best.groupBy("item_id").agg(F.sort_array(F.collect_list(row)).alias("shown"))
+    target = named.select(F.col("match").alias("target"), F.col("match_number").alias("target_number"))
+    whole = triage_actions(matches).join(new.select("item_id", "repo"), "item_id").join(target, "target").join(listed, "item_id", "left")
+    empty = F.array().cast("array<struct<owner:string,pattern:string>>")
+    if owners is None:
+        whole = whole.withColumn("owners", empty)
+    else:
+        own = owners.groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("rank", "owner", "pattern"))).alias("o"))
+        pick = F.transform("o", lambda x: F.struct(x["owner"].alias("owner"), x["pattern"].alias("pattern")))
+        whole = whole.join(own, "item_id", "left").withColumn("owners", F.coalesce(pick, empty)).drop("o")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            texts = [
+                close_comment(r.repo, {"number": r.target_number}, r.similarity) if r.action == "close"
+                else match_comment(r.repo, [] if r.shown is None else list(r.shown), {"number": r.target_number}, None, [(o["owner"], o["pattern"]) for o in r.owners])
+                for r in f.itertuples()
+            ]
+            yield f[["event_id", "action", "item_id", "target", "similarity"]].assign(text=texts)
+
+    return whole.mapInPandas(run, "event_id bigint, action string, item_id string, target string, similarity double, text string")
+
+
+def deliver(store, gate: WriteGate, post: Callable[[dict], object], batch: int = 100) -> int:
+    """Hand intents that were not delivered to ``post`` through the gate, some at a time, each noted when done; how many were.
+
+    An intent's key (event_id, action) goes along: one whose note was lost comes again with the same key. While the
+    gate is shut they stay in the store and are journalled.
+    """
+    done = 0
+    while rows := store.read("intents").filter("delivered_at is null").orderBy("event_id", "action").limit(batch).collect():
+        if not gate.enabled:
+            gate.journal += [(r["action"], r["item_id"]) for r in rows]
+            break
+        for r in rows:
+            gate.guard(r["action"], r["item_id"], lambda r=r: post(r.asDict()))
+        told = store.spark.createDataFrame([(r["event_id"], r["action"]) for r in rows], "event_id bigint, action string")
+        store.upsert("intents", store.read("intents").join(F.broadcast(told), ["event_id", "action"]).withColumn("delivered_at", F.current_timestamp()))
+        done += len(rows)
+    return done
 
 
 def label_actions(decisions: DataFrame, members: DataFrame, vision: DataFrame | None = None) -> DataFrame:

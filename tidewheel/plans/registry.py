@@ -15,12 +15,13 @@ from tidewheel.functions import mapping, scoring, text
 from tidewheel.functions.vectors import is_zero, truncate, unit
 from tidewheel.operators import canonical, clusters, identity, metric, routing, similarity, stats, vision
 from tidewheel.operators.components import checkpointed
-from tidewheel.plans import digest
+from tidewheel.plans import digest, export
 from tidewheel.plans import oracles as O  # noqa: N812
 from tidewheel.sources import ingest
 from tidewheel.sources import scan as scanning
 from tidewheel.sources.items import ITEM_DDL, STAND_IN_DUCKDB, all_items, read_table, stand_in, with_columns
 from tidewheel.sources.store import Store
+from tidewheel.streaming import triage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -293,7 +294,7 @@ def _two_models(spark, sf_dir):
 
 
 @query(f"""WITH RECURSIVE {O.ITEMS}, {O.graph(T)}, {O.graph(T, 'b_', 48)}
-SELECT floor(100.0 * count(a.item_id + 0 * 1) FILTER (a.item_id IS NOT NULL AND b.item_id IS NOT NULL) / count(*) + 0.5)::INTEGER AS overlap_percent FROM parts a FULL JOIN b_parts b ON a.item_id = b.item_id""".replace("a.item_id + 0 * 1", "*"))
+SELECT floor(100.0 * count(*) FILTER (a.item_id IS NOT NULL AND b.item_id IS NOT NULL) / count(*) + 0.5)::INTEGER AS overlap_percent FROM parts a FULL JOIN b_parts b ON a.item_id = b.item_id""")
 def model_overlap(spark, sf_dir):
     a, b = _two_models(spark, sf_dir)
     return stats.overlap(a, b)
@@ -307,10 +308,10 @@ ordered AS (SELECT *, row_number() OVER (ORDER BY o DESC, id_a, id_b) AS r FROM
 greedy AS (SELECT 0::BIGINT AS r, CAST([] AS VARCHAR[]) AS ua, CAST([] AS VARCHAR[]) AS ub, NULL::DOUBLE AS o UNION ALL
   SELECT p.r, CASE WHEN free THEN list_append(ua, id_a) ELSE ua END, CASE WHEN free THEN list_append(ub, id_b) ELSE ub END, CASE WHEN free THEN p.o END
   FROM (SELECT q.*, g.ua, g.ub, NOT list_contains(g.ua, q.id_a) AND NOT list_contains(g.ub, q.id_b) AS free FROM greedy g JOIN ordered q ON q.r = g.r + 1) p)
-SELECT floor(100 * o + 0.5)::INTEGER AS overlap, count(*) AS pairs FROM greedy WHERE o IS NOT NULL GROUP BY 1""")
+SELECT o.id_a, o.id_b, floor(100 * g.o + 0.5)::INTEGER AS overlap FROM greedy g JOIN ordered o USING (r) WHERE g.o IS NOT NULL""")
 def model_matches(spark, sf_dir):
     a, b = _two_models(spark, sf_dir)
-    return stats.greedy_matches(stats.cluster_pairs(a, b)).select("overlap", F.lit(1).alias("pairs")).groupBy("overlap").agg(F.sum("pairs").alias("pairs"))
+    return stats.greedy_matches(stats.cluster_pairs(a, b))
 
 
 # ---------------------------------------------------------------- identity
@@ -335,7 +336,7 @@ def confirmed_by_diff(spark, sf_dir):
     return identity.confirmed(items.drop("head_ref_oid").withColumn("head_ref_oid", F.lit(None).cast("string")), diffs).select("basis", "key", "item_id", "cluster_id")
 
 
-@query(_IDENTITY.replace("WITH ", "WITH ", 1) + f", members AS (SELECT *, (dense_rank() OVER (ORDER BY key) - 1)::INTEGER AS cluster_id FROM heads WHERE n >= 2), {O.decisions('issue')} SELECT cluster_id, canonical, runner_up, contested FROM decided")
+@query(_IDENTITY + f", members AS (SELECT *, (dense_rank() OVER (ORDER BY key) - 1)::INTEGER AS cluster_id FROM heads WHERE n >= 2), {O.decisions('issue')} SELECT cluster_id, canonical, runner_up, contested FROM decided")
 def confirmed_canonical(spark, sf_dir):
     items, _ = stand_in(spark, sf_dir)
     return canonical.decide(identity.confirmed(items), mode="issue").select("cluster_id", "canonical", "runner_up", "contested")
@@ -574,6 +575,30 @@ def cross_pairs_indexed(spark, sf_dir):
     return _indexed(stored).near(asked, T).select("item_id", "match", sim6("sim"))
 
 
+_CLOSE = 0.45
+
+
+@query(f"""WITH {O.ITEMS}, people AS (SELECT i.*, v.v FROM items i JOIN vec v USING (item_id) WHERE NOT ({O.BOT})),
+hits AS (SELECT a.item_id, a.number AS event_id, a.type AS mode, b.item_id AS target, b.number, b.created_at, {O.COSINE.format(a='a.v', b='b.v')} AS sim FROM people a JOIN people b
+  ON a.number % 10 = 0 AND a.item_id <> b.item_id AND (b.number % 10 <> 0 OR b.number < a.number)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY sim DESC, target) AS near,
+  row_number() OVER (PARTITION BY item_id ORDER BY created_at ASC NULLS LAST, sim DESC, number, target) AS early, count(*) OVER (PARTITION BY item_id) AS n FROM hits WHERE sim >= {T}),
+told AS (SELECT event_id, 'comment' AS action, item_id, target, sim, n FROM placed WHERE CASE WHEN mode = 'issue' THEN early ELSE near END = 1
+  UNION ALL SELECT event_id, 'close', item_id, target, sim, n FROM placed WHERE near = 1 AND sim >= {_CLOSE})
+SELECT event_id, action, item_id, target, round(sim, 6) AS similarity, CASE WHEN action = 'comment' THEN n END AS matched FROM told""")
+def triage_intents(spark, sf_dir):
+    """Every tenth item as an event, in the order of numbers, against all others; a batch that is handled twice tells nothing twice."""
+    items, vectors = stand_in(spark, sf_dir)
+    store = _scratch_store(spark)
+    events = items.filter("number % 10 = 0").join(vectors, "item_id").withColumn("event_id", F.col("number"))
+    known = items.filter("number % 10 <> 0")
+    for _ in range(2):
+        matches = checkpointed(triage.match_batch(events, vectors, known, T, _CLOSE))
+        store.upsert("intents", export.triage_intents(matches, events, items))
+    counted = F.when(F.col("action") == "comment", F.regexp_extract("text", r"(\d+) known items", 1).cast("long"))
+    return store.read("intents").select("event_id", "action", "item_id", "target", sim6("similarity"), counted.alias("matched"))
+
+
 # ---------------------------------------------------------------- scan job and store
 
 

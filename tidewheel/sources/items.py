@@ -20,6 +20,8 @@ REVIEW_DDL = (
     " recommendation string, confidence double, reviewed_at timestamp"
 )
 AUTHOR_DDL = "author string, repo string, merge_count int, cached_at timestamp"
+#: What an event asks to be done elsewhere, once: ``delivered_at`` is null until it was.
+INTENT_DDL = "event_id bigint, action string, item_id string, target string, similarity double, text string, delivered_at timestamp"
 #: Metadata kept as one JSON column in stores of the older layout.
 METADATA_DDL = (
     "author string, authorIsBot boolean, state string, closedAt string, labels array<string>, ciStatus string, reviewCount int,"

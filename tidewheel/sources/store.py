@@ -34,14 +34,14 @@ KEPT_VERSIONS = 3
 MOST_DELTAS, DELTA_SHARE, BUCKET_ROWS, MOST_BUCKETS = 16, 0.2, 250_000, 4096
 #: Delta rows whose keys are broadcast to the base when it is read.
 BROADCAST_KEYS = 200_000
-_DDL = {"items": S.ITEM_DDL, "embeddings": S.EMBEDDING_DDL, "diffs": S.DIFF_DDL, "reviews": S.REVIEW_DDL, "author_stats": S.AUTHOR_DDL, "meta": "key string, value string"}
+_DDL = {"items": S.ITEM_DDL, "embeddings": S.EMBEDDING_DDL, "diffs": S.DIFF_DDL, "reviews": S.REVIEW_DDL, "author_stats": S.AUTHOR_DDL, "intents": S.INTENT_DDL, "meta": "key string, value string"}
 #: What identifies a row of each table, and the time by which the later of two rows is told.
 KEYS = {
     "items": (["item_id"], "updated_at"), "embeddings": (["item_id"], None), "diffs": (["repo", "number"], "fetched_at"),
-    "reviews": (["repo", "number", "type"], "reviewed_at"), "author_stats": (["repo", "author"], "cached_at"), "meta": (["key"], None),
+    "reviews": (["repo", "number", "type"], "reviewed_at"), "author_stats": (["repo", "author"], "cached_at"), "meta": (["key"], None), "intents": (["event_id", "action"], None),
 }
 #: Columns whose first known value stays, whatever is upserted later.
-KEEP = {"items": ["created_at"]}
+KEEP = {"items": ["created_at"], "intents": ["delivered_at"]}
 
 
 @dataclass
