@@ -37,7 +37,7 @@ _HASH = byte_table(12, False)
 #: Words and bytes of a vocabulary that is sent to every task; a larger one is joined.
 SHIPPED_WORDS, SHIPPED_BYTES = 2_000_000, 64 << 20
 #: Fragments that a task holds before it packs them, words that stand for a bucket, and distinct words a task counts at once.
-HELD, BUCKET_WORDS, COUNTED = 1 << 21, 1 << 21, 200_000
+HELD, BUCKET_WORDS, COUNTED = 1 << 19, 1 << 19, 100_000
 #: Ranges by phrase in which a language's rows are cut to the first ones before they meet.
 SALTS = 16
 
@@ -59,7 +59,7 @@ def tokens(text: Slice) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 
 def _by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Slice]]:
     """The texts of each slice of ``(lang, text)``, language by language."""
-    for s in slices(batches, "text", 4 << 20):
+    for s in slices(batches, "text", 2 << 20):
         langs = s.rows.column(0).dictionary_encode()
         for k, lang in enumerate(langs.dictionary.to_pylist()):
             if len(langs.dictionary) == 1:
