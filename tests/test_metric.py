@@ -111,3 +111,49 @@ def test_classes_of_equal_hashes_are_told_apart(spark, monkeypatch):
     monkeypatch.setattr(similarity.F, "xxhash64", lambda *c: F.lit(5).cast("bigint"))
     df = spark.createDataFrame([("b", [1.0]), ("a", [1.0]), ("c", [2.0]), ("d", [0.0]), ("e", [-0.0])], DDL)
     assert sorted((r["item_id"], r["rep"]) for r in similarity.vector_classes(df).collect()) == [("a", "a"), ("b", "a"), ("c", "c"), ("d", "d"), ("e", "d")]
+
+
+def plain_low(matrix):
+    """Least cosine of all pairs; zero vectors have cosine 0 with everything."""
+    m = matrix.astype(np.float64)
+    length = np.linalg.norm(m, axis=1)
+    sims = (m @ m.T) / np.where(np.outer(length, length) == 0, 1, np.outer(length, length))
+    return min(1.0, sims[np.triu_indices(len(m), 1)].min())
+
+
+def test_the_farthest_pair_is_found_whatever_the_cluster_looks_like(spark):
+    rng = np.random.default_rng(5)
+    ball = rng.normal(size=(90, 5)) * 0.2 + 1
+    shapes = {
+        "ball": ball,
+        "spread": rng.normal(size=(80, 4)),
+        "line": np.stack([np.ones(50), np.linspace(-1, 1, 50)], axis=1),
+        "zero among them": np.vstack([ball[:30], np.zeros((1, 5))]),
+        "no centre": np.vstack([ball[:20], -ball[:20]]),
+        "one direction": np.outer(np.arange(1, 30), [0.3, 0.1, 0.7]),
+        "all the same": np.repeat(ball[:1], 25, axis=0),
+        "two": ball[:2],
+    }
+    wide = {k: np.pad(m, ((0, 0), (0, 5 - m.shape[1]))).astype(np.float32) for k, m in shapes.items()}
+    named = [(key, f"{key}{k:04d}", [float(x) for x in v]) for key, matrix in wide.items() for k, v in enumerate(matrix)]
+    df = spark.createDataFrame(named, "cluster_key string, item_id string, embedding array<float>")
+    # each cluster's vectors apart: an equal vector of another cluster is no copy of this one
+    moved = df.withColumn("rep", F.col("item_id"))
+    for rows in (6, 40):
+        got = {r["cluster_key"]: r["min_similarity"] for r in similarity.pair_statistics(df.select("cluster_key", "item_id"), moved.select("item_id", "embedding", "rep"), rows).collect()}
+        assert got == pytest.approx({k: plain_low(m) for k, m in wide.items()}, abs=1e-9)
+
+
+def test_bounds_leave_few_pairs_of_a_ball_shaped_cluster(spark):
+    rng = np.random.default_rng(6)
+    n = 20_000
+    turn, wide = rng.uniform(0, 2 * np.pi, n), 0.5 * np.sqrt(rng.uniform(size=n))
+    matrix = np.stack([np.cos(wide), np.sin(wide) * np.cos(turn), np.sin(wide) * np.sin(turn)], axis=1)
+    rows = spark.createDataFrame([("c", f"i{k:05d}", v) for k, v in enumerate(matrix.tolist())], "cluster_key string, item_id string, embedding array<double>")
+    centres = spark.createDataFrame([("c", 256, matrix.sum(axis=0).tolist())], "cluster_key string, most int, total array<double>")
+    far, known = similarity._far_rows(rows, centres)
+    _, bands = similarity._dealt_far(far)
+    work = similarity.far_work(bands).first()
+    assert work["pairs"] < 0.02 * n * (n - 1) / 2 and work["rows"] < 0.3 * n
+    got = similarity.pair_statistics(rows.select("cluster_key", "item_id"), rows.select("item_id", "embedding"), 256).first()["min_similarity"]
+    assert got <= known.first()["low"] and got == pytest.approx(min((matrix[k : k + 1000] @ matrix.T).min() for k in range(0, n, 1000)), abs=1e-12)

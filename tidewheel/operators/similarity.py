@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewheel.functions.vectors import cosine, is_zero, l2, l2_to_cosine, unit
@@ -347,23 +347,71 @@ def vector_sums(rows: DataFrame, key: str, scaled: bool = False) -> DataFrame:
     return parts.repartition(key).sortWithinPartitions(key).mapInArrow(whole, ddl)
 
 
-def pair_statistics(members: DataFrame, vectors: DataFrame, block_rows: int | None = None) -> DataFrame:
-    """Mean and minimum cosine over all pairs of each cluster; the minimum starts at 1.
+#: Bands of angle in which the rows of a cluster of more than one block lie, and what rounding can make of an angle at most.
+BANDS, ANGLE_SLACK = 32, 1e-5
+
+
+def _angle(a: Column, b: Column) -> Column:
+    """Angle of two vectors; half a turn, which bounds all, where one of them is zero."""
+    sim = cosine(a, b)
+    return F.when(is_zero(a) | is_zero(b), np.pi).otherwise(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), sim))))
+
 
-    The mean comes from the sum of the unit vectors, in one pass. The minimum needs pairs, of different vectors
-    only: they are tiled like the whole join is, so no task holds more than two blocks. ``vectors`` may have ``rep``.
+def _far_rows(rows: DataFrame, centres: DataFrame, sent: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Which rows of each cluster may be in a pair that is less similar than one already found, and what was found.
+
+    ``rows`` (cluster_key, item_id, embedding), ``centres`` (cluster_key, most, total). An angle between two rows is at most
+    the sum of their angles to the centre. Three sweeps give a pair that is far apart: from the row farthest from the
+    centre to what is least similar to it, and on from there. Rows whose angle, with the widest of the cluster, falls short of
+    that pair's are left out: ``(cluster_key, item_id, embedding, most, angle, reach, widest)`` and ``(cluster_key, low)``.
+    ``sent``: the clusters are few enough to send to every task a row of each.
     """
-    held = _classed(vectors).select("item_id", "rep", F.col("embedding").cast("array<double>").alias("embedding"))
-    rows = checkpointed(members.select("cluster_key", "item_id").join(held, "item_id"))
-    sums = vector_sums(rows, "cluster_key", scaled=True)
-    twice = F.aggregate("total", F.lit(0.0), lambda s, x: s + x * x) - F.col("squares")
-    mean = sums.select("cluster_key", F.when(F.col("n") > 1, twice / (F.col("n") * (F.col("n") - 1))).alias("avg_similarity"))
-    firsts = rows.groupBy("cluster_key", "rep").agg(F.min("item_id").alias("item_id"), F.count("*").alias("copies"))
-    different = rows.drop("rep").join(firsts, ["cluster_key", "item_id"])
-    alike = different.filter("copies > 1").groupBy("cluster_key").agg(F.min(cosine(F.col("embedding"), F.col("embedding"))).alias("low"))
-    blocks = F.lit(block_rows) if block_rows else F.greatest(F.lit(1), F.floor(F.lit(BLOCK_BYTES) / (8 * F.size("embedding"))).cast("int"))
-    sizes = different.groupBy("cluster_key").agg(F.max(blocks).alias("most"), F.count("*").alias("n")).select("cluster_key", F.ceil(F.col("n") / F.col("most")).cast("int").alias("blocks"))
-    dealt = _dealt(different.join(sizes, "cluster_key"), ["cluster_key"], F.pmod(F.xxhash64("item_id"), F.col("blocks")).cast("int"), F.sequence(F.lit(0), F.col("blocks") - 1))
+    of = F.broadcast if sent else lambda df: df
+    seen = checkpointed(rows.join(of(centres), "cluster_key").withColumn("angle", _angle(F.col("embedding"), F.col("total"))).drop("total"))
+    row = F.struct("item_id", "embedding")
+    ends = seen.groupBy("cluster_key").agg(F.max_by(row, F.struct("angle", "item_id")).alias("end"), F.max("angle").alias("widest"))
+    known = checkpointed(ends.withColumn("low", F.lit(1.0)))
+    for _ in range(2):
+        sims = seen.join(of(known), "cluster_key").filter("item_id <> end.item_id").withColumn("sim", cosine(F.col("embedding"), F.col("end.embedding")))
+        next_ = F.min_by(row, F.struct("sim", "item_id")).alias("end")
+        known = checkpointed(sims.groupBy("cluster_key").agg(next_, F.first("widest").alias("widest"), F.least(F.first("low"), F.min("sim")).alias("low")))
+    reach = F.acos(F.greatest(F.lit(-1.0), F.col("low"))) - ANGLE_SLACK
+    far = seen.join(of(known.select("cluster_key", "widest", reach.alias("reach"))), "cluster_key").filter(F.col("angle") + F.col("widest") >= F.col("reach"))
+    return far, known.select("cluster_key", "low")
+
+
+def _banded(far: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``far`` with its ``band`` of angle, and each cluster's bands that hold rows: their number, widest angle, blocks and first block."""
+    least = F.col("reach") - F.col("widest")
+    part = F.floor((F.col("angle") - least) / F.nullif(F.col("widest") - least, F.lit(0.0)) * BANDS)
+    placed = checkpointed(far.withColumn("band", F.coalesce(F.greatest(F.lit(0), F.least(F.lit(BANDS - 1), part)), F.lit(0)).cast("int")))
+    counted = placed.groupBy("cluster_key", "band").agg(
+        F.count("*").alias("n"), F.max("angle").alias("top"), F.ceil(F.count("*") / F.max("most")).cast("int").alias("blocks"), F.max("reach").alias("reach")
+    )
+    before = Window.partitionBy("cluster_key").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
+    return placed, checkpointed(counted.withColumn("offset", F.coalesce(F.sum("blocks").over(before), F.lit(0)).cast("int")))
+
+
+def _dealt_far(far: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Far rows dealt to the pairs of blocks that their bands' widest angles let reach, and the bands."""
+    placed, bands = _banded(far)
+    other = bands.select("cluster_key", F.col("top").alias("t"), F.col("offset").alias("o"), F.col("blocks").alias("m"))
+    reached = bands.join(other, "cluster_key").filter(F.col("top") + F.col("t") >= F.col("reach"))
+    lists = reached.groupBy("cluster_key", "band", "offset", "blocks").agg(F.flatten(F.collect_list(F.sequence(F.col("o"), F.col("o") + F.col("m") - 1))).alias("others"))
+    number = F.col("offset") + F.pmod(F.xxhash64("item_id"), F.col("blocks")).cast("int")
+    return _dealt(placed.join(lists, ["cluster_key", "band"]), ["cluster_key"], number, F.col("others")), bands
+
+
+def far_work(bands: DataFrame) -> DataFrame:
+    """``(cluster_key, rows, pairs)``: rows that were kept of each large cluster, and pairs of them that were multiplied."""
+    a, b = (bands.select("cluster_key", *[F.col(c).alias(f"{x}_{c}") for c in ("band", "n", "top", "reach")]) for x in "ab")
+    met = F.when(F.col("a_top") + F.col("b_top") >= F.col("a_reach"), F.when(F.col("a_band") == F.col("b_band"), F.col("a_n") * (F.col("a_n") - 1) / 2).otherwise(F.col("a_n") * F.col("b_n")))
+    pairs = a.join(b, "cluster_key").filter("a_band <= b_band").groupBy("cluster_key").agg(F.coalesce(F.sum(met), F.lit(0)).cast("bigint").alias("pairs"))
+    return bands.groupBy("cluster_key").agg(F.sum("n").alias("rows")).join(pairs, "cluster_key")
+
+
+def _lows(dealt: DataFrame, kind: str) -> DataFrame:
+    """``(cluster_key, low)``: the least cosine in each pair of dealt blocks, null where there is no pair."""
 
     def run(batches):
         for (key, p, q), _, left, right in _groups(batches, 1):
@@ -371,7 +419,7 @@ def pair_statistics(members: DataFrame, vectors: DataFrame, block_rows: int | No
 
             def near(sims, least=least):
                 """What may be the minimum so far."""
-                if np.isnan(sims).all():
+                if not sims.size or np.isnan(sims).all():
                     return np.zeros(sims.shape, bool)
                 least[0] = min(least[0], np.nanmin(sims) + MARGIN)
                 return sims <= least[0]
@@ -379,6 +427,35 @@ def pair_statistics(members: DataFrame, vectors: DataFrame, block_rows: int | No
             low = min((sim.min() for _, _, sim in _pairs_in(left, right, p == q, near)), default=None)
             yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([low], pa.float64())], ["cluster_key", "low"])
 
+    return dealt.mapInArrow(run, f"cluster_key {kind}, low double")
+
+
+def pair_statistics(members: DataFrame, vectors: DataFrame, block_rows: int | None = None) -> DataFrame:
+    """Mean and minimum cosine over all pairs of each cluster; the minimum starts at 1.
+
+    The mean comes from the sum of the unit vectors, in one pass. The minimum needs pairs, of different vectors only. A
+    cluster of one block is multiplied as it is. Of a larger one only rows far enough from its centre are (``_far_rows``), in
+    blocks by bands of angle, and only those pairs of blocks whose angles reach; no task holds more than two blocks.
+    ``vectors`` may have ``rep``.
+    """
+    held = _classed(vectors).select("item_id", "rep", F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = checkpointed(members.select("cluster_key", "item_id").join(held, "item_id"))
+    sums = checkpointed(vector_sums(rows, "cluster_key", scaled=True))
+    twice = F.aggregate("total", F.lit(0.0), lambda s, x: s + x * x) - F.col("squares")
+    mean = sums.select("cluster_key", F.when(F.col("n") > 1, twice / (F.col("n") * (F.col("n") - 1))).alias("avg_similarity"))
+    firsts = rows.groupBy("cluster_key", "rep").agg(F.min("item_id").alias("item_id"), F.count("*").alias("copies"))
+    different = rows.drop("rep").join(firsts, ["cluster_key", "item_id"])
+    alike = different.filter("copies > 1").groupBy("cluster_key").agg(F.min(cosine(F.col("embedding"), F.col("embedding"))).alias("low"))
+    most = F.lit(block_rows) if block_rows else F.greatest(F.lit(1), F.floor(F.lit(BLOCK_BYTES) / (8 * F.size("embedding"))).cast("int"))
+    sizes = checkpointed(different.groupBy("cluster_key").agg(F.max(most).alias("most"), F.count("*").alias("n"), F.max(F.size("embedding")).alias("dims")))
     kind = members.schema["cluster_key"].dataType.simpleString()
-    lows = dealt.mapInArrow(run, f"cluster_key {kind}, low double").unionByName(alike).groupBy("cluster_key").agg(F.least(F.lit(1.0), F.min("low")).alias("min_similarity"))
+    small = different.join(sizes.filter("n <= most"), "cluster_key")
+    lows = _lows(_dealt(small, ["cluster_key"], F.lit(0), F.array(F.lit(0))), kind).unionByName(alike)
+    large = sizes.filter("n > most").select("cluster_key", "most", "dims")
+    held = large.agg(F.count("*").alias("n"), F.sum(F.col("dims") * 8 + 100).alias("bytes")).first()
+    if held["n"]:
+        centres = large.join(sums, "cluster_key").select("cluster_key", "most", "total")
+        far, known = _far_rows(different.select("cluster_key", "item_id", "embedding"), centres, held["bytes"] <= BLOCK_BYTES)
+        lows = lows.unionByName(known).unionByName(_lows(_dealt_far(far)[0], kind))
+    lows = lows.groupBy("cluster_key").agg(F.least(F.lit(1.0), F.min("low")).alias("min_similarity"))
     return mean.join(lows, "cluster_key").select("cluster_key", "avg_similarity", "min_similarity")
