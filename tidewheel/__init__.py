@@ -15,6 +15,7 @@ _PLACES = {
     "operators.components": ("connected_components",),
     "operators.canonical": ("decide", "tracker_roles", "relations", "closing_edges"),
     "operators.identity": ("confirmed",),
+    "operators.incidents": ("mark_incidents", "window_table"),
     "operators.stats": ("overlap", "cluster_pairs", "greedy_matches", "dimension_study", "repo_stats", "coverage"),
     "functions.scoring": ("rank_signals", "rank_score", "cluster_score", "confidence"),
     "functions.vectors": ("cosine", "is_zero", "unit"),

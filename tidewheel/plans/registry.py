@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidewheel.functions import mapping, scoring, text
 from tidewheel.functions.vectors import is_zero, truncate, unit
-from tidewheel.operators import canonical, clusters, identity, metric, routing, similarity, stats, vision
+from tidewheel.operators import canonical, clusters, identity, incidents, metric, routing, similarity, stats, vision
 from tidewheel.operators.components import checkpointed
 from tidewheel.plans import digest, export
 from tidewheel.plans import oracles as O  # noqa: N812
@@ -84,6 +84,15 @@ def item_flags(spark, sf_dir):
     )
 
 
+@query(f"""WITH {O.ITEMS}, w AS (SELECT epoch_ms(ts) AS s, epoch_ms(ts) + 1000 * (1 + event_id * event_id % 600) AS e FROM events)
+SELECT item_id, state = 'closed' AND EXISTS (SELECT 1 FROM w WHERE epoch_ms(closed_at) >= s AND epoch_ms(closed_at) < e) AS incident_closed FROM items""")
+def incident_items(spark, sf_dir):
+    items, _ = stand_in(spark, sf_dir)
+    begin = F.unix_millis(F.col("ts").cast("timestamp"))
+    windows = read_table(spark, sf_dir, "events").select(begin.alias("start"), (begin + 1000 * (1 + F.col("event_id") * F.col("event_id") % 600)).alias("end"))
+    return incidents.mark_incidents(items, windows).select("item_id", "incident_closed")
+
+
 @query("""
 SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'merged' ELSE lower(o_orderstatus) END AS state,
   CASE o_orderpriority WHEN '1-URGENT' THEN 'success' WHEN '2-HIGH' THEN 'failure' WHEN '3-MEDIUM' THEN 'pending' ELSE 'unknown' END AS ci,
