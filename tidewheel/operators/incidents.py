@@ -55,12 +55,14 @@ def mark_incidents(items: DataFrame, windows: DataFrame, name: str = "incident_c
     """``items`` with a boolean: closed inside any window of ``windows`` (start, end in epoch milliseconds).
 
     Equal to ``mapping.incident_closed`` with the same windows, for any number of them. False where the state or the time
-    is null. A column of that name is replaced; others stay, also ones named like those of ``windows``.
+    is null. A column of that name is replaced; others stay, also ones named like those of ``windows``. A moment at which very
+    many items were closed is one key of the last join, whose other side has it once; adaptive execution splits it.
     """
     closed = (F.col("state") == "closed") & F.col("closed_at").isNotNull()
     moment = F.when(closed, F.unix_millis(F.col("closed_at")))
-    hits = covered(items.select(moment.alias("at")).filter("at is not null"), windows)
-    hits = hits.select(F.col("at").alias("__at"), F.lit(0).alias("__apart"), F.lit(True).alias("__hit"))
-    apart = F.when(closed, 0).otherwise(1 + F.pmod(F.xxhash64(*[c for c in ("repo", "number", "item_id") if c in items.columns]), F.lit(SPREAD)))
-    keyed = items.withColumn("__at", F.coalesce(moment, F.lit(0))).withColumn("__apart", F.coalesce(apart, F.lit(1)).cast("int"))
-    return keyed.join(hits, ["__at", "__apart"], "left").withColumn(name, F.coalesce("__hit", F.lit(False))).drop("__at", "__apart", "__hit")
+    hits = covered(items.select(moment.alias("at")).filter("at is not null"), windows).select((F.col("at") * 2).alias("__key"), F.lit(True).alias("__hit"))
+    names = [F.col(c) for c in ("repo", "number", "item_id") if c in items.columns]
+    # even keys are times, odd ones only spread what has none
+    apart = 1 + 2 * F.pmod(F.xxhash64(*names), F.lit(SPREAD)) if names else F.lit(1)
+    keyed = items.withColumn("__key", F.coalesce(F.when(closed, moment * 2), apart.cast("bigint")))
+    return keyed.join(hits, "__key", "left").withColumn(name, F.coalesce("__hit", F.lit(False))).drop("__key", "__hit")
