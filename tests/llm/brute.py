@@ -36,6 +36,17 @@ def components(rows, n, percent):
     return {i: (len(sets[i]), root(i)) for i in sets}
 
 
+def links(rows, n, percent):
+    """Overlap of every two different ids whose sets link, smaller id first."""
+    sets = sorted({(i, frozenset(shingles(t, n))) for i, t in rows}, key=lambda x: x[0])
+    out = {}
+    for k, (a, x) in enumerate(sets):
+        for b, y in sets[k + 1 :]:
+            if x & y and 100 * len(x & y) >= percent * len(x | y):
+                out[a, b] = len(x & y)
+    return out
+
+
 def removed(rows, width):
     first = {}
     for i, t in rows:

@@ -156,12 +156,51 @@ def test_join_equals_brute_force(spark, n, percent, grams):
         assert {r["id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == brute.components(rows, n, percent)
 
 
+@pytest.mark.parametrize(("n", "percent", "grams"), [(3, 90, 2_000_000), (3, 90, 60), (2, 60, 100)])
+def test_links_equal_brute_force(spark, n, percent, grams):
+    rows = made(5) + [(900 + k, " ".join(f"v{j}" if j % 40 != k else f"z{k}" for j in range(60 + k))) for k in range(14)]
+    rows += [(950 + k, rows[-1 - k % 3][1].upper()) for k in range(5)]
+    df = spark.createDataFrame(rows + rows[-8:], DOCS)
+    want, sets = brute.links(rows, n, percent), {i: frozenset(brute.shingles(t, n)) for i, t in rows}
+    got = ngram_join.jaccard_components(df, n=n, percent=percent, block_grams=grams, links=True).collect()
+    assert {r["id"]: r["n_links"] for r in got} == {i: sum(i in pair for pair in want) for i in sets}
+    assert len(got) == len(rows) + 8
+    least: dict = {}
+    for i in sorted(sets):
+        least.setdefault(sets[i], i)
+    pairs = {(a, b): o for (a, b), o in want.items() if least[sets[a]] == a and least[sets[b]] == b}
+    found = ngram_join.jaccard_links(df, n=n, percent=percent, block_grams=grams).collect()
+    assert {(r["a"], r["b"]): r["overlap"] for r in found} == pairs and len(found) == len(pairs)
+
+
+def test_linked_pairs_of_dense_and_rare_columns():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    base = rng.choice(10_000, 80, replace=False)
+    sets = [np.unique(np.append(base[rng.random(80) < 0.97], rng.choice(300, 3) + 20_000)).astype(np.uint64) for _ in range(60)]
+    sets += [np.unique(np.append(np.arange(50) + 30_000 + 100 * (k // 2), k)).astype(np.uint64) for k in range(20)]
+    side = 1 + np.arange(80) % 2
+    for sides in (np.zeros(80, int), side):
+        got = {(i, j): o for block in ngram_join.linked_pairs(sets, sides, 85) for i, j, o in zip(*(x.tolist() for x in block), strict=True)}
+        want = {}
+        for i in range(80):
+            for j in range(80):
+                o = len(np.intersect1d(sets[i], sets[j]))
+                if o and 100 * o >= 85 * (len(sets[i]) + len(sets[j]) - o) and (i < j if not sides.any() else sides[i] < sides[j]):
+                    want[i, j] = o
+        assert got == want and len(want) > 20
+
+
 def test_join_edges(spark):
     df = spark.createDataFrame([(3, "a b c"), (3, "a b c"), (None, "a b c"), (1, "A B  C"), (9, None)], DOCS).withColumn("n", F.lit(1))
     got = sorted((r["id"] is None, r["id"] or 0, r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(df, n=3, percent=90).collect())
     assert [g[:3] for g in got] == [(False, 1, 1), (False, 3, 1), (False, 3, 1), (False, 9, 0), (True, 0, 1)]
     assert [g[3] for g in got[:4]] == [1, 1, 1, 9]
-    assert ngram_join.jaccard_components(df.limit(0)).count() == 0
+    counted = ngram_join.jaccard_components(df, n=3, percent=90, links=True).collect()
+    assert sorted((r["id"] or 0, r["n_links"]) for r in counted) == [(0, 2), (1, 1), (3, 1), (3, 1), (9, 0)]
+    assert ngram_join.jaccard_links(df.limit(0)).count() == 0
+    assert ngram_join.jaccard_components(df.limit(0)).count() == 0 == ngram_join.jaccard_components(df.limit(0), links=True).count()
 
 
 def test_tile_links_whatever_the_order():

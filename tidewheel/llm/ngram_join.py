@@ -17,6 +17,10 @@ A document's row of the incidence matrix is its set of distinct word n-grams. Tw
    discarded, and rows already known to be connected need no further product.
 4. Rows of a cut block that are not yet connected with its largest component are multiplied with all
    tiles of that block, so nothing is missed between tiles.
+5. Links themselves are wanted by ``jaccard_links`` and ``links=True``. As they lie inside components, each
+   component is one more product of its representatives. A component of many n-grams is first cut by size class, so that
+   linked sets are of one class or of neighbouring ones, then each class into tiles; only pairs of tiles of such classes
+   are multiplied. N-grams of many rows of a tile are multiplied as a dense block, the others a strip of rows at a time.
 
 Nulls and empty texts have an empty set and link with nothing; a null id is kept with its own row.
 Repeated rows are each returned; rows of one id are taken for one document. A text is one set however long; an empty
@@ -25,6 +29,7 @@ table gives an empty one; other columns, whatever their names, are not looked at
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +47,8 @@ FLUSH = 1 << 20
 BUCKET_GRAMS = 8 << 20
 #: A set of ids is broadcast only up to this many rows; beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
+#: Counts, and postings, of a strip of rows that is multiplied at once.
+STRIP = 2 << 20
 
 
 def gram_sets(s, n: int) -> Iterator[np.ndarray]:
@@ -364,20 +371,119 @@ def _with_text(keys: DataFrame, docs: DataFrame, id_column: str, text_column: st
     return keys.join(text, "id")
 
 
-def jaccard_components(
-    docs: DataFrame,
-    id_column: str = "doc_id",
-    text_column: str = "text",
-    n: int = 5,
-    percent: int = 80,
-    block_grams: int = 2_000_000,
-    bucket_grams: int = BUCKET_GRAMS,
-) -> DataFrame:
-    """``(id, n_shingles, component_id)`` for every row of ``docs``.
+def linked_pairs(sets: list[np.ndarray], side: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Row numbers ``(i, j)`` and overlaps of linked sets, some at a time: pairs of side 1 with side 2, or all within side 0.
 
-    ``component_id`` is the smallest id reachable over links, a document's own id where it has none. ``bucket_grams``:
-    counted n-grams that a bucket of the first count is for; it does not change the result.
+    N-grams that an eighth of the rows have are multiplied as dense columns, which are at most eight times the n-grams;
+    overlaps in the others are counted by bincount over their postings.
     """
+    m = len(sets)
+    size = np.array([len(x) for x in sets], dtype=np.int64)
+    columns, column, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(m), size)
+    dense = (df > 1) & (8 * df >= m)
+    rank = np.cumsum(dense) - 1
+    matrix = np.zeros((m, int(dense.sum())), np.float32)
+    inside = dense[column]
+    matrix[row[inside], rank[column[inside]]] = 1
+    inside = ((df > 1) & ~dense)[column]
+    column, row = column[inside], row[inside]
+    postings = row[np.argsort(column, kind="stable")]
+    ptr = np.concatenate([[0], np.cumsum(np.bincount(column, minlength=len(columns)))])
+    starts = np.searchsorted(row, np.arange(m + 1))
+    n = np.diff(ptr)[column]
+    work = np.concatenate([[0], np.cumsum(n)])
+    first = np.flatnonzero(side < 2)
+    both = side.any()
+    at = 0
+    while at < len(first):
+        # a strip of rows whose counts and postings are bounded; one row's postings are at most the tile's n-grams
+        to = at + 1
+        while to < len(first) and (to + 1 - at) * m <= STRIP and work[starts[first[to] + 1]] - work[starts[first[at]]] <= STRIP:
+            to += 1
+        strip = first[at:to]
+        overlap = (matrix[strip] @ matrix.T).astype(np.int64)
+        own = np.concatenate([np.arange(starts[i], starts[i + 1]) for i in strip])
+        if len(own):
+            count = n[own]
+            take = np.repeat(ptr[column[own]] - np.cumsum(count) + count, count) + np.arange(count.sum())
+            cell = np.repeat(np.searchsorted(strip, row[own]) * m, count) + postings[take]
+            overlap += np.bincount(cell, minlength=len(strip) * m).reshape(len(strip), m)
+        union = size[strip][:, None] + size[None, :] - overlap
+        hit = (overlap > 0) & (100 * overlap >= percent * union)
+        hit &= (side == 2)[None, :] if both else np.arange(m)[None, :] > strip[:, None]
+        i, j = np.nonzero(hit)
+        yield strip[i], j, overlap[i, j]
+        at = to
+
+
+def _tile_pairs(member: DataFrame, percent: int, block_grams: int) -> DataFrame:
+    """``(key, side, id, h1, copies)``: each pair of tiles that may hold links of a component, by key.
+
+    ``member`` has component, id, h1, n, copies. A component of up to half of ``block_grams`` n-grams is one tile. Of a larger
+    one, a class holds the sizes within a factor of a little over 100 / percent, so linked sets are at most one class apart.
+    """
+    half = max(1, block_grams // 2)
+    whole = member.groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("grams")).filter("m > 1")
+    size_class = F.col("n") if percent >= 100 else F.floor(F.log("n") / (1.001 * math.log(100 / max(1, percent))))
+    rows = member.join(whole, "component").withColumn("class", F.when(F.col("grams") <= half, F.lit(0)).otherwise(size_class).cast("long"))
+    tiles = checkpointed(rows.groupBy("component", "class").agg(F.ceil(F.sum("n") / half).cast("int").alias("tiles")))
+    near = [tiles.select("component", (F.col("class") - d).alias("class"), F.col("tiles").alias(name)) for d, name in ((-1, "below"), (1, "above"))]
+    beside = tiles.join(near[0], ["component", "class"], "left").join(near[1], ["component", "class"], "left")
+    rows = rows.join(beside, ["component", "class"]).withColumn("tile", F.pmod(F.xxhash64("id", "h1"), F.col("tiles")).cast("int"))
+
+    def meets(side, c1, t1, c2, t2):
+        return F.struct(F.concat_ws(":", "component", c1, t1, c2, t2).alias("key"), side.cast("int").alias("side"))
+
+    def upto(count):
+        return F.when(F.coalesce(count, F.lit(0)) > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+
+    c, t = F.col("class"), F.col("tile")
+    pairs = F.concat(
+        F.transform(F.sequence(t, F.col("tiles") - 1), lambda j: meets(F.when(j == t, 0).otherwise(1), c, t, c, j)),
+        F.transform(upto(t), lambda j: meets(F.lit(2), c, j, c, t)),
+        F.transform(upto(F.col("above")), lambda j: meets(F.lit(1), c, t, c + 1, j)),
+        F.transform(upto(F.col("below")), lambda j: meets(F.lit(2), c - 1, j, c, t)),
+    )
+    return rows.select("id", "h1", "copies", F.explode(pairs).alias("p")).select("p.key", "p.side", "id", "h1", "copies")
+
+
+def _products(keys: DataFrame, texts: DataFrame, n: int, percent: int, counts: bool) -> DataFrame:
+    """Links of all tile pairs: ``(a, b, overlap)``, or with ``counts`` ``(id, h1, links)``, a partial count weighted by copies."""
+    names = ["id", "h1", "links"] if counts else ["a", "b", "overlap"]
+
+    def run(batches):
+        key, seen, ids, sides, copies, sets = None, set(), [], [], [], []
+
+        def ended():
+            if len(sets) < 2:
+                return
+            (who, name), side, weight = np.array(ids, np.int64).T, np.array(sides), np.array(copies, np.int64)
+            total = np.zeros(len(who), np.int64)
+            for i, j, overlap in linked_pairs(sets, side, percent):
+                if counts:
+                    total += np.bincount(i, weight[j], len(who)).astype(np.int64) + np.bincount(j, weight[i], len(who)).astype(np.int64)
+                elif len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(who[i], who[j])), pa.array(np.maximum(who[i], who[j])), pa.array(overlap)], names)
+            if counts:
+                yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(name), pa.array(total)], names)
+
+        for s in slices(batches, "text"):
+            for k, i, h, side, copy, g in zip(*(s.rows.column(c).to_pylist() for c in range(5)), gram_sets(s, n), strict=True):
+                if k != key:
+                    yield from ended()
+                    key, seen, ids, sides, copies, sets = k, set(), [], [], [], []
+                # repeated rows of an id, and its other texts, come with it
+                if (i, h) not in seen and set_key(g) == h:
+                    seen.add((i, h)), ids.append((i, h)), sides.append(side), copies.append(copy), sets.append(g)
+        yield from ended()
+
+    dealt = _with_text(keys, texts, "id", "text").select("key", "id", "h1", "side", "copies", "text").repartition("key").sortWithinPartitions("key", "id")
+    return dealt.mapInArrow(released(run), ", ".join(f"{x} long" for x in names))
+
+
+def _connected(docs, id_column, text_column, n, percent, block_grams, bucket_grams) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``set_table``, texts that may link (one a set), and the component of each of their ids."""
     integer_ids(docs, id_column)
     small_batches(docs)
     table = checkpointed(set_table(docs, id_column, text_column, n, percent))
@@ -418,13 +524,66 @@ def jaccard_components(
     if not cut.isEmpty():
         edges = edges.unionByName(_between_tiles(member, cut, labels, texts, n, percent, block_grams))
         labels = connected_components(edges)
-    rep = table.filter("n > 0").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"))
-    component = rep.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select(
-        "h1", "h2", "n", F.coalesce("component", "rep").alias("component")
-    )
-    return table.join(component, ["h1", "h2", "n"], "left").select(
-        "id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")
-    )
+    return table, texts, labels
+
+
+def _sets(table: DataFrame) -> DataFrame:
+    """Each set once, with its smallest id and how many ids have it."""
+    return table.filter("n > 0").groupBy("h1", "h2", "n").agg(F.min("id").alias("id"), F.count_distinct("id").alias("copies"))
+
+
+def jaccard_links(
+    docs: DataFrame,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    n: int = 5,
+    percent: int = 80,
+    block_grams: int = 2_000_000,
+    bucket_grams: int = BUCKET_GRAMS,
+) -> DataFrame:
+    """``(a, b, overlap)``: every link between different sets, by their smallest ids, ``a < b``.
+
+    Documents of equal sets are not expanded into pairs; ``jaccard_components`` gives what a document belongs to.
+    Ids that stand on several different texts are one document, and a link of an id with itself is left out.
+    """
+    table, texts, labels = _connected(docs, id_column, text_column, n, percent, block_grams, bucket_grams)
+    member = checkpointed(_sets(table).join(labels, "id").select("component", "id", "h1", "n", "copies"))
+    return _products(checkpointed(_tile_pairs(member, percent, block_grams)), texts, n, percent, False).filter("a < b")
+
+
+def jaccard_components(
+    docs: DataFrame,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    n: int = 5,
+    percent: int = 80,
+    block_grams: int = 2_000_000,
+    bucket_grams: int = BUCKET_GRAMS,
+    links: bool = False,
+) -> DataFrame:
+    """``(id, n_shingles, component_id)`` for every row of ``docs``, with ``links`` also ``n_links``.
+
+    ``component_id`` is the smallest id reachable over links, a document's own id where it has none. ``n_links`` is the number
+    of other ids that a document's set links with, those of equal sets included; each set of an id that stands on several different
+    texts counts. ``bucket_grams``: counted n-grams that a bucket of the first count is for; it does not change the result.
+    """
+    table, texts, labels = _connected(docs, id_column, text_column, n, percent, block_grams, bucket_grams)
+    sets = _sets(table)
+    component = sets.join(labels, "id", "left").select("h1", "h2", "n", "id", "copies", F.coalesce("component", "id").alias("component"))
+    if links:
+        component = checkpointed(component)
+        member = component.join(labels.select("id"), "id", "left_semi").select("component", "id", "h1", "n", "copies")
+        found = _products(checkpointed(_tile_pairs(member, percent, block_grams)), texts, n, percent, True)
+        component = component.join(found.groupBy("id", "h1").agg(F.sum("links").alias("links")), ["id", "h1"], "left")
+    else:
+        component = component.withColumn("links", F.lit(None).cast("long"))
+    component = component.withColumnRenamed("id", "rep")
+    out = table.join(component, ["h1", "h2", "n"], "left")
+    given = [F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")]
+    if links:
+        others = F.col("copies") - F.col("id").isNotNull().cast("long")
+        given.append((F.coalesce(others, F.lit(0)) + F.coalesce("links", F.lit(0))).alias("n_links"))
+    return out.select("id", *given)
 
 
 def _between_tiles(member, cut, labels, texts, n, percent, block_grams) -> DataFrame:

@@ -22,7 +22,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @query
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = ngram_join.jaccard_components(table(spark, sf_dir, "documents"), n=3, percent=90)
+    out = ngram_join.jaccard_components(table(spark, sf_dir, "documents"), n=3, percent=90, links=True)
     return out.withColumnRenamed("id", "doc_id")
 
 
@@ -39,8 +39,10 @@ pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b
 linked AS (SELECT a, b FROM pairs WHERE 100 * shared >= 90 * (na + nb - shared)),
 ways AS (SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked),
 reach AS (SELECT a AS x, a AS y FROM ways UNION SELECT r.x, ways.b FROM reach r JOIN ways ON ways.a = r.y),
-parts AS (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x)
-SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(parts.component_id, s.doc_id) AS component_id FROM s LEFT JOIN parts USING (doc_id)
+parts AS (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x),
+links AS (SELECT a AS doc_id, count(*) AS n_links FROM ways GROUP BY a)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(parts.component_id, s.doc_id) AS component_id,
+  coalesce(links.n_links, 0)::BIGINT AS n_links FROM s LEFT JOIN parts USING (doc_id) LEFT JOIN links USING (doc_id)
 """
 
 
