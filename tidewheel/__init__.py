@@ -29,6 +29,7 @@ _PLACES = {
     "sources.store": ("Store",),
     "plans.export": ("contract_clusters", "report", "report_json", "checklist", "WriteGate"),
     "plans.digest": ("weekly_digest", "backlog_report", "digest_totals"),
+    "streaming.authors": ("author_counts", "keep_authors"),
     "streaming.triage": ("match_batch", "triage_stream", "read_events"),
 }
 _HOME = {name: place for place, names in _PLACES.items() for name in names}
