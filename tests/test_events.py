@@ -125,3 +125,12 @@ def test_top_members_of_a_large_cluster(spark):
     want = [r["item_id"] for r in members.orderBy(F.desc("score"), "item_id").limit(3).collect()]
     rows = {r["cluster_id"]: r for r in got.collect()}
     assert rows[1]["shown"] == want and rows[1]["more"] == 299_997 and rows[2]["more"] == 0
+
+
+def test_comments_count_all_matches_and_show_the_best(spark):
+    new = spark.createDataFrame([("q", 1, 50, "o/r", "new")], "item_id string, event_id long, number long, repo string, title string")
+    known = spark.createDataFrame([(f"i{k:02d}", k, f"t{k}") for k in range(17)], "item_id string, number long, title string")
+    rows = [("q", 1, f"i{k:02d}", 0.9 - k / 100, k + 1, k == 13, False) for k in range(17)]
+    matches = spark.createDataFrame(rows, "item_id string, event_id long, match string, sim double, rank int, canonical boolean, auto_close boolean")
+    text = export.triage_intents(matches, new, known).first()["text"]
+    assert "17 known items" in text and "[#9]" in text and "[#10]" not in text

@@ -202,10 +202,13 @@ def _confirmed_lines(confirmed: DataFrame) -> list[str]:
     return out
 
 
-def match_comment(repo: str, matches: list, source: dict, seconds: float | None = None, owners: list[tuple[str, str]] = ()) -> str:
-    """The comment on a new item that resembles others; without ``seconds`` it is the same whenever it is made."""
+def match_comment(repo: str, matches: list, source: dict, seconds: float | None = None, owners: list[tuple[str, str]] = (), total: int | None = None) -> str:
+    """The comment on a new item that resembles others; without ``seconds`` it is the same whenever it is made.
+
+    ``total``: how many it resembles, where ``matches`` are only the best of them.
+    """
     link = lambda n: f"[#{n}](https://github.com/{repo}/issues/{n})"
-    lines = ["### Seen before?", "", f"{len(matches)} known items look like this one; {link(source['number'])} is the one to follow.", ""]
+    lines = ["### Seen before?", "", f"{len(matches) if total is None else total} known items look like this one; {link(source['number'])} is the one to follow.", ""]
     lines += _table(["item", "likeness", "title"], [{"item": link(m["number"]), "likeness": f"{100 * m['similarity']:.1f} %", "title": m["title"]} for m in matches])
     if owners:
         lines += ["", "Reviewers who own the paths it names: " + ", ".join(f"@{o} ({p})" for o, p in owners)]
@@ -237,8 +240,9 @@ def triage_intents(matches: DataFrame, new: DataFrame, known: DataFrame, owners:
     best = matches.filter(F.col("rank") <= shown).join(named, "match")
     row = F.struct("rank", F.col("match_number").alias("number"), F.col("sim").alias("similarity"), clean_title(F.col("match_title")).alias("title"))
     listed = best.groupBy("item_id").agg(F.sort_array(F.collect_list(row)).alias("shown"))
+    counted = matches.groupBy("item_id").agg(F.count("*").alias("total"))
     target = named.select(F.col("match").alias("target"), F.col("match_number").alias("target_number"))
-    whole = triage_actions(matches).join(new.select("item_id", "repo"), "item_id").join(target, "target").join(listed, "item_id", "left")
+    whole = triage_actions(matches).join(new.select("item_id", "repo"), "item_id").join(target, "target").join(listed, "item_id", "left").join(counted, "item_id")
     empty = F.array().cast("array<struct<owner:string,pattern:string>>")
     if owners is None:
         whole = whole.withColumn("owners", empty)
@@ -251,7 +255,7 @@ def triage_intents(matches: DataFrame, new: DataFrame, known: DataFrame, owners:
         for f in frames:
             texts = [
                 close_comment(r.repo, {"number": r.target_number}, r.similarity) if r.action == "close"
-                else match_comment(r.repo, [] if r.shown is None else list(r.shown), {"number": r.target_number}, None, [(o["owner"], o["pattern"]) for o in r.owners])
+                else match_comment(r.repo, [] if r.shown is None else list(r.shown), {"number": r.target_number}, None, [(o["owner"], o["pattern"]) for o in r.owners], r.total)
                 for r in f.itertuples()
             ]
             yield f[["event_id", "action", "item_id", "target", "similarity"]].assign(text=texts)
