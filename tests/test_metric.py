@@ -95,6 +95,20 @@ def test_near_by_index(spark, clustered, tmp_path):
     assert index.near(asked.limit(0), 0.5).collect() == []
 
 
+def test_near_by_index_multiplies_blocks(spark, tmp_path):
+    """Rings of more than a block, blocks of many rings and several blocks of asked vectors; no cosine is made row by row."""
+    rng = np.random.default_rng(12)
+    matrix = np.concatenate([rng.normal(size=(300, 8)), np.ones((40, 8)) + 1e-3 * rng.normal(size=(40, 8))])
+    stored = frame(spark, matrix).cache()
+    index = metric.VectorIndex.build(stored, f"file://{tmp_path}/index", pivots=6)
+    asked = frame(spark, matrix[::7] + 0.1).withColumn("item_id", F.concat(F.lit("q"), "item_id")).cache()
+    want = sorted((r["item_id"], r["match"], r["sim"]) for r in similarity.cross_pairs(asked, stored, 0.6).collect())
+    for rows in (None, 16):
+        got = index.near(asked, 0.6, rows)
+        assert sorted((r["item_id"], r["match"], r["sim"]) for r in got.collect()) == want and len(want) > 1000
+        assert "zip_with" not in got._jdf.queryExecution().toString()
+
+
 def test_sums_of_vectors(spark):
     rng = np.random.default_rng(8)
     rows = [(f"k{min(k % 17, 9)}", [float(x) for x in rng.normal(size=5)]) for k in range(500)] + [("zero", [0.0] * 5)] * 3

@@ -214,35 +214,61 @@ class VectorIndex:
         top = rows.select("item_id", l2(unit(F.col("embedding")), q).alias("distance")).orderBy("distance", "item_id").limit(k)
         return top.filter(l2_to_cosine(F.col("distance")) >= threshold)
 
-    def near(self, asked: DataFrame, threshold: float) -> DataFrame:
-        """``(item_id, match, sim)`` as ``similarity.cross_pairs`` gives: rings of cells that may hold an asked vector's matches are joined.
+    def near(self, asked: DataFrame, threshold: float, block_rows: int | None = None) -> DataFrame:
+        """``(item_id, match, sim)`` as ``similarity.cross_pairs`` gives: asked vectors are multiplied with blocks of neighbouring rings
+        that may hold their matches.
 
         The scan is limited to the rings that any asked vector reaches, at most one range a cell.
         """
         pivots, cells, within = self.pivots, self.cells, math.acos(max(-1.0, min(1.0, threshold)))
+        kept = similarity.eligible(asked).select("item_id", "embedding")
+        rows = block_rows or max(1, similarity.BLOCK_BYTES // (8 * max(1, pivots.shape[1] if pivots.ndim == 2 else 1)))
+        parts = max(1, -(-kept.count() // rows))
+        blocks = self._blocks(rows)
+        if not len(blocks):
+            return self.spark.createDataFrame([], "item_id string, match string, sim double")
+        of_cell, least, most = blocks[:, 0], blocks[:, 1], blocks[:, 2]
 
         def run(batches):
             for batch in batches:
                 if not batch.num_rows:
                     continue
                 away = angles(_matrix(batch.column(1)), pivots)
-                row, cell = np.nonzero(cells.may_hold(away, within))
-                far = away[row, cell]
-                low = np.floor(np.maximum(far - within - SLACK, cells.low[cell]) / RING).astype(np.int32)
-                high = np.floor(np.minimum(far + within + SLACK, cells.high[cell]) / RING).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(cell.astype(np.int32)), pa.array(low), pa.array(high)], ["item_id", "q", "cell", "low", "high"])
+                low, high = (np.floor(np.clip(x, cells.low, cells.high) / RING).astype(np.int64) for x in (away - within - SLACK, away + within + SLACK))
+                to = cells.may_hold(away, within)[:, of_cell] & (low[:, of_cell] <= most) & (high[:, of_cell] >= least)
+                others = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(to.sum(axis=1))), pa.int32()), pa.array((np.nonzero(to)[1] + parts).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), others], ["item_id", "embedding", "others"])
 
         kind = asked.schema["embedding"].dataType.simpleString()
-        kept = similarity.eligible(asked).select("item_id", "embedding")
-        reached = checkpointed(kept.mapInArrow(run, f"item_id string, q {kind}, cell int, low int, high int"))
-        spans = reached.groupBy("cell").agg(F.min("low").alias("low"), F.max("high").alias("high")).collect()  # a row a pivot
-        if not spans:
+        number = F.pmod(F.xxhash64("item_id"), F.lit(parts)).cast("int")
+        reached = checkpointed(kept.mapInArrow(run, f"item_id string, embedding {kind}, others array<int>"))
+        wanted = np.array(sorted(r[0] for r in reached.select(F.explode("others")).distinct().collect()), np.int64) - parts  # a row a block
+        if not len(wanted):
             return self.spark.createDataFrame([], "item_id string, match string, sim double")
         c, r = F.col("cell"), F.col("ring")
-        held = self.rows().filter(functools.reduce(operator.or_, [(c == x["cell"]) & (r >= x["low"]) & (r <= x["high"]) for x in spans]))
-        wanted = reached.select("item_id", "q", "cell", F.explode(F.sequence("low", "high")).alias("ring"))
-        sim = cosine(F.col("q"), F.col("embedding"))
-        return wanted.join(held.select(F.col("item_id").alias("match"), "embedding", "cell", "ring"), ["cell", "ring"]).select("item_id", "match", sim.alias("sim")).filter(F.col("sim") >= threshold)
+        spans = [(k, least[mine].min(), most[mine].max()) for k in np.unique(of_cell[wanted]) for mine in [wanted[of_cell[wanted] == k]]]
+        held = self.rows().filter(functools.reduce(operator.or_, [(c == int(k)) & (r >= int(low)) & (r <= int(high)) for k, low, high in spans]))
+        table = self.spark.createDataFrame([(int(k), int(x), int(n), parts + int(b)) for b, (k, lo, hi, n) in enumerate(blocks) if n for x in range(lo, hi + 1)], "cell int, ring int, n int, block int")
+        placed = held.join(F.broadcast(table), ["cell", "ring"]).withColumn("block", F.col("block") + F.pmod(F.xxhash64("item_id"), F.col("n")).cast("int"))
+        both = F.col("embedding") if held.schema["embedding"].dataType == asked.schema["embedding"].dataType else F.col("embedding").cast("array<double>")
+        ask = reached.select("item_id", both.alias("embedding"), number.alias("b"), "others")
+        hold = placed.select("item_id", both.alias("embedding"), F.col("block").alias("b"), F.sequence(F.lit(0), F.lit(parts - 1)).alias("others"))
+        return similarity.matches_of_blocks(similarity._dealt(ask.unionByName(hold), [], F.col("b"), F.col("others")), threshold)
+
+    def _blocks(self, rows: int) -> np.ndarray:
+        """``(cell, first ring, last ring, n)`` of blocks of at most about ``rows`` vectors: neighbouring rings, or one of ``n`` shares of a
+        ring of more; the first share has ``n``, the others 0.
+        """
+        out: list[list[int]] = []
+        size = 0
+        for r in self.rows().groupBy("cell", "ring").agg(F.count("*").alias("n")).orderBy("cell", "ring").collect():  # a row a ring
+            shares = -(-r["n"] // rows)
+            if shares == 1 and out and out[-1][0] == r["cell"] and out[-1][3] == 1 and size + r["n"] <= rows:
+                out[-1][2], size = r["ring"], size + r["n"]
+                continue
+            out += [[r["cell"], r["ring"], r["ring"], shares if k == 0 else 0] for k in range(shares)]
+            size = r["n"]
+        return np.array(out, np.int64).reshape(-1, 4)
 
     def describe(self) -> str:
         """Cells and their sizes as JSON."""

@@ -259,11 +259,8 @@ def touching(asked: DataFrame, stored: DataFrame, threshold: float) -> DataFrame
     return _dealt_across(asked, stored).mapInArrow(run, "item_id string").distinct()
 
 
-def cross_pairs(asked: DataFrame, stored: DataFrame, threshold: float) -> DataFrame:
-    """``(item_id, match, sim)`` of each asked vector and each stored one with cosine >= threshold, block by block.
-
-    Neither side is sent whole to a task. Both are ``(item_id, embedding)``; an id may be on both sides.
-    """
+def matches_of_blocks(dealt: DataFrame, threshold: float) -> DataFrame:
+    """``(item_id, match, sim)`` of the left and right vectors at or over a threshold in each pair of dealt blocks."""
 
     def run(batches):
         for _, names, left, right in _groups(batches, 0):
@@ -275,7 +272,15 @@ def cross_pairs(asked: DataFrame, stored: DataFrame, threshold: float) -> DataFr
                 if good.any():
                     yield pa.RecordBatch.from_arrays([pa.array(x[i[good]], pa.string()), pa.array(y[j[good]], pa.string()), pa.array(sim[good])], ["item_id", "match", "sim"])
 
-    return _dealt_across(asked, stored).mapInArrow(run, "item_id string, match string, sim double")
+    return dealt.mapInArrow(run, "item_id string, match string, sim double")
+
+
+def cross_pairs(asked: DataFrame, stored: DataFrame, threshold: float) -> DataFrame:
+    """``(item_id, match, sim)`` of each asked vector and each stored one with cosine >= threshold, block by block.
+
+    Neither side is sent whole to a task. Both are ``(item_id, embedding)``; an id may be on both sides.
+    """
+    return matches_of_blocks(_dealt_across(asked, stored), threshold)
 
 
 def one_against_all(vectors: DataFrame, query: list[float], threshold: float, skip: str | None = None) -> DataFrame:
