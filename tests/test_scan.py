@@ -188,3 +188,21 @@ def test_library_names():
     assert tidewheel.Store is Store and all(hasattr(tidewheel, n) for n in tidewheel.__all__)
     with pytest.raises(AttributeError):
         tidewheel.nothing  # noqa: B018
+
+
+def test_a_slice_reads_its_own_items_only(spark, tmp_path):
+    """What is pending is read twice, to be counted and to be dealt, however many slices there are."""
+    store, seen = Store(spark, f"file://{tmp_path}/s"), spark.sparkContext.accumulator(0)
+
+    def told(frames):
+        for f in frames:
+            seen.add(len(f))
+            yield f
+
+    rows = spark.range(300).selectExpr("concat('o/r:pr:', id) AS item_id", "concat('t ', id) AS title", "'b' AS body")
+    pending = rows.mapInPandas(told, rows.schema)
+    assert scan.embed_slices(store, pending, ingest.HashingEmbedder(8), slice_items=50) == 0
+    assert seen.value == 600 and store.read("embeddings").count() == 300
+    want = {r["item_id"]: list(r["embedding"]) for r in ingest.embed(rows, ingest.HashingEmbedder(8)).collect()}
+    assert {r["item_id"]: list(r["embedding"]) for r in store.read("embeddings").collect()} == want
+    assert not list(tmp_path.glob("s/_pending*"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tidewheel.functions.mapping import Window, earliest_window
 from tidewheel.functions.vectors import is_zero
@@ -54,17 +56,30 @@ SLICE_ITEMS = 50_000
 def embed_slices(store: Store, pending: DataFrame, provider: EmbeddingProvider, model: str | None = None, slice_items: int = SLICE_ITEMS) -> int:
     """Embed items and save their vectors slice by slice, so a failure loses one slice at most; how many vectors are zero.
 
-    Slices are of ids by hash. Each is one delta of the store, committed before the next begins; what a vector was made of
+    Slices are of ids by hash, dealt to a folder each under the store once, so that a slice reads its own items only; the
+    folder goes when all is done. Each slice is one delta of the store, committed before the next begins; what a vector was made of
     stands beside it, so who comes again embeds only what has no vector of its present text (``missing_vectors``).
     """
     slices = max(1, -(-pending.count() // slice_items))
-    number, zero = F.pmod(F.xxhash64("item_id"), F.lit(slices)), 0
-    for k in range(slices):
-        made = checkpointed(ingest.embed(pending.filter(number == k), provider, model=model))
-        done = made.agg(F.count("*").alias("n"), F.count_if(is_zero(F.col("embedding"))).alias("zero")).first()
-        if done["n"]:
-            store.upsert("embeddings", made)
-            zero += done["zero"]
+    spark, zero = pending.sparkSession, 0
+    cores = spark.sparkContext.defaultParallelism
+    folder = f"{store.path}/_pending-{uuid.uuid4().hex}"
+    needed = pending.select("item_id", "title", *[c for c in ("full_body", "body") if c in pending.columns])
+    if slices > 1:
+        number, part = F.pmod(F.xxhash64("item_id"), F.lit(slices)), F.pmod(F.xxhash64(F.lit(1), "item_id"), F.lit(cores))
+        needed.withColumn("slice", number.cast("int")).repartition("slice", part).write.partitionBy("slice").parquet(folder)
+    try:
+        for k in range(slices):
+            # the schema is given, as a slice may have no file to tell it
+            mine = needed if slices == 1 else spark.read.schema(StructType([*needed.schema, StructField("slice", IntegerType())])).parquet(folder).filter(F.col("slice") == k).drop("slice").repartition(cores)
+            made = checkpointed(ingest.embed(mine, provider, model=model))
+            done = made.agg(F.count("*").alias("n"), F.count_if(is_zero(F.col("embedding"))).alias("zero")).first()
+            if done["n"]:
+                store.upsert("embeddings", made)
+                zero += done["zero"]
+    finally:
+        if slices > 1:
+            store.drop_folder(folder)
     return zero
 
 

@@ -252,6 +252,10 @@ class Store:
                 return
             newest = self.manifest(name)
 
+    def drop_folder(self, path: str) -> None:
+        """Delete a folder of the store that no manifest names."""
+        self._fs.delete(self._path(path), True)
+
     def upsert_items(self, incoming: DataFrame) -> None:
         self.upsert("items", incoming)
 
