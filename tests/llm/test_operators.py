@@ -356,6 +356,42 @@ def test_index_compresses_and_marks_by_other_strings():
     assert sum(i.mismatches for i in seen) > 0 and sum(i.steps for i in seen) > 100_000
 
 
+def test_strings_with_bytes_of_their_own_are_not_indexed():
+    """Every string that shares a window stays, and most of those that share their minimizer alone go."""
+    rng = random.Random(8)
+    width, anchor = 50, 20
+    minimizer = bytes(rng.choice(b"abcdefgh") for _ in range(anchor))
+    sides = [bytes(rng.choice(b"abcdefgh") for _ in range(30)) for _ in range(12)]
+    strings = {}
+    for _ in range(400):
+        before, after = (rng.choice(sides) if rng.random() < 0.4 else bytes(rng.choice(b"abcdefgh") for _ in range(30)) for _ in "ab")
+        a = rng.randint(0, 30)
+        text = before[30 - a :] + minimizer + after[: rng.randint(30 - a, 30)]
+        strings[text] = a
+    texts, key = list(strings), np.array([rng.randint(0, 1) for _ in strings])
+    ends = np.cumsum([*map(len, texts)])
+    at = np.array([*strings.values()])
+    may = suffix_dedup.alike(np.frombuffer(b"".join(texts), np.uint8), ends - [*map(len, texts)], ends, at, key, width, anchor)
+    windows = [{x[p : p + width] for p in range(len(x) - width + 1)} for x in texts]
+    share = [any(key[i] == key[j] and i != j and windows[i] & windows[j] for j in range(len(texts))) for i in range(len(texts))]
+    assert all(may[i] for i in np.flatnonzero(share))
+    assert 10 < sum(share) < sum(may) < len(texts) - 50
+    assert suffix_dedup.alike(np.frombuffer(b"".join(texts), np.uint8), ends - [*map(len, texts)], ends, np.full(len(at), suffix_dedup.NOWHERE), key, width, anchor).all()
+
+
+def test_marks_are_a_row_a_document(spark):
+    """However many buckets and tasks a document's repeated passages lie in."""
+    rng = random.Random(4)
+    passages = ["".join(rng.choice("abcdefgh ") for _ in range(90)) for _ in range(40)]
+    rows = [(i, "".join(rng.sample(passages, 12)), []) for i in range(60)]
+    source = spark.createDataFrame(rows, "id long, text string, none array<long>").repartition(4)
+    shared = suffix_dedup.shared_keys(source, 50, 20, 4, 64, 1 << 14).groupBy("doc").agg(F.collect_list("key").alias("keys"))
+    texts = source.join(shared.withColumnRenamed("doc", "id"), "id").select("id", "text", "keys")
+    packed = suffix_dedup.segments(texts, 50, 20, 64, np.zeros(0, np.uint64))
+    found = suffix_dedup.marks(packed, 50, 20, 4, 64).collect()
+    assert len(found) == len({r["doc"] for r in found}) > 50
+
+
 # ------------------------------------------------------------------ 5 top-k search
 
 
