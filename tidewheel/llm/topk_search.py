@@ -1,8 +1,8 @@
 """Exact top-k search with BM25: an inverted index per shard, block-max dynamic pruning, exact merging.
 
 Global statistics (documents, mean length, document frequencies of the queried words) come from one pass over
-all documents. Each task is a shard: it inverts its documents in pieces, orders a piece's documents by length
-and cuts them into blocks. A block's maxima of every word's term weight bound all its scores; for each query
+all documents. Each task is a shard: it inverts its documents in pieces, orders a piece's documents by their most
+frequent common word, then by length, and cuts them into blocks, so that a block's words are mostly those of one language. A block's maxima of every word's term weight bound all its scores; for each query
 the block with the best bound is scored first, and then only blocks whose bound reaches the query's k-th best
 score so far, as in block-max WAND. Bounds and scores of the commonest words are dense products, those of
 the others come from postings. What may enter a top-k is scored again in double precision, words in a fixed
@@ -117,11 +117,14 @@ class Queries:
         common = np.argsort(-frequency, kind="stable")[:DENSE]
         self.column = np.full(vocabulary_size, -1, np.int64)
         self.column[common] = np.arange(len(common))
-        self.dense = np.zeros((len(ids), len(common)), np.float32)
+        #: a row a common word, so that the words of a block are picked out as whole rows
+        self.dense = np.zeros((len(common), len(ids)), np.float32)
         owner = np.repeat(np.arange(len(ids)), [len(t) for t in terms])
         term, weight = np.concatenate(terms), np.concatenate(weights)
         rare = self.column[term] < 0
-        self.dense[owner[~rare], self.column[term[~rare]]] = weight[~rare]
+        self.dense[self.column[term[~rare]], owner[~rare]] = weight[~rare]
+        #: weights of one query by word, all zero between calls of ``exact``
+        self.by_word = np.zeros(vocabulary_size)
         order = np.argsort(term[rare], kind="stable")
         self.rare_owner, self.rare_weight = owner[rare][order], weight[rare][order].astype(np.float32)
         self.rare_ptr = np.searchsorted(term[rare][order], np.arange(vocabulary_size + 1))
@@ -150,10 +153,10 @@ class TopK:
 
 
 class PieceIndex:
-    """Inverted index of some documents, in blocks of documents of like length."""
+    """Inverted index of some documents, in blocks of documents of like words and length."""
 
     def __init__(self, ids, doc, term, tf, length, mean: float, queries: Queries):
-        order = np.argsort(length, kind="stable")
+        order = self._alike(len(ids), doc, term, tf, length, queries)
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         self.ids, doc = ids[order], rank[doc]
@@ -164,16 +167,27 @@ class PieceIndex:
         column = queries.column[self.term]
         common = column >= 0
         blocks = self.blocks = -(-len(ids) // BLOCK_DOCS)
-        self.dense = np.zeros((blocks * BLOCK_DOCS, queries.dense.shape[1]), np.float32)
+        self.dense = np.zeros((blocks * BLOCK_DOCS, len(queries.dense)), np.float32)
         self.dense[self.doc[common], column[common]] = self.weight[common]
         self.block_max = self.dense.reshape(blocks, BLOCK_DOCS, -1).max(axis=1)
         rare = ~common
         self.rare_doc, self.rare_term, self.rare_weight = self.doc[rare], self.term[rare], self.weight[rare].astype(np.float32)
         self.rare_ptr = np.searchsorted(self.rare_doc, np.arange(blocks + 1) * BLOCK_DOCS)
 
+    @staticmethod
+    def _alike(n: int, doc, term, tf, length, queries: Queries) -> np.ndarray:
+        """Documents in the order of their most frequent common word, then of length, so that a block's documents are mostly of one language."""
+        column = queries.column[term]
+        common = np.flatnonzero(column >= 0)
+        common = common[np.lexsort((column[common], -tf[common], doc[common]))]
+        head = np.append(True, doc[common][1:] != doc[common][:-1])[: len(common)]
+        top = np.full(n, len(queries.dense))
+        top[doc[common][head]] = column[common][head]
+        return np.lexsort((length, top))
+
     def bounds(self, queries: Queries) -> np.ndarray:
         """Upper bounds of the scores in each block for each query."""
-        out = self.block_max @ queries.dense.T
+        out = self.block_max @ queries.dense
         block = self.rare_doc // BLOCK_DOCS
         order = np.lexsort((self.rare_term, block))
         b, t, w = block[order], self.rare_term[order], self.rare_weight[order]
@@ -188,9 +202,11 @@ class PieceIndex:
     def scores(self, block: int, who: np.ndarray, queries: Queries) -> np.ndarray:
         """Single-precision scores of a block's documents for the queries ``who``."""
         at = slice(block * BLOCK_DOCS, (block + 1) * BLOCK_DOCS)
+        some = np.flatnonzero(self.block_max[block])
+        dense, weights = self.dense[at][:, some], queries.dense[some]
         if 3 * len(who) > len(queries.ids):
             # most queries are asked: scoring all costs less than picking their weights out
-            out = self.dense[at] @ queries.dense.T
+            out = dense @ weights
             a, z = self.rare_ptr[block], self.rare_ptr[block + 1]
             if z > a:
                 cell, q, weight = queries.rare_pairs(self.rare_term[a:z])
@@ -198,7 +214,7 @@ class PieceIndex:
                 flat = np.bincount((self.rare_doc[a:z] - block * BLOCK_DOCS)[cell] * len(queries.ids) + q, weights=weight, minlength=out.size)
                 out += flat.reshape(out.shape)
             return out if len(who) == len(queries.ids) else out[:, who]
-        out = self.dense[at] @ queries.dense[who].T
+        out = dense @ weights[:, who]
         a, z = self.rare_ptr[block], self.rare_ptr[block + 1]
         if z > a:
             cell, q, weight = queries.rare_pairs(self.rare_term[a:z])
@@ -210,13 +226,15 @@ class PieceIndex:
             out += flat.reshape(out.shape).astype(np.float32)
         return out
 
-    def exact(self, docs: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """Double-precision scores of some documents for one query, words in order of their number."""
+    def exact(self, docs: np.ndarray, terms: np.ndarray, weights: np.ndarray, by_word: np.ndarray) -> np.ndarray:
+        """Double-precision scores of some documents for one query, words in order of their number. ``by_word``: zeros, left as zeros."""
         n = self.ptr[docs + 1] - self.ptr[docs]
         take = np.repeat(self.ptr[docs] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        at = np.minimum(np.searchsorted(terms, self.term[take]), len(terms) - 1)
-        part = np.where(terms[at] == self.term[take], weights[at] * self.weight[take], 0.0)
-        return np.array([x.cumsum()[-1] if len(x) else 0.0 for x in np.split(part, np.cumsum(n)[:-1])])
+        by_word[terms] = weights
+        part = by_word[self.term[take]] * self.weight[take]
+        by_word[terms] = 0.0
+        # added one after another, so a score does not depend on what else is scored
+        return np.bincount(np.repeat(np.arange(len(docs)), n), weights=part, minlength=len(docs))
 
     def search(self, queries: Queries, best: TopK) -> None:
         bound = self.bounds(queries)
@@ -246,7 +264,7 @@ class PieceIndex:
                 seen = np.concatenate([best.score[who], approximate[part]])
                 part = part[approximate[part] >= np.partition(seen, len(seen) - best.k)[len(seen) - best.k] * (1 - slack)]
             if len(part):
-                best.add(who, self.exact(doc[part], queries.terms[who], queries.weights[who]), self.ids[doc[part]])
+                best.add(who, self.exact(doc[part], queries.terms[who], queries.weights[who], queries.by_word), self.ids[doc[part]])
 
     def _score(self, rounds, queries: Queries, floor: np.ndarray, slack: float, pool: list, k: int) -> None:
         """Score blocks, pool what may enter, and raise the floor to the k-th best of a block where that is higher."""
