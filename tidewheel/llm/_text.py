@@ -10,7 +10,7 @@ import ctypes
 import functools
 import gc
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -166,14 +166,29 @@ def release() -> None:
     _trim()(0)
 
 
+#: What drops the tables that an operator keeps in its workers from task to task, by the operator's name.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def forget(keeps: str | None) -> None:
+    """Drop the tables that other operators' tasks left in this worker."""
+    for name, drop in KEPT.items():
+        if name != keeps:
+            drop()
+
+
 #: Bytes of what a task's function returns at once.
 RETURN_BYTES = 4 << 20
 
 
-def released(run):
-    """``run`` as a task's function: what it yields travels a few megabytes at a time, and memory is given back at the end."""
+def released(run, keeps: str | None = None):
+    """``run`` as a task's function: what it yields travels a few megabytes at a time, and memory is given back at the end.
+
+    ``keeps``: whose tables stay in the worker; those of others go before the task starts.
+    """
 
     def whole(batches):
+        forget(keeps)
         try:
             for batch in run(batches):
                 step = max(1, int(batch.num_rows * RETURN_BYTES // max(1, batch.nbytes)))

@@ -33,14 +33,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.llm._text import Slice, mix64, released, slices, small_batches
+from tidewheel.llm._text import KEPT, Slice, mix64, released, slices, small_batches
 
 #: Memo of pieces: bits of the number of slots (21 bytes each), bytes of a piece that has one, ids that are kept before it starts again.
 PIECE_BITS, KEY_BYTES, KNOWN_IDS = 19, 15, 2 << 20
 #: Slots of the memo of pairs (8 bytes each).
 PAIR_SLOTS = 1 << 19
 #: Bytes of text that are split at once; a longer text is cut where a piece ends.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 #: Pieces longer than this are encoded one by one, as are the last few of a batch.
 LONG_PIECE, FEW = 64, 24
 #: The pattern whose pieces are found without the regex engine (fixed value).
@@ -461,6 +461,8 @@ def codec(path: str, pattern: str) -> BytePairCodec:
     return BytePairCodec(read_ranks(path), pattern)
 
 
+KEPT["bpe"] = codec.cache_clear
+
 def _digests(data, offsets: np.ndarray) -> pa.Array:
     """SHA-256 of the stretches of a buffer."""
     view, cuts = memoryview(data).cast("B"), offsets.tolist()
@@ -488,7 +490,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_column: str = "text",
                 new.append(_digests(data, ends[offsets]))
             yield pa.RecordBatch.from_arrays([*s.rows.columns, *new], [*names, *made])
 
-    return small_batches(docs.select(*[F.col(f"`{c}`") for c in names])).mapInArrow(released(run), f"{kinds}, {ids}")
+    return small_batches(docs.select(*[F.col(f"`{c}`") for c in names])).mapInArrow(released(run, "bpe"), f"{kinds}, {ids}")
 
 
 def decode(tokens: DataFrame, path: str, pattern: str, ids_column: str = "ids", bytes_column: str = "decoded") -> DataFrame:
@@ -508,7 +510,7 @@ def decode(tokens: DataFrame, path: str, pattern: str, ids_column: str = "ids",
             rows = [data[a:z].to_pybytes() if z > a else b"" for a, z in zip(cuts, cuts[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.binary())], [*names, bytes_column])
 
-    return tokens.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(released(run), f"{kinds}, `{bytes_column}` binary")
+    return tokens.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(released(run, "bpe"), f"{kinds}, `{bytes_column}` binary")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -526,4 +528,4 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_i
             )
 
     picked = docs.select(F.col(id_column), F.col(text_column).alias("__text"))
-    return small_batches(picked).mapInArrow(released(run), f"`{id_column}` {id_kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return small_batches(picked).mapInArrow(released(run, "bpe"), f"`{id_column}` {id_kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

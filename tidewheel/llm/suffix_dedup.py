@@ -47,7 +47,9 @@ _TABLE = byte_table(23, lower=False)
 _LOW = np.uint64(0xFFFFFFFF)
 FLUSH = 1 << 20
 #: Bytes of strings that one index holds, strings streamed through it at once, bytes of segments that a task gathers before sending.
-PIECE_BYTES, STREAMS, SEND_BYTES = 1 << 18, 1 << 16, 24 << 20
+PIECE_BYTES, STREAMS, SEND_BYTES = 1 << 18, 1 << 16, 12 << 20
+#: Bytes of text whose windows are hashed at once: a window takes about a hundred bytes meanwhile.
+HASH_BYTES = 1 << 19
 #: Bytes of text that a bucket stands for, and bytes of segments that are judged together (more where one key has them).
 BUCKET_BYTES, CHUNK_BYTES = 32 << 20, 4 << 20
 #: A key in so many documents is hot; so many of the commonest hot keys are split by whole windows.
@@ -120,7 +122,7 @@ def shared_keys(docs: DataFrame, width: int, anchor: int, parts: int, buckets: i
                 )
             return pa.RecordBatch.from_pylist(out, schema=schema)
 
-        for s in slices(batches, "text"):
+        for s in slices(batches, "text", HASH_BYTES):
             doc, _, _, key, _ = minimizers(s.buf, s.offsets, width, anchor)
             name = s.rows.column(0).to_numpy(zero_copy_only=False)
             keys.append(routed(key, buckets)), ids.append(name[doc].astype(np.int64))
@@ -487,7 +489,7 @@ def segments(texts: DataFrame, width: int, anchor: int, buckets: int, hot: np.nd
                 rows.append({"bucket": int(doc_[late][0]) % buckets, "doc": doc_[late].tobytes(), "spans": spans.tobytes()})
             return pa.RecordBatch.from_pylist(rows, schema=schema)
 
-        for s in slices(batches, "text"):
+        for s in slices(batches, "text", HASH_BYTES):
             doc, start, count, key, at = minimizers(s.buf, s.offsets, width, anchor)
             key, at = routed(key, buckets), np.minimum(at, NOWHERE).astype(np.uint16)
             lists = s.rows.column(2)
