@@ -115,7 +115,11 @@ def ci_rank(status: Column) -> Column:
     return F.when(status == "failure", 0).otherwise(1)
 
 
+#: Least similarities from which a cluster is high and solid.
+HIGH, SOLID = 0.9, 0.8
+
+
 def confidence(min_similarity: Column) -> Column:
     """high from 0.9, solid from 0.8, else loose; NaN and null are loose."""
     usable = min_similarity.isNotNull() & ~F.isnan(min_similarity)
-    return F.when(usable & (min_similarity >= 0.9), "high").when(usable & (min_similarity >= 0.8), "solid").otherwise("loose")
+    return F.when(usable & (min_similarity >= HIGH), "high").when(usable & (min_similarity >= SOLID), "solid").otherwise("loose")

@@ -103,7 +103,7 @@ def dealt_by_cells(vectors: DataFrame, threshold: float, pivots: np.ndarray | No
     pivots = choose_pivots(vectors) if pivots is None else pivots
     placed = checkpointed(in_cells(vectors, pivots))
     cells, within = cells_of(placed, len(pivots)), math.acos(max(-1.0, min(1.0, threshold)))
-    rows = block_rows or max(1, similarity.BLOCK_BYTES // (8 * max(1, pivots.shape[1])))
+    rows = block_rows or max(1, similarity.BLOCK_BYTES // (4 * max(1, pivots.shape[1])))
     blocks = -(-cells.n // rows)
     first = np.concatenate([[0], np.cumsum(blocks)]).astype(np.int64)
 
@@ -129,7 +129,7 @@ def pruned_pairs(vectors: DataFrame, threshold: float, pivots: np.ndarray | None
     different = similarity._classed(vectors).filter("item_id = rep").select("item_id", "embedding")
     if different.isEmpty():
         return similarity.similar_pairs(vectors, threshold)
-    return similarity.pairs_of_blocks(dealt_by_cells(different, threshold, pivots, block_rows), threshold, spanning)
+    return similarity.pairs_of_blocks(dealt_by_cells(different, threshold, pivots, block_rows), threshold, spanning).select("src", "dst", "sim")
 
 
 def work(dealt: DataFrame, vectors: int) -> tuple[int, int]:
@@ -222,7 +222,7 @@ class VectorIndex:
         """
         pivots, cells, within = self.pivots, self.cells, math.acos(max(-1.0, min(1.0, threshold)))
         kept = similarity.eligible(asked).select("item_id", "embedding")
-        rows = block_rows or max(1, similarity.BLOCK_BYTES // (8 * max(1, pivots.shape[1] if pivots.ndim == 2 else 1)))
+        rows = block_rows or max(1, similarity.BLOCK_BYTES // (4 * max(1, pivots.shape[1] if pivots.ndim == 2 else 1)))
         parts = max(1, -(-kept.count() // rows))
         blocks = self._blocks(rows)
         if not len(blocks):
