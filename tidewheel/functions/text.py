@@ -8,17 +8,23 @@ from pyspark.sql import functions as F
 #: Instructions that a model family wants before its input.
 TASK_PREFIX = {"nomic-embed-text": "clustering: "}
 DIFF_LIMIT, DIFF_MARKER = 500_000, "\n... (truncated)"
+#: White space at a text's ends, and what the pattern ``\\s`` of DuckDB takes as that, which has no vertical tab.
+SPACE, SQL_SPACE = " \t\n\x0b\f\r", " \t\n\f\r"
 
 
-def trim(text: Column) -> Column:
+def trim(text: Column, space: str = SPACE) -> Column:
     """Without white space at both ends; no pattern, which would try every white space of a long text."""
-    return F.trim(text, F.lit(" \t\n\x0b\f\r"))
+    return F.trim(text, F.lit(space))
 
 
-def embedding_text(title: Column, body: Column, model: str | None = None) -> Column:
-    """Trimmed title, then the trimmed body's first 2,000 characters after a blank line."""
-    head = trim(F.when(F.coalesce(title, F.lit("")) == "", "Untitled").otherwise(title))
-    tail = F.substring(trim(F.coalesce(body, F.lit(""))), 1, 2000)
+def embedding_text(title: Column, body: Column, model: str | None = None, untitled: str | None = "Untitled", space: str = SPACE) -> Column:
+    """Trimmed title, then the trimmed body's first 2,000 characters after a blank line.
+
+    ``untitled`` stands for a null or empty title; with None an empty one stays empty, and a null one makes the whole text null.
+    """
+    named = title if untitled is None else F.when(F.coalesce(title, F.lit("")) == "", untitled).otherwise(title)
+    head = trim(named, space)
+    tail = F.substring(trim(F.coalesce(body, F.lit("")), space), 1, 2000)
     text = F.when(tail != "", F.concat(head, F.lit("\n\n"), tail)).otherwise(head)
     return F.concat(F.lit(task_prefix(model)), text)
 
