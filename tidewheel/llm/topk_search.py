@@ -2,10 +2,11 @@
 
 Global statistics (documents, mean length, document frequencies of the queried words) come from one pass over
 all documents. Each task is a shard: it inverts its documents in pieces, orders a piece's documents by their most
-frequent common word, then by length, and cuts them into blocks, so that a block's words are mostly those of one language. A block's maxima of every word's term weight bound all its scores; for each query
-the block with the best bound is scored first, and then only blocks whose bound reaches the query's k-th best
-score so far, as in block-max WAND. Bounds and scores of the commonest words are dense products, those of
-the others come from postings. What may enter a top-k is scored again in double precision, words in a fixed
+frequent common word, then by length, and cuts them into blocks, so that a block's words are mostly those of one language. A block's maxima of every word's term weight bound all its scores; a query
+without k documents yet has the block with its best bound scored first, and then only blocks whose bound reaches the query's k-th best
+score so far are scored, as in block-max WAND. Bounds and scores of the commonest words are dense products, a few blocks at once, those of
+the others come from postings, a few thousand at once. Where documents are many, a search of a few of them comes first: a query's k-th best there is
+at most its k-th best of all, so that no shard starts from nothing and none tells what cannot be among the k. What may enter a top-k is scored again in double precision, words in a fixed
 order, so that results do not depend on how documents were dealt. Shards' top-k lists merge by score and id.
 
 A query is a whole text: its distinct words weigh idf * (k3 + 1) * qtf / (k3 + qtf). Queries are taken in
@@ -33,6 +34,10 @@ K1, B, K3 = 1.2, 0.75, 7.0
 BLOCK_DOCS = 32
 #: Words with dense columns, and bytes of text that one piece of a shard's index holds.
 DENSE, PIECE_BYTES = 1024, 6 << 20
+#: Blocks that one product scores, and pairs of postings that are added up at once.
+TILE_BLOCKS, PAIRS = 8, 1 << 15
+#: About how many documents are searched first for a floor of the scores, and the documents from which that pays.
+FIRST_DOCS, FIRST_FROM = 16_384, 131_072
 
 
 def _bag(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -64,15 +69,22 @@ class Vocabulary:
 
     def __init__(self, terms: np.ndarray):
         self.terms = terms
-        self.mask = np.zeros(1 << 22, bool)
-        self.mask[(terms >> np.uint64(42)).astype(np.int64)] = True
+        bits = min(22, max(10, len(terms).bit_length() + 1))
+        self.shift = np.uint64(64 - bits)
+        #: first place of the terms that begin with each value of so many bits
+        self.first = np.searchsorted((terms >> self.shift).astype(np.int64), np.arange((1 << bits) + 1)).astype(np.int32)
 
     def find(self, words: np.ndarray) -> np.ndarray:
         out = np.full(len(words), -1, np.int64)
-        maybe = np.flatnonzero(self.mask[(words >> np.uint64(42)).astype(np.int64)])
-        if len(maybe) and len(self.terms):
-            at = np.minimum(np.searchsorted(self.terms, words[maybe]), len(self.terms) - 1)
-            out[maybe] = np.where(self.terms[at] == words[maybe], at, -1)
+        head = (words >> self.shift).astype(np.int64)
+        at, end = self.first[head], self.first[head + 1]
+        some = np.flatnonzero(at < end)
+        at, end = at[some], end[some]
+        while len(some):
+            hit = self.terms[at] == words[some]
+            out[some[hit]] = at[hit]
+            more = np.flatnonzero(~hit & (at + 1 < end))
+            some, at, end = some[more], at[more] + 1, end[more]
         return out
 
 
@@ -126,25 +138,44 @@ class Queries:
         #: weights of one query by word, all zero between calls of ``exact``
         self.by_word = np.zeros(vocabulary_size)
         order = np.argsort(term[rare], kind="stable")
-        self.rare_owner, self.rare_weight = owner[rare][order], weight[rare][order].astype(np.float32)
+        self.rare_owner, self.rare_weight = owner[rare][order].astype(np.int32), weight[rare][order].astype(np.float32)
         self.rare_ptr = np.searchsorted(term[rare][order], np.arange(vocabulary_size + 1))
 
-    def rare_pairs(self, term: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For cells with rare words: (cell, query, weight) of every query that has the word."""
-        lo, n = self.rare_ptr[term], self.rare_ptr[term + 1] - self.rare_ptr[term]
-        take = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-        return np.repeat(np.arange(len(term)), n), self.rare_owner[take], self.rare_weight[take]
+    def add_rare(self, out: np.ndarray, row: np.ndarray, term: np.ndarray, weight: np.ndarray) -> None:
+        """Add the products of cells with rare words, ordered by row, to a row of ``out`` for every query that has the word.
+
+        A few thousand pairs are made at once, so that they stay in the processor's cache.
+        """
+        asked, n = len(self.ids), self.rare_ptr[term + 1] - self.rare_ptr[term]
+        some = np.flatnonzero(n)
+        if not len(some):
+            return
+        row, weight, lo, n = row[some], weight[some], self.rare_ptr[term[some]], n[some]
+        end = np.cumsum(n)
+        cuts = np.unique(np.append(np.searchsorted(end, np.arange(0, end[-1], PAIRS)), len(n)))
+        number = np.arange(PAIRS + n.max())
+        for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+            many = n[a:z]
+            start = end[a:z] - many
+            take = np.repeat(lo[a:z] - start + start[0], many)
+            take += number[: len(take)]
+            first, last = row[a], row[z - 1] + 1
+            flat = np.repeat((row[a:z] - first) * asked, many)
+            flat += self.rare_owner[take]
+            part = np.repeat(weight[a:z], many)
+            part *= self.rare_weight[take]
+            out[first:last] += np.bincount(flat, weights=part, minlength=(last - first) * asked).reshape(-1, asked)
 
 
 class TopK:
-    """The k best (score, id) of each query, ties to the smaller id."""
+    """The k best (score, id) of each query, ties to the smaller id. ``floor``: scores that a query's k-th best of all documents is known to reach."""
 
-    def __init__(self, queries: int, k: int):
-        self.k = k
+    def __init__(self, queries: int, k: int, floor: np.ndarray | None = None):
+        self.k, self.floor = k, np.full(queries, -np.inf) if floor is None else floor
         self.score, self.id = np.full((queries, k), -np.inf), np.full((queries, k), np.iinfo(np.int64).max)
 
     def threshold(self) -> np.ndarray:
-        return self.score[:, -1]
+        return np.maximum(self.score[:, -1], self.floor)
 
     def add(self, q: int, score: np.ndarray, ids: np.ndarray) -> None:
         s, i = np.append(self.score[q], score), np.append(self.id[q], ids)
@@ -153,17 +184,17 @@ class TopK:
 
 
 class PieceIndex:
-    """Inverted index of some documents, in blocks of documents of like words and length."""
+    """Inverted index of some documents, in blocks of documents of like words and length. Cells come in order of document, then word."""
 
     def __init__(self, ids, doc, term, tf, length, mean: float, queries: Queries):
         order = self._alike(len(ids), doc, term, tf, length, queries)
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        self.ids, doc = ids[order], rank[doc]
-        weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[order][doc] / mean))
-        by_doc = np.lexsort((term, doc))
-        self.doc, self.term, self.weight = doc[by_doc], term[by_doc], weight[by_doc]
-        self.ptr = np.searchsorted(self.doc, np.arange(len(ids) + 1))
+        weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / mean))
+        given = np.searchsorted(doc, np.arange(len(ids) + 1))
+        many = np.diff(given)[order]
+        self.ids, self.ptr = ids[order], np.append(0, np.cumsum(many))
+        # a document's cells move as a whole
+        moved = np.repeat(given[order] - self.ptr[:-1], many) + np.arange(len(doc))
+        self.doc, self.term, self.weight = np.repeat(np.arange(len(ids)), many), term[moved], weight[moved]
         column = queries.column[self.term]
         common = column >= 0
         blocks = self.blocks = -(-len(ids) // BLOCK_DOCS)
@@ -179,10 +210,13 @@ class PieceIndex:
         """Documents in the order of their most frequent common word, then of length, so that a block's documents are mostly of one language."""
         column = queries.column[term]
         common = np.flatnonzero(column >= 0)
-        common = common[np.lexsort((column[common], -tf[common], doc[common]))]
-        head = np.append(True, doc[common][1:] != doc[common][:-1])[: len(common)]
-        top = np.full(n, len(queries.dense))
-        top[doc[common][head]] = column[common][head]
+        columns = len(queries.dense)
+        top = np.full(n, columns)
+        if len(common):
+            of = doc[common]
+            head = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+            most = np.maximum.reduceat(tf[common] * columns + (columns - 1 - column[common]), head)
+            top[of[head]] = columns - 1 - most % columns
         return np.lexsort((length, top))
 
     def bounds(self, queries: Queries) -> np.ndarray:
@@ -193,37 +227,22 @@ class PieceIndex:
         b, t, w = block[order], self.rare_term[order], self.rare_weight[order]
         if len(b):
             head = np.flatnonzero(np.append(True, (b[1:] != b[:-1]) | (t[1:] != t[:-1])))
-            b, t, w = b[head], t[head], np.maximum.reduceat(w, head)
-            cell, q, weight = queries.rare_pairs(t)
-            flat = np.bincount(b[cell] * len(queries.ids) + q, weights=w[cell] * weight, minlength=out.size)
-            out += flat.reshape(out.shape).astype(np.float32)
+            queries.add_rare(out, b[head], t[head], np.maximum.reduceat(w, head))
         return out
 
-    def scores(self, block: int, who: np.ndarray, queries: Queries) -> np.ndarray:
-        """Single-precision scores of a block's documents for the queries ``who``."""
-        at = slice(block * BLOCK_DOCS, (block + 1) * BLOCK_DOCS)
-        some = np.flatnonzero(self.block_max[block])
-        dense, weights = self.dense[at][:, some], queries.dense[some]
-        if 3 * len(who) > len(queries.ids):
-            # most queries are asked: scoring all costs less than picking their weights out
-            out = dense @ weights
-            a, z = self.rare_ptr[block], self.rare_ptr[block + 1]
-            if z > a:
-                cell, q, weight = queries.rare_pairs(self.rare_term[a:z])
-                weight *= self.rare_weight[a:z][cell]
-                flat = np.bincount((self.rare_doc[a:z] - block * BLOCK_DOCS)[cell] * len(queries.ids) + q, weights=weight, minlength=out.size)
-                out += flat.reshape(out.shape)
-            return out if len(who) == len(queries.ids) else out[:, who]
-        out = dense @ weights[:, who]
-        a, z = self.rare_ptr[block], self.rare_ptr[block + 1]
+    def scores(self, first: int, last: int, who: np.ndarray, queries: Queries) -> np.ndarray:
+        """Single-precision scores of the documents of blocks ``first`` to ``last - 1`` for the queries ``who``."""
+        at = slice(first * BLOCK_DOCS, min(last * BLOCK_DOCS, len(self.ids)))
+        some = np.flatnonzero(self.block_max[first:last].any(axis=0))
+        everyone = len(who) == len(queries.ids)
+        weights = queries.dense[some] if everyone else queries.dense[np.ix_(some, who)]
+        out = self.dense[at, some] @ weights
+        a, z = self.rare_ptr[first], self.rare_ptr[last]
         if z > a:
-            cell, q, weight = queries.rare_pairs(self.rare_term[a:z])
-            place = np.full(len(queries.ids), -1, np.int64)
-            place[who] = np.arange(len(who))
-            keep = place[q] >= 0
-            cell, q, weight = cell[keep], place[q[keep]], weight[keep]
-            flat = np.bincount((self.rare_doc[a:z][cell] - block * BLOCK_DOCS) * len(who) + q, weights=self.rare_weight[a:z][cell] * weight, minlength=out.size)
-            out += flat.reshape(out.shape).astype(np.float32)
+            rare = out if everyone else np.zeros((len(out), len(queries.ids)), np.float32)
+            queries.add_rare(rare, self.rare_doc[a:z] - at.start, self.rare_term[a:z], self.rare_weight[a:z])
+            if not everyone:
+                out += rare[:, who]
         return out
 
     def exact(self, docs: np.ndarray, terms: np.ndarray, weights: np.ndarray, by_word: np.ndarray) -> np.ndarray:
@@ -239,24 +258,31 @@ class PieceIndex:
     def search(self, queries: Queries, best: TopK) -> None:
         bound = self.bounds(queries)
         slack = 1e-4
-        first = bound.argmax(axis=0)
         floor = best.threshold().astype(np.float32)
-        rounds = [(b, np.flatnonzero(first == b)) for b in np.unique(first)]
-        pool: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self._score(rounds, queries, floor, slack, pool, best.k)
         rest = bound >= np.maximum(floor * (1 - slack), 1e-9)
-        rest[first, np.arange(len(first))] = False
-        for b in np.argsort(-bound.max(axis=1), kind="stable"):
-            who = np.flatnonzero(rest[b] & (bound[b] >= floor * (1 - slack)))
+        pool: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        new = np.flatnonzero(np.isneginf(floor))
+        first = bound[:, new].argmax(axis=0)
+        for b in np.unique(first):
+            who = new[first == b]
+            self._score(b, b + 1, who, queries, floor, slack, pool, best.k)
+            rest[b, who] = False
+        tiles = range(0, self.blocks, TILE_BLOCKS)
+        for a in sorted(tiles, key=lambda a: -bound[a : a + TILE_BLOCKS].max()):
+            z = min(a + TILE_BLOCKS, self.blocks)
+            who = np.flatnonzero((rest[a:z] & (bound[a:z] >= floor * (1 - slack))).any(axis=0))
+            if 2 * len(who) > len(floor):
+                # most queries are asked: scoring all costs less than picking their weights out
+                who = np.arange(len(floor))
             if len(who):
-                self._score([(b, who)], queries, floor, slack, pool, best.k)
+                self._score(a, z, who, queries, floor, slack, pool, best.k)
         if not pool:
             return
         q, doc, approximate = (np.concatenate(x) for x in zip(*pool, strict=True))
-        keep = approximate >= floor[q] * (1 - slack)
+        keep = np.flatnonzero(approximate >= floor[q] * (1 - slack))
+        # a query's best block is scored again with its neighbours: each document counts once
+        keep = keep[np.unique(q[keep] * len(self.ids) + doc[keep], return_index=True)[1]]
         q, doc, approximate = q[keep], doc[keep], approximate[keep]
-        order = np.argsort(q, kind="stable")
-        q, doc, approximate = q[order], doc[order], approximate[order]
         for part in np.split(np.arange(len(q)), np.flatnonzero(np.diff(q)) + 1):
             if len(part):
                 # only what is near the k-th best of all that was found so far is worth scoring exactly
@@ -266,16 +292,17 @@ class PieceIndex:
             if len(part):
                 best.add(who, self.exact(doc[part], queries.terms[who], queries.weights[who], queries.by_word), self.ids[doc[part]])
 
-    def _score(self, rounds, queries: Queries, floor: np.ndarray, slack: float, pool: list, k: int) -> None:
-        """Score blocks, pool what may enter, and raise the floor to the k-th best of a block where that is higher."""
-        for block, who in rounds:
-            got = self.scores(block, who, queries)
-            got = got[: len(self.ids) - block * BLOCK_DOCS]
-            if len(got) >= k:
-                kth = np.partition(got, len(got) - k, axis=0)[len(got) - k]
-                floor[who] = np.maximum(floor[who], kth * (1 - slack))
-            d, j = np.nonzero((got >= floor[who] * (1 - slack)) & (got > 0))
-            pool.append((who[j], d + block * BLOCK_DOCS, got[d, j]))
+    def _score(self, first: int, last: int, who: np.ndarray, queries: Queries, floor: np.ndarray, slack: float, pool: list, k: int) -> None:
+        """Score blocks, pool what may enter, and raise the floor to the k-th best of the blocks where that is higher."""
+        got = self.scores(first, last, who, queries)
+        may = (got >= floor[who] * (1 - slack)) & (got > 0)
+        many = np.flatnonzero(may.sum(axis=0) > k)
+        if len(many):
+            kth = np.partition(got[:, many], len(got) - k, axis=0)[len(got) - k]
+            floor[who[many]] = np.maximum(floor[who[many]], kth * (1 - slack))
+            may[:, many] &= got[:, many] >= floor[who[many]] * (1 - slack)
+        d, j = np.divmod(np.flatnonzero(may.ravel()), len(who))
+        pool.append((who[j], d + first * BLOCK_DOCS, got[d, j]))
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary):
@@ -329,19 +356,29 @@ def _search_block(bags: DataFrame, block: pa.Table, k: int) -> DataFrame:
     numbers = [np.searchsorted(vocabulary, t) for t in terms]
     weights = [idf[t] * (K3 + 1) * c / (K3 + c) for t, c in zip(numbers, counts, strict=True)]
     mean = max(1.0, words / max(1, documents))
-    shared = bags.sparkSession.sparkContext.broadcast((vocabulary, ids, numbers, weights, frequency))
-
-    def run(batches):
-        vocabulary, ids, numbers, weights, frequency = shared.value
-        known = Vocabulary(vocabulary)
-        asked = Queries(ids, numbers, weights, len(vocabulary), frequency)
-        best = TopK(len(ids), k)
-        for piece in _pieces(batches, known):
-            PieceIndex(*piece, mean, asked).search(asked, best)
-        q, j = np.nonzero(np.isfinite(best.score))
-        if len(q):
-            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(best.id[q, j]), pa.array(best.score[q, j])], ["query_id", "doc_id", "score"])
-
-    found = bags.mapInArrow(released(run), "query_id long, doc_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+    context = bags.sparkSession.sparkContext
+    shared = context.broadcast((vocabulary, ids, numbers, weights, frequency))
+
+    def found_in(some: DataFrame, floor: np.ndarray | None) -> DataFrame:
+        def run(batches):
+            vocabulary, ids, numbers, weights, frequency = shared.value
+            known = Vocabulary(vocabulary)
+            asked = Queries(ids, numbers, weights, len(vocabulary), frequency)
+            best = TopK(len(ids), k, floor)
+            for piece in _pieces(batches, known):
+                PieceIndex(*piece, mean, asked).search(asked, best)
+            q, j = np.nonzero(np.isfinite(best.score))
+            if len(q):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(best.id[q, j]), pa.array(best.score[q, j])], ["query_id", "doc_id", "score"])
+
+        found = some.mapInArrow(released(run), "query_id long, doc_id long, score double")
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+        return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+
+    floor = None
+    if documents >= FIRST_FROM:
+        few = bags.filter(F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(documents // FIRST_DOCS)) == 0).repartition(min(context.defaultParallelism, 8))
+        kth = found_in(few, None).filter(F.col("rank") == k).select("query_id", "score").toArrow()  # a row a query of the block
+        floor = np.full(len(ids), -np.inf)
+        floor[np.searchsorted(ids, kth.column(0).to_numpy())] = kth.column(1).to_numpy()
+    return found_in(bags, floor)
