@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tidewheel.functions.vectors import cosine, is_zero, l2, l2_to_cosine, unit
 from tidewheel.operators.components import checkpointed
@@ -452,7 +453,7 @@ def vector_sums(rows: DataFrame, key: str, scaled: bool = False) -> DataFrame:
 
     A task adds what it has of a key and sends one row, so a key of any size is a row a task when it is added up.
     """
-    kind = rows.schema[key].dataType.simpleString()
+    kind, key_type = rows.schema[key].dataType.simpleString(), to_arrow_type(rows.schema[key].dataType)
     ddl = f"{key} {kind}, n bigint, total array<double>, squares double"
     given = rows.select(key, F.lit(1).cast("bigint").alias("n"), F.col("embedding").cast("array<double>").alias("total"), F.lit(0.0).alias("squares"))
 
@@ -463,7 +464,7 @@ def vector_sums(rows: DataFrame, key: str, scaled: bool = False) -> DataFrame:
             if held:
                 n, total, squares = zip(*held.values(), strict=True)
                 arrow = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, total)]), pa.int32()), pa.array(np.concatenate(total)))
-                yield pa.RecordBatch.from_arrays([pa.array(list(held)), pa.array(n, pa.int64()), arrow, pa.array(squares, pa.float64())], [key, "n", "total", "squares"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(held), key_type), pa.array(n, pa.int64()), arrow, pa.array(squares, pa.float64())], [key, "n", "total", "squares"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -509,7 +510,7 @@ def vector_sums(rows: DataFrame, key: str, scaled: bool = False) -> DataFrame:
         if rows_:
             names, n, total, squares = zip(*rows_, strict=True)
             arrow = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, total)]), pa.int32()), pa.array(np.concatenate(total)))
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(n, pa.int64()), arrow, pa.array(squares, pa.float64())], [key, "n", "total", "squares"])
+            yield pa.RecordBatch.from_arrays([pa.array(names, key_type), pa.array(n, pa.int64()), arrow, pa.array(squares, pa.float64())], [key, "n", "total", "squares"])
 
     return parts.repartition(key).sortWithinPartitions(key).mapInArrow(whole, ddl)
 
@@ -579,6 +580,7 @@ def far_work(bands: DataFrame) -> DataFrame:
 
 def _lows(dealt: DataFrame, kind: str) -> DataFrame:
     """``(cluster_key, low)``: the least cosine in each pair of dealt blocks, null where there is no pair."""
+    key_type = to_arrow_type(dealt.schema["cluster_key"].dataType)
 
     def run(batches):
         for (key, p, q), _, left, right in _groups(batches, 1):
@@ -592,7 +594,7 @@ def _lows(dealt: DataFrame, kind: str) -> DataFrame:
                 return sims <= least[0]
 
             low = min((sim.min() for _, _, sim in _pairs_in(left, right, p == q, near)), default=None)
-            yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([low], pa.float64())], ["cluster_key", "low"])
+            yield pa.RecordBatch.from_arrays([pa.array([key], key_type), pa.array([low], pa.float64())], ["cluster_key", "low"])
 
     return dealt.mapInArrow(run, f"cluster_key {kind}, low double")
 
